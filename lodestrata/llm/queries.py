@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_decontamination
+from .near_dedup import op4_near_dedup
 from .packing import op5_best_fit_packing
+from .substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}

@@ -48,12 +48,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def byte_class(separators: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(is separator, value of each byte); with ``lower`` A-Z have the values of a-z."""
+    """(is separator, value of each byte); with ``lower`` A-Z count as a-z in both."""
     sep = np.zeros(256, bool)
     sep[list(separators)] = True
     value = _BYTE_VALUE.copy()
     if lower:
-        value[65:91] = _BYTE_VALUE[97:123]
+        value[65:91], sep[65:91] = _BYTE_VALUE[97:123], sep[97:123]
     return sep, value
 
 

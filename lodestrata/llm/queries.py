@@ -6,8 +6,10 @@ from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
 from .packing import op5_best_fit_packing
 from .substring_dedup import op9_substring_dedup
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,

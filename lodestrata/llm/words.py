@@ -96,11 +96,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word data[start:end]: a polynomial over random byte values, finalised.
+    """64-bit hash of each word data[start:end]: a polynomial over random byte values, finalised."""
+    return stem_hashes(data, start, end, value, ())[0]
+
+
+def stem_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the words, then of their first n bytes for each n of ``lengths`` (of all of a shorter word).
 
     Long data is summed in slices, so the temporary arrays don't grow with it.
     """
-    out = np.zeros(len(start), np.uint64)
+    out = [np.zeros(len(start), np.uint64) for _ in (0, *lengths)]
     step = 4 * BLOCK_BYTES
     a = 0
     while a < len(start):
@@ -110,9 +115,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(value[data[lo:hi]] * up[: hi - lo], out=total[1:])
         s, e = start[a:b] - lo, end[a:b] - lo
-        out[a:b] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        before, scale = total[s], down[s]
+        for i, most in enumerate((0, *lengths)):
+            till = np.minimum(e, s + most) if most else e
+            out[i][a:b] = (total[till] - before) * scale + (till - s).astype(np.uint64)
         a = b
-    return mix(out)
+    return [mix(x) for x in out]
 
 
 def blocks(column: pa.Array, separators: bytes = SPACE, lower: bool = False, limit: int = BLOCK_BYTES, first_row: int = 0) -> Iterator[Block]:

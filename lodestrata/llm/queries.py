@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
 from .packing import op5_best_fit_packing
+from .sharding import op2_sharding
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP1_SQL, op1_chat_format
 from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
 from .packing import op5_best_fit_packing
@@ -10,6 +11,7 @@ from .substring_dedup import op9_substring_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
@@ -18,4 +20,6 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+}

@@ -6,7 +6,7 @@ equal windows have equal anchors at equal places, and about one word in ten is a
 1. Each task counts its anchors in a count-min sketch (counters stop at two); the partition
    sketches are merged segment by segment and only the cells of two or more are broadcast, one
    bit each. A sketch overestimates, so an anchor that occurs twice is never taken for single.
-2. Windows whose anchor is estimated repeated are grouped exactly, by a 128-bit hash: counts
+2. Windows whose anchor is estimated repeated are grouped exactly, by a 96-bit hash: counts
    are aggregated before the shuffle, and a semi-join finds the places of those of two or more
    (Spark splits it where one window is very common). All other windows are single.
 3. Each document gets its repeated windows and drops the words they cover. Texts of documents
@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     small_batches(spark)
     # (doc_key, text_key) names a row, and rows that are equal anyway
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text"))
+    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text").cast("int"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, anchor, sketch_width(size)))
 
@@ -167,11 +167,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 if len(start):
                     row = block.document()[start]
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(words.run_hashes(block.hash, window, salt)[start].view(np.int64)) for salt in (0, 1)), batch.column(1).take(pa.array(block.rows[row])), batch.column(2).take(pa.array(block.rows[row])), pa.array(start - block.first[row], pa.int32())],
+                        [
+                            pa.array(words.run_hashes(block.hash, window)[start].view(np.int64)),
+                            pa.array((words.run_hashes(block.hash, window, 1)[start] >> _U(32)).astype(np.uint32).view(np.int32)),
+                            batch.column(1).take(pa.array(block.rows[row])),
+                            batch.column(2).take(pa.array(block.rows[row])),
+                            pa.array(start - block.first[row], pa.int32()),
+                        ],
                         ["h1", "h2", "doc_key", "text_key", "start"],
                     )
 
-    found = docs.select("text", "doc_key", "text_key").mapInArrow(windows, "h1 long, h2 long, doc_key long, text_key long, start int")
+    found = docs.select("text", "doc_key", "text_key").mapInArrow(windows, "h1 long, h2 int, doc_key long, text_key int, start int")
     repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     hits = found.join(repeated, ["h1", "h2"], "left_semi")
     # one document's windows: as many as it has words
@@ -228,7 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 result = finished(binary(part.column("whole")), part.column("starts").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, part.schema.field(n).type) for n, x in zip(names[1:], result, strict=True))], names)
 
-    told = docs.mapInArrow(split, "doc_id long, whole string, doc_key long, text_key long, " + schema.partition(", ")[2])
+    told = docs.mapInArrow(split, "doc_id long, whole string, doc_key long, text_key int, " + schema.partition(", ")[2])
     return told.join(hits, ["doc_key", "text_key"], "left").select("doc_id", "whole", "starts", *names[1:]).mapInArrow(removed, schema)
 
 

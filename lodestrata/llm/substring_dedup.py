@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     small_batches(spark)
     # (doc_key, text_key) names a row, and rows that are equal anyway
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text").cast("int"))
+    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.shiftright(F.xxhash64("text"), 32).cast("int"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, anchor, sketch_width(size)))
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,6 @@ from .store import Scratch, small_batches
 CAPACITY = 2048
 #: Entries of a Python worker's cache of tokenised words; a full cache is emptied.
 CACHE_WORDS = 1_500_000
-#: Pieces in a numbering bucket, about.
-BUCKET_ROWS = 50_000
 
 
 class CapacityTree:
@@ -254,7 +253,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     steps = np.array(best_fit_steps(histogram, capacity), np.int64).reshape(-1, 6)
     total = sum(histogram.values())
-    buckets = max(1, total // BUCKET_ROWS)
+    buckets = max(1, isqrt(total))  # so neither buckets nor their list grow faster than the root
     # the number of a piece among those of its length: by bucket, then by place in the bucket
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     sizes = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))

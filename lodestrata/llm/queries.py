@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op8_hilbert_neighbours
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }

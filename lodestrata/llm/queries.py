@@ -8,6 +8,7 @@ from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
 from .packing import op5_best_fit_packing
 from .pii import op7_pseudonyms
+from .secret_scan import op6_secret_scan
 from .sharding import op2_sharding
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op9_substring_dedup": op9_substring_dedup,

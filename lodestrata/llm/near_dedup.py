@@ -4,7 +4,8 @@
    fingerprint of the set, and ``REGISTERS`` HyperMinHash registers: a shingle's hash picks a
    register, which keeps the rarest hash seen as a leading-zero count and some mantissa bits.
 2. Documents of equal sets are one class; only its representative goes on.
-3. Bands of compressed registers are hashed. Documents that share a band are candidates: first
+3. Empty registers are filled from others of the document (optimal densification), so bands of
+   small sets are as selective as those of large ones. Bands are hashed, and documents that share a band are candidates: first
    each with the smallest of its bucket. The collision-corrected estimate of the Jaccard
    similarity rules out pairs that are far off; the rest are confirmed on the full sets.
 4. Members of a bucket that are still in different components are paired too, unless their
@@ -142,17 +143,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(words.buffers(column)[1], np.uint16, len(column) * REGISTERS, int(words.buffers(column)[0][0])).reshape(-1, REGISTERS)
 
 
+#: The register that an empty one looks at in each attempt.
+_ATTEMPTS = 48
+_LOOK = (words.mix(np.arange(_ATTEMPTS * REGISTERS, dtype=np.uint64) + _U(1 << 40)) % _U(REGISTERS)).astype(np.int64).reshape(_ATTEMPTS, REGISTERS)
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """The registers with each empty one filled from another of its row, chosen by hash.
+
+    Small sets leave most registers empty, and a band of one filled register would match all
+    sets with one common shingle. An empty register takes the first filled one in its own order
+    of all registers, which is equal in two sets with the probability of their similarity.
+    """
+    out = regs.copy()
+    todo = np.flatnonzero((out == 0).any(1) & (regs != 0).any(1))
+    for look in _LOOK:
+        if not len(todo):
+            return out
+        have = out[todo]
+        have = np.where(have == 0, regs[todo][:, look], have)
+        out[todo] = have
+        todo = todo[(have == 0).any(1)]
+    for row in todo.tolist():  # few registers filled: all of them are looked at
+        filled, empty = np.flatnonzero(regs[row]), np.flatnonzero(out[row] == 0)
+        order = words.mix((empty[:, None] * REGISTERS + filled[None, :]).astype(np.uint64) + _U(1 << 41))
+        out[row, empty] = regs[row, filled[order.argmin(1)]]
+    return out
+
+
 def band_keys(sketch: DataFrame) -> DataFrame:
-    """(key, doc_id) for each band that has a filled register."""
+    """(key, doc_id) for each band of the densified registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regs = _matrix(batch.column(1)).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+            regs = densified(_matrix(batch.column(1))).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), regs.shape[:2])
             for i in range(BAND_ROWS):
                 key = words.mix(key * _U(0x9E3779B97F4A7C15) + regs[:, :, i])
-            row, band = np.nonzero(regs.any(2))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), batch.column(0).take(pa.array(row))], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))], ["key", "doc_id"])
 
     return sketch.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words
 from .components import connected_components
@@ -283,6 +284,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     return rows.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those of a document that is not kept; of repeated rows of one doc_id one stays."""
+    found = Scratch(docs.sparkSession, "near-dedup").keep(near_duplicates(docs, percent, shingle), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    once = kept.where("doc_id is not null").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return once.unionByName(kept.where("doc_id is null"))
+
+
 def verify(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """The pairs' exact similarities, in a written table."""
     nodes = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")

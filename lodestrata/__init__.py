@@ -1,0 +1 @@
+"""Hybrid retrieval, ingestion and access policy for document collections, as Spark plans."""

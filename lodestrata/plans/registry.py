@@ -1,4 +1,387 @@
 """Every query of the engine by name, with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, frames, jobs, registry, retrieval
+from ..operators.policy import Identity, ScopedCatalog
+from ..sources.tables import Tables
+from ..streaming import ingest
+from .oracles import ORACLES, TERMS, USER, VECTOR_ID
+
+__all__ = ["ORACLES", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUESTION = " ".join(TERMS)
+
+
+def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+    return build
+
+
+def scoped(t: Tables, user=USER) -> ScopedCatalog:
+    return ScopedCatalog(t.members(), Identity(user))
+
+
+def query_vector(t: Tables) -> list[float]:
+    return t.raw("embeddings").where(F.col("vec_id") == VECTOR_ID).select("embedding").first()[0]
+
+
+# --- chunks and documents
+
+
+@query
+def chunk_split(t: Tables) -> DataFrame:
+    return t.chunks().select("chunk_id", "doc_id", "department_id", "chunk_index", "content")
+
+
+@query
+def chunk_token_count(t: Tables) -> DataFrame:
+    # no row for each chunk: a document's counts follow from its length
+    text = F.col("text")
+    n = T.chunk_count(text)
+    size = lambda i: F.least(F.lit(T.CHUNK), F.length(text) - i * (T.CHUNK - T.OVERLAP))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.floor(size(i) / 4), F.lit(1))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return t.raw("documents").where(n > 0).select("doc_id", n.cast("long").alias("n_chunks"), total.alias("n_tokens"))
+
+
+@query
+def doc_content_hash(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.octet_length("text").cast("long").alias("byte_size"))
+
+
+@query
+def doc_dedup_per_dept(t: Tables) -> DataFrame:
+    return registry.dedup_uploads(t.documents().select("doc_id", "department_id", F.sha2("text", 256).alias("file_hash")))
+
+
+@query
+def doc_icon(t: Tables) -> DataFrame:
+    return t.documents().select("doc_id", "filename", T.icon_class(F.col("filename")).alias("icon"))
+
+
+@query
+def mime_default(t: Tables) -> DataFrame:
+    mime = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, "text/plain")
+    return t.raw("events").select("event_id", T.mime_or_default(mime).alias("mime"))
+
+
+@query
+def legacy_hash(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", T.legacy_hash(F.col("doc_id").cast("string")).alias("file_hash"))
+
+
+@query
+def slugify(t: Tables) -> DataFrame:
+    return t.raw("part").select("p_partkey", T.slugify(F.col("p_name"), F.md5(F.col("p_partkey").cast("string").cast("binary"))).alias("slug"))
+
+
+@query
+def schema_evolution(t: Tables) -> DataFrame:
+    group = F.when(F.col("lang") == "en", "english").otherwise("other")
+    return registry.evolve(t.raw("documents"), {"text": "content", "missing": "unused"}, {"language_group": group, "lang": "en"}, ["source", "n_chars"])
+
+
+# --- policy
+
+
+@query
+def visible_documents(t: Tables) -> DataFrame:
+    return scoped(t).by_department(t.documents().drop("text")).select("doc_id", "department_id", "filename", "status").orderBy(F.desc("doc_id"))
+
+
+@query
+def visible_departments(t: Tables) -> DataFrame:
+    return scoped(t).by_department(t.departments()).select("department_id", "name").orderBy("name")
+
+
+@query
+def visible_chunks(t: Tables) -> DataFrame:
+    # the policy filters documents before they are cut into chunks
+    docs = scoped(t).by_department(t.documents())
+    return T.chunks(docs, "text").select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"), "department_id", "content")
+
+
+@query
+def fail_closed(t: Tables) -> DataFrame:
+    return scoped(t, " ").by_department(t.documents().drop("text")).select("doc_id", "department_id", "filename", "status")
+
+
+@query
+def write_check_rejects(t: Tables) -> DataFrame:
+    return scoped(t).checked(t.documents().select("doc_id", "department_id")).where("not allowed").select("doc_id", "department_id")
+
+
+@query
+def member_counts(t: Tables) -> DataFrame:
+    return t.members().groupBy("department_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def safe_identity(t: Tables) -> DataFrame:
+    given = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, "not-an-id")
+    return t.raw("events").select("event_id", T.safe_identity(given).alias("identity"))
+
+
+# --- retrieval
+
+
+@query
+def dense_topk(t: Tables) -> DataFrame:
+    return retrieval.dense_leg(t.chunk_vectors(), query_vector(t))
+
+
+@query
+def dense_topk_batch(t: Tables) -> DataFrame:
+    asked = t.raw("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_leg_batch(t.chunk_vectors(), asked)
+
+
+@query
+def lexical_match(t: Tables) -> DataFrame:
+    return retrieval.lexical_matches(t.chunks(), QUESTION)
+
+
+@query
+def lexical_topk(t: Tables) -> DataFrame:
+    return retrieval.lexical_leg(t.chunks(), QUESTION)
+
+
+@query
+def lexical_english(t: Tables) -> DataFrame:
+    return retrieval.lexical_leg(t.chunks(), "the thing thing", analyzer="english")
+
+
+@query
+def rrf_fuse(t: Tables) -> DataFrame:
+    return retrieval.fuse(retrieval.dense_leg(t.chunk_vectors(), query_vector(t)), retrieval.lexical_leg(t.chunks(), QUESTION))
+
+
+@query
+def rrf_fuse_multi_model(t: Tables) -> DataFrame:
+    # a chunk with vectors of two models comes twice in the dense leg, and its shares add
+    dense = retrieval.dense_leg(t.chunk_vectors(), query_vector(t))
+    return retrieval.fuse(dense, dense, retrieval.lexical_leg(t.chunks(), QUESTION))
+
+
+@query
+def hybrid_retrieve(t: Tables) -> DataFrame:
+    return retrieval.retrieve(t.chunk_vectors(), t.chunks(), query_vector(t), QUESTION)
+
+
+@query
+def hybrid_retrieve_scoped(t: Tables) -> DataFrame:
+    catalog = scoped(t)
+    return retrieval.retrieve(catalog.by_department(t.chunk_vectors()), catalog.by_department(t.chunks()), query_vector(t), QUESTION)
+
+
+@query
+def hybrid_sources(t: Tables) -> DataFrame:
+    return retrieval.sources(hybrid_retrieve_scoped(t))
+
+
+@query
+def hybrid_context(t: Tables) -> DataFrame:
+    return retrieval.context(hybrid_retrieve(t))
+
+
+@query
+def prompt_template(t: Tables) -> DataFrame:
+    return retrieval.prompt(hybrid_context(t), QUESTION)
+
+
+@query
+def retrieval_provenance(t: Tables) -> DataFrame:
+    dense, lexical = retrieval.dense_leg(t.chunk_vectors(), query_vector(t)), retrieval.lexical_leg(t.chunks(), QUESTION)
+    best = retrieval.ranked(retrieval.fuse(dense, lexical), [F.desc("score"), "chunk_id"], retrieval.K)
+    out = best.join(dense.select("chunk_id", F.col("rank").alias("dense_rank")), "chunk_id", "left")
+    return out.join(lexical.select("chunk_id", F.col("rank").alias("lexical_rank")), "chunk_id", "left").select("rank", "chunk_id", "score", "dense_rank", "lexical_rank")
+
+
+# --- jobs
+
+
+@query
+def job_claim_oldest(t: Tables) -> DataFrame:
+    return jobs.claim_oldest(t.jobs(), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query
+def job_reap(t: Tables) -> DataFrame:
+    return jobs.reap(t.jobs()).select("job_id", "doc_id", "status", "attempts")
+
+
+@query
+def job_status_counts(t: Tables) -> DataFrame:
+    return jobs.status_counts(t.jobs())
+
+
+@query
+def job_visibility(t: Tables) -> DataFrame:
+    return scoped(t).by_parent(t.jobs(), t.documents().select("doc_id", "department_id"), "doc_id").select("job_id", "doc_id", "status")
+
+
+@query
+def job_routing(t: Tables) -> DataFrame:
+    results = t.jobs().select("job_id", "doc_id", F.when(F.col("job_id") % 3 == 0, "unreadable").alias("error"))
+    return jobs.route(results)[1]
+
+
+@query
+def latest_status(t: Tables) -> DataFrame:
+    return jobs.newest_status(t.documents().select("doc_id", "status"), t.jobs())
+
+
+@query
+def status_label(t: Tables) -> DataFrame:
+    return latest_status(t).select("doc_id", T.status_label(F.col("job_status"), F.col("status")).alias("label"))
+
+
+# --- models, adapters, accounts
+
+
+@query
+def adapter_name(t: Tables) -> DataFrame:
+    return t.adapters().select("adapter_id", T.adapter_name(F.col("file_path"), F.col("file_hash")).alias("name"))
+
+
+@query
+def adapters_for_user(t: Tables) -> DataFrame:
+    return registry.adapters_for(t.members(), t.assignments(), t.adapters(), USER).orderBy("adapter_id", "assignment_id")
+
+
+@query
+def adapters_distinct_active(t: Tables) -> DataFrame:
+    return t.adapters().where("is_active").select("file_path").distinct()
+
+
+@query
+def adapter_catalog(t: Tables) -> DataFrame:
+    return t.assignments().join(t.adapters(), "adapter_id").select("assignment_id", "department_id", F.col("file_path").alias("adapter_path"), "scale", "is_active")
+
+
+@query
+def adapter_upsert(t: Tables) -> DataFrame:
+    every = t.adapters()
+    incoming = every.where("adapter_id % 3 = 0").select("adapter_id", F.concat(F.lit("v2/"), "file_path").alias("file_path"), "file_hash", F.lit("base").alias("base_model"), F.lit(8).alias("rank"), F.lit(True).alias("is_active"))
+    return registry.upsert(every.where("adapter_id % 2 = 0"), incoming, ["file_hash"], ["file_path"])
+
+
+@query
+def assignment_upsert(t: Tables) -> DataFrame:
+    existing = t.assignments().select("department_id", "adapter_id", "scale")
+    return registry.upsert(existing, existing.where("adapter_id % 5 = 0").withColumn("scale", F.lit(2.0)), ["department_id", "adapter_id"], ["scale"])
+
+
+def _listing(t: Tables) -> DataFrame:
+    """A model server's listing: three of four adapters, each listed twice, the second entry valid."""
+    loaded = t.adapters().where("adapter_id % 4 <> 0")
+    return loaded.select("file_path", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"), F.col("adapter_id").alias("n")).select("file_path", "position", (F.col("n") + F.col("position") * 1_000_000).alias("loaded_id"))
+
+
+@query
+def adapter_index_join(t: Tables) -> DataFrame:
+    return t.adapters().where("is_active").join(registry.path_index(_listing(t)), "file_path").select("adapter_id", "file_path", "loaded_id")
+
+
+@query
+def adapter_index_skipped(t: Tables) -> DataFrame:
+    return t.adapters().where("is_active").join(registry.path_index(_listing(t)), "file_path", "left_anti").select("adapter_id", "file_path")
+
+
+@query
+def admin_bootstrap(t: Tables) -> DataFrame:
+    return registry.bootstrap(t.users().select("user_id", F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("username")))
+
+
+@query
+def default_department(t: Tables) -> DataFrame:
+    name = F.col("c_name")
+    return t.raw("customer").select("c_custkey", F.concat(F.lower(name), F.lit("-dept")).alias("slug"), F.concat(name, F.lit("'s Department")).alias("name"), F.concat(name, F.lit("@local")).alias("email"))
+
+
+@query
+def department_label(t: Tables) -> DataFrame:
+    named = t.departments().where("department_id <> 'src4'")
+    return t.assignments().join(named, "department_id", "left").select("assignment_id", F.coalesce("name", F.lit("Unknown dept")).alias("department"))
+
+
+@query
+def single_active_model(t: Tables) -> DataFrame:
+    return registry.activate_one(t.raw("part").select(F.col("p_brand").alias("name"), F.lit(768).alias("dimension")).distinct(), "Brand#11", 64)
+
+
+@query
+def seed_insert_ignore(t: Tables) -> DataFrame:
+    existing = t.departments().select("department_id", F.lit("kept").alias("origin"))
+    incoming = t.spark.range(1).select(F.explode(F.array(F.lit("src0"), F.lit("audit"))).alias("department_id"), F.lit("new").alias("origin"))
+    return registry.insert_ignore(existing, incoming, ["department_id"])
+
+
+# --- audits
+
+
+@query
+def dimension_audit(t: Tables) -> DataFrame:
+    vectors = t.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return audit.wrong_dimensions(vectors.where("label = 3"), 768).unionByName(audit.wrong_dimensions(vectors.where("label <> 3"), 64))
+
+
+@query
+def unique_default_audit(t: Tables) -> DataFrame:
+    return audit.several_defaults(t.assignments())
+
+
+@query
+def scale_audit(t: Tables) -> DataFrame:
+    return audit.out_of_range(t.assignments(), "scale", 0, 1).select("assignment_id", "scale")
+
+
+@query
+def orphan_jobs(t: Tables) -> DataFrame:
+    return audit.orphans(t.jobs(), t.raw("documents").where("doc_id % 5 <> 0"), "doc_id").select("job_id")
+
+
+@query
+def cascade_delete(t: Tables) -> DataFrame:
+    docs = t.documents()
+    _, chunks = registry.cascade_delete(docs, docs.where("doc_id % 10 = 0"), t.chunks())
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+# --- streams
+
+
+@query
+def sse_assemble(t: Tables) -> DataFrame:
+    def frame(w, i):
+        good = F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(w, F.lit(" ")).alias("content"), (i == 30).alias("stop"))), F.lit("\n\n"))
+        return F.when(i % 5 == 4, F.concat(F.lit("event: "), w, F.lit("\n\n"))).when(i % 7 == 6, F.lit("data: {bad\n\n")).otherwise(good)
+
+    # a line break inside a word would look like the end of a frame, but JSON escapes it
+    stream = F.array_join(F.transform(F.split("text", " "), frame), "")
+    return t.raw("conversations").select("conv_id", "turn", frames.answer(stream).alias("answer"))
+
+
+@query
+def stream_concat(t: Tables) -> DataFrame:
+    parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    return t.raw("conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("transcript"))
+
+
+@query
+def stream_ingest(t: Tables) -> DataFrame:
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    # a stream watches a folder or a pattern; a table may be one file
+    files = f"{t.sf_dir}/documents.parque[t]"
+    ingest.start_ingest(t.spark, files, f"{root}/out", f"{root}/state").awaitTermination()
+    return ingest.ingested(t.spark, f"{root}/out").select("doc_id", "department_id", "chunk_index", "content", "token_count")

@@ -16,9 +16,14 @@ def file_hash(data: Column, path: Column) -> Column:
     return F.coalesce(F.sha2(data, 256), F.concat(F.lit("path:"), F.sha2(path.cast("binary"), 256)))
 
 
-def write_blobs(uploads: DataFrame, root: str, prefix_length: int = 2) -> DataFrame:
+def _prefix() -> Column:
+    """The partition of a hash; the letter keeps it from being read as a number."""
+    return F.concat(F.lit("h"), F.substring("file_hash", 1, 2))
+
+
+def write_blobs(uploads: DataFrame, root: str) -> DataFrame:
     """Append each new content once, partitioned by the hash's first characters; returns (file_hash, byte_size)."""
-    blobs = uploads.select(F.sha2("content", 256).alias("file_hash"), "content").dropDuplicates(["file_hash"]).withColumn("prefix", F.substring("file_hash", 1, prefix_length))
+    blobs = uploads.select(F.sha2("content", 256).alias("file_hash"), "content").dropDuplicates(["file_hash"]).withColumn("prefix", _prefix())
     try:
         there = uploads.sparkSession.read.parquet(root).select("file_hash", "prefix")
         blobs = blobs.join(there, ["prefix", "file_hash"], "left_anti")
@@ -32,7 +37,7 @@ def write_blobs(uploads: DataFrame, root: str, prefix_length: int = 2) -> DataFr
 def read_blobs(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """The wanted rows (file_hash, ...) with ``content``; null where the blob is missing."""
     blobs = spark.read.parquet(root).select("file_hash", "content", "prefix")
-    return wanted.withColumn("prefix", F.substring("file_hash", 1, 2)).join(blobs, ["prefix", "file_hash"], "left").drop("prefix")
+    return wanted.withColumn("prefix", _prefix()).join(blobs, ["prefix", "file_hash"], "left").drop("prefix")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -5,12 +5,16 @@
    register, which keeps the rarest hash seen as a leading-zero count and some mantissa bits.
 2. Documents of equal sets are one class; only its representative goes on.
 3. Empty registers are filled from others of the document (optimal densification), so bands of
-   small sets are as selective as those of large ones. Bands are hashed, and documents that share a band are candidates: first
-   each with the smallest of its bucket. The collision-corrected estimate of the Jaccard
+   small sets are as selective as those of large ones. Bands are hashed, and documents that
+   share a band form a bucket. In each bucket the member with most collisions is the hub, and
+   the others are candidates with it. The collision-corrected estimate of the Jaccard
    similarity rules out pairs that are far off; the rest are confirmed on the full sets.
-4. Members of a bucket that are still in different components are paired too, unless their
-   distances to the bucket's smallest member exclude it (Jaccard distance is a metric). So no
-   pair that shares a band goes unseen, and no bucket is expanded into all its pairs.
+4. Buckets make families: a member joins its hub's, unless their estimate is under ``FAR``. Such
+   members, and those near enough to them, form a bucket of their own with another hub. (Jaccard
+   distance is a metric: two linked documents differ by at most 0.2 in their distance to a hub.)
+5. In a family whose confirmed links leave several components, every document outside the largest
+   one is compared exactly with all others of the family, block by block, and only links between
+   components come out. So no pair that shares a band goes unseen, and no pairs are expanded.
 
 With 6 registers a band and 64 bands, a pair of similarity 0.8 shares no band with probability
 (1 - 0.8**6)**64 < 4e-9.
@@ -39,6 +43,10 @@ REGISTERS = BAND_ROWS * BANDS
 MANTISSA_BITS = 10
 #: Candidate pairs whose estimate lies this many standard errors under the threshold are ruled out.
 SIGMAS = 6.0
+#: Candidates with an upper bound under this are of different families; rounds of hubs at most.
+FAR, HUB_ROUNDS = 0.45, 8
+#: Sets in a block of an exact comparison, about.
+BLOCK_SETS = 1024
 #: Up to so many document ids are broadcast to a scan; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -231,6 +239,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", shared.alias("shared"), "sa", "sb").select("a", "b", (F.col("shared") / both).alias("similarity"), (100 * F.col("shared") >= percent * both).alias("linked"))
 
 
+def bucket_pairs(members: DataFrame, sketch: DataFrame, bound: float, scratch: Scratch) -> DataFrame:
+    """(a, b, low, high): the candidates of all buckets (key, doc_id) with hubs, in one written table.
+
+    Pairs with ``high`` of at least ``FAR`` make families. A member x with less is linked to no y
+    of its bucket but those whose ``low`` is under ``FAR`` + 1 - bound; these are bucketed again.
+    """
+    every = None
+    for turn in range(HUB_ROUNDS):
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
+        hubs = members.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
+        starred = scratch.keep(members.join(hubs, "key").where("hub != doc_id"), "starred")
+        pairs = starred.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+        pairs = scratch.keep(estimated(pairs, sketch), "pairs")
+        every = pairs if every is None else every.unionByName(pairs)
+        if pairs.where(F.col("high") < FAR).isEmpty():
+            break
+        seen = starred.withColumn("a", F.least("hub", "doc_id")).withColumn("b", F.greatest("hub", "doc_id")).join(pairs, ["a", "b"])
+        again = seen.where(F.col("low") < FAR + 1 - bound + 1e-9).select("key", "doc_id", "high")
+        open_ = again.groupBy("key").agg(F.min("high").alias("least"), F.count(F.lit(1)).alias("n")).where((F.col("least") < FAR) & (F.col("n") > 1)).select("key")
+        members = scratch.keep(again.join(open_, "key").select("key", "doc_id"), "buckets")
+        if members.isEmpty():
+            break
+    else:  # what is left goes to families as it is, whatever the estimate
+        first = members.groupBy("key").agg(F.min("doc_id").alias("a"))
+        every = every.unionByName(members.join(first, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
+    return scratch.keep(every.groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high")), "candidates")
+
+
+def _links_between(strays: pa.Table, others: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between the components of two blocks (doc_id, component, shingles), one for each stray and component."""
+
+    def flat(table):
+        column = table["shingles"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.asarray(column.offsets, np.int64)
+        return table["doc_id"].to_numpy(), table["component"].to_numpy(), offsets - offsets[0], column.flatten().to_numpy()
+
+    ida, ca, oa, ta = flat(strays)
+    idb, cb, ob, tb = flat(others)
+    nb = np.diff(ob)
+    a = 0
+    while a < len(ida):
+        b = min(len(ida), max(a + 1, int(np.searchsorted(oa, oa[a] + 20_000, "right")) - 1))
+        vocabulary, at = np.unique(ta[oa[a] : oa[b]], return_inverse=True)
+        mine = np.zeros((b - a, len(vocabulary)), np.float32)
+        mine[np.repeat(np.arange(b - a), np.diff(oa[a : b + 1])), at] = 1
+        step = max(1, 8_000_000 // len(vocabulary))
+        for c in range(0, len(idb), step):
+            d = min(len(idb), c + step)
+            tokens, row = tb[ob[c] : ob[d]], np.repeat(np.arange(d - c), nb[c:d])
+            at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
+            known = vocabulary[at] == tokens
+            theirs = np.zeros((d - c, len(vocabulary)), np.float32)
+            theirs[row[known], at[known]] = 1
+            shared = (mine @ theirs.T).astype(np.int64)  # exact: counts are under 2**24
+            both = np.diff(oa[a : b + 1])[:, None] + nb[None, c:d] - shared
+            i, j = np.nonzero((100 * shared >= percent * both) & (ca[a:b, None] != cb[None, c:d]))
+            _, first = np.unique(np.stack([i, cb[c + j]]), axis=1, return_index=True)
+            yield from zip(ida[a + i[first]].tolist(), idb[c + j[first]].tolist(), strict=True)
+        a = b
+
+
+def family_links(docs: DataFrame, candidates: DataFrame, component: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between components of one family that the hubs didn't show; None if no family has several."""
+    family = connected_components(candidates.where(F.col("high") >= FAR), scratch).withColumnsRenamed({"node": "doc_id", "component": "family"})
+    member = family.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = member.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("family", F.col("largest.component").alias("largest"), F.col("members").alias("n_members"), (F.col("members") - F.col("largest.n")).alias("n_strays"))
+    member = scratch.keep(member.join(mixed, "family"), "mixed")
+    if member.isEmpty():
+        return None
+    sets = shingle_sets(docs, member.select("doc_id"), member.count(), shingle)
+    member = scratch.keep(member.join(sets, "doc_id"), "mixed-sets")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SETS).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    columns = ["family", "x", "y", "doc_id", "component", "shingles"]
+    strays = member.where("component != largest").withColumn("x", block("n_strays")).withColumn("y", every("n_members")).select(columns)
+    others = member.withColumn("x", every("n_strays")).withColumn("y", block("n_members")).select(*(F.col(c).alias(c) for c in columns))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = list(_links_between(a, b, percent)) if a.num_rows and b.num_rows else []
+        return pa.table([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+    key = ["family", "x", "y"]
+    return scratch.keep(strays.groupBy(key).cogroup(others.groupBy(key)).applyInArrow(compare, "a long, b long").distinct(), "family-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row.
 
@@ -246,37 +344,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     one_each = filled.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
 
     bands = band_keys(one_each)
-    smallest = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("key", "a")
-    members = scratch.keep(bands.join(smallest, "key"), "buckets")  # with the smallest itself
-    pairs = members.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    pairs = scratch.keep(estimated(pairs, filled), "pairs")
-    links = verify(docs, pairs.where(F.col("high") >= bound), percent, shingle, scratch)
-    component = scratch.keep(connected_components(links.where("linked"), scratch), "components")
-
-    # what a bucket has besides: members in different components that may still be similar
-    exact = links.select("a", "b", "similarity")
-    seen = pairs.join(exact, ["a", "b"], "left").select("a", F.col("b").alias("doc_id"), F.coalesce("similarity", "low").alias("low"), F.coalesce("similarity", "high").alias("high"))
-    member = members.join(seen, ["a", "doc_id"], "left").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    member = member.select("key", "a", "doc_id", "low", "high", F.coalesce("component", "doc_id").alias("component"))
-    # every bucket has its smallest member's row, whose own similarity is 1
-    mixed = member.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    member = scratch.keep(member.join(mixed, "key").where("a < doc_id").select("key", "doc_id", "low", "high", "component"), "mixed")
-    other = member.select("key", F.col("doc_id").alias("b"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), F.col("component").alias("bcomponent"))
-    # distance(x, y) >= |distance(x, a) - distance(y, a)|, and linked ones are within 1 - bound
-    far = 1 - bound + 1e-9
-    more = (
-        member.join(other, "key")
-        .where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("bcomponent")) & (F.col("low") - F.col("bhigh") <= far) & (F.col("blow") - F.col("high") <= far))
-        .select(F.col("doc_id").alias("a"), "b")
-        .distinct()
-        .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = scratch.keep(more, "more")
-    if not more.isEmpty():
-        more = scratch.keep(estimated(more, filled), "more-pairs")
-        extra = verify(docs, more.where(F.col("high") >= bound), percent, shingle, scratch)
-        if not extra.where("linked").isEmpty():
-            component = scratch.keep(connected_components(links.unionByName(extra).where("linked"), scratch), "components")
+    shared = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
+    members = scratch.keep(bands.join(shared, "key", "left_semi"), "buckets")
+    candidates = bucket_pairs(members, filled, bound, scratch)
+    links = verify(docs, candidates.where(F.col("high") >= bound), percent, shingle, scratch).where("linked").select("a", "b")
+    component = scratch.keep(connected_components(links, scratch), "components")
+    if (more := family_links(docs, candidates, component, percent, shingle, scratch)) is not None and not more.isEmpty():
+        component = scratch.keep(connected_components(links.unionByName(more), scratch), "components")
 
     of = classes.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class_id").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "f1", "f2").join(of, ["f1", "f2", "n_shingles"], "left")

@@ -181,7 +181,13 @@ def token_units(block: words.Block, value: np.ndarray) -> tuple[np.ndarray, np.n
     start, end = np.insert(block.start, cut + 1, stem[cut]), block.end.copy()
     end[cut] = stem[cut]
     end = np.insert(end, cut + 1, block.end[cut])
-    return start, end, words.word_hashes(block.data, start, end, value), block.first + np.searchsorted(cut, block.first)
+    hashes = words.word_hashes(block.data, start, end, value)
+    # special tokens have an exact case, so words that may hold one are told apart by case
+    marks = np.flatnonzero((block.data[:-1] == 60) & (block.data[1:] == 124))
+    if len(marks):
+        special = np.unique(np.searchsorted(start, marks, "right") - 1)
+        hashes[special] = words.mix(words.word_hashes(block.data, start[special], end[special], words.byte_class(words.SPACE, False)[1]) + np.uint64(1))
+    return start, end, hashes, block.first + np.searchsorted(cut, block.first)
 
 
 _caches: dict[tuple[str, int], WordIds] = {}
@@ -198,7 +204,7 @@ def document_ids(column: pa.Array, cache: WordIds) -> Iterator[tuple[np.ndarray,
         if (missing := np.flatnonzero(at < 0)).size:
             new, where = np.unique(hashes[missing], return_index=True)
             where = missing[where]
-            cache.add(new, [block.data[start[i] : end[i]].tobytes().decode("utf-8", "replace").lower() for i in where])
+            cache.add(new, [block.data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in where])
             at[missing] = cache.find(hashes[missing])
         at = np.insert(at, first[1:], 0)
         n = cache.length[at].astype(np.int64)

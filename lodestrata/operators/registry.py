@@ -47,11 +47,11 @@ def path_index(listing: DataFrame) -> DataFrame:
 
 def bootstrap(users: DataFrame) -> DataFrame:
     """First rows of new users (user_id, username): the first is an administrator if there is none yet."""
-    first = F.broadcast(users.agg(F.min("user_id").alias("first")))  # one row
-    return users.crossJoin(first).select(
+    first = users.agg(F.min("user_id")).scalar()
+    return users.select(
         "user_id",
         "username",
-        (F.col("user_id") == F.col("first")).alias("is_admin"),
+        (F.col("user_id") == first).alias("is_admin"),
         F.concat("username", F.lit("@local")).alias("email"),
         F.concat("username", F.lit("'s Department")).alias("department_name"),
         F.concat(F.lower("username"), F.lit("-dept")).alias("department_slug"),

@@ -56,8 +56,8 @@ class Tables:
         kinds = {"signup": "queued", "view": "running", "purchase": "succeeded", "error": "failed"}
         status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()))
         events = self.raw("events").select("event_id", "ts", status.alias("status")).where("status is not null")
-        count = F.broadcast(self.raw("documents").agg(F.count(F.lit(1)).alias("n")))  # one row
-        return events.crossJoin(count).select(F.col("event_id").alias("job_id"), (F.col("event_id") % F.col("n")).alias("doc_id"), "status", F.lit(0).alias("attempts"), F.col("ts").alias("created_at"))
+        count = self.raw("documents").agg(F.count(F.lit(1))).scalar()
+        return events.select(F.col("event_id").alias("job_id"), (F.col("event_id") % count).alias("doc_id"), "status", F.lit(0).alias("attempts"), F.col("ts").alias("created_at"))
 
     def adapters(self) -> DataFrame:
         p = self.raw("part")

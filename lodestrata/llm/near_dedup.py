@@ -10,8 +10,8 @@
    the others are candidates with it. The collision-corrected estimate of the Jaccard
    similarity rules out pairs that are far off; the rest are confirmed on the full sets.
 4. Buckets make families: a member joins its hub's, unless their estimate is under ``FAR``. Such
-   members, and those near enough to them, form a bucket of their own with another hub. (Jaccard
-   distance is a metric: two linked documents differ by at most 0.2 in their distance to a hub.)
+   members came by chance and are paired with those they may be linked to. (Jaccard distance is a
+   metric: two linked documents differ by at most 0.2 in their distance to a hub.)
 5. In a family whose confirmed links leave several components, every document outside the largest
    one is compared exactly with all others of the family, block by block, and only links between
    components come out. So no pair that shares a band goes unseen, and no pairs are expanded.
@@ -43,8 +43,8 @@ REGISTERS = BAND_ROWS * BANDS
 MANTISSA_BITS = 10
 #: Candidate pairs whose estimate lies this many standard errors under the threshold are ruled out.
 SIGMAS = 6.0
-#: Candidates with an upper bound under this are of different families; rounds of hubs at most.
-FAR, HUB_ROUNDS = 0.45, 8
+#: Candidates whose similarity is at most this are of different families.
+FAR = 0.45
 #: Sets in a block of an exact comparison, about.
 BLOCK_SETS = 1024
 #: Up to so many document ids are broadcast to a scan; more are joined.
@@ -240,32 +240,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bucket_pairs(members: DataFrame, sketch: DataFrame, bound: float, scratch: Scratch) -> DataFrame:
-    """(a, b, low, high): the candidates of all buckets (key, doc_id) with hubs, in one written table.
+    """(a, b, low, high): the candidates of all buckets (key, doc_id), in a written table.
 
-    Pairs with ``high`` of at least ``FAR`` make families. A member x with less is linked to no y
-    of its bucket but those whose ``low`` is under ``FAR`` + 1 - bound; these are bucketed again.
+    Each member is paired with its bucket's hub, the one with most collisions. Pairs with ``high``
+    of at least ``FAR`` make families. A member x with less came by chance; it is linked to no y
+    of the bucket but those whose ``low`` is under ``FAR`` + 1 - bound, and is paired with these.
     """
-    every = None
-    for turn in range(HUB_ROUNDS):
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
-        hubs = members.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
-        starred = scratch.keep(members.join(hubs, "key").where("hub != doc_id"), "starred")
-        pairs = starred.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-        pairs = scratch.keep(estimated(pairs, sketch), "pairs")
-        every = pairs if every is None else every.unionByName(pairs)
-        if pairs.where(F.col("high") < FAR).isEmpty():
-            break
-        seen = starred.withColumn("a", F.least("hub", "doc_id")).withColumn("b", F.greatest("hub", "doc_id")).join(pairs, ["a", "b"])
-        again = seen.where(F.col("low") < FAR + 1 - bound + 1e-9).select("key", "doc_id", "high")
-        open_ = again.groupBy("key").agg(F.min("high").alias("least"), F.count(F.lit(1)).alias("n")).where((F.col("least") < FAR) & (F.col("n") > 1)).select("key")
-        members = scratch.keep(again.join(open_, "key").select("key", "doc_id"), "buckets")
-        if members.isEmpty():
-            break
-    else:  # what is left goes to families as it is, whatever the estimate
-        first = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-        every = every.unionByName(members.join(first, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
-    return scratch.keep(every.groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high")), "candidates")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    hubs = members.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"))
+    starred = members.join(hubs, "key").where("hub != doc_id").select("key", "doc_id", F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+    starred = scratch.keep(starred, "starred")
+    pairs = scratch.keep(estimated(starred.select("a", "b").distinct(), sketch), "pairs")
+    seen = starred.join(pairs.where(F.col("low") < FAR + 1 - bound + 1e-9), ["a", "b"])
+    chance = seen.where(F.col("high") < FAR).select("key", F.col("doc_id").alias("x"))
+    more = seen.select("key", F.col("doc_id").alias("y")).join(chance, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = estimated(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sketch)
+    return scratch.keep(pairs.unionByName(more.where(F.col("high") >= FAR)), "candidates")
 
 
 def _links_between(strays: pa.Table, others: pa.Table, percent: int) -> Iterator[tuple[int, int]]:

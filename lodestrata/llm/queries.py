@@ -6,6 +6,7 @@ from .ann import op8_hilbert_neighbours
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
+from .oracles import OP4_SQL, OP9_SQL, OP10_SQL
 from .packing import op5_best_fit_packing
 from .pii import op7_pseudonyms
 from .secret_scan import op6_secret_scan
@@ -28,4 +29,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op4_near_dedup": OP4_SQL,
+    "op9_substring_dedup": OP9_SQL,
+    "op10_decontamination": OP10_SQL,
 }

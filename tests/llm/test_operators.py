@@ -68,10 +68,6 @@ def test_words_and_runs(texts, k):
 # --- 1 chat formatting
 
 
-def test_op1_equals_sql(spark, sf_dir, connection):
-    same_rows(queries.QUERIES["op1_chat_format"](spark, sf_dir), connection, queries.ORACLES["op1_chat_format"])
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="\\lb<[s>]/INST ok"))
 def test_escape_round_trip(text):
@@ -414,3 +410,8 @@ def test_toxicity_of_awkward_rows(spark):
     assert out[500]["predicted"] == 1 and out[501]["predicted"] == 0 and out[1]["predicted"] == 0
     kept = toxicity.toxicity(documents(spark, rows), labels.where("false"), keep_clean=True)
     assert set(kept.columns) == {"doc_id", "text", *CLASH} and 500 not in {r["doc_id"] for r in kept.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf_dir, connection, name):
+    same_rows(queries.QUERIES[name](spark, sf_dir), connection, queries.ORACLES[name])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .components import connected_components
+from .components import connected_components, joined_components
 from .store import Scratch, small_batches
 
 BAND_ROWS, BANDS = 6, 64
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     links = verify(docs, candidates.where(F.col("high") >= bound), percent, shingle, scratch).where("linked").select("a", "b")
     component = scratch.keep(connected_components(links, scratch), "components")
     if (more := family_links(docs, candidates, component, percent, shingle, scratch)) is not None and not more.isEmpty():
-        component = scratch.keep(connected_components(links.unionByName(more), scratch), "components")
+        component = scratch.keep(joined_components(component, more, scratch), "components")
 
     of = classes.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class_id").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "f1", "f2").join(of, ["f1", "f2", "n_shingles"], "left")

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.llm import ann, chat_format, decontamination, near_dedup, packing, pii, queries, secret_scan, sharding, store, substring_dedup, toxicity, words
-from lodestrata.llm.components import connected_components
+from lodestrata.llm.components import connected_components, joined_components
 from lodestrata.llm.hilbert import hilbert_keys
 
 from ..conftest import same_rows
@@ -184,11 +184,7 @@ def test_registers_estimate_similarity():
         assert abs(j[0] - true) <= 4 * error[0]
 
 
-def test_components(spark):
-    rng = random.Random(4)
-    pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(500, 500), (None, 3)]
-    found = connected_components(spark.createDataFrame(pairs, "a long, b long"), store.Scratch(spark, "test"))
-    component = {r["node"]: r["component"] for r in found.collect()}
+def components_by_hand(pairs):
     least: dict = {}
     for a, b in pairs:
         if a is not None and a != b:
@@ -197,7 +193,21 @@ def test_components(spark):
                 ca |= cb
                 for x in cb:
                     least[x] = ca
-    assert component == {x: min(c) for x, c in least.items()}
+    return {x: min(c) for x, c in least.items()}
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(500, 500), (None, 3)]
+    more = [(130, 300), (300, 301), (40, 159), (1, 2), (400, 401), (600, 12), (130, 131)]
+    stars = [(9, 1), (9, 2), (9, 3)], [(1, 2), (1, 3)], []
+    scratch = store.Scratch(spark, "test")
+    frame = lambda p: spark.createDataFrame(p, "a long, b long")
+    found = scratch.keep(connected_components(frame(pairs), scratch), "found")
+    assert sorted(map(tuple, found.collect())) == sorted(components_by_hand(pairs).items())
+    assert sorted(map(tuple, joined_components(found, frame(more), scratch).collect())) == sorted(components_by_hand(pairs + more).items())
+    for star in stars:
+        assert sorted(map(tuple, connected_components(frame(star), scratch).collect())) == sorted(components_by_hand(star).items())
 
 
 # --- 5 packing

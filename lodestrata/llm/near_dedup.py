@@ -295,7 +295,7 @@ def _links_between(strays: pa.Table, others: pa.Table, percent: int) -> Iterator
 
 def family_links(docs: DataFrame, candidates: DataFrame, component: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame | None:
     """Links (a, b) between components of one family that the hubs didn't show; None if no family has several."""
-    family = joined_components(component, candidates.where(F.col("high") >= FAR), scratch).withColumnsRenamed({"node": "doc_id", "component": "family"})
+    family = scratch.keep(joined_components(component, candidates.where(F.col("high") >= FAR), scratch), "families").withColumnsRenamed({"node": "doc_id", "component": "family"})
     member = family.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = member.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")

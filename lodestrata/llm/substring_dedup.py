@@ -154,9 +154,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """For each row doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
     spark = docs.sparkSession
     small_batches(spark)
-    # (doc_key, text_key) names a row, and rows that are equal anyway
+    # (doc_key, text_key) names a row, and rows that are equal anyway. All 64 bits: null and
+    # repeated doc_ids leave the text's part alone to tell millions of rows apart
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.shiftright(F.xxhash64("text"), 32).cast("int"))
+    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, anchor, sketch_width(size)))
 
@@ -177,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                         ["h1", "h2", "doc_key", "text_key", "start"],
                     )
 
-    found = docs.select("text", "doc_key", "text_key").mapInArrow(windows, "h1 long, h2 int, doc_key long, text_key int, start int")
+    found = docs.select("text", "doc_key", "text_key").mapInArrow(windows, "h1 long, h2 int, doc_key long, text_key long, start int")
     repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     hits = found.join(repeated, ["h1", "h2"], "left_semi")
     # one document's windows: as many as it has words
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 result = finished(binary(part.column("whole")), part.column("starts").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, part.schema.field(n).type) for n, x in zip(names[1:], result, strict=True))], names)
 
-    told = docs.mapInArrow(split, "doc_id long, whole string, doc_key long, text_key int, " + schema.partition(", ")[2])
+    told = docs.mapInArrow(split, "doc_id long, whole string, doc_key long, text_key long, " + schema.partition(", ")[2])
     return told.join(hits, ["doc_key", "text_key"], "left").select("doc_id", "whole", "starts", *names[1:]).mapInArrow(removed, schema)
 
 

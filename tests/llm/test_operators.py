@@ -357,6 +357,16 @@ def test_repeats_go(spark):
     assert text[203] == "q z\x1cz" if 203 in text else True
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_of_one_doc_id_keep_their_places_apart(spark, doc_id):
+    # the first 32 bits of both texts' xxhash64 are equal
+    run = " ".join(f"r{i}" for i in range(35))
+    rows = [(doc_id, f"a38886 {run} b c"), (doc_id, f"a112419 b {run} c")]
+    keys = [r["h"] for r in documents(spark, rows).select(F.shiftright(F.xxhash64("text"), 32).alias("h")).collect()]
+    assert keys[0] == keys[1]
+    assert rows_of(substring_dedup.remove_repeats(documents(spark, rows))) == brute.without_repeats(rows, substring_dedup.WINDOW)
+
+
 def test_sketch_never_misses_a_repeat(spark):
     rows = [r for r in awkward() if r[0] and 100 <= r[0] < 150]
     docs = documents(spark, rows).select("text")

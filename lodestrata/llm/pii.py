@@ -18,7 +18,9 @@ date   calendar dates 1900 to 2099, yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy,     layo
        or mm/dd/yyyy where the day is over 12
 ====== ==================================================================== =======================
 
-What looks alike but fails the check stays as it is.
+What looks alike but fails the check stays as it is. Card numbers and IBANs are looked for among
+all runs of whole groups, so neighbours don't hide them; what is left of such runs is searched
+again for the other kinds.
 
 Defined results: a null text stays null and an empty one empty; other columns pass through
 unchanged; repeated rows get the same pseudonyms; an empty table gives an empty result.
@@ -38,7 +40,7 @@ KINDS = ("email", "iban", "card", "phone", "ip", "ssn", "date")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _BEFORE, _AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
-PATTERN = "|".join(
+PATTERNS = tuple(
     (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}" + _AFTER,
         _BEFORE + "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
@@ -48,9 +50,24 @@ PATTERN = "|".join(
         _BEFORE + "[0-9]{4}-[0-9]{2}-[0-9]{2}" + _AFTER,
         _BEFORE + "[0-9]{2}([/.])[0-9]{2}\\1[0-9]{4}" + _AFTER,
         _BEFORE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER,
-        _BEFORE + "(?:[0-9][ -]?){12,18}[0-9]" + _AFTER,
+        # the whole run of groups, with letters that are glued to the last
+        _BEFORE + "(?=(?:[0-9][ -]?){12})[0-9][0-9 -]{12,}+(?:(?<=[0-9])[A-Za-z_][0-9A-Za-z_]*+)?+",
     )
 )
+PATTERN = "|".join(PATTERNS)
+#: What is looked for in turn: all, then what a run of the kinds before may have swallowed.
+PASSES = (PATTERN, "|".join(x for i, x in enumerate(PATTERNS) if i != 1), "|".join(x for i, x in enumerate(PATTERNS[:-1]) if i != 1))
+_CARD, _USUAL_CARD = "^(?:[0-9][ -]?){12,18}[0-9]$", "^(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[ -][0-9]{6}[ -][0-9]{4,5}))$"
+_IBAN = "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DJ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_USUAL_IBAN = "^(?:" + "|".join(f"(?:{c.replace(' ', '|')})(?: ?[A-Z0-9]){{{n - 2}}}" for n, c in IBAN_LENGTHS.items()) + ")$"
+# A private character, and what stands behind it: itself in a text, or the values put in by a pass.
+_PRIVATE, _ITSELF = "\ue000", "\ue00f"
 _FIRST_DAY, _DAYS = "1900-01-01", (319, 229)  # 319 * 229 days end with 2099
 
 
@@ -216,36 +233,93 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_let(F.element_at(parts, 1), of), F.lit("@"), F.element_at(parts, 2))
 
 
-def pseudonym(match: Column, key: str) -> Column:
-    """struct(kind, text) for a match of ``PATTERN``; the kind is null and the text unchanged if it fails its check."""
+def _made(match: Column, key: str, mark: str) -> Column:
+    """struct(raw, made) of one value: the mark and its pseudonym, or itself and none if it fails its check."""
     kind = (
         F.when(match.contains("@"), "email")
-        .when(match.rlike("^[A-Z]{2}"), "iban")
         .when(match.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
         .when(match.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), "date")
         .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(match.rlike(r"^[+(]|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone")
-        .otherwise("card")
+        .otherwise("phone")
     )
     made = F.lit(None).cast("string")
-    for name, make in (("card", _card), ("phone", _phone), ("ssn", _ssn), ("date", _date), ("ip", _ip), ("iban", _iban), ("email", _email)):
+    for name, make in (("phone", _phone), ("ssn", _ssn), ("date", _date), ("ip", _ip), ("email", _email)):
         made = F.when(kind == name, make(match, key)).otherwise(made)
-    return _let(F.struct(kind.alias("kind"), made.alias("made")), lambda s: F.struct(F.when(s["made"].isNotNull(), s["kind"]).alias("kind"), F.coalesce(s["made"], match).alias("text")))
+    one = F.struct(kind.alias("kind"), made.alias("text"))
+    return _let(one, lambda s: F.when(s["text"].isNotNull(), _piece(F.lit(mark), F.array(s))).otherwise(_piece(match, F.array().cast(_MADE))))
+
+
+_MADE = "array<struct<kind:string,text:string>>"
+
+
+def _piece(raw: Column, made: Column) -> Column:
+    return F.struct(raw.alias("raw"), made.cast(_MADE).alias("made"))
+
+
+def _picked(match: Column, key: str, mark: str, kind: str) -> Column:
+    """struct(raw, made) of a run of groups: the runs of whole groups in it that pass the check, the usual layouts first, then the longest."""
+    shape, usual, make = (_CARD, _USUAL_CARD, _card) if kind == "card" else (_IBAN, _USUAL_IBAN, _iban)
+
+    def in_parts(run: Column) -> Column:
+        groups, n = run["groups"], F.size(run["groups"])
+        text = lambda i, j: F.array_join(F.zip_with(F.slice(groups, i, j - i + 1), F.slice(run["seps"], i, j - i), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+        start = lambda i: F.transform(F.sequence(i, F.least(n, i + 18)), lambda j: F.struct(i.alias("i"), j.alias("j"), text(i, j).alias("w")))
+        windows = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), n), start)), lambda x: x["w"].rlike(shape))
+        ranked = F.transform(windows, lambda x: F.struct((~x["w"].rlike(usual)).cast("int").alias("rank"), (-F.length(x["w"])).alias("size"), x["i"].alias("i"), x["j"].alias("j"), make(x["w"], key).alias("text")))
+        valid = F.array_sort(F.filter(ranked, lambda x: x["text"].isNotNull()))
+        none = F.array().cast("array<struct<i:int,j:int,text:string>>")
+        taken = F.aggregate(valid, none, lambda have, x: F.when(F.exists(have, lambda y: (y["i"] <= x["j"]) & (x["i"] <= y["j"])), have).otherwise(F.concat(have, F.array(F.struct(x["i"].alias("i"), x["j"].alias("j"), x["text"].alias("text"))))))
+
+        def rest(have: Column) -> Column:
+            def group(k: Column) -> Column:
+                sep = F.coalesce(F.get(run["seps"], k - 1), F.lit(""))
+                inside = F.exists(have, lambda y: (y["i"] <= k) & (k < y["j"]))
+                last = F.exists(have, lambda y: y["j"] == k)
+                return F.when(inside, F.lit("")).when(last, F.concat(F.lit(mark), sep)).otherwise(F.concat(F.element_at(groups, k), sep))
+
+            raw = F.array_join(F.transform(F.sequence(F.lit(1), n), group), "")
+            return _piece(raw, F.transform(have, lambda y: F.struct(F.lit(kind).alias("kind"), y["text"].alias("text"))))
+
+        return _let(F.array_sort(taken), rest)
+
+    run = F.struct(F.regexp_extract_all(match, F.lit("[0-9A-Za-z_]+"), F.lit(0)).alias("groups"), F.regexp_extract_all(match, F.lit("[ -]+"), F.lit(0)).alias("seps"))
+    return _let(run, in_parts)
+
+
+def pseudonym(match: Column, key: str, mark: str) -> Column:
+    """struct(raw, made) for a match: what is left of it, with ``mark`` for each value, and their kinds and pseudonyms."""
+    other = match.rlike(r"@|^[+(]|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")
+    return F.when(other, _made(match, key, mark)).when(match.rlike("^[A-Z]"), _picked(match, key, mark, "iban")).otherwise(_picked(match, key, mark, "card"))
+
+
+def _woven(gaps: Column, found: Column) -> Column:
+    """The texts between with the found ones in their places."""
+    return F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, x: F.concat(g, x)), ""), F.element_at(gaps, -1))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, found_as: str | None = None) -> DataFrame:
     """The rows with pseudonyms in ``text``; ``found_as``: a new column with the array of kinds found."""
-    found, gaps = "_pii_found", "_pii_gaps"
-    text = F.col("text").cast("string")
+    text, raw = F.col("text").cast("string"), "_pii_raw"
     has = text.rlike("[0-9@]")  # nothing else can match
-    marked = docs.withColumn(found, F.when(has, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    some = F.size(found) > 0
-    marked = marked.withColumn(found, F.when(some, F.transform(found, lambda m: pseudonym(m, key)))).withColumn(gaps, F.when(F.col(found).isNotNull(), F.split(text, PATTERN, -1)))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, p: F.concat(g, p["text"])), ""), F.element_at(gaps, -1))
-    out = marked.withColumn("text", F.when(F.col(found).isNotNull(), joined).otherwise(text))
+    marked, made, again = docs.withColumn(raw, F.when(has, F.replace(text, F.lit(_PRIVATE), F.lit(_PRIVATE + _ITSELF)))), [], F.lit(True)
+    for i, pattern in enumerate(PASSES):
+        found, mark = f"_pii_found{i}", _PRIVATE + chr(ord(_PRIVATE) + i + 1)
+        marked = marked.withColumn(found, F.when(again, F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))))
+        marked = marked.withColumn(found, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, mark))))  # noqa: B023
+        some = F.col(found).isNotNull()
+        # a run of groups that is not one value alone may hold more
+        left = F.coalesce(F.exists(found, lambda x: F.length(x["raw"]) > len(mark)), F.lit(False))  # noqa: B023
+        marked = marked.withColumn(raw, F.when(some, _woven(F.split(raw, pattern, -1), F.transform(found, lambda x: x["raw"]))).otherwise(F.col(raw)))
+        marked = marked.withColumn(f"_pii_left{i}", left).withColumn(found, F.flatten(F.transform(found, lambda x: x["made"])))
+        again = again & F.col("_pii_left0")
+        made.append((found, mark))
+    for found, mark in reversed(made):
+        marked = marked.withColumn(raw, F.when(F.size(found) > 0, _woven(F.split(raw, mark, -1), F.transform(found, lambda x: x["text"]))).otherwise(F.col(raw)))
+    out = marked.withColumn("text", F.when(F.col(raw).isNotNull(), F.replace(raw, F.lit(_PRIVATE + _ITSELF), F.lit(_PRIVATE))).otherwise(text))
     if found_as:
-        out = out.withColumn(found_as, F.coalesce(F.filter(F.transform(found, lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
-    return out.drop(found, gaps)
+        none = F.array().cast("array<string>")
+        out = out.withColumn(found_as, F.concat(*(F.coalesce(F.transform(found, lambda x: x["kind"]), none) for found, _ in made)))
+    return out.drop(raw, *(f for f, _ in made), *(f"_pii_left{i}" for i in range(len(PASSES))))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,24 @@ def test_pseudonyms(spark):
     assert other != out[1]
 
 
+def test_numbers_beside_others_are_found(spark):
+    card, iban = "4041894974608795", "AT611904300234573201"
+    texts = [
+        card, iban, f"{card} 12/27", "4041 8949 7460 8795 123", f"2 {card}", "ES91 2100 0418 4502 0005 1332 PAID", f"{iban} 2024",
+        "123 4567 4041 8949 7460 8795", f"{card} 555-123-4567", f"{card} 12/05/1990", "\ue000 AT61 1904 3002 3457 3201 4041 8949 7460 8795 \ue000\ue001", f"{card} 12ab", "ES91 2100 0418 4502 0005 1332", "555-123-4567 12/05/1990",
+    ]
+    rows = pii.pseudonymise(documents(spark, list(enumerate(texts))), found_as="kinds").orderBy("doc_id").collect()
+    out, kinds = [r["text"] for r in rows], [sorted(r["kinds"]) for r in rows]
+    new_card, new_iban, new_es = out[0], out[1], out[12]
+    apart = " ".join(new_card[i : i + 4] for i in range(0, 16, 4))
+    phone, date = out[13].split(" ")
+    assert luhn(new_card) and new_card != card and new_iban != iban and new_es != texts[12] and (phone, date) != tuple(texts[13].split(" "))
+    assert out[2:7] == [f"{new_card} 12/27", f"{apart} 123", f"2 {new_card}", f"{new_es} PAID", f"{new_iban} 2024"]
+    assert out[7:10] == [f"123 4567 {apart}", f"{new_card} {phone}", f"{new_card} {date}"] and out[11] == f"{new_card} 12ab"
+    assert out[10] == "\ue000 " + " ".join(new_iban[i : i + 4] for i in range(0, 20, 4)) + f" {apart} \ue000\ue001"
+    assert kinds == [["card"], ["iban"], ["card"], ["card"], ["card"], ["iban"], ["iban"], ["card"], ["card", "phone"], ["card", "date"], ["card", "iban"], ["card"], ["iban"], ["date", "phone"]]
+
+
 def test_permutation_is_one_to_one(spark):
     pairs = spark.range(15).select((F.col("id") % 3).alias("l"), F.floor(F.col("id") / 3).alias("r"))
     got = {tuple(r["p"][:2]) for r in pairs.select(pii.permute(F.col("l"), F.col("r"), F.lit(3), F.lit(5), "k", F.lit("t")).alias("p")).collect()}

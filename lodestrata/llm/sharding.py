@@ -13,7 +13,8 @@ and offset by the counts of the buckets before.
 
 Defined results: a null text has size 1 and crc32 0 and, like a null doc_id, no links; equal
 texts, the empty one too, are linked by way of their smallest doc_id; repeated rows are rows of
-their own, moved together as one node while linked; other columns are ignored.
+their own, moved together as one node while linked, unless a node fits into no shard: its rows alone
+are placed like those without links; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHARDS = 8
 ROUNDS = 12
 #: Hash slices of equal gain among the movers of one kind; a quota is met to within one slice.
 SLICES = 1024
+#: A node of more than one row and of more than this part of a shard is heavy.
+HEAVY = 64
 
 
 def numbered(frame: DataFrame, key: list[str], order: list[str | Column], rows: int, name: str) -> DataFrame:
@@ -122,6 +125,48 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: list[int], scratch:
     return nodes.select("doc_id", "weight", "shard")
 
 
+def even_start(nodes: DataFrame, target: list[int]) -> DataFrame:
+    """(doc_id, weight, shard) of whole nodes, at most ``target`` rows a shard; nodes that don't fit are left out.
+
+    Heavy nodes come first, the heaviest into the emptiest shard. The others follow by their sum of
+    weights, in proportion to what is left; of those on a border, one for each, the same is done.
+    """
+    shards, room = len(target), list(target)
+    place: dict[int, int] = {}
+
+    def fit(some: list) -> None:
+        for r in sorted(some, key=lambda r: (-r["weight"], r["doc_id"])):
+            s = max(range(shards), key=lambda s: room[s])
+            if r["weight"] <= room[s]:
+                room[s] -= r["weight"]
+                place[r["doc_id"]] = s
+
+    is_heavy = (F.col("weight") > 1) & (F.col("weight") * HEAVY > sum(target) // shards)
+    fit(nodes.where(is_heavy).select("doc_id", "weight").collect())  # some HEAVY * shards at most
+    light = nodes.where(~is_heavy).select("doc_id", "weight")
+    count, weight = light.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    space, border, upto = sum(room), [], 0
+    for s in range(shards):
+        upto += room[s]
+        border.append(min(weight, space) * upto // max(space, 1))
+    light = light.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, isqrt(count)))).cast("int"))
+    sums = light.groupBy("_bucket").agg(F.sum("weight").alias("_w"))
+    before = sums.select("_bucket", (F.sum("_w").over(Window.orderBy("_bucket")) - F.col("_w")).alias("_before"))
+    light = light.withColumn("_inside", F.sum("weight").over(Window.partitionBy("_bucket").orderBy("doc_id"))).join(before, "_bucket")
+    end = F.col("_before") + F.col("_inside")
+    shard_of = lambda last: F.aggregate(F.array(*map(F.lit, border)), F.lit(0), lambda n, b: n + (b < last).cast("int"))
+    light = light.select("doc_id", "weight", shard_of(end).alias("shard"), shard_of(end - F.col("weight") + 1).alias("first"))
+    whole = (F.col("first") == F.col("shard")) & (F.col("shard") < shards)
+    for r in light.where(whole).groupBy("shard").agg(F.sum("weight").alias("w")).collect():
+        room[r["shard"]] -= r["w"]
+    fit(light.where(~whole & (F.col("first") < shards)).select("doc_id", "weight").collect())  # one for each border
+    out = light.where(whole).select("doc_id", "weight", "shard")
+    if place:
+        chosen = nodes.sparkSession.createDataFrame(list(place.items()), "doc_id long, shard int")
+        out = out.unionByName(nodes.join(F.broadcast(chosen), "doc_id").select("doc_id", "weight", "shard"))
+    return out
+
+
 def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """The rows (with a doc_id) with ``shard``, ``slot`` and under law ``rows``: counts at most one apart.
 
@@ -135,18 +180,8 @@ def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
     ends = scratch.keep(links.where("a != b").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     nodes = rows.join(ends, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
     nodes = scratch.keep(nodes, "linked")
-    count, weight, most = nodes.agg(F.count(F.lit(1)), F.sum("weight"), F.max("weight")).first()
-    if count:
-        # nodes of one row start evenly; a heavier node's rows are counted where they fit
-        start = numbered(nodes.withColumn("row", F.lit(0)), [], ["doc_id"], count, "number").select("doc_id", "weight", F.pmod("number", F.lit(shards)).cast("int").alias("shard"))
-        start = scratch.keep(start, "start")
-        used = {r["shard"]: r["w"] for r in start.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
-        if most > 1 and any(w > target[s] for s, w in used.items()):
-            linked = None  # repeated rows alone overfill a shard: no room for whole nodes
-        else:
-            linked = propagate(start, links, target, scratch, rounds)
-    else:
-        linked = None
+    start = scratch.keep(even_start(nodes, target), "start")
+    linked = propagate(start, links, target, scratch, rounds) if start.take(1) else None
     placed = rows.withColumn("_linked", F.lit(None).cast("int")) if linked is None else rows.join(linked.select("doc_id", F.col("shard").alias("_linked")), "doc_id", "left")
     placed = scratch.keep(placed, "placed")
     have = {r["_linked"]: r["n"] for r in placed.groupBy("_linked").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -118,6 +118,23 @@ def test_sharding_a_group_larger_than_a_shard(spark):
             assert max(Counter(r["shard"] for r in out if r["doc_id"] < 40).values()) >= 12
 
 
+def test_sharding_splits_only_what_does_not_fit(spark):
+    rows = [(1, "hot")] * 300 + [(i, f"t{i}") for i in range(2, 702)]
+    pairs = [(1, 2)] + [(10 * i + 3, 10 * i + 3 + j) for i in range(60) for j in range(1, 10)]
+    frame = spark.createDataFrame(rows, DOCS)
+    nodes = spark.createDataFrame([(1, 300), *((i, 1 + i % 3) for i in range(2, 602))], "doc_id long, weight long")
+    start = sharding.even_start(nodes, [200] * 8).collect()
+    assert len({r["doc_id"] for r in start}) == len(start) >= 600 - 7 and 1 not in {r["doc_id"] for r in start}
+    used = Counter()
+    for r in start:
+        used[r["shard"]] += r["weight"]
+    assert max(used.values()) <= 200
+    out = sharding.shard(frame, spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(Counter(r["shard"] for r in out).values()) == [125] * 8
+    of = {r["doc_id"]: r["shard"] for r in out if r["doc_id"] > 2}
+    assert sum(of[a] == of[b] for a, b in pairs[1:]) > 0.8 * len(pairs)
+
+
 def test_quotas_never_overflow():
     rng = random.Random(1)
     for _ in range(200):

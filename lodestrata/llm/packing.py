@@ -28,8 +28,8 @@ from . import words
 from .store import Scratch, small_batches
 
 CAPACITY = 2048
-#: Entries of a Python worker's cache of tokenised words; a full cache is emptied.
-CACHE_WORDS = 1_500_000
+#: Bytes of a Python worker's cache of tokenised words; a full cache is emptied, and it ends with its task.
+CACHE_BYTES = 48 << 20
 
 
 class CapacityTree:
@@ -110,6 +110,10 @@ class WordIds:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.ids[0], self.length[0], self.used = self.end_id, 1, 1
 
+    def size(self) -> int:
+        """Bytes of the arrays."""
+        return sum(a.nbytes for a in (self.key, self.at, self.offset, self.length, self.ids))
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, or -1."""
         mask, out = np.uint64(len(self.key) - 1), np.full(len(h), -1, np.int32)
@@ -160,9 +164,9 @@ class WordIds:
         self.offset[new] = self.used + np.cumsum(count) - count
         self.length[new] = count
         self.used, self.n = self.used + len(ids), self.n + len(h)
-        if 2 * self.n > len(self.key):
+        while 2 * self.n > len(self.key):
             old, at = self.key[self.key != 0], self.at[self.key != 0]
-            self.key, self.at = np.zeros(4 * len(self.key), np.uint64), np.zeros(4 * len(self.at), np.int32)
+            self.key, self.at = np.zeros(2 * len(self.key), np.uint64), np.zeros(2 * len(self.at), np.int32)
             self._put(old, at)
         self._put(h, new)
 
@@ -190,7 +194,7 @@ def token_units(block: words.Block, value: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, hashes, block.first + np.searchsorted(cut, block.first)
 
 
-_caches: dict[tuple[str, int], WordIds] = {}
+_tokenizers: dict = {}
 
 
 def document_ids(column: pa.Array, cache: WordIds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,7 +202,7 @@ def document_ids(column: pa.Array, cache: WordIds) -> Iterator[tuple[np.ndarray,
     _, value = words.byte_class(words.SPACE, True)
     for block in words.blocks(column, lower=True):
         start, end, hashes, first = token_units(block, value)
-        if cache.n > CACHE_WORDS:
+        if cache.size() > CACHE_BYTES:
             cache.clear()
         at = cache.find(hashes)
         if (missing := np.flatnonzero(at < 0)).size:
@@ -225,11 +229,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     small_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, end_id) not in _caches:
+        if tokenizer not in _tokenizers:
             from tokenizers import Tokenizer
 
-            _caches[tokenizer, end_id] = WordIds(Tokenizer.from_file(tokenizer), end_id)
-        cache = _caches[tokenizer, end_id]
+            _tokenizers[tokenizer] = Tokenizer.from_file(tokenizer)
+        cache = WordIds(_tokenizers[tokenizer], end_id)
         for batch in batches:
             doc_id = batch.column(0)
             for rows, border, ids in document_ids(batch.column(1), cache):

@@ -34,16 +34,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _GOLDEN)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        up, down = np.full(size, _POWER), np.full(size, _POWER_INVERSE)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Bytes hashed at once; the tables of powers have one entry more.
+_STEP = BLOCK_BYTES // 2
+_powers: list[np.ndarray] = []
+
+
+def _power_tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse for the places of a slice; made once, 8 MB in all."""
+    if not _powers:
+        for base in (_POWER, _POWER_INVERSE):
+            table = np.full(_STEP + 1, base)
+            table[0] = 1
+            _powers.append(np.multiply.accumulate(table))
     return _powers
 
 
@@ -106,19 +108,21 @@ def stem_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.
     Long data is summed in slices, so the temporary arrays don't grow with it.
     """
     out = [np.zeros(len(start), np.uint64) for _ in (0, *lengths)]
-    step = 4 * BLOCK_BYTES
+    up, down = _power_tables()
     a = 0
     while a < len(start):
-        b = max(a + 1, int(np.searchsorted(end, start[a] + step, "right")))
-        lo, hi = int(start[a]), int(end[b - 1])
-        up, down = _power_tables(hi - lo + 1)
+        b = max(a + 1, int(np.searchsorted(end, start[a] + _STEP, "right")))
+        lo, hi = int(start[a]), min(int(end[b - 1]), int(start[a]) + _STEP)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(value[data[lo:hi]] * up[: hi - lo], out=total[1:])
         s, e = start[a:b] - lo, end[a:b] - lo
         before, scale = total[s], down[s]
         for i, most in enumerate((0, *lengths)):
             till = np.minimum(e, s + most) if most else e
-            out[i][a:b] = (total[till] - before) * scale + (till - s).astype(np.uint64)
+            out[i][a:b] = (total[np.minimum(till, _STEP)] - before) * scale + (till - s).astype(np.uint64)
+        for at in range(hi, int(end[b - 1]), _STEP):  # the rest of one longer word
+            till = min(at + _STEP, int(end[b - 1]))
+            out[0][a:b] += (value[data[at:till]] * up[: till - at]).sum(dtype=np.uint64, keepdims=True) * _U(pow(int(_POWER), at - lo, 1 << 64))
         a = b
     return [mix(x) for x in out]
 

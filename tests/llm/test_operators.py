@@ -470,3 +470,26 @@ def test_toxicity_of_awkward_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, connection, name):
     same_rows(queries.QUERIES[name](spark, sf_dir), connection, queries.ORACLES[name])
+
+
+def test_a_word_longer_than_a_slice(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 123, 400).astype(np.uint8)
+    end = np.cumsum([3, 5, 16, 17, 40, 1, 2, 33, 15, 48, 100])
+    start = end - np.diff(end, prepend=0)
+    whole = words.stem_hashes(data, start, end, words._BYTE_VALUE, (4, 8))
+    monkeypatch.setattr(words, "_STEP", 16)
+    monkeypatch.setattr(words, "_powers", [])
+    assert all((a == b).all() for a, b in zip(whole, words.stem_hashes(data, start, end, words._BYTE_VALUE, (4, 8)), strict=True))
+
+
+def test_token_cache_stays_under_its_bound(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE_BYTES", 4 << 20)
+    cache, most = packing.WordIds(Tokenizer.from_file(path), 0), 0
+    texts = [" ".join(f"{rng.random():.12f}" for _ in range(20_000)) for rng in map(random.Random, range(8))]
+    for _, border, ids in packing.document_ids(pa.array(texts), cache):
+        most = max(most, cache.size())
+        assert ids[border[-1] - 1] == 0
+    assert 4 << 20 < most < 32 << 20  # one block's words beyond the bound at most

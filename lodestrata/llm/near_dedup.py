@@ -339,6 +339,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     members = scratch.keep(bands.join(shared, "key", "left_semi"), "buckets")
     candidates = bucket_pairs(members, filled, bound, scratch)
     links = verify(docs, candidates.where(F.col("high") >= bound), percent, shingle, scratch).where("linked").select("a", "b")
+    # a doc_id of several rows is one node, so it links the classes of all its sets
+    repeated = scratch.keep(sketch.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    again = not repeated.isEmpty()
+    if again:
+        of_doc = filled.join(repeated, "doc_id", "left_semi").join(classes, ["f1", "f2", "n_shingles"]).groupBy("doc_id", "class_id").agg(F.lit(1))
+        ends = of_doc.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b")
+        links = links.unionByName(of_doc.join(ends.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).where("a < b"))
     component = scratch.keep(connected_components(links, scratch), "components")
     if (more := family_links(docs, candidates, component, percent, shingle, scratch)) is not None and not more.isEmpty():
         component = scratch.keep(joined_components(component, more, scratch), "components")
@@ -346,7 +353,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     of = classes.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class_id").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "f1", "f2").join(of, ["f1", "f2", "n_shingles"], "left")
     component_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = rows.select("doc_id", "n_shingles", component_id.alias("component_id"))
+    if again:  # rows with an empty set follow the others of their doc_id
+        least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        rows = rows.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:

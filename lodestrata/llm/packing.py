@@ -265,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     total = sum(histogram.values())
     buckets = max(1, isqrt(total))  # so neither buckets nor their list grow faster than the root
     # the number of a piece among those of its length: by bucket, then by place in the bucket
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sizes = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))

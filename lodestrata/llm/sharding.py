@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.
 
-Documents are nodes, links join documents that should share a shard. Labels (shards) start
-evenly. In each round, linked documents count their neighbours' shards in a join and ask to
+Documents are nodes, links join documents that should share a shard. A first label, passed on
+twice, is the smallest doc_id around a node; nodes with one label start in one shard, whole labels
+one after the other as long as they fit. In each round, linked documents count their neighbours' shards in a join and ask to
 move to the best one; quotas from an 8 x 8 table of requests and free places say how many of
 each kind may go, those with most to gain first. Followers (documents with a neighbour of more
 links) and leaders move in turn, so two neighbours don't swap for ever. At the end documents
@@ -28,7 +29,8 @@ from pyspark.sql.window import Window
 from .store import Scratch
 
 SHARDS = 8
-ROUNDS = 12
+#: Rounds at most; they end as soon as neither followers nor leaders gain by a move.
+ROUNDS = 60
 #: Hash slices of equal gain among the movers of one kind; a quota is met to within one slice.
 SLICES = 1024
 #: A node of more than one row and of more than this part of a shard is heavy.
@@ -167,6 +169,27 @@ def even_start(nodes: DataFrame, target: list[int]) -> DataFrame:
     return out
 
 
+def grouped_start(nodes: DataFrame, links: DataFrame, target: list[int], scratch: Scratch, hops: int = 2) -> DataFrame:
+    """(doc_id, weight, shard) of nodes, linked ones together: ``even_start`` of groups, then of the nodes of groups that don't fit.
+
+    A node's group is the smallest doc_id within ``hops`` links, which is the same for a star's nodes.
+    """
+    both = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("other"))).where("doc_id != other")
+    label = nodes.select("doc_id", "weight", F.col("doc_id").alias("unit"))
+    for _ in range(hops):
+        around = both.join(label.select(F.col("doc_id").alias("other"), F.col("unit").alias("near")), "other").groupBy("doc_id").agg(F.min("near").alias("near"))
+        label = label.join(around, "doc_id", "left").select("doc_id", "weight", F.least("unit", "near").alias("unit"))
+    label = scratch.keep(label, "labels")
+    groups = scratch.keep(label.groupBy("unit").agg(F.sum("weight").alias("weight")).withColumnRenamed("unit", "doc_id"), "groups")
+    start = even_start(groups, target).select(F.col("doc_id").alias("unit"), "shard")
+    placed = scratch.keep(label.join(start, "unit", "left").select("doc_id", "weight", "shard"), "grouped")
+    used = {r["shard"]: r["w"] for r in placed.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
+    whole = placed.where("shard is not null")
+    if None not in used:
+        return whole
+    return whole.unionByName(even_start(placed.where("shard is null").select("doc_id", "weight"), [n - used.get(s, 0) for s, n in enumerate(target)]))
+
+
 def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """The rows (with a doc_id) with ``shard``, ``slot`` and under law ``rows``: counts at most one apart.
 
@@ -180,7 +203,7 @@ def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
     ends = scratch.keep(links.where("a != b").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     nodes = rows.join(ends, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
     nodes = scratch.keep(nodes, "linked")
-    start = scratch.keep(even_start(nodes, target), "start")
+    start = scratch.keep(grouped_start(nodes, links, target, scratch), "start")
     linked = propagate(start, links, target, scratch, rounds) if start.take(1) else None
     placed = rows.withColumn("_linked", F.lit(None).cast("int")) if linked is None else rows.join(linked.select("doc_id", F.col("shard").alias("_linked")), "doc_id", "left")
     placed = scratch.keep(placed, "placed")
@@ -203,9 +226,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc.alias("text_crc32"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    rows = Scratch(spark, "op2").keep(rows, "documents")
+    scratch = Scratch(spark, "op2")
+    rows = scratch.keep(rows, "documents")
     keyed = rows.where("doc_id is not null and key is not null").select("doc_id", "key")
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("key", "a")
-    links = keyed.join(first, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    first = scratch.keep(first, "groups")  # read from a table, so that Spark can split a very common text in the join
+    links = scratch.keep(keyed.join(first, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b")), "links")
     out = shard(rows.drop("key"), links)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

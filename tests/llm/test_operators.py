@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -135,6 +136,31 @@ def test_sharding_splits_only_what_does_not_fit(spark):
     assert sum(of[a] == of[b] for a, b in pairs[1:]) > 0.8 * len(pairs)
 
 
+def cut(out, pairs):
+    of = {r["doc_id"]: r["shard"] for r in out}
+    return sum(of[a] != of[b] for a, b in pairs)
+
+
+def test_pairs_are_not_cut(spark):
+    # no unlinked row makes room; one row repeated 1500 times fits into no shard
+    pairs = [(2 * i + 1, 2 * i + 2) for i in range(2000)]
+    for rows in ([(i,) for i in range(1, 4001)], [(i,) for i in range(1, 4001)] + [(1,)] * 1499):
+        out = sharding.shard(spark.createDataFrame(rows, "doc_id long"), spark.createDataFrame(pairs, "a long, b long")).collect()
+        check_shards(out, rows)
+        assert cut(out, pairs[1:]) <= 1 and (len(rows) > 4000 or cut(out, pairs) == 0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_edges_against_all_partitions(spark, seed):
+    # two shards: every even split of a small graph is tried
+    rng, n = random.Random(seed), 12
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(13)})
+    best = min(sum((a in side) != (b in side) for a, b in pairs) for side in map(set, itertools.combinations(range(n), n // 2)))
+    out = sharding.shard(spark.createDataFrame([(i,) for i in range(n)], "doc_id long"), spark.createDataFrame(pairs, "a long, b long"), shards=2).collect()
+    assert Counter(Counter(r["shard"] for r in out).values()) == {n // 2: 2}
+    assert cut(out, pairs) <= best + 3
+
+
 def test_quotas_never_overflow():
     rng = random.Random(1)
     for _ in range(200):
@@ -182,6 +208,12 @@ def test_near_duplicates(spark):
         assert rows_of(near_dedup.near_duplicates(documents(spark, rows), percent, k)) == brute.near_duplicates(rows, percent, k)
 
 
+def test_rows_of_one_doc_id_are_one_node(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    for rows in ([(2, b), (3, a), (5, a), (5, b)], [(1, c), (4, a), (5, b), (5, a), (5, c), (5, None), (6, b)], [(7, ""), (7, a), (3, a), (8, ""), (8, None)]):
+        assert rows_of(near_dedup.near_duplicates(documents(spark, rows), 80, 2)) == brute.near_duplicates(rows, 80, 2)
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "other text"), (3, "other text"), (None, "a b c d e f"), (4, None)]
     kept = near_dedup.keep_one(documents(spark, rows)).collect()

@@ -7,9 +7,15 @@ labelled findings: any table (candidate, before, after, path, label). ``example_
 one by rule, with keys, tokens and passwords on one side and commit ids, checksums, UUIDs,
 placeholders, file names and encoded data on the other; a user passes their own instead.
 
+Candidates are credentials of known formats, runs of 12 and more letters and digits, whatever is
+assigned to a password-like name (short values, words and symbols too), the password of a URL, and
+the head of a private key block. Each keeps its own place in the text. Candidates are put together
+inside the row, so an exploded row holds one of them and its context, never the text.
+
 Defined results: null, empty and candidate-free texts give no rows; a null doc_id is carried
-through; repeated rows give repeated findings; a candidate that occurs again in its text has the
-start of its first place; other columns are ignored; an empty table gives an empty result.
+through; repeated rows give repeated findings, and so does a candidate that occurs again in its
+text; ``start`` counts code points from 1; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 
 TREES, DEPTH = 40, 7
 #: Labelled findings that ``example_findings`` makes.
-EXAMPLES = 6000
+EXAMPLES = 10_000
 #: Characters of context on either side.
 CONTEXT = 48
 
@@ -54,10 +60,20 @@ DICTIONARY = (
 ).split()
 
 _KNOWN = "|".join(f"(?:{p})" for p in KNOWN.values())
-#: A known format, or a run of 12 and more that mixes letters and digits.
-PATTERN = rf"(?<![0-9A-Za-z_+/-])(?:{_KNOWN}|(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[0-9A-Za-z_+/-]{{12,}}={{0,2}})(?![0-9A-Za-z_+/@-])"
-
-FEATURES = ["length", "changes", "distinct", "digits", "upper", "vowel_turns", "hex", "covered", "separators", "assigned", "harmless", "near_sign", "quoted", "known", "in_path", "test_path"]
+# Names that a value is assigned to; the value may be quoted.
+_NAMED = r"(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|token|credentials?|auth)"
+_ASSIGNED = _NAMED + r"[\"']?[ \t]{0,2}[:=][ \t]{0,2}"
+_PEM = "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+#: A key block's head; a quoted or bare value behind a name; a URL's password; a known format; a run that mixes letters and digits.
+PATTERN = (
+    rf"{_PEM}|(?<={_ASSIGNED}\")[^\s\"]{{6,128}}(?=\")|(?<={_ASSIGNED}')[^\s']{{6,128}}(?=')|(?<={_ASSIGNED})[^\s\"'<>,;(){{}}\[\]]{{6,128}}(?![^\s\"'<>,;(){{}}\[\]])"
+    r"|(?<=://[0-9A-Za-z._%-]{1,64}:)[^\s@/:\"']{4,128}(?=@)"
+    rf"|(?<![0-9A-Za-z_+/-])(?:{_KNOWN}|(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[0-9A-Za-z_+/-]{{12,}}={{0,2}})(?![0-9A-Za-z_+/@-])"
+)
+#: Texts without any of these hold no candidate.
+_GATE = "[0-9]|" + _NAMED + "|://|PRIVATE KEY"
+
+FEATURES = ["length", "changes", "symbols", "distinct", "digits", "upper", "vowel_turns", "hex", "covered", "separators", "assigned", "harmless", "near_sign", "quoted", "known", "in_url", "in_path", "test_path"]
 
 
 def with_features(findings: DataFrame) -> DataFrame:
@@ -80,27 +96,40 @@ def with_features(findings: DataFrame) -> DataFrame:
         "harmless": F.concat(near, F.lit(" "), F.lower(F.substring("after", 1, 24))).rlike(HARMLESS).cast("int"),
         "near_sign": before.rlike(r"[=:]\s*[\"']?$").cast("int"),
         "quoted": before.rlike("[\"']$").cast("int"),
-        "known": c.rlike(f"^(?:{_KNOWN})$").cast("int"),
+        "symbols": count("[^0-9A-Za-z_+/-]") / n,
+        "known": c.rlike(f"^(?:{_KNOWN}|{_PEM})$").cast("int"),
+        "in_url": before.rlike("://[^/ ]*:$").cast("int"),
         "in_path": F.concat(F.substring(before, -3, 3), low).rlike("[/\\\\.].*[/.]|://").cast("int"),
         "test_path": path.rlike("test|example|fixture|sample|mock|doc|lock").cast("int"),
     }
     return findings.select("*", *(F.coalesce(made[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES))
 
 
+#: Lengths that are added up at once; sums of blocks are added up between them.
+_SUM_BLOCK = 256
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each element the sum of those before it, in blocks, so that long arrays aren't copied for each element."""
+    running = lambda values, start: F.aggregate(values, F.struct(F.array().cast("array<int>").alias("out"), start.cast("int").alias("sum")), lambda s, x: F.struct(F.concat(s["out"], F.array(s["sum"])).alias("out"), (s["sum"] + x).alias("sum")), lambda s: s["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _SUM_BLOCK).cast("int")), lambda b: F.slice(sizes, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK)))
+    starts = running(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, starts, running))
+
+
 def candidates(docs: DataFrame, path: Column) -> DataFrame:
     """doc_id, start, candidate, before, after, path for each candidate in the texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    docs = docs.where(F.col("text").rlike("[0-9]")).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size("found") > 0)
-    docs = docs.withColumn("gaps", F.split("text", PATTERN, -1))
-    rows = docs.select("doc_id", "text", "path", "gaps", F.posexplode("found").alias("nth", "candidate"))
-    return rows.select(
-        "doc_id",
-        F.position("candidate", "text").cast("long").alias("start"),
-        "candidate",
-        F.substring(F.get("gaps", F.col("nth")), -CONTEXT, CONTEXT).alias("before"),
-        F.substring(F.get("gaps", F.col("nth") + 1), 1, CONTEXT).alias("after"),
-        "path",
-    )
+    docs = docs.where(F.col("text").rlike(_GATE)).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where(F.size("found") > 0)
+    docs = docs.select("doc_id", "path", "found", F.split("text", PATTERN, -1).alias("gaps"))
+    docs = docs.withColumn("sizes", F.zip_with(F.slice("gaps", 1, F.size("found")), "found", lambda g, c: F.length(g) + F.length(c)))
+    docs = docs.withColumn("ends", _sums_before(F.col("sizes")))
+
+    def finding(c: Column, i: Column) -> Column:
+        gap = F.get("gaps", i)
+        return F.struct((F.get("ends", i) + F.length(gap) + 1).cast("long").alias("start"), c.alias("candidate"), F.substring(gap, -CONTEXT, CONTEXT).alias("before"), F.substring(F.get("gaps", i + 1), 1, CONTEXT).alias("after"))
+
+    return docs.select("doc_id", "path", F.explode(F.transform("found", finding)).alias("f")).select("doc_id", "f.start", "f.candidate", "f.before", "f.after", "path")
 
 
 def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
@@ -113,6 +142,7 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     word = lambda i: pick(i, [w for w in DICTIONARY if len(w) > 4])
     prose = F.concat_ws(" ", word(1), word(2), word(3))
     is_key = pick(4, ["password", "PASSWORD", "db_passwd", "secret", "token", "auth_token", "api_key", "client_secret", "access-key"])
+    is_password = pick(54, ["password", "PASSWORD", "db_password", "passwd", "pwd", "passphrase", "admin_password", "secret"])
     sign = pick(5, ["=", " = ", ": ", "=\"", " = \"", ": '"])
     kinds: list[tuple[Column, Column, int]] = [  # (candidate, before, label)
         (F.concat(F.lit("AKIA"), F.substr(upper, F.lit(1), F.lit(16))), F.concat(prose, F.lit(" ")), 1),
@@ -129,6 +159,18 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(pick(20, ["EXAMPLE", "YOUR_TOKEN", "changeme_password", "placeholder_key", "xxxxxxxxxxxx"]), draw(21, 1000).cast("string"), F.lit("000")), F.concat(prose, F.lit(" "), is_key, sign), 0),
         (F.concat(word(22), F.lit("/"), word(23), F.lit("/v"), draw(24, 10).cast("string")), F.concat(prose, F.lit(" https://"), word(25), F.lit(".")), 0),
         (F.base64(F.concat(F.unhex("a"), F.unhex("b"))), F.concat(prose, F.lit(" data:image/png;base64,")), 0),
+        # passwords that people choose, and what else stands behind such a name
+        (F.concat(word(29), draw(30, 1000).cast("string"), pick(31, list("!?#$%&*.x")), F.substr(mixed, F.lit(40), draw(32, 5))), F.concat(prose, F.lit(" "), is_password, sign), 1),
+        (F.translate(F.substr("a", F.lit(60), 14 + draw(55, 16)), "0123456789abcdef", "aeioutnrslcdhmpy"), F.concat(prose, F.lit(" "), is_password, sign), 1),
+        (F.concat(word(33), word(34), word(35)), F.concat(prose, F.lit(" "), is_password, sign), 1),
+        (F.concat(F.substr(mixed, F.lit(20), 6 + draw(36, 10)), pick(37, ["", "!", "@1", "#x", "$"])), F.concat(prose, F.lit(" "), is_password, sign), 1),
+        (F.concat(word(38), draw(39, 10000).cast("string"), F.substr(mixed, F.lit(50), F.lit(4))), F.concat(prose, F.lit(" "), pick(40, ["postgres", "https", "amqp", "redis", "mysql"]), F.lit("://"), word(41), F.lit(":")), 1),
+        (F.concat(F.lit("-----BEGIN "), pick(42, ["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]), F.lit("PRIVATE KEY-----")), F.concat(prose, F.lit(" ")), 1),
+        (pick(43, ["required", "optional", "string", "invalid", "expired", "missing", "undefined", "hidden", "disabled", "changeme", "redacted", "********", "xxxxxxxx", "<secret>", "forgotten", "Bearer", "nullable", "varchar", "boolean", "unknown"]), F.concat(prose, F.lit(" "), is_key, sign), 0),
+        (F.concat(pick(44, ["os.environ", "process.env", "config", "settings", "self", "request", "params", "getenv"]), F.lit("."), word(45)), F.concat(prose, F.lit(" "), is_key, sign), 0),
+        (F.concat(pick(46, ["${", "$", "%", "{{"]), F.upper(word(47)), F.lit("_"), F.upper(word(48)), pick(49, ["}", "", "%", "}}"])), F.concat(prose, F.lit(" "), is_key, sign), 0),
+        (pick(50, ["password", "PASSWORD", "example", "password123", "yourpassword", "user_password", "secret_name", "token_type"]), F.concat(prose, pick(51, [" https://user:", " secret: ", " password=", " token: "])), 0),
+        (F.lower(word(52)), F.concat(prose, F.lit(" "), pick(53, ["the secret: ", "A token: ", "no password: ", "the auth: "])), 0),
     ]
     which = F.pmod(F.col("id"), F.lit(len(kinds)))
     choose = lambda i: F.coalesce(*(F.when(which == k, kind[i] if i < 2 else F.lit(kind[2])) for k, kind in enumerate(kinds)))
@@ -144,7 +186,8 @@ def train(findings: DataFrame, seed: int = 11) -> RandomForestClassificationMode
 def scan(docs: DataFrame, path: Column, model: RandomForestClassificationModel) -> DataFrame:
     """doc_id, start, length, kind, secret_sha256, score, kept for each candidate; false positives are not kept."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs, path)))
-    kind = F.coalesce(*(F.when(F.col("candidate").rlike(f"^{p}$"), F.lit(name)) for name, p in KNOWN.items()), F.when(F.col("assigned") == 1, F.lit("assigned")), F.lit("generic"))
+    formats = {**KNOWN, "private_key": _PEM}
+    kind = F.coalesce(*(F.when(F.col("candidate").rlike(f"^{p}$"), F.lit(name)) for name, p in formats.items()), F.when(F.col("in_url") == 1, F.lit("url_password")), F.when(F.col("assigned") == 1, F.lit("assigned")), F.lit("generic"))
     rows = model.transform(rows.withColumn("kind", kind)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
     return rows.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), "kind", F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"), "score", (F.col("score") >= 0.5).alias("kept"))
 

@@ -66,6 +66,12 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _USUAL_IBAN = "^(?:" + "|".join(f"(?:{c.replace(' ', '|')})(?: ?[A-Z0-9]){{{n - 2}}}" for n, c in IBAN_LENGTHS.items()) + ")$"
+# Country codes of telephone numbers, and digits behind them by country; others have 7 to 14.
+_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+_PHONE_LENGTHS = {
+    " 10 ": "1 7 20 30 52 63 90 91 92 98", " 9 ": "27 31 33 34 40 41 48 51 56 61 66 351 353 380 420 421 966 971 972", " 8 ": "45 47 53 65 852 853 370 371", " 8 9 ": "32 36 60 62 64 84 94", " 9 10 ": "39 44 57 81",
+    " 10 11 ": "49 55 86", " 7 8 9 ": "46 43 82 354 358", " 7 ": "372 960", " 8 10 ": "54 58",
+}
 # A private character, and what stands behind it: itself in a text, or the values put in by a pass.
 _PRIVATE, _ITSELF = "\ue000", "\ue00f"
 _FIRST_DAY, _DAYS = "1900-01-01", (319, 229)  # 319 * 229 days end with 2099
@@ -162,12 +168,27 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+([0-9]{1,3}(?=[^0-9])|[0-9])", 0)
+    """The pseudonym of a whole number: a country code and 7 to 14 digits, or 10 digits."""
+    code = F.regexp_extract(m, _CODE, 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     n = F.length(_digits(rest))
     return F.when(n.between(7, 14), F.concat(code, _laid_out(rest, _permuted_digits(_digits(rest), key, "phone"))))
 
 
+def _phone_part(m: Column) -> Column:
+    """The leading whole groups of an international number that its country's numbers have; all of it where none fit."""
+    code = F.regexp_extract(m, _CODE, 0)
+    groups = F.regexp_extract_all(F.substr(m, F.length(code) + 1, F.length(m)), F.lit("[^0-9]*[0-9]+[)]?"), F.lit(0))
+    known = F.create_map(*(x for n, codes in _PHONE_LENGTHS.items() for c in codes.split() for x in (F.lit(f"+{c}"), F.lit(n))))
+
+    def cut(parts: Column) -> Column:
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda j: F.array_join(F.slice(parts, 1, j), ""))
+        fits = F.filter(prefixes, lambda x: F.coalesce(known[code], F.lit("")).contains(F.concat(F.lit(" "), F.length(_digits(x)).cast("string"), F.lit(" "))))
+        return F.when((F.length(code) > 1) & (F.size(fits) > 0), F.concat(code, F.element_at(fits, -1))).otherwise(m)
+
+    return F.when((F.length(code) > 1) & (F.size(groups) > 0), _let(groups, cut)).otherwise(m)
+
+
 def _ip(m: Column, key: str) -> Column:
     part = lambda i: F.element_at(F.split(m, r"\."), i).cast("long")
     moved = permute(part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536), key, F.lit("ip"))
@@ -289,7 +310,12 @@ def _picked(match: Column, key: str, mark: str, kind: str) -> Column:
 def pseudonym(match: Column, key: str, mark: str) -> Column:
     """struct(raw, made) for a match: what is left of it, with ``mark`` for each value, and their kinds and pseudonyms."""
     other = match.rlike(r"@|^[+(]|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")
-    return F.when(other, _made(match, key, mark)).when(match.rlike("^[A-Z]"), _picked(match, key, mark, "iban")).otherwise(_picked(match, key, mark, "card"))
+    def of_part(part: Column) -> Column:
+        """What follows the number is left to be searched again."""
+        rest = F.substr(match, F.length(part) + 1, F.length(match))
+        return _let(_made(part, key, mark), lambda x: _piece(F.concat(x["raw"], rest), x["made"]))
+
+    return F.when(match.startswith("+"), _let(_phone_part(match), of_part)).when(other, _made(match, key, mark)).when(match.rlike("^[A-Z]"), _picked(match, key, mark, "iban")).otherwise(_picked(match, key, mark, "card"))
 
 
 def _woven(gaps: Column, found: Column) -> Column:

@@ -27,26 +27,70 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-_VOWEL_GROUP = re.compile(r"[aeiouy]+[^aeiouy]")
-# Suffixes and what they become, longest first.
-_SUFFIXES = (
-    ("ational", "ate", 2), ("ization", "ize", 2), ("fulness", "ful", 2), ("ousness", "ous", 2), ("iveness", "ive", 2), ("tional", "tion", 2), ("biliti", "ble", 2),
-    ("entli", "ent", 2), ("ement", "", 3), ("ments", "", 3), ("ation", "ate", 2), ("ness", "", 2), ("ment", "", 3), ("ingly", "", 1), ("edly", "", 1), ("ies", "y", 1), ("ing", "", 1),
-    ("sses", "ss", 0), ("ed", "", 1), ("ly", "", 1), ("es", "e", 1), ("s", "", 1),
+# Suffix rules of Porter's stemmer (1980), steps 2 to 4, in the order they are tried.
+_STEP_2 = (
+    "ational ate", "tional tion", "enci ence", "anci ance", "izer ize", "abli able", "alli al", "entli ent", "eli e", "ousli ous", "ization ize", "ation ate", "ator ate",
+    "alism al", "iveness ive", "fulness ful", "ousness ous", "aliti al", "iviti ive", "biliti ble",
 )
+_STEP_3 = ("icate ic", "ative ", "alize al", "iciti ic", "ical ic", "ful ", "ness ")
+_STEP_4 = ("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize").split()
+
+
+def _kinds(word: str) -> str:
+    """Each letter as c(onsonant) or v(owel); y is a vowel behind a consonant."""
+    out = ""
+    for i, c in enumerate(word):
+        out += "v" if c in "aeiou" or (c == "y" and i and out[i - 1] == "c") else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    """How often a consonant follows a vowel."""
+    return _kinds(word).count("vc")
+
+
+def _short_end(word: str) -> bool:
+    return _kinds(word)[-3:] == "cvc" and len(word) > 2 and word[-1] not in "wxy"
+
+
+def _replaced(word: str, rules: tuple[str, ...]) -> str:
+    """The word after the rule of its longest listed suffix, if its stem has a measure."""
+    fits = [r.split(" ") for r in rules if word.endswith(r.split(" ")[0])]
+    if not fits:
+        return word
+    suffix, new = max(fits, key=lambda r: len(r[0]))
+    rest = word[: -len(suffix)]
+    return rest + new if _measure(rest) > 0 else word
 
 
 def stem(word: str) -> str:
-    """A light English stemmer: one suffix goes if enough of the word stays."""
-    for suffix, new, least in _SUFFIXES:
-        if word.endswith(suffix) and not (suffix == "s" and word.endswith(("ss", "us", "is"))):
-            rest = word[: -len(suffix)]
-            if len(_VOWEL_GROUP.findall(rest + "b")) >= least and len(rest) > 1:
-                word = rest + new
-                if not new and len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz":
-                    word = word[:-1]
-                break
-    return word[:-1] if len(word) > 4 and word.endswith("e") else word
+    """Porter's stem of a lower-case word; words with other than a-z stay as they are."""
+    if len(word) < 3 or not (word.isascii() and word.isalpha()):
+        return word
+    if word.endswith(("sses", "ies")):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    cut = next((x for x in ("eed", "ed", "ing") if word.endswith(x)), None)
+    if cut == "eed":
+        word = word[:-1] if _measure(word[:-3]) > 0 else word
+    elif cut and "v" in _kinds(word[: -len(cut)]):
+        word = word[: -len(cut)]
+        if word.endswith(("at", "bl", "iz")) or (_measure(word) == 1 and _short_end(word)):
+            word += "e"
+        elif len(word) > 1 and word[-1] == word[-2] and _kinds(word)[-1] == "c" and word[-1] not in "lsz":
+            word = word[:-1]
+    if word.endswith("y") and "v" in _kinds(word[:-1]):
+        word = word[:-1] + "i"
+    word = _replaced(_replaced(word, _STEP_2), _STEP_3)
+    fits = [x for x in _STEP_4 if word.endswith(x)]
+    if fits:
+        rest = word[: -len(max(fits, key=len))]
+        if _measure(rest) > 1 and (max(fits, key=len) != "ion" or rest[-1:] in ("s", "t")):
+            word = rest
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short_end(word[:-1]))):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
 def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

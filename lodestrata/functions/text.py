@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 512, 64
+#: Ids of a document's chunks: more than the chunks of the longest string that a row can hold.
+CHUNK_IDS = 1 << 23
 
 # Labels that users see.
 STATUS_LABELS = {"pending": "Pending", "ready": "Ready", "failed": "Failed", "queued": "Queued", "running": "Ingesting…", "succeeded": "Done"}
@@ -30,6 +32,17 @@ def chunks(docs: DataFrame, text: str, size: int = CHUNK, overlap: int = OVERLAP
     return rows.select(*(c for c in docs.columns if c != text), F.col("chunk_index").cast("long").alias("chunk_index"), content.alias("content"))
 
 
+def chunk_id(doc_id: Column, index: Column) -> Column:
+    """The id of a document's chunk; documents never share one."""
+    return doc_id * CHUNK_IDS + index
+
+
+def document_chunks(docs: DataFrame) -> DataFrame:
+    """The chunks of documents (doc_id, text, ...) with their ``chunk_id``."""
+    cut = chunks(docs, "text")
+    return cut.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), *cut.columns)
+
+
 def token_count(content: Column) -> Column:
     """A quarter of the characters, at least one."""
     return F.greatest(F.floor(F.length(content) / 4), F.lit(1)).cast("long")

@@ -45,17 +45,17 @@ def path_index(listing: DataFrame) -> DataFrame:
     return listing.groupBy("file_path").agg(F.max_by("loaded_id", "position").alias("loaded_id"))
 
 
-def bootstrap(users: DataFrame) -> DataFrame:
-    """First rows of new users (user_id, username): the first is an administrator if there is none yet."""
-    first = users.agg(F.min("user_id")).scalar()
-    return users.select(
-        "user_id",
-        "username",
-        (F.col("user_id") == first).alias("is_admin"),
-        F.concat("username", F.lit("@local")).alias("email"),
-        F.concat("username", F.lit("'s Department")).alias("department_name"),
-        F.concat(F.lower("username"), F.lit("-dept")).alias("department_slug"),
-    )
+def bootstrap(users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, departments, members) that ``new`` (user_id, username) adds to ``users`` (user_id, is_admin).
+
+    While no administrator exists, the first new user becomes one; with one, nobody does.
+    """
+    admins = users.where(F.col("is_admin").eqNullSafe(True)).agg(F.count(F.lit(1))).scalar()
+    first = new.agg(F.min("user_id")).scalar()
+    slug = F.concat(F.lower("username"), F.lit("-dept"))
+    accounts = new.select("user_id", "username", ((admins == 0) & (F.col("user_id") == first)).alias("is_admin"), F.concat("username", F.lit("@local")).alias("email"))
+    departments = new.select(slug.alias("department_id"), F.concat("username", F.lit("'s Department")).alias("name"), slug.alias("slug"))
+    return accounts, departments, new.select("user_id", slug.alias("department_id"))
 
 
 def dedup_uploads(uploads: DataFrame) -> DataFrame:
@@ -65,10 +65,22 @@ def dedup_uploads(uploads: DataFrame) -> DataFrame:
 
 
 def cascade_delete(documents: DataFrame, gone: DataFrame, *children: DataFrame) -> list[DataFrame]:
-    """The documents and the child tables without the documents ``gone`` (doc_id)."""
+    """The documents and the child tables (chunks, vectors, jobs) without the documents ``gone`` (doc_id)."""
     return [t.join(gone.select("doc_id"), "doc_id", "left_anti") for t in (documents, *children)]
 
 
+def restricted(departments: DataFrame, gone: DataFrame, documents: DataFrame) -> DataFrame:
+    """The departments of ``gone`` (department_id) that can't go: they have documents."""
+    return departments.join(gone.select("department_id"), "department_id", "left_semi").join(documents.select("department_id"), "department_id", "left_semi")
+
+
+def delete_departments(departments: DataFrame, gone: DataFrame, documents: DataFrame, *children: DataFrame) -> list[DataFrame]:
+    """The departments and what goes with them (members, assignments) without ``gone``; an error if one has documents."""
+    if not restricted(departments, gone, documents).isEmpty():
+        raise ValueError("a department with documents can't be deleted")
+    return [t.join(gone.select("department_id"), "department_id", "left_anti").select(t.columns) for t in (departments, *children)]
+
+
 def evolve(frame: DataFrame, renames: dict[str, str], backfill: dict[str, object], drop: list[str]) -> DataFrame:
     """Guarded schema steps: each is applied only where the schema still needs it."""
     for old, new in renames.items():

@@ -5,6 +5,8 @@ Both legs rank ids only and keep 2k of them; contents are fetched for the k that
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,41 +31,92 @@ def dense_leg(vectors: DataFrame, query: list[float], limit: int = 2 * K) -> Dat
     return ranked(near, ["distance", "chunk_id"], limit)
 
 
-def dense_leg_batch(vectors: DataFrame, queries: DataFrame, limit: int = 2 * K) -> DataFrame:
-    """query_id, chunk_id, distance, rank for a small, stated set of queries (query_id, vector).
+#: Queries in a block, and vectors in one.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
 
-    The queries are broadcast, so their number must be bounded by the caller.
+
+def dense_leg_batch(vectors: DataFrame, queries: DataFrame, limit: int = 2 * K, digits: int = 9) -> DataFrame:
+    """query_id, chunk_id, distance, rank for a set of queries (query_id, vector) of any size.
+
+    Blocks of queries meet blocks of vectors inside tasks, each pair of blocks hands on its best
+    ``limit`` for each query, and the best of those are ranked. Nothing is broadcast.
     """
-    both = vectors.where("status = 'ready'").crossJoin(F.broadcast(queries))
-    near = both.select("query_id", "chunk_id", cosine_distance(F.col("embedding"), F.col("vector")).alias("distance")).where("distance is not null")
+    near = vectors.where("status = 'ready' and embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    n_vectors, n_queries = near.count(), asked.count()
+    blocks = lambda n, size: max(1, -(-n // size))
+    x, y = blocks(n_vectors, VECTOR_BLOCK), blocks(n_queries, QUERY_BLOCK)
+    near = near.withColumn("x", F.pmod(F.xxhash64("chunk_id"), F.lit(x)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(y - 1))))
+    asked = asked.withColumn("y", F.pmod(F.xxhash64("query_id"), F.lit(y)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(x - 1))))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list = [[], [], []]
+        v, q = (t.column(c).to_numpy(zero_copy_only=False) for t, c in ((left, "v"), (right, "q")))
+        chunk, query = left["chunk_id"].to_numpy(), right["query_id"].to_numpy()
+        for size in {len(r) for r in q}:  # vectors of other dimensions have no distance to a query
+            rows, cols = np.flatnonzero([len(r) == size for r in q]), np.flatnonzero([len(r) == size for r in v])
+            if not size or not len(cols):
+                continue
+            a, b = np.stack(q[rows]), np.stack(v[cols])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                distance = np.round(1 - (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), digits) + 0.0
+            for r, line in zip(rows, distance, strict=True):
+                known = np.flatnonzero(np.isfinite(line))
+                best = known[np.lexsort((chunk[cols[known]], line[known]))[:limit]]
+                for column, values in zip(out, (np.full(len(best), query[r]), chunk[cols[best]], line[best]), strict=True):
+                    column.append(values)
+        made = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.table([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], ["query_id", "chunk_id", "distance"])
+
+    found = near.groupBy("x", "y").cogroup(asked.groupBy("x", "y")).applyInArrow(compare, "query_id long, chunk_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
 def lexical_matches(chunks: DataFrame, query: str, analyzer: str = "simple") -> DataFrame:
     """chunk_id and cover-density ``score`` of the ready chunks that hold all terms."""
     terms = L.query_terms(query, analyzer)
-    token_array = L.english_tokens(F.col("content")) if analyzer == "english" else L.tokens(F.col("content"))
-    found = chunks.where("status = 'ready'").select("chunk_id", token_array.alias("tokens")).where(L.matches(F.col("tokens"), terms))
-    return found.select("chunk_id", L.cover_density(F.col("tokens"), terms).alias("score"))
+    ready = chunks.where("status = 'ready'")
+    if analyzer == "english":
+        token_array = L.english_tokens(F.col("content"))
+    else:
+        low = F.lower("content")
+        for term in terms:  # a cheap test before the words are looked at
+            ready = ready.where(low.contains(term))
+        token_array = L.tokens(F.col("content"))
+    if not terms:
+        ready = ready.where(F.lit(False))
+    # one lambda and one generator, so the plan has the tokens once; a match is a score above 0
+    score = F.transform(F.array(token_array), lambda t: L.cover_density(t, terms))
+    return ready.select("chunk_id", F.explode(F.filter(score, lambda s: s > 0)).alias("score"))
 
 
 def lexical_leg(chunks: DataFrame, query: str, limit: int = 2 * K, analyzer: str = "simple") -> DataFrame:
     return ranked(lexical_matches(chunks, query, analyzer), [F.desc("score"), "chunk_id"], limit)
 
 
-def fuse(*legs: DataFrame, smoothing: int = SMOOTHING, digits: int = 12) -> DataFrame:
-    """chunk_id and the sum of 1 / (smoothing + rank) over all occurrences."""
-    all_legs = legs[0].select("chunk_id", "rank")
-    for leg in legs[1:]:
-        all_legs = all_legs.unionByName(leg.select("chunk_id", "rank"))
-    return all_legs.groupBy("chunk_id").agg(F.round(F.sum(1.0 / (smoothing + F.col("rank"))), digits).alias("score"))
+def fuse(*legs: DataFrame, smoothing: int = SMOOTHING, digits: int = 12, names: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id and the sum of 1 / (smoothing + rank) over all occurrences.
+
+    ``names``: also each leg's smallest rank, as ``<name>_rank``, null where a leg lacks the chunk.
+    """
+    tagged = [leg.select("chunk_id", "rank", F.lit(i).alias("leg")) for i, leg in enumerate(legs)]
+    all_legs = tagged[0]
+    for leg in tagged[1:]:
+        all_legs = all_legs.unionByName(leg)
+    ranks = [F.min(F.when(F.col("leg") == i, F.col("rank"))).alias(f"{name}_rank") for i, name in enumerate(names)]
+    return all_legs.groupBy("chunk_id").agg(F.round(F.sum(1.0 / (smoothing + F.col("rank"))), digits).alias("score"), *ranks)
+
 
+def retrieve(vectors: DataFrame, docs: DataFrame, query_vector: list[float], query_text: str, k: int = K) -> DataFrame:
+    """rank, chunk_id, doc_id, filename, content, score: the k best of both legs.
 
-def retrieve(vectors: DataFrame, chunks: DataFrame, query_vector: list[float], query_text: str, k: int = K) -> DataFrame:
-    """rank, chunk_id, doc_id, filename, content, score: the k best of both legs."""
-    best = ranked(fuse(dense_leg(vectors, query_vector, 2 * k), lexical_leg(chunks, query_text, 2 * k)), [F.desc("score"), "chunk_id"], k)
-    return chunks.select("chunk_id", "doc_id", "filename", "content").join(F.broadcast(best), "chunk_id").select("rank", "chunk_id", "doc_id", "filename", "content", "score")
+    ``docs``: documents with their text; after the ranking only those of the k best are cut again.
+    """
+    best = ranked(fuse(dense_leg(vectors, query_vector, 2 * k), lexical_leg(T.document_chunks(docs), query_text, 2 * k)), [F.desc("score"), "chunk_id"], k)
+    best = best.withColumn("_doc", F.floor(F.col("chunk_id") / T.CHUNK_IDS))  # k rows
+    wanted = docs.join(F.broadcast(best.select(F.col("_doc").alias("doc_id"))), "doc_id", "left_semi")
+    return T.document_chunks(wanted).select("chunk_id", "doc_id", "filename", "content").join(F.broadcast(best), "chunk_id").select("rank", "chunk_id", "doc_id", "filename", "content", "score")
 
 
 def sources(hits: DataFrame) -> DataFrame:

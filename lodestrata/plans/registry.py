@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, frames, jobs, registry, retrieval
-from ..operators.policy import Identity, ScopedCatalog
+from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, uploads
+from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
+from ..sources import blobs
+from ..sources.shared import shared_folder
 from ..sources.tables import Tables
 from ..streaming import ingest
-from .oracles import ORACLES, TERMS, USER, VECTOR_ID
+from .oracles import ADMIN, ORACLES, TERMS, USER, VECTOR_ID
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -22,13 +23,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUESTION = " ".join(TERMS)
 
 
+def now():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     QUERIES[build.__name__] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
     return build
 
 
 def scoped(t: Tables, user=USER) -> ScopedCatalog:
-    return ScopedCatalog(t.members(), Identity(user))
+    return ScopedCatalog(t.members(), Identity(user), t.documents().select("doc_id", "department_id"))
 
 
 def query_vector(t: Tables) -> list[float]:
@@ -90,9 +95,115 @@ def schema_evolution(t: Tables) -> DataFrame:
     return registry.evolve(t.raw("documents"), {"text": "content", "missing": "unused"}, {"language_group": group, "lang": "en"}, ["source", "n_chars"])
 
 
+@query
+def document_lookup(t: Tables) -> DataFrame:
+    return lookups.find(t.documents(), F.col("doc_id") == 5).select("doc_id", "filename", "status")
+
+
+@query
+def document_must_exist(t: Tables) -> DataFrame:
+    return lookups.must_find(t.documents(), F.col("doc_id") == 6, "document").select("doc_id", "department_id", "filename")
+
+
+@query
+def active_model(t: Tables) -> DataFrame:
+    return lookups.active_model(t.models()).select("name", "dimension")
+
+
+@query
+def insert_returning(t: Tables) -> DataFrame:
+    new = t.documents().select("doc_id", "department_id", F.sha2("text", 256).alias("file_hash"))
+    return uploads.inserted(new, ["department_id", "file_hash"], "document_id").select("doc_id", "document_id")
+
+
+# --- uploads and blobs
+
+
+def _uploads(t: Tables) -> DataFrame:
+    """Odd documents as uploads; the even ones are there already."""
+    mime = F.when(F.col("doc_id") % 4 == 1, "text/plain").when(F.col("doc_id") % 8 == 3, "")
+    return t.documents().where("doc_id % 2 = 1").select(F.col("doc_id").alias("upload_id"), "department_id", "filename", mime.alias("mime_type"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query
+def upload_outcomes(t: Tables) -> DataFrame:
+    there = t.documents().where("doc_id % 2 = 0").select("department_id", F.sha2("text", 256).alias("file_hash"))
+    return uploads.outcomes(_uploads(t), there, scoped(t))
+
+
+@query
+def blob_round_trip(t: Tables) -> DataFrame:
+    root = f"{shared_folder(t.spark)}/lodestrata/blobs-{uuid.uuid4().hex}"
+    content = t.documents().select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    blobs.write_blobs(content, root)
+    back = blobs.read_blobs(t.spark, root, content.select("doc_id", F.sha2("content", 256).alias("file_hash")))
+    return back.select("doc_id", F.octet_length("content").cast("long").alias("byte_size"), blobs.lossy_text(F.col("content")).alias("text"))
+
+
+@query
+def lossy_decode(t: Tables) -> DataFrame:
+    # a cut sequence before every text and a stray byte behind it
+    data = F.concat(F.unhex(F.lit("E282")), F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
+    return t.raw("conversations").select("conv_id", "turn", blobs.lossy_text(data).alias("text"))
+
+
+@query
+def adapter_file_hash(t: Tables) -> DataFrame:
+    data = F.when(F.col("adapter_id") % 3 != 0, F.encode("file_path", "UTF-8"))
+    return t.adapters().select("adapter_id", blobs.file_hash(data, F.col("file_path")).alias("file_hash"))
+
+
 # --- policy
 
 
+@query
+def policy_matrix(t: Tables) -> DataFrame:
+    frames_ = {"documents": t.documents(), "chunks": t.chunk_keys(), "vectors": t.chunk_vectors(), "assignments": t.assignments(), "jobs": t.jobs(), "audit_log": t.audit_log(), "departments": t.departments(), "members": t.members()}
+    catalog, out = scoped(t), None
+    for table, frame in frames_.items():
+        # one count for each rule that the table has
+        for rule in dict.fromkeys(POLICIES[table].values()):
+            verbs = [v for v in VERBS if POLICIES[table].get(v) == rule]
+            n = catalog.rows(table, verbs[0], frame).agg(F.count(F.lit(1)).alias("n"))
+            row = n.select(F.lit(table).alias("table_name"), F.explode(F.array(*map(F.lit, VERBS))).alias("verb"), "n")
+            row = row.select("table_name", "verb", F.when(F.col("verb").isin(verbs), F.col("n")).otherwise(0).alias("n"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def policy_update(t: Tables) -> DataFrame:
+    changes = t.documents().where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "src3").otherwise("src5").alias("department_id"))
+    return scoped(t).update_outcomes("documents", t.documents().select("doc_id", "department_id", "status"), changes, ["doc_id"])
+
+
+@query
+def policy_delete(t: Tables) -> DataFrame:
+    docs = t.documents().select("doc_id", "department_id")
+    return scoped(t).delete("documents", docs, docs.where("doc_id % 3 = 0"), ["doc_id"])
+
+
+@query
+def policy_denied_delete(t: Tables) -> DataFrame:
+    log = t.audit_log()
+    return scoped(t).delete("audit_log", log, log, ["event_id"]).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def own_audit_rows(t: Tables) -> DataFrame:
+    return scoped(t).rows("audit_log", "select", t.audit_log())
+
+
+@query
+def own_memberships(t: Tables) -> DataFrame:
+    return scoped(t).rows("members", "select", t.members())
+
+
+@query
+def admin_departments(t: Tables) -> DataFrame:
+    return AdminCatalog(t.accounts(), Identity(ADMIN)).rows("departments", "select", t.departments()).orderBy("name")
+
+
 @query
 def visible_documents(t: Tables) -> DataFrame:
     return scoped(t).by_department(t.documents().drop("text")).select("doc_id", "department_id", "filename", "status").orderBy(F.desc("doc_id"))
@@ -107,7 +218,7 @@ def visible_departments(t: Tables) -> DataFrame:
 def visible_chunks(t: Tables) -> DataFrame:
     # the policy filters documents before they are cut into chunks
     docs = scoped(t).by_department(t.documents())
-    return T.chunks(docs, "text").select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"), "department_id", "content")
+    return T.document_chunks(docs).select("chunk_id", "department_id", "content")
 
 
 @query
@@ -141,7 +252,7 @@ def dense_topk(t: Tables) -> DataFrame:
 
 @query
 def dense_topk_batch(t: Tables) -> DataFrame:
-    asked = t.raw("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = t.raw("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.dense_leg_batch(t.chunk_vectors(), asked)
 
 
@@ -174,13 +285,13 @@ def rrf_fuse_multi_model(t: Tables) -> DataFrame:
 
 @query
 def hybrid_retrieve(t: Tables) -> DataFrame:
-    return retrieval.retrieve(t.chunk_vectors(), t.chunks(), query_vector(t), QUESTION)
+    return retrieval.retrieve(t.chunk_vectors(), t.documents(), query_vector(t), QUESTION)
 
 
 @query
 def hybrid_retrieve_scoped(t: Tables) -> DataFrame:
     catalog = scoped(t)
-    return retrieval.retrieve(catalog.by_department(t.chunk_vectors()), catalog.by_department(t.chunks()), query_vector(t), QUESTION)
+    return retrieval.retrieve(catalog.by_department(t.chunk_vectors()), catalog.by_department(t.documents()), query_vector(t), QUESTION)
 
 
 @query
@@ -201,9 +312,8 @@ def prompt_template(t: Tables) -> DataFrame:
 @query
 def retrieval_provenance(t: Tables) -> DataFrame:
     dense, lexical = retrieval.dense_leg(t.chunk_vectors(), query_vector(t)), retrieval.lexical_leg(t.chunks(), QUESTION)
-    best = retrieval.ranked(retrieval.fuse(dense, lexical), [F.desc("score"), "chunk_id"], retrieval.K)
-    out = best.join(dense.select("chunk_id", F.col("rank").alias("dense_rank")), "chunk_id", "left")
-    return out.join(lexical.select("chunk_id", F.col("rank").alias("lexical_rank")), "chunk_id", "left").select("rank", "chunk_id", "score", "dense_rank", "lexical_rank")
+    best = retrieval.ranked(retrieval.fuse(dense, lexical, names=("dense", "lexical")), [F.desc("score"), "chunk_id"], retrieval.K)
+    return best.select("rank", "chunk_id", "score", "dense_rank", "lexical_rank")
 
 
 # --- jobs
@@ -211,12 +321,17 @@ def retrieval_provenance(t: Tables) -> DataFrame:
 
 @query
 def job_claim_oldest(t: Tables) -> DataFrame:
-    return jobs.claim_oldest(t.jobs(), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return jobs.claim_oldest(t.jobs().select("job_id", "doc_id", "status", "attempts", "created_at"), now())
+
+
+@query
+def job_claim_update(t: Tables) -> DataFrame:
+    return jobs.after_claim(t.jobs(), now()).select("job_id", "status", "attempts", "started_at")
 
 
 @query
 def job_reap(t: Tables) -> DataFrame:
-    return jobs.reap(t.jobs()).select("job_id", "doc_id", "status", "attempts")
+    return jobs.reap(t.jobs()).select("job_id", "doc_id", "status", "attempts", "started_at")
 
 
 @query
@@ -235,6 +350,54 @@ def job_routing(t: Tables) -> DataFrame:
     return jobs.route(results)[1]
 
 
+@query
+def job_routing_jobs(t: Tables) -> DataFrame:
+    results = t.jobs().select("job_id", "doc_id", F.when(F.col("job_id") % 3 == 0, "unreadable").alias("error"))
+    return jobs.route(results)[0]
+
+
+@query
+def job_log_state(t: Tables) -> DataFrame:
+    # two events of a user are a run of that user's job: the log of changes, folded
+    status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in {"view": "running", "purchase": "succeeded", "error": "failed"}.items()), F.lit("queued"))
+    log = t.raw("events").select((F.col("event_id") % 1000).alias("job_id"), F.col("ts").alias("at"), status.alias("status"), F.when(F.col("event_type") == "error", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"))
+    return jobs.state_of(log)
+
+
+# --- ingestion
+
+
+def _ingested(t: Tables) -> ingestion.Outcome:
+    """All queued jobs; every eleventh document has no bytes, the second chunk of every thirteenth a short vector."""
+    content = t.documents().select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.encode("text", "UTF-8")).alias("content"))
+
+    def embed(chunks: DataFrame) -> DataFrame:
+        short = (F.col("doc_id") % 13 == 0) & (F.col("chunk_index") == 1)
+        return t.embedded(chunks).withColumn("embedding", F.when(short, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+
+    return ingestion.process(t.jobs(), t.documents().select("doc_id", "department_id", "status"), content, embed, 64, now())
+
+
+@query
+def ingest_jobs(t: Tables) -> DataFrame:
+    return _ingested(t).jobs.select("job_id", "doc_id", "status", "attempts", "started_at", "finished_at", "error")
+
+
+@query
+def ingest_documents(t: Tables) -> DataFrame:
+    return _ingested(t).documents.select("doc_id", "status")
+
+
+@query
+def ingest_chunks(t: Tables) -> DataFrame:
+    return _ingested(t).chunks.select("doc_id", "department_id", "chunk_index", "content", "token_count")
+
+
+@query
+def ingest_vectors(t: Tables) -> DataFrame:
+    return _ingested(t).vectors.select("doc_id", "chunk_index", F.size("embedding").alias("dimension"))
+
+
 @query
 def latest_status(t: Tables) -> DataFrame:
     return jobs.newest_status(t.documents().select("doc_id", "status"), t.jobs())
@@ -297,9 +460,28 @@ def adapter_index_skipped(t: Tables) -> DataFrame:
     return t.adapters().where("is_active").join(registry.path_index(_listing(t)), "file_path", "left_anti").select("adapter_id", "file_path")
 
 
+def _new_users(t: Tables) -> DataFrame:
+    return t.users().select("user_id", F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("username"))
+
+
 @query
 def admin_bootstrap(t: Tables) -> DataFrame:
-    return registry.bootstrap(t.users().select("user_id", F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("username")))
+    return registry.bootstrap(t.accounts().where("not is_admin"), _new_users(t))[0]
+
+
+@query
+def admin_bootstrap_taken(t: Tables) -> DataFrame:
+    return registry.bootstrap(t.accounts(), _new_users(t))[0]
+
+
+@query
+def bootstrap_departments(t: Tables) -> DataFrame:
+    return registry.bootstrap(t.accounts(), _new_users(t))[1]
+
+
+@query
+def bootstrap_members(t: Tables) -> DataFrame:
+    return registry.bootstrap(t.accounts(), _new_users(t))[2]
 
 
 @query
@@ -353,8 +535,16 @@ def orphan_jobs(t: Tables) -> DataFrame:
 @query
 def cascade_delete(t: Tables) -> DataFrame:
     docs = t.documents()
-    _, chunks = registry.cascade_delete(docs, docs.where("doc_id % 10 = 0"), t.chunks())
-    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    _, chunks, vectors, queue = registry.cascade_delete(docs, docs.where("doc_id % 10 = 0"), t.chunk_keys(), t.chunk_vectors(), t.jobs())
+    count = lambda frame, name: frame.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(name).alias("child"), "n")
+    return count(chunks, "chunks").unionByName(count(vectors, "vectors")).unionByName(count(queue, "jobs"))
+
+
+@query
+def restricted_departments(t: Tables) -> DataFrame:
+    empty = t.spark.range(1).select(F.lit("audit").alias("department_id"), F.lit("Audit").alias("name"))
+    every = t.departments().unionByName(empty)
+    return registry.restricted(every, every.where("department_id in ('src1', 'audit')"), t.documents())
 
 
 # --- streams
@@ -379,8 +569,7 @@ def stream_concat(t: Tables) -> DataFrame:
 
 @query
 def stream_ingest(t: Tables) -> DataFrame:
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(t.spark)}/lodestrata/stream-{uuid.uuid4().hex}"
     # a stream watches a folder or a pattern; a table may be one file
     files = f"{t.sf_dir}/documents.parque[t]"
     ingest.start_ingest(t.spark, files, f"{root}/out", f"{root}/state").awaitTermination()

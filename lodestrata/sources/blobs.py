@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import path_exists
+
 
 def lossy_text(data: Column) -> Column:
     """Bytes as UTF-8 text; each malformed sequence becomes U+FFFD."""
@@ -22,21 +24,23 @@ def _prefix() -> Column:
 
 
 def write_blobs(uploads: DataFrame, root: str) -> DataFrame:
-    """Append each new content once, partitioned by the hash's first characters; returns (file_hash, byte_size)."""
-    blobs = uploads.select(F.sha2("content", 256).alias("file_hash"), "content").dropDuplicates(["file_hash"]).withColumn("prefix", _prefix())
-    try:
-        there = uploads.sparkSession.read.parquet(root).select("file_hash", "prefix")
+    """Append each new content once, partitioned by the hash's first characters; returns (file_hash, byte_size).
+
+    Two writers at once may both append a content; readers take one of equal ones.
+    """
+    spark = uploads.sparkSession
+    blobs = uploads.where("content is not null").select(F.sha2("content", 256).alias("file_hash"), "content").dropDuplicates(["file_hash"]).withColumn("prefix", _prefix())
+    if path_exists(spark, root):
+        there = spark.read.schema("file_hash string, content binary, prefix string").parquet(root).select("file_hash", "prefix")
         blobs = blobs.join(there, ["prefix", "file_hash"], "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
     blobs.write.mode("append").partitionBy("prefix").parquet(root)
     return uploads.select(F.sha2("content", 256).alias("file_hash"), F.octet_length("content").cast("long").alias("byte_size"))
 
 
 def read_blobs(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """The wanted rows (file_hash, ...) with ``content``; null where the blob is missing."""
-    blobs = spark.read.parquet(root).select("file_hash", "content", "prefix")
+    blobs = spark.read.schema("file_hash string, content binary, prefix string").parquet(root)
+    blobs = blobs.join(wanted.select("file_hash").distinct().withColumn("prefix", _prefix()), ["prefix", "file_hash"], "left_semi").dropDuplicates(["prefix", "file_hash"])
     return wanted.withColumn("prefix", _prefix()).join(blobs, ["prefix", "file_hash"], "left").drop("prefix")
 
 

@@ -38,26 +38,54 @@ class Tables:
     def users(self) -> DataFrame:
         return self.raw("events").select("user_id").distinct()
 
+    def accounts(self) -> DataFrame:
+        """The users with ``is_admin``: every fiftieth is an administrator."""
+        return self.users().withColumn("is_admin", F.col("user_id") % 50 == 1)
+
+    def audit_log(self) -> DataFrame:
+        return self.raw("events").select("event_id", "user_id", F.col("event_type").alias("action"), "ts")
+
+    def models(self) -> DataFrame:
+        """Brands as embedding models, two of them active."""
+        name = F.col("p_brand")
+        return self.raw("part").select(name.alias("name"), F.lit(64).alias("dimension"), name.isin("Brand#12", "Brand#21").alias("is_active")).distinct()
+
     def members(self) -> DataFrame:
         users = self.users()
         shift = F.explode(F.array(F.lit(0), F.lit(7)))
         return users.select("user_id", shift.alias("k")).select("user_id", F.concat(F.lit("src"), ((F.col("user_id") + F.col("k")) % 20).cast("string")).alias("department_id"))
 
     def chunks(self) -> DataFrame:
-        return T.chunks(self.documents(), "text").select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "department_id", "filename", "status", "chunk_index", "content")
+        return T.document_chunks(self.documents()).select("chunk_id", "doc_id", "department_id", "filename", "status", "chunk_index", "content")
+
+    def chunk_keys(self) -> DataFrame:
+        """The chunks without their contents."""
+        docs = self.documents()
+        n = T.chunk_count(F.col("text"))
+        rows = docs.where(n > 0).select("doc_id", "department_id", "status", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("chunk_index"))
+        return rows.select(T.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "*")
+
+    def embedded(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with a stored vector each, standing in for a model: the one with number doc_id + chunk_index, counted round."""
+        vectors = self.raw("embeddings").select("vec_id", "embedding")
+        count = vectors.agg(F.count(F.lit(1))).scalar()
+        return chunks.withColumn("vec_id", (F.col("doc_id") + F.col("chunk_index")) % count).join(vectors, "vec_id", "left").drop("vec_id")
 
     def chunk_vectors(self) -> DataFrame:
-        """The vector of a document's first chunk, by the id that both tables share."""
-        vectors = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-        docs = self.documents().where(F.length("text") > 0).select("doc_id", "department_id", "status")
-        return docs.join(vectors, "doc_id").select((F.col("doc_id") * 100_000).alias("chunk_id"), "doc_id", "department_id", "status", "embedding")
+        """Every chunk's vector."""
+        return self.embedded(self.chunk_keys()).where("embedding is not null").select("chunk_id", "doc_id", "department_id", "status", "embedding")
 
     def jobs(self) -> DataFrame:
-        kinds = {"signup": "queued", "view": "running", "purchase": "succeeded", "error": "failed"}
-        status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()))
-        events = self.raw("events").select("event_id", "ts", status.alias("status")).where("status is not null")
+        """Events as jobs: clicks and unknown types are queued ones too, so none is left out."""
+        kinds = {"view": "running", "purchase": "succeeded", "error": "failed"}
+        status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()), F.lit("queued"))
+        events = self.raw("events").select("event_id", "ts", status.alias("status"))
         count = self.raw("documents").agg(F.count(F.lit(1))).scalar()
-        return events.select(F.col("event_id").alias("job_id"), (F.col("event_id") % count).alias("doc_id"), "status", F.lit(0).alias("attempts"), F.col("ts").alias("created_at"))
+        ended, at = F.col("status").isin("succeeded", "failed"), F.col("ts")
+        return events.select(
+            F.col("event_id").alias("job_id"), (F.col("event_id") % count).alias("doc_id"), "status", F.when(F.col("status") == "queued", 0).otherwise(1).alias("attempts"), at.alias("created_at"),
+            F.when(F.col("status") != "queued", at).alias("started_at"), F.when(ended, at).alias("finished_at"), F.when(F.col("status") == "failed", "unreadable").alias("error"),
+        )
 
     def adapters(self) -> DataFrame:
         p = self.raw("part")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import lexical, text
 from lodestrata.functions.vectors import cosine_distance
-from lodestrata.operators import frames, jobs, registry, retrieval
+from lodestrata.operators import frames, ingestion, jobs, lookups, policy, registry, retrieval, uploads
 from lodestrata.operators.policy import Identity, PolicyError, ScopedCatalog, require_admin
 from lodestrata.sources import blobs
 from lodestrata.sources.tables import Tables
@@ -190,3 +190,115 @@ def test_stream_replay(spark, tmp_path):
     ingest.start_ingest(spark, landing, target, str(tmp_path / "state2")).awaitTermination()
     rows = ingest.ingested(spark, target).select("doc_id", "chunk_index").collect()
     assert len(rows) == len(set(rows))
+
+
+# Examples of Porter's paper.
+STEMS = (
+    "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall "
+    "hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit vietnamization vietnam operator oper feudalism feudal "
+    "decisiveness decis hopefulness hope callousness callous triplicate triplic formalize formal electrical electr goodness good revival reviv allowance allow airliner airlin adjustable adjust "
+    "replacement replac dependent depend adoption adopt homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll"
+).split()
+
+
+def test_porter_stems():
+    assert [lexical.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+
+
+def test_update_and_delete_policies(spark):
+    members = spark.createDataFrame([(1, "hr"), (2, "eng")], "user_id long, department_id string")
+    docs = spark.createDataFrame([(1, "hr", "a"), (2, "hr", "b"), (3, "eng", "c")], "doc_id long, department_id string, title string")
+    catalog = policy.ScopedCatalog(members, policy.Identity(1), docs)
+    renamed = spark.createDataFrame([(1, "new"), (3, "new"), (9, "new")], "doc_id long, title string")
+    assert sorted(map(tuple, catalog.update("documents", docs, renamed, ["doc_id"]).collect())) == [(1, "hr", "new"), (2, "hr", "b"), (3, "eng", "c")]
+    moved = spark.createDataFrame([(1, "eng")], "doc_id long, department_id string")
+    with pytest.raises(policy.PolicyError):
+        catalog.update("documents", docs, moved, ["doc_id"])
+    assert sorted(r["doc_id"] for r in catalog.delete("documents", docs, docs, ["doc_id"]).collect()) == [3]
+    jobs_ = spark.createDataFrame([(7, 1), (8, 3)], "job_id long, doc_id long")
+    assert [r["job_id"] for r in catalog.rows("jobs", "update", jobs_).collect()] == [7] and catalog.rows("jobs", "delete", jobs_).isEmpty()
+    assert catalog.delete("jobs", jobs_, jobs_, ["job_id"]).count() == 2
+    log = spark.createDataFrame([(1, 1), (2, 2)], "event_id long, user_id long")
+    assert [r["event_id"] for r in catalog.rows("audit_log", "insert", log).collect()] == [1] and catalog.rows("audit_log", "update", log).isEmpty()
+    nobody = policy.ScopedCatalog(members, policy.Identity(" "), docs)
+    assert all(nobody.rows(t, v, f).isEmpty() for t, v, f in (("documents", "select", docs), ("jobs", "select", jobs_), ("audit_log", "select", log), ("members", "select", members)))
+
+
+def test_admin_and_ingest_catalogs(spark):
+    users = spark.createDataFrame([(1, True), (2, False), (3, None)], "user_id long, is_admin boolean")
+    assert policy.AdminCatalog(users, policy.Identity(1)).rows("departments", "insert", users).count() == 3
+    for user in (2, 3, 4, None, "x"):
+        with pytest.raises(policy.PolicyError):
+            policy.AdminCatalog(users, policy.Identity(user))
+    assert policy.IngestCatalog().rows("chunks", "insert", users).count() == 3
+    with pytest.raises(policy.PolicyError):
+        policy.IngestCatalog().rows("members", "select", users)
+
+
+def test_bootstrap_looks_at_existing_administrators(spark):
+    new = spark.createDataFrame([(7, "Ann"), (8, "Bob")], "user_id long, username string")
+    for existing, want in (([], {7: True, 8: False}), ([(1, False)], {7: True, 8: False}), ([(1, True)], {7: False, 8: False}), ([(1, None)], {7: True, 8: False})):
+        users, departments, members = registry.bootstrap(spark.createDataFrame(existing, "user_id long, is_admin boolean"), new)
+        assert {r["user_id"]: r["is_admin"] for r in users.collect()} == want
+    assert {tuple(r) for r in departments.collect()} == {("ann-dept", "Ann's Department", "ann-dept"), ("bob-dept", "Bob's Department", "bob-dept")}
+    assert {tuple(r) for r in members.collect()} == {(7, "ann-dept"), (8, "bob-dept")}
+
+
+def test_lookups(spark):
+    models = spark.createDataFrame([("b", True), ("a", True), ("c", False)], "name string, is_active boolean")
+    assert lookups.find(models, F.col("name") == "z").count() == 0 and lookups.active_model(models).first()["name"] == "a"
+    with pytest.raises(LookupError):
+        lookups.must_find(models, F.col("name") == "z", "model")
+    with pytest.raises(LookupError):
+        lookups.active_model(models.where("not is_active"))
+
+
+def test_departments_with_documents_stay(spark):
+    departments = spark.createDataFrame([("a",), ("b",)], "department_id string")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, department_id string")
+    members = spark.createDataFrame([(1, "a"), (1, "b")], "user_id long, department_id string")
+    with pytest.raises(ValueError):
+        registry.delete_departments(departments, departments, docs, members)
+    left = registry.delete_departments(departments, departments.where("department_id = 'b'"), docs, members)
+    assert [[tuple(r) for r in t.collect()] for t in left] == [[("a",)], [(1, "a")]]
+
+
+def test_upload_to_ingested(spark, tmp_path):
+    members = spark.createDataFrame([(1, "hr")], "user_id long, department_id string")
+    there = spark.createDataFrame([], "department_id string, file_hash string")
+    rows = [(1, "hr", "a.txt", "", b"caf\\xe9 " * 200), (2, "hr", "b.txt", None, b"caf\\xe9 " * 200), (3, "eng", "c.txt", "text/plain", b"x"), (4, "hr", "d.txt", "text/plain", b"yy")]
+    incoming = spark.createDataFrame(rows, "upload_id long, department_id string, filename string, mime_type string, content binary")
+    catalog, root, now = policy.ScopedCatalog(members, policy.Identity(1)), str(tmp_path / "blobs"), F.lit("2024-01-01").cast("timestamp_ntz")
+    assert {r["upload_id"]: r["outcome"] for r in uploads.outcomes(incoming, there, catalog).collect()} == {1: "queued", 2: "duplicate", 3: "denied", 4: "queued"}
+    docs, queue = uploads.upload(incoming, there, catalog, root, now)
+    docs, queue = docs.withColumnRenamed("document_id", "doc_id"), queue.withColumnRenamed("document_id", "doc_id")
+    assert spark.read.parquet(root).count() == 2 and {r["mime_type"] for r in docs.collect()} == {"application/octet-stream", "text/plain"}
+    content = blobs.read_blobs(spark, root, docs.select("doc_id", "file_hash")).select("doc_id", "content")
+    # the second chunk of the long document gets a short vector
+    embed = lambda chunks: chunks.withColumn("embedding", F.when(F.col("chunk_index") == 1, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))))
+    out = ingestion.process(queue, docs, content, embed, 2, now)
+    states = {r["filename"]: r["status"] for r in out.documents.collect()}
+    assert states == {"a.txt": "failed", "d.txt": "ready"}
+    assert {(r["status"], r["attempts"], r["error"]) for r in out.jobs.collect()} == {("failed", 1, "embedding dimension 1, expected 2"), ("succeeded", 1, None)}
+    assert [r["content"] for r in out.chunks.collect()] == ["yy"] and out.vectors.count() == 1
+    lost = ingestion.process(queue, docs, content.where("false"), embed, 2, now)
+    assert {r["error"] for r in lost.jobs.collect()} == {ingestion.NO_BLOB} and lost.chunks.isEmpty()
+    fine = ingestion.process(queue, docs, content, embed, 1, now)
+    assert {r["status"] for r in fine.documents.collect()} == {"failed"}  # the first chunks are too long now
+
+
+def test_job_log(spark):
+    log = [(1, 1, "queued", None), (1, 2, "running", None), (1, 3, "queued", None), (1, 4, "running", None), (1, 5, "failed", "bad"), (2, 1, "queued", None), (2, 2, "running", None), (2, 3, "queued", None)]
+    rows = {r["job_id"]: r for r in jobs.state_of(spark.createDataFrame(log, "job_id long, at long, status string, error string")).collect()}
+    assert tuple(rows[1])[1:] == ("failed", "bad", 2, 4, 5) and tuple(rows[2])[1:] == ("queued", None, 1, None, None)
+
+
+def test_batch_search_equals_single_searches(spark):
+    vectors = spark.createDataFrame([(i, "ready" if i % 7 else "pending", [float(i % 5), float(i % 3), 1.0] if i % 11 else None) for i in range(300)] + [(999, "ready", [1.0])], "chunk_id long, status string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 0.0]), (3, [4.0, 0.0, 1.0]), (4, None)], "query_id long, vector array<double>")
+    got = {}
+    for r in retrieval.dense_leg_batch(vectors, asked).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["chunk_id"], r["distance"])
+    for query, vector in ((1, [1.0, 2.0, 3.0]), (3, [4.0, 0.0, 1.0])):
+        assert got[query] == {r["rank"]: (r["chunk_id"], r["distance"]) for r in retrieval.dense_leg(vectors, vector).collect()}
+    assert set(got) == {1, 3}

@@ -6,10 +6,12 @@ benchmark item is searched in it by binary search, one word deeper at a time, al
 once; that gives the longest verbatim match and all its places. Documents are never cut and
 each lies in one shard, so a document's result is complete where it is made: no shuffle.
 
-The benchmark is broadcast if its texts have at most ``BENCHMARK_BYTES``; a larger one is
-handled in blocks of that size, one pass each, and the hits of a document are united.
+The benchmark is broadcast if its texts have at most ``BENCHMARK_BYTES``. A larger one is handled
+in blocks of that size: the driver reads one, broadcasts it, the documents it hits are written to a
+table, and it is destroyed before the next, so driver and workers hold one block at a time. The
+tables' covered words and items are then united by a 128-bit hash of the text.
 
-Defined results: null, empty and wordless documents and items have no words and hit nothing; an
+Equal items are searched once. Defined results: null, empty and wordless documents and items have no words and hit nothing; an
 item with a null id counts under the empty id; rows are handled each on its own, so repeated
 rows and null doc_ids are kept as they are; other columns don't matter; an empty benchmark hits
 nothing.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .store import small_batches
+from .store import Scratch, small_batches
 
 WINDOW = 10
 #: Benchmark text that is broadcast at once.
@@ -41,7 +43,10 @@ class TestSuffixes:
     __test__ = False
 
     def __init__(self, item_ids: list[str], texts: list[str | None], window: int):
-        found = list(words.blocks(pa.array(texts, pa.string()), words.NOT_ALNUM, True))
+        equal: dict[str, set[str]] = {}
+        for i, text in zip(item_ids, texts, strict=True):
+            equal.setdefault(text or "", set()).add(i)
+        found = list(words.blocks(pa.array(list(equal), pa.string()), words.NOT_ALNUM, True))
         hashes = np.concatenate([b.hash for b in found] or [np.zeros(0, np.uint64)])
         sizes = np.concatenate([np.diff(b.first) for b in found] or [np.zeros(0, np.int64)])
         self.vocabulary, self.word = np.unique(hashes, return_inverse=True)
@@ -53,7 +58,7 @@ class TestSuffixes:
         at_start = self.length == size
         self.need = np.where(self.length >= window, window, np.where(at_start, size, 0))
         self.least = int(self.need[self.need > 0].min()) if (self.need > 0).any() else 0
-        self.ids = item_ids
+        self.ids = [sorted(x) for x in equal.values()]  # of each different text
 
 
 def suffix_array(word: np.ndarray, depth: int) -> np.ndarray:
@@ -157,18 +162,28 @@ def document_hits(block: words.Block, tests: TestSuffixes) -> tuple[np.ndarray,
     return np.cumsum(change)[:-1] > 0, pair // len(tests.ids), pair % len(tests.ids)
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, most_bytes: int) -> list[TestSuffixes]:
-    """The benchmark's suffixes, a list entry for each ``most_bytes`` of its texts."""
+def benchmark_blocks(benchmark: DataFrame, window: int, most_bytes: int) -> Iterator[TestSuffixes]:
+    """The benchmark's suffixes, one object for each ``most_bytes`` of its texts, made when it is asked for."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out, ids, texts, size = [], [], [], 0
+    ids, texts, size, n = [], [], 0, 0
     for row in rows.toLocalIterator():  # a partition at a time
         ids.append(row["item_id"] or "")
         texts.append(row["text"])
         size += len((row["text"] or "").encode())
         if size >= most_bytes:
-            out.append(TestSuffixes(ids, texts, window))
-            ids, texts, size = [], [], 0
-    return [*out, TestSuffixes(ids, texts, window)] if ids or not out else out
+            yield TestSuffixes(ids, texts, window)
+            ids, texts, size, n = [], [], 0, n + 1
+    if ids or not n:
+        yield TestSuffixes(ids, texts, window)
+
+
+RESULT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _result(doc_id: pa.Array, n_words: np.ndarray, n_hit: np.ndarray, items: list) -> pa.RecordBatch:
+    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)], RESULT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = BENCHMARK_BYTES, keep_clean: bool = False) -> DataFrame:
@@ -178,52 +193,119 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = benchmark_blocks(benchmark, window, most_bytes)
-    # broadcast one by one, and read one at a time: memory for one block at once
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+    if (benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) > most_bytes:
+        return _contamination_in_blocks(docs, benchmark, window, most_bytes, keep_clean)
+    shared = spark.sparkContext.broadcast(next(benchmark_blocks(benchmark, window, most_bytes + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = shared.value
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             for block in words.blocks(batch.column(batch.schema.get_field_index("text")), words.NOT_ALNUM, True, SHARD_BYTES):
-                hit, items = np.zeros(len(block.hash), bool), [set() for _ in block.rows]
-                for tests in shared:
-                    h, document, item = document_hits(block, tests.value)
-                    hit |= h
-                    for d, i in zip(document.tolist(), item.tolist(), strict=True):
-                        items[d].add(tests.value.ids[i])
+                hit, document, item = document_hits(block, tests)
                 n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[block.first])
                 clean[block.rows] = n_hit == 0
                 if not keep_clean:
-                    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(block.rows)), pa.array(np.diff(block.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0)],
-                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                    )
+                    items: list[set] = [set() for _ in block.rows]
+                    for d, i in zip(document.tolist(), item.tolist(), strict=True):
+                        items[d].update(tests.ids[i])
+                    yield _result(batch.column(0).take(pa.array(block.rows)), np.diff(block.first), n_hit, items)
             if keep_clean:
                 yield batch.filter(pa.array(clean))
 
     if keep_clean:
         return docs.mapInArrow(run, docs.schema)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RESULT)
+
+
+def _text_key() -> list:
+    """128 bits of the text, as two columns."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("again"), text).alias("_k2")]
+
+
+def _contamination_in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, most_bytes: int, keep_clean: bool) -> DataFrame:
+    """As ``contamination``, one pass over the texts for each block of the benchmark."""
+    spark = docs.sparkSession
+    scratch, found = Scratch(spark, "decontamination"), None
+    keyed = docs.select(F.col("text").cast("string").alias("text"), *_text_key())
+    for tests in benchmark_blocks(benchmark, window, most_bytes):
+        shared = spark.sparkContext.broadcast(tests)
+        del tests
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = shared.value  # noqa: B023
+            for batch in batches:
+                for block in words.blocks(batch.column(0), words.NOT_ALNUM, True, SHARD_BYTES):
+                    hit, document, item = document_hits(block, tests)
+                    if not hit.any():
+                        continue
+                    edge = np.zeros(len(hit) + 1, bool)
+                    edge[block.first] = True
+                    padded = np.concatenate([[False], hit, [False]])
+                    first = np.flatnonzero(hit & (edge[:-1] | ~padded[:-2]))
+                    last = np.flatnonzero(hit & (edge[1:] | ~padded[2:])) + 1
+                    of = block.document()[first]
+                    rows = np.unique(of)
+                    border = np.append(np.searchsorted(of, rows), len(of)).astype(np.int32)
+                    start = block.first[of]
+                    ids: list[list[str]] = [[] for _ in block.rows]
+                    for d, i in zip(document.tolist(), item.tolist(), strict=True):
+                        ids[d] += tests.ids[i]
+                    at = pa.array(block.rows[rows])
+                    lists = [pa.ListArray.from_arrays(pa.array(border), pa.array((x - start).astype(np.int32))) for x in (first, last)]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), *lists, pa.array([ids[d] for d in rows], pa.list_(pa.string()))], ["_k1", "_k2", "first", "last", "ids"])
+
+        part = keyed.mapInArrow(hits, "_k1 long, _k2 long, first array<int>, last array<int>, ids array<string>").dropDuplicates(["_k1", "_k2"])
+        part = scratch.keep(part, "hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    # a row for each block at most
+    joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = scratch.keep(found.groupBy("_k1", "_k2").agg(joined("first"), joined("last"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")), "all-hits")
+    if keep_clean:
+        return docs.select("*", *_text_key()).join(found, ["_k1", "_k2"], "left_anti").select(docs.columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in words.blocks(batch.column(0), words.NOT_ALNUM, True):
+                rows = pa.array(block.rows)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), batch.column(3).take(rows), pa.array(np.diff(block.first), pa.int64())], ["doc_id", "_k1", "_k2", "n_words"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit, items = [], []
+            for first, last, ids in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "ids")), strict=True):
+                upto = covered = 0
+                for a, b in sorted(zip(first or (), last or (), strict=True)):
+                    covered += max(0, b - max(a, upto))
+                    upto = max(upto, b)
+                n_hit.append(covered)
+                items.append(ids or [])
+            yield _result(batch.column("doc_id"), batch.column("n_words").to_numpy(), np.array(n_hit, np.int64), items)
+
+    counted = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *_text_key()).mapInArrow(count, "doc_id long, _k1 long, _k2 long, n_words long")
+    return counted.join(found, ["_k1", "_k2"], "left").select("doc_id", "n_words", "first", "last", "ids").mapInArrow(unite, _RESULT)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, item_word, doc_word, length: where each test suffix's longest match of its shard lies.
 
-    Only matches of a whole window, or of a whole shorter item, are told.
+    Only matches of a whole window, or of a whole shorter item, are told; of equal items one.
+    The benchmark's blocks are handled one after the other, each in a table of its own.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, BENCHMARK_BYTES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in words.blocks(batch.column(1), words.NOT_ALNUM, True, SHARD_BYTES):
-                for one in shared:
-                    tests = one.value
+    scratch, out = Scratch(spark, "longest-matches"), None
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    for tests in benchmark_blocks(benchmark, window, BENCHMARK_BYTES):
+        shared = spark.sparkContext.broadcast(tests)
+        del tests
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = shared.value  # noqa: B023
+            for batch in batches:
+                for block in words.blocks(batch.column(1), words.NOT_ALNUM, True, SHARD_BYTES):
                     if not tests.least or (found := shard_matches(block, tests)) is None:
                         continue
                     _, places, order, (longest, lo, hi, _, _) = found
@@ -233,11 +315,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                     document = block.document()[first]
                     begin = np.searchsorted(tests.item, tests.item[suffix])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(block.rows[document])), pa.array([tests.ids[i] for i in tests.item[suffix]], pa.string()), pa.array(suffix - begin, pa.int64()), pa.array(first - block.first[document], pa.int64()), pa.array(longest[suffix], pa.int64())],
+                        [batch.column(0).take(pa.array(block.rows[document])), pa.array([tests.ids[i][0] for i in tests.item[suffix]], pa.string()), pa.array(suffix - begin, pa.int64()), pa.array(first - block.first[document], pa.int64()), pa.array(longest[suffix], pa.int64())],
                         ["doc_id", "item_id", "item_word", "doc_word", "length"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, item_id string, item_word long, doc_word long, length long")
+        part = scratch.keep(texts.mapInArrow(run, "doc_id long, item_id string, item_word long, doc_word long, length long"), "matches")
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

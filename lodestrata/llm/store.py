@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+from ..sources.shared import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="lodestrata-"))
-    return _LOCAL[0]
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Scratch:
@@ -29,6 +25,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._close)  # a result may be read for as long as the program runs
+
+    def _close(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _remove(self.spark, self.root)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -40,9 +41,7 @@ class Scratch:
 
     def drop(self, kept: DataFrame) -> None:
         """Remove a table that nothing will read any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(kept.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, kept.scratch_path)
 
 
 #: Rows in an Arrow batch between the JVM and a Python worker; whole texts can be long.

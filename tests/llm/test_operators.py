@@ -521,11 +521,11 @@ def test_sketch_never_misses_a_repeat(spark):
 
 @pytest.mark.parametrize("most_bytes", [1 << 20, 60])
 def test_contamination(spark, most_bytes):
-    items = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "x,y z"), (3, None), (4, "  "), (5, "é"), (None, "u t"), (1, "aa bb cc aa bb cc aa bb cc aa bb"), (7, "never seen"), (8, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")]
+    items = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "x,y z"), (3, None), (4, "  "), (5, "é"), (None, "u t"), (1, "aa bb cc aa bb cc aa bb cc aa bb"), (7, "never seen"), (8, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), *((20 + i, "x,y z") for i in range(50))]
     rows = [*awkward(), (400, "W1-w2 w3 w4 w5;w6 w7 w8 w9 w10"), (401, "w2 w3 w4 w5 w6 w7 w8 w9 w10")]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     assert rows_of(decontamination.contamination(documents(spark, rows), benchmark, most_bytes=most_bytes)) == brute.contamination(rows, items, 10)
-    clean = decontamination.contamination(documents(spark, rows), benchmark, keep_clean=True)
+    clean = decontamination.contamination(documents(spark, rows), benchmark, most_bytes=most_bytes, keep_clean=True)
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r[0]) for r in brute.contamination(rows, items, 10) if not r[5])
     assert set(clean.columns) == {"doc_id", "text", *CLASH}
 

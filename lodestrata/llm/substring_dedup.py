@@ -7,14 +7,17 @@ equal windows have equal anchors at equal places, and about one word in ten is a
    sketches are merged segment by segment and only the cells of two or more are broadcast, one
    bit each. A sketch overestimates, so an anchor that occurs twice is never taken for single.
 2. Windows whose anchor is estimated repeated are grouped exactly, by a 96-bit hash: counts
-   are aggregated before the shuffle, and a semi-join finds the places of those of two or more
-   (Spark splits it where one window is very common). All other windows are single.
+   are aggregated before the shuffle, and a semi-join finds the places of those of two or more.
+   Windows that occur very often (at most ``MOST_HOT`` of them) are dealt out over ``SALTS``
+   parts of the join. All other windows are single.
 3. Each document gets its repeated windows and drops the words they cover. Texts of documents
    without a candidate window are finished where they are read and are not shuffled.
 
 The sketch's width follows the number of text bytes, up to ``MOST_CELLS`` cells a row; beyond
 that more single windows are grouped in step 2, with the same result.
 
+A row is named by 128 bits of its doc_id and text, which equal rows share.
+
 Defined results: a null, empty or wordless text has no words and the digest of the empty text;
 documents under ``WINDOW`` words lose nothing; repeated rows repeat each other's windows; null
 doc_ids are handled like others; other columns are ignored.
@@ -23,6 +26,7 @@ doc_ids are handled like others; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .store import small_batches
+from .store import Scratch, small_batches
 
 WINDOW, ANCHOR = 35, 18
 #: Rows of the sketch, cells in a segment (as a power of two), and most cells in a row.
 ROWS, SEGMENT_BITS, MOST_CELLS = 3, 16, 1 << 27
+#: Cells of a row for each anchor, at least; the next power of two is taken.
+CELLS_PER_ANCHOR = 3
+#: Windows of so many occurrences are hot, and parts that a hot one is dealt out over.
+HOT, MOST_HOT, SALTS = 1000, 1 << 16, 64
 #: Anchors that a task holds before it hands on its sketch.
 HELD_ANCHORS = 1 << 21
 
@@ -67,8 +75,11 @@ def cells(value: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def sketch_width(text_bytes: int) -> int:
-    """Cells in a row: eight or more for each anchor, about one anchor being in 60 bytes of text."""
-    return min(MOST_CELLS, max(1 << SEGMENT_BITS, 1 << int(text_bytes / 60 * 8).bit_length()))
+    """Cells in a row: some for each anchor, about one anchor being in 60 bytes of text.
+
+    With three cells an anchor and three rows, one anchor in 45 is taken for repeated by chance.
+    """
+    return min(MOST_CELLS, max(1 << SEGMENT_BITS, 1 << int(text_bytes / 60 * CELLS_PER_ANCHOR).bit_length()))
 
 
 def merged_sketch(docs: DataFrame, window: int, anchor: int, width: int) -> np.ndarray:
@@ -112,7 +123,7 @@ def merged_sketch(docs: DataFrame, window: int, anchor: int, width: int) -> np.n
         at, once, twice = None, None, None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["segment", "twice"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], ["segment", "twice"])
 
         for batch in batches:
             for segment, one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -130,8 +141,8 @@ def merged_sketch(docs: DataFrame, window: int, anchor: int, width: int) -> np.n
     parts = docs.select(F.col("text").cast("string")).mapInArrow(sketch, "segment long, once binary, twice binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment long, twice binary")
     bits = np.zeros((ROWS * segments, (1 << SEGMENT_BITS) // 8), np.uint8)
-    for row in merged.collect():  # at most ROWS * MOST_CELLS bits
-        bits[row["segment"]] = np.frombuffer(row["twice"], np.uint8)
+    for row in merged.collect():  # at most ROWS * MOST_CELLS bits, compressed
+        bits[row["segment"]] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
     return bits.reshape(ROWS, -1)
 
 
@@ -154,10 +165,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """For each row doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
     spark = docs.sparkSession
     small_batches(spark)
-    # (doc_key, text_key) names a row, and rows that are equal anyway. All 64 bits: null and
-    # repeated doc_ids leave the text's part alone to tell millions of rows apart
+    # 128 bits name a row, and rows that are equal anyway, however often a doc_id or null occurs
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text"))
+    docs = docs.withColumn("doc_key", F.xxhash64(F.lit("row"), "doc_id", F.lit("of"), "text")).withColumn("text_key", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, anchor, sketch_width(size)))
 
@@ -179,10 +189,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     )
 
     found = docs.select("text", "doc_key", "text_key").mapInArrow(windows, "h1 long, h2 int, doc_key long, text_key long, start int")
-    repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    hits = found.join(repeated, ["h1", "h2"], "left_semi")
-    # one document's windows: as many as it has words
-    hits = hits.groupBy("doc_key", "text_key").agg(F.collect_list("start").alias("starts"))
+    # from a table: the hot windows are looked at before the join
+    repeated = Scratch(spark, "substring-dedup").keep(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    least = max(HOT, (repeated.agg(F.sum("n")).first()[0] or 0) // MOST_HOT + 1)
+    hot = F.broadcast(repeated.where(F.col("n") >= least).select("h1", "h2", F.lit(SALTS).alias("parts")))  # at most MOST_HOT rows
+    salted = found.join(hot, ["h1", "h2"], "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod("text_key", "parts")).otherwise(0).cast("int")).drop("parts")
+    targets = repeated.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= least, SALTS - 1).otherwise(0))).alias("salt"))
+    hits = salted.join(targets, ["h1", "h2", "salt"], "left_semi")
+    # one row's windows: as many as it has words, once each for rows that are equal
+    hits = hits.groupBy("doc_key", "text_key").agg(F.collect_set("start").alias("starts"))
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if with_text else [])]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text

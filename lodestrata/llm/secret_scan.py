@@ -64,14 +64,17 @@ _KNOWN = "|".join(f"(?:{p})" for p in KNOWN.values())
 _NAMED = r"(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|token|credentials?|auth)"
 _ASSIGNED = _NAMED + r"[\"']?[ \t]{0,2}[:=][ \t]{0,2}"
 _PEM = "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+# Cheap looks back come first: most places of a text aren't behind a sign.
+_BARE = r"[^\s\"'<>,;(){}\[\]]"
+_BEHIND_NAME = rf"(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<={_ASSIGNED}[\"']?)"
 #: A key block's head; a quoted or bare value behind a name; a URL's password; a known format; a run that mixes letters and digits.
 PATTERN = (
-    rf"{_PEM}|(?<={_ASSIGNED}\")[^\s\"]{{6,128}}(?=\")|(?<={_ASSIGNED}')[^\s']{{6,128}}(?=')|(?<={_ASSIGNED})[^\s\"'<>,;(){{}}\[\]]{{6,128}}(?![^\s\"'<>,;(){{}}\[\]])"
-    r"|(?<=://[0-9A-Za-z._%-]{1,64}:)[^\s@/:\"']{4,128}(?=@)"
+    rf"{_PEM}|{_BEHIND_NAME}(?:(?<=\")[^\s\"]{{6,128}}(?=\")|(?<=')[^\s']{{6,128}}(?=')|(?<![\"']){_BARE}{{6,128}}(?!{_BARE}))"
+    r"|(?<=:)(?<=://[0-9A-Za-z._%-]{1,64}:)[^\s@/:\"']{4,128}(?=@)"
     rf"|(?<![0-9A-Za-z_+/-])(?:{_KNOWN}|(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[0-9A-Za-z_+/-]{{12,}}={{0,2}})(?![0-9A-Za-z_+/@-])"
 )
-#: Texts without any of these hold no candidate.
-_GATE = "[0-9]|" + _NAMED + "|://|PRIVATE KEY"
+#: Texts without any of these hold no candidate: a digit, a sign of an assignment or URL, the dashes of a key block.
+_GATE = "[0-9:=-]"
 
 FEATURES = ["length", "changes", "symbols", "distinct", "digits", "upper", "vowel_turns", "hex", "covered", "separators", "assigned", "harmless", "near_sign", "quoted", "known", "in_url", "in_path", "test_path"]
 

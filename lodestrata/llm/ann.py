@@ -6,11 +6,13 @@
    every class is indexed. The table is range-partitioned by (curve, key) and ranks follow from
    the partitions' sizes.
 3. A query looks at the classes whose rank is within a window of its own on any curve. The
-   window is measured, not guessed: a bounded number of pilot queries is compared with every
-   class, and the window takes in ``TARGET`` of their true neighbours on their best curve. On
-   clustered vectors windows are short; on vectors without structure they grow with the table.
+   window is measured, not guessed: a bounded number of pilot vectors, which are no queries as
+   long as there are others, is compared with every class, and the window takes in ``TARGET`` of
+   their true neighbours on their best curve. On clustered vectors windows are short; on vectors
+   without structure they are a fixed share of the table, and no cheaper than comparing with all.
 4. Ranks are cut into blocks; a query goes to the blocks its window meets, whose products are
-   taken at once, and the blocks' best are merged. Scores are cosines of the original vectors.
+   taken at once, and the blocks' best are merged. Scores are cosines of the original vectors, in
+   double precision, computed pair by pair for what is left of a block, so they don't depend on it.
 
 Defined results: vectors that are null, empty, of another dimension than most rows, zero, or
 hold a null or non-finite component take no part; so do rows with a null vec_id; repeated rows
@@ -33,16 +35,17 @@ from .store import Scratch
 
 CURVES, DIMENSIONS, BITS = 8, 8, 6
 #: Share of the pilot's true neighbours that the windows must take in.
-TARGET = 0.97
+TARGET = 0.95
 #: Bounds of the fit: vectors for mean and scale, and pilot queries.
 SAMPLE_VECTORS, PILOT_QUERIES = 10_000, 128
-#: Vectors in a block of ranks, at least.
+#: Vectors in a block of ranks.
 BLOCK = 2048
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, vector array<float>) of the rows that take part."""
-    vector = F.col("embedding").cast("array<float>")
+    """(vec_id, vector) of the rows that take part; doubles and long integers are not narrowed to floats."""
+    narrow = rows.schema["embedding"].dataType.elementType.simpleString() in ("float", "smallint", "tinyint")
+    vector = F.col("embedding").cast("array<float>" if narrow else "array<double>")
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where("vec_id is not null and vector is not null and size(vector) > 0")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good.where(finite & F.exists("vector", lambda x: x != 0))
@@ -60,6 +63,12 @@ def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T) / np.outer(np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1)))
 
 
+def _pair_cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The cosine of each row of q with the same row of v; equal pairs give equal bits wherever they stand."""
+    norm = lambda x: np.sqrt((x * x).sum(1))
+    return (q * v).sum(1) / (norm(q) * norm(v))
+
+
 class Curves:
     """Projections and shifts of all curves."""
 
@@ -94,7 +103,7 @@ def ranked_index(classes: DataFrame, curves: Curves, scratch: Scratch) -> DataFr
             yield batch.append_column("place", pa.array(np.arange(seen, seen + batch.num_rows)))
             seen += batch.num_rows
 
-    schema = "curve int, key long, class_id long, vector array<float>"
+    schema = f"curve int, key long, class_id long, vector {classes.schema['vector'].dataType.simpleString()}"
     keyed = classes.mapInArrow(place, schema).repartitionByRange("curve", "key", "class_id").sortWithinPartitions("curve", "key", "class_id")
     # written before it is counted: a range partitioning may fall out differently when run again
     sorted_ = scratch.keep(keyed.mapInArrow(number, schema + ", place long").withColumn("part", F.spark_partition_id()), "sorted")
@@ -104,9 +113,9 @@ def ranked_index(classes: DataFrame, curves: Curves, scratch: Scratch) -> DataFr
     return sorted_.join(before, ["curve", "part"]).select("curve", (F.col("before") + F.col("place")).alias("rank"), "class_id", "vector")
 
 
-def pilot_window(classes: DataFrame, queries: DataFrame, ranks: DataFrame, k: int, target: float) -> int:
-    """The rank distance within which ``target`` of the pilot queries' true neighbours lie."""
-    pilot = queries.orderBy(F.xxhash64("class_id"), "class_id").limit(PILOT_QUERIES).collect()  # a bounded number
+def pilot_window(classes: DataFrame, pilots: DataFrame, ranks: DataFrame, k: int, target: float) -> int:
+    """The rank distance within which ``target`` of the pilots' true neighbours lie."""
+    pilot = pilots.orderBy(F.xxhash64("class_id"), "class_id").limit(PILOT_QUERIES).collect()  # a bounded number
     if not pilot:
         return 0
     ids, vectors = np.array([r["class_id"] for r in pilot]), np.array([r["vector"] for r in pilot], np.float64)
@@ -149,8 +158,9 @@ def nearest(rows: DataFrame, wanted: str, k: int = 5, curves: int = CURVES, targ
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = scratch.keep(ranked_index(classes, Curves(np.array([r["vector"] for r in sample], np.float64), curves, DIMENSIONS, BITS), scratch), "index")
-    window = pilot_window(classes, queries, index.select("class_id", "curve", "rank"), k, target)
-    block = max(BLOCK, window // 2)
+    others = classes.join(asked.select("class_id").distinct(), "class_id", "left_anti")
+    window = pilot_window(classes, queries if others.isEmpty() else others, index.select("class_id", "curve", "rank"), k, target)
+    block = BLOCK
     blocks = index.withColumn("block", F.floor(F.col("rank") / block))
     looks = index.join(queries.select("class_id"), "class_id", "left_semi").select(F.col("curve").alias("on"), F.col("rank").alias("around"), F.col("class_id").alias("asking"), F.col("vector").alias("query"))
     met = F.sequence(F.floor(F.greatest(F.col("around") - window, F.lit(0)) / block), F.floor((F.col("around") + window) / block))
@@ -164,12 +174,13 @@ def nearest(rows: DataFrame, wanted: str, k: int = 5, curves: int = CURVES, targ
             for a in range(0, len(q), 256):
                 score = _cosines(q[a : a + 256], v)
                 score[(np.abs(around[a : a + 256, None] - at[None, :]) > window) | (asking[a : a + 256, None] == ids[None, :])] = -2
+                score = np.round(score, 12)  # products of whole blocks differ in their last bits
                 top = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k] if len(v) <= k else _top(score, ids, k)
-                row = np.repeat(np.arange(len(score)), top.shape[1])
-                s = score[row, top.ravel()]
-                found = s > -2
-                for o, x in zip(out, (asking[a + row], ids[top.ravel()], s), strict=True):
-                    o.append(x[found])
+                row, top = np.repeat(np.arange(len(score)), top.shape[1]), top.ravel()
+                found = score[row, top] > -2
+                row, top = row[found], top[found]
+                for o, x in zip(out, (asking[a + row], ids[top], _pair_cosines(q[a + row], v[top])), strict=True):
+                    o.append(x)
         made = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], ["asking", "class_id", "score"])
 
@@ -177,8 +188,14 @@ def nearest(rows: DataFrame, wanted: str, k: int = 5, curves: int = CURVES, targ
     found = found.groupBy("asking", "class_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("asking").orderBy(F.desc("score"), "class_id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    own = queries.select(F.col("class_id").alias("asking"), "class_id", (norm / (F.sqrt(norm) * F.sqrt(norm))).alias("score"))
+
+    def with_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array(_pair_cosines(v, v))], ["asking", "class_id", "score"])
+
+    own = queries.select("class_id", "vector").mapInArrow(with_itself, "asking long, class_id long, score double")
     candidates = found.unionByName(own).join(members, "class_id").select("asking", "vec_id", "score")
     first = Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id")
     candidates = candidates.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)

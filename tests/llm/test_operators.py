@@ -482,6 +482,45 @@ def test_neighbours_of_equal_and_broken_vectors(spark):
     assert [(r["rank"], r["vec_id"]) for r in ann.nearest(few, "vec_id % 50 = 0").orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def brute_neighbours(ids, vectors, wanted, k=5):
+    v = np.asarray(vectors, float)
+    unit, out = v / np.linalg.norm(v, axis=1, keepdims=True), {}
+    for q in wanted:
+        score = np.round(unit @ unit[ids == q][0], 13)
+        rest = np.flatnonzero(ids != q)
+        out[q] = ids[rest[np.lexsort((ids[rest], -score[rest]))[:k]]].tolist()
+    return out
+
+
+def neighbours(frame, **more):
+    out: dict = {}
+    for r in ann.nearest(frame, "vec_id % 50 = 0", **more).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
+def test_clustered_vectors_need_short_windows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 32))
+    vectors = centres[rng.integers(0, 400, 8000)] + 0.05 * rng.normal(size=(8000, 32))
+    windows, measured = [], ann.pilot_window
+    monkeypatch.setattr(ann, "pilot_window", lambda *a: windows.append(measured(*a)) or windows[-1])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    out, want = neighbours(frame), brute_neighbours(np.arange(8000), vectors, range(0, 8000, 50))
+    # the pilots that set the window are no queries
+    assert sum(len(set(out[q]) & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    assert 2 * windows[0] * ann.CURVES < 8000 / 2
+
+
+def test_doubles_and_ties_of_different_vectors(spark):
+    base = [1.0, 1e-9, 0.0]
+    rows = [(0, base, 0)] + [(i, [2.0**i, 2.0**i * 1e-9, 0.0], 0) for i in range(1, 12)] + [(20, [1.0, 1e-9 + 1e-8, 0.0], 0), (21, [1.0, 0.0, 1e-4], 0)]
+    frame = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>, label int")
+    assert neighbours(frame)[0] == [1, 2, 3, 4, 5]
+    row = ann.nearest(spark.createDataFrame([(0, [1.0, 1e-5], 0), (1, [1.0, 1e-5 + 1e-12], 0)], "vec_id long, embedding array<double>, label int"), "vec_id % 50 = 0").first()
+    assert row["vec_id"] == 1 and abs(row["score"] - 1) < 1e-15
+
+
 # --- 9 substring dedup
 
 

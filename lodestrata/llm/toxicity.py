@@ -1,12 +1,16 @@
 """Toxicity by weak supervision.
 
 1. Lexicons are mined from a bounded sample of labelled rows: words and word beginnings whose
-   documents are reliably toxic (lower bound of the precision), besides a small fixed list.
-2. ``VOTERS`` voters look for parts of the lexicons and for patterns. Their votes are counted by
-   vote pattern over all documents (at most 2**VOTERS counts).
+   documents are reliably toxic (lower bound of the precision). The sample is dealt into
+   ``FOLDS`` parts, and each part alone makes a lexicon of its own, so these don't share evidence.
+   A short fixed list of insults comes by language.
+2. Each lexicon and each pattern (density, variety, exclamations, shouting) is a voter: it says
+   toxic, says clean, or abstains. Votes are counted by vote pattern over all documents.
 3. A generative label model takes the counts: expectation-maximisation estimates the balance of
-   the two classes, each voter's rate in each (its accuracy) and the voters' correlations within
-   a class; labelled rows keep their label in it. It gives a posterior for each vote pattern.
+   the two classes, how each voter votes in each (its accuracy), and which voters depend on each
+   other within a class: the strongest of these dependencies form a tree, whose edges are modelled
+   (so two lexicons that fire together count little more than one). Labelled rows keep their label
+   in it. It gives a posterior for each vote pattern.
 4. A linear classifier on hit counts is fitted to the posteriors of the sample's documents. It
    scores every document's whole text in one pass without a shuffle.
 
@@ -14,8 +18,9 @@ Rows that are held out (``held_out_of``) are never in the sample, and their labe
 
 Defined results: null, empty and wordless texts get the score of a text without hits; a null
 doc_id is scored and not held out; repeated rows are scored alike; labels without a toxic value
-or a document don't count, and of several labels of a document the largest does; without labels
-the fixed list decides; other columns are ignored.
+or a document don't count, and of several labels of a document the largest does; of several texts
+of a labelled doc_id one is learnt from; without labels the fixed list decides; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .store import small_batches
+from .store import Scratch, small_batches
 
 #: Bounds of the fit: labelled documents, and lexicon entries.
 SAMPLE_DOCUMENTS, LEXICON_ENTRIES = 20_000, 4_096
@@ -36,19 +41,26 @@ SAMPLE_DOCUMENTS, LEXICON_ENTRIES = 20_000, 4_096
 STEMS = (4, 5, 6, 8)
 #: Lower bounds of the precision that make an entry strong, fair or weak.
 TIERS = (0.85, 0.65, 0.45)
-GROUPS = 8
-VOTERS = 16
+GROUPS, FOLDS = 8, 6
 
 # Common insults in the languages of the documents.
-INSULTS = (
-    "idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown",
-    "dumm", "trottel", "abschaum", "wertlos", "idiota", "imbécil", "basura", "estúpido",
-    "imbécile", "crétin", "ordure", "stupide",
-)
+INSULTS = {
+    "en": ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown"),
+    "de": ("dumm", "trottel", "abschaum", "wertlos"),
+    "es": ("idiota", "imbécil", "basura", "estúpido"),
+    "fr": ("imbécile", "crétin", "ordure", "stupide"),
+}
+#: Lexicons of the folds and of the languages, density, variety, exclamations, shouting.
+VOTERS = FOLDS + len(INSULTS) + 4
+ABSTAIN, CLEAN, TOXIC = 0, 1, 2
+#: Words from which on the lack of a lexicon's words speaks for a clean text.
+ENOUGH_WORDS = 30
+#: Dependence of two voters within a class, in nats, from which on it is modelled.
+DEPENDENCE = 0.01
 
 _U = np.uint64
 _CLASS = words.byte_class(words.NOT_ALNUM, True)
-COUNTS = GROUPS + len(TIERS) + 3  # strong hits by group, hits by tier, insults, distinct hits, shouting
+COUNTS = GROUPS + len(TIERS) + 3  # strong hits by group, hits by tier, insults, distinct hits, exclamations
 FEATURES = 2 * COUNTS + 2
 
 
@@ -59,20 +71,26 @@ def term_hashes(block: words.Block) -> list[np.ndarray]:
     return [whole, *(np.where(size >= n, words.mix(h + _U(n)), _U(0)) for n, h in zip(STEMS, stems, strict=True))]
 
 
-def _fixed_terms() -> np.ndarray:
-    return np.concatenate([b.hash for b in words.blocks(pa.array(INSULTS), words.NOT_ALNUM, True)])
+def _fixed_terms() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the fixed list and each one's language."""
+    found = [(b.hash, i) for i, listed in enumerate(INSULTS.values()) for b in words.blocks(pa.array(listed), words.NOT_ALNUM, True)]
+    return np.concatenate([h for h, _ in found]), np.concatenate([np.full(len(h), i) for h, i in found])
 
 
 class Lexicon:
-    """Terms by hash with their tier; a bit table rules most words out at once."""
-
-    def __init__(self, terms: np.ndarray, tier: np.ndarray):
-        fixed = np.setdiff1d(_fixed_terms(), terms)
-        insults = np.concatenate([terms, fixed])
-        tier = np.concatenate([tier, np.full(len(fixed), len(TIERS))])
-        order = np.argsort(insults)
-        self.term, self.tier = insults[order], tier[order]
-        self.fixed = np.isin(self.term, _fixed_terms())
+    """Terms by hash with their tier and folds; a bit table rules most words out at once."""
+
+    def __init__(self, terms: np.ndarray, tier: np.ndarray, folds: np.ndarray):
+        fixed, language = _fixed_terms()
+        new = ~np.isin(fixed, terms)
+        term = np.concatenate([terms, fixed[new]])
+        order = np.argsort(term)
+        self.term = term[order]
+        self.tier = np.concatenate([tier, np.full(new.sum(), len(TIERS))])[order]
+        self.folds = np.concatenate([folds, np.zeros(new.sum(), np.int64)])[order]
+        self.language = np.full(len(term), -1)
+        self.language[np.searchsorted(self.term, fixed)] = language
+        self.fixed = self.language >= 0
         self.bits = np.zeros(1 << 16, bool)
         self.bits[(self.term & _U(0xFFFF)).astype(np.int64)] = True
 
@@ -84,9 +102,10 @@ class Lexicon:
         return maybe[is_term], at[is_term]
 
 
-def counts(block: words.Block, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, number of words) of each document of the block."""
+def counts(block: words.Block, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, number of words, what only voters look at: folds, languages and shouted words) of each document of the block."""
     n, document = len(block.rows), block.document()
+    seen = np.zeros((n, FOLDS + len(INSULTS) + 1), np.int64)
     out = np.zeros((n, COUNTS))
     word, entry = [], []
     for h in term_hashes(block):
@@ -94,6 +113,15 @@ def counts(block: words.Block, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
         word.append(w)
         entry.append(e)
     word, entry = np.concatenate(word), np.concatenate(entry)
+    for f in range(FOLDS):
+        np.add.at(seen[:, f], document[word[(lexicon.folds[entry] >> f) & 1 == 1]], 1)
+    of_language = lexicon.language[entry]
+    for i in range(len(INSULTS)):
+        np.add.at(seen[:, FOLDS + i], document[word[of_language == i]], 1)
+    # a word of three and more letters, the first and the last capitals
+    last = block.data[np.maximum(block.end - 1, 0)] if len(block.end) else block.data[:0]
+    capital = lambda x: (x >= 65) & (x <= 90)
+    np.add.at(seen[:, -1], document[capital(block.data[block.start]) & capital(last) & (block.end - block.start > 2)], 1)
     # a word counts once, by its best entry
     order = np.lexsort((lexicon.tier[entry], word))
     word, entry = word[order], entry[order]
@@ -113,16 +141,16 @@ def counts(block: words.Block, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
     border = np.append(block.start, len(block.data))[block.first]
     border[0] = 0
     np.add.at(out, (np.clip(np.searchsorted(border, marks, "right") - 1, 0, n - 1), GROUPS + len(TIERS) + 2), 1)
-    return out, np.diff(block.first)
+    return out, np.diff(block.first), seen
 
 
-def votes(c: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Each document's voters as bits of one number."""
-    strong = c[:, GROUPS]
+def votes(c: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each document's votes, two bits for each voter, as one number."""
     listed = c[:, GROUPS : GROUPS + len(TIERS)].sum(1)
-    fixed, distinct, marks = c[:, GROUPS + len(TIERS)], c[:, GROUPS + len(TIERS) + 1], c[:, GROUPS + len(TIERS) + 2]
-    each = [*(c[:, :GROUPS] > 0).T, strong > 1, c[:, GROUPS + 1] > 0, c[:, GROUPS + 2] > 1, fixed > 0, fixed > 1, distinct > 2, marks > 2, listed > 0.01 * np.maximum(n, 1)]
-    return sum(v.astype(np.int64) << i for i, v in enumerate(each))
+    distinct, marks = c[:, GROUPS + len(TIERS) + 1], c[:, GROUPS + len(TIERS) + 2]
+    toxic = [*(seen[:, : FOLDS + len(INSULTS)] > 0).T, listed > 0.01 * np.maximum(n, 1), distinct > 2, marks > 2, (seen[:, -1] > 0.3 * np.maximum(n, 1)) & (n > 4)]
+    clean = [(seen[:, f] == 0) & (n >= ENOUGH_WORDS) for f in range(FOLDS)] + [np.zeros(len(n), bool)] * len(INSULTS) + [(listed == 0) & (n > 0)] + [np.zeros(len(n), bool)] * 3
+    return sum(np.where(t, TOXIC, np.where(k, CLEAN, ABSTAIN)).astype(np.int64) << (2 * i) for i, (t, k) in enumerate(zip(toxic, clean, strict=True)))
 
 
 def features(c: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -130,49 +158,84 @@ def features(c: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(c), 10 * np.sqrt(c / size), np.log1p(size) / 5, np.ones_like(size)])
 
 
-def _bits(patterns: np.ndarray) -> np.ndarray:
-    return ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+def _values(patterns: np.ndarray) -> np.ndarray:
+    return (patterns[:, None] >> (2 * np.arange(VOTERS))) & 3
+
+
+def majority(patterns: np.ndarray) -> np.ndarray:
+    """The share of toxic votes among those that don't abstain; a half if all do."""
+    x = _values(patterns)
+    toxic, clean = (x == TOXIC).sum(1), (x == CLEAN).sum(1)
+    return np.where(toxic + clean > 0, toxic / np.maximum(toxic + clean, 1), 0.5)
 
 
 class LabelModel:
-    """Two classes of vote vectors with their rates, a shared within-class covariance, and a balance."""
+    """Two classes of vote vectors: a balance, each voter's votes in each class, and a tree of dependencies.
+
+    ``accuracy``: of each voter where it doesn't abstain. ``edges``: pairs (voter, the one it depends
+    on). ``correlation``: of toxic votes within a class, for every pair.
+    """
 
-    def __init__(self, pattern: np.ndarray, n: np.ndarray, labelled: np.ndarray, label: np.ndarray, n_labelled: np.ndarray, rounds: int = 15):
-        x, xl = _bits(pattern), _bits(labelled)
+    def __init__(self, pattern: np.ndarray, n: np.ndarray, labelled: np.ndarray, label: np.ndarray, n_labelled: np.ndarray, rounds: int = 25):
         pos, neg = n_labelled * label, n_labelled * (1 - label)
         known = pos.sum() > 0 and neg.sum() > 0
         self.balance = float(np.clip((pos.sum() + 1) / (pos.sum() + neg.sum() + 10), 0.005, 0.5)) if known else 0.1
-        all_x = np.vstack([x, xl])
-        # start at the labelled rows, or with votes that speak for toxic
+        every = np.concatenate([pattern, labelled])
+        hot = np.eye(3)[_values(every)].reshape(len(every), -1)
+        # labelled rows weigh a quarter of all others together, at least as much as a row each
+        weight = max(1.0, 0.25 * n.sum() / max(n_labelled.sum(), 1)) if known else 1.0
         if known:
-            self.rates = np.vstack([(neg @ xl + 0.5) / (neg.sum() + 1), (pos @ xl + 0.5) / (pos.sum() + 1)])
-            w = np.vstack([np.concatenate([0 * n, neg]), np.concatenate([0 * n, pos])])
+            self._fit(hot, np.vstack([np.concatenate([0 * n, neg]), np.concatenate([0 * n, pos])]))
+            p = self.posterior(pattern)
         else:
-            start = n @ x / max(n.sum(), 1)
-            self.rates = np.vstack([start * 0.5, np.maximum(start, 0.3)])
-            some = (x[:, : VOTERS - 2].sum(1) > 0).astype(float)
-            w = np.vstack([np.concatenate([n * (1 - some), neg]), np.concatenate([n * some, pos])])
-        # labelled rows weigh as much as all others together
-        weight = max(1.0, n.sum() / max(n_labelled.sum(), 1)) if known else 1.0
+            p = majority(pattern)
         for _ in range(rounds):
-            self._fit(all_x, w)
-            p = self.posterior(pattern)
-            w = np.vstack([np.concatenate([n * (1 - p), weight * neg]), np.concatenate([n * p, weight * pos])])
+            self._fit(hot, np.vstack([np.concatenate([n * (1 - p), weight * neg]), np.concatenate([n * p, weight * pos])]))
+            new = self.posterior(pattern)
             if not known:
-                self.balance = float(np.clip(w[1].sum() / max(w.sum(), 1), 0.005, 0.5))
-        self._fit(all_x, w)
-
-    def _fit(self, x: np.ndarray, w: np.ndarray) -> None:
-        total = np.maximum(w.sum(1, keepdims=True), 1e-9)
-        self.rates = (w @ x + 0.05) / (total + 0.1)
-        spread = sum((x - r).T @ ((x - r) * wi[:, None]) for r, wi in zip(self.rates, w, strict=True)) / max(w.sum(), 1)
-        self.covariance = spread + np.diag(np.full(VOTERS, 2e-3))
-        scale = np.sqrt(np.diag(self.covariance))
-        self.correlation = self.covariance / np.outer(scale, scale)
-        self.weight = np.linalg.solve(self.covariance, self.rates[1] - self.rates[0])
+                self.balance = float(np.clip(n @ new / max(n.sum(), 1), 0.005, 0.5))
+            moved, p = np.abs(new - p).max(initial=0), new
+            if moved < 1e-6:
+                break
+
+    def _fit(self, hot: np.ndarray, w: np.ndarray) -> None:
+        """Votes and dependencies of both classes from weighted rows ``hot`` (three columns for each voter)."""
+        total = np.maximum(w.sum(1), 1e-9)
+        joint = np.stack([(hot * wi[:, None]).T @ hot for wi in w]).reshape(2, VOTERS, 3, VOTERS, 3)
+        single = np.einsum("cvava->cva", joint)
+        rate = (single + 0.2) / (total[:, None, None] + 0.6)
+        both = (joint + 0.2 / 3) / (total[:, None, None, None, None] + 0.6)
+        share = total / total.sum()
+        gain = np.einsum("c,cuavb->uv", share, both * np.log(both / (rate[:, :, :, None, None] * rate[:, None, None])))
+        np.fill_diagonal(gain, 0)
+        # the tree of the largest dependencies, grown voter by voter
+        self.parent = np.full(VOTERS, -1)
+        left, best = set(range(1, VOTERS)), {v: (gain[0, v], 0) for v in range(1, VOTERS)}
+        while left:
+            v = max(left, key=lambda x: best[x][0])
+            left.remove(v)
+            self.parent[v] = best[v][1] if best[v][0] > DEPENDENCE else -1
+            for u in left:
+                best[u] = max(best[u], (gain[v, u], v))
+        self.edges = [(v, int(p)) for v, p in enumerate(self.parent) if p >= 0]
+        self.rate = rate
+        self.table = np.empty((2, VOTERS, 3, 3))  # log of a vote's chance by the parent's vote
+        for v, p in enumerate(self.parent):
+            given = both[:, p, :, v, :] / both[:, p, :, v, :].sum(2, keepdims=True) if p >= 0 else np.repeat(rate[:, None, v], 3, 1)
+            self.table[:, v] = np.log(given)
+        says = rate[:, :, TOXIC] + rate[:, :, CLEAN]
+        right = (1 - self.balance) * rate[0, :, CLEAN] + self.balance * rate[1, :, TOXIC]
+        self.accuracy = right / ((1 - self.balance) * says[0] + self.balance * says[1])
+        t, pair = rate[:, :, TOXIC], joint[:, :, TOXIC, :, TOXIC] / total[:, None, None]
+        cov = np.einsum("c,cuv->uv", share, pair - t[:, :, None] * t[:, None])
+        spread = np.sqrt(np.einsum("c,cv->v", share, t * (1 - t)))
+        self.correlation = cov / np.maximum(np.outer(spread, spread), 1e-12)
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        z = (_bits(pattern) - self.rates.mean(0)) @ self.weight + np.log(self.balance / (1 - self.balance))
+        x = _values(pattern)
+        above = np.where(self.parent >= 0, x[:, np.maximum(self.parent, 0)], 0)
+        chance = self.table[:, np.arange(VOTERS), above, x].sum(2)
+        z = chance[1] - chance[0] + np.log(self.balance / (1 - self.balance))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -195,11 +258,11 @@ def held_out_of(doc_id: Column) -> Column:
 
 
 def mine_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and beginnings of the sample (text, toxic) by the lower bound of their precision."""
+    """Words and beginnings of the sample (text, toxic, fold) by the lower bound of their precision, in all folds and in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            toxic, fold = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
             for block in words.blocks(batch.column(0), words.NOT_ALNUM, True):
                 document = block.document()
                 found = []
@@ -208,21 +271,35 @@ def mine_lexicon(sample: DataFrame) -> Lexicon:
                     h, d = h[order], document[order]
                     new = h != 0
                     new[1:] &= (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                    found.append((h[new], toxic[block.rows[d[new]]]))
-                h, y = (np.concatenate(x) for x in zip(*found, strict=True))
-                term, at = np.unique(h, return_inverse=True)
-                pos = np.bincount(at, y, len(term))
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(pos, pa.float64()), pa.array(np.bincount(at, minlength=len(term)) - pos, pa.float64())], ["term", "pos", "neg"])
+                    row = block.rows[d[new]]
+                    found.append((h[new], toxic[row], fold[row]))
+                h, y, f = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((f, h))
+                h, y, f = h[order], y[order], f[order]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
+                at = np.cumsum(first) - 1
+                pos = np.bincount(at, y, first.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[first].view(np.int64)), pa.array(f[first], pa.int32()), pa.array(pos, pa.float64()), pa.array(np.bincount(at, minlength=first.sum()) - pos, pa.float64())], ["term", "fold", "pos", "neg"]
+                )
 
     sizes = sample.agg(F.sum("toxic")).first()[0] or 0
     least = max(3, round(0.01 * sizes))
-    n = F.col("pos") + F.col("neg")
-    # Wilson's lower bound at two standard errors
-    low = (F.col("pos") + 2 - 2 * F.sqrt(F.col("pos") * F.col("neg") / n + 1)) / (n + 4)
-    terms = sample.mapInArrow(run, "term long, pos double, neg double").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = terms.where(F.col("pos") >= least).withColumn("low", low).where(F.col("low") >= TIERS[-1]).orderBy(F.desc("low"), F.desc("pos"), "term").limit(LEXICON_ENTRIES).collect()
+
+    def low(pos: Column, neg: Column) -> Column:
+        """Wilson's lower bound at two standard errors."""
+        n = pos + neg
+        return F.when(n > 0, (pos + 2 - 2 * F.sqrt(pos * neg / n + 1)) / (n + 4)).otherwise(0.0)
+
+    of = lambda name, f: F.sum(F.when(F.col("fold") == f, F.col(name)).otherwise(0.0)).alias(f"{name}{f}")
+    terms = sample.mapInArrow(run, "term long, fold int, pos double, neg double")
+    terms = terms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *(of(x, f) for f in range(FOLDS) for x in ("pos", "neg")))
+    folds = sum(((low(F.col(f"pos{f}"), F.col(f"neg{f}")) >= TIERS[-1]) & (F.col(f"pos{f}") >= 2)).cast("int") * (1 << f) for f in range(FOLDS))
+    best = terms.where(F.col("pos") >= least).withColumn("low", low(F.col("pos"), F.col("neg"))).where(F.col("low") >= TIERS[-1]).select("term", "low", "pos", folds.alias("folds"))
+    best = best.orderBy(F.desc("low"), F.desc("pos"), "term").limit(LEXICON_ENTRIES).collect()
     tier = np.array([sum(r["low"] < t for t in TIERS) for r in best], np.int64)
-    return Lexicon(np.array([r["term"] for r in best], np.int64).view(np.uint64), tier)
+    return Lexicon(np.array([r["term"] for r in best], np.int64).view(np.uint64), tier, np.array([r["folds"] for r in best], np.int64))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, LabelModel]:
@@ -233,7 +310,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, Labe
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     labels = labels.where(~held_out_of(F.col("doc_id"))).groupBy("doc_id").agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"))
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    sample = docs.join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most SAMPLE_DOCUMENTS labels
+    # one row for each label, however often its doc_id occurs
+    sample = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    sample = Scratch(spark, "toxicity").keep(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
     lexicon = mine_lexicon(sample)
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -246,15 +325,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, Labe
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column(0), words.NOT_ALNUM, True):
-                c, n = counts(block, shared.value)
-                x = features(c, n)
-                yield pa.RecordBatch.from_arrays([pa.array(votes(c, n)), batch.column(1).take(pa.array(block.rows)), pa.array(list(x), pa.list_(pa.float64()))], ["pattern", "toxic", "x"])
+                c, n, seen = counts(block, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(votes(c, n, seen)), batch.column(1).take(pa.array(block.rows)), pa.array(list(features(c, n)), pa.list_(pa.float64()))], ["pattern", "toxic", "x"])
 
+    # a row for each vote pattern
     every = docs.select("text").mapInArrow(count_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    rows = sample.mapInArrow(examples, "pattern long, toxic int, x array<double>").collect()
+    rows = sample.select("text", "toxic").mapInArrow(examples, "pattern long, toxic int, x array<double>").collect()  # SAMPLE_DOCUMENTS at most
     column = lambda r, k, kind: np.array([x[k] for x in r], kind)
     pattern, label = column(rows, "pattern", np.int64), column(rows, "toxic", float)
     model = LabelModel(column(every, "pattern", np.int64), column(every, "n", float), pattern, label, np.ones(len(rows)))
+    shared.unpersist()
     if not rows:  # nothing to fit: the fixed list alone
         weights = np.zeros(FEATURES)
         weights[GROUPS + len(TIERS)], weights[-1] = 4.0, -3.0
@@ -277,7 +357,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep_clean: bool = False) -> Da
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for block in words.blocks(batch.column(batch.schema.get_field_index("text")), words.NOT_ALNUM, True):
-                score[block.rows] = 1 / (1 + np.exp(-np.clip(features(*counts(block, terms)) @ w, -30, 30)))
+                score[block.rows] = 1 / (1 + np.exp(-np.clip(features(*counts(block, terms)[:2]) @ w, -30, 30)))
             if keep_clean:
                 yield batch.filter(pa.array(score < 0.5))
             else:

@@ -187,18 +187,57 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
 
 
-def test_label_model_finds_rates_and_correlations():
+def simulated_votes(rng, n, accuracy, speaks):
+    """(label, votes): voters of these accuracies that speak so often; the first four always agree."""
+    y = rng.random(n) < 0.25
+    right = rng.random((n, toxicity.VOTERS)) < accuracy
+    said = np.where(right == y[:, None], toxicity.TOXIC, toxicity.CLEAN)
+    out = np.where(rng.random((n, toxicity.VOTERS)) < speaks, said, toxicity.ABSTAIN)
+    out[:, 1:4] = out[:, :1]
+    return y.astype(float), (out << (2 * np.arange(toxicity.VOTERS))).sum(1)
+
+
+def test_label_model_finds_accuracies_and_dependencies_and_beats_the_majority():
     rng = np.random.default_rng(0)
-    y = rng.random(20_000) < 0.2
-    fires = np.where(y[:, None], 0.8, 0.05) > rng.random((len(y), toxicity.VOTERS))
-    fires[:, 1] = fires[:, 0]  # two voters that always agree
-    pattern = (fires.astype(np.int64) << np.arange(toxicity.VOTERS)).sum(1)
+    accuracy = np.array([0.6] * 4 + [0.95, 0.9, 0.85] + [0.7] * (toxicity.VOTERS - 7))
+    y, pattern = simulated_votes(rng, 30_000, accuracy, 0.7)
     values, n = np.unique(pattern, return_counts=True)
-    few = slice(0, 500)
-    model = toxicity.LabelModel(values, n.astype(float), pattern[few], y[few].astype(float), np.ones(500))
-    assert np.abs(model.rates[1] - 0.8).max() < 0.06 and np.abs(model.rates[0] - 0.05).max() < 0.03
-    assert model.correlation[0, 1] > 0.9 and abs(model.correlation[0, 2]) < 0.1
-    assert ((model.posterior(pattern) > 0.5) == y).mean() > 0.99
+    few = slice(0, 200)
+    model = toxicity.LabelModel(values, n.astype(float), pattern[few], y[few], np.ones(200))
+    assert np.abs(model.accuracy - accuracy).max() < 0.05
+    linked = {frozenset(e) for e in model.edges}
+    assert len([e for e in linked if e <= {0, 1, 2, 3}]) == 3 and len(linked) <= 5
+    assert model.correlation[0, 1] > 0.9 and abs(model.correlation[0, 5]) < 0.1
+    held = slice(200, None)
+    right = lambda p: ((p[held] > 0.5) == y[held]).mean()
+    assert right(model.posterior(pattern)) > right(toxicity.majority(pattern)) + 0.03
+
+
+def test_label_model_beats_the_majority_with_200_labels(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.where(~toxicity.held_out_of(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(200)
+    out = toxicity.toxicity(docs, few).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    lexicon, _, model = toxicity.learn(docs, few)
+    held = docs.join(labels.where(toxicity.held_out_of(F.col("doc_id"))), "doc_id").select("text", "toxic").collect()
+    pattern = np.concatenate([toxicity.votes(*toxicity.counts(b, lexicon)) for b in words.blocks(pa.array([r["text"] for r in held]), words.NOT_ALNUM, True)])
+    y = np.array([r["toxic"] for r in held])
+    error = lambda p: ((p > 0.5) != y).mean()
+    voted, modelled, scored = error(toxicity.majority(pattern)), error(model.posterior(pattern)), np.mean([r["predicted"] != r["toxic"] for r in out])
+    print(f"errors: majority {voted:.4f}, label model {modelled:.4f}, classifier {scored:.4f}")
+    assert modelled < voted and scored <= voted
+
+
+def test_the_sample_is_bounded_by_labels(spark):
+    rows = [(1, f"you idiot {i}") for i in range(300)] + [(i, "a fine day") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, 0, int(i == 1)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    fitted: list = []
+    fit, toxicity.fit_linear = toxicity.fit_linear, lambda x, y: fitted.append(len(x)) or fit(x, y)
+    try:
+        toxicity.learn(documents(spark, rows), labels)
+    finally:
+        toxicity.fit_linear = fit
+    assert fitted[0] <= 39
 
 
 # --- 4 near-dedup

@@ -71,7 +71,7 @@ def anchors(block: words.Block, window: int, anchor: int) -> tuple[np.ndarray, n
 
 
 def cells(value: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (words.mix(value + _U(row + 1) * _U(0x9E3779B97F4A7C15)) & _U(width - 1)).astype(np.int64)
+    return (words.mix(value + words.salted(row + 1)) & _U(width - 1)).astype(np.int64)
 
 
 def sketch_width(text_bytes: int) -> int:

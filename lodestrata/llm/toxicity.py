@@ -181,7 +181,7 @@ class LabelModel:
         known = pos.sum() > 0 and neg.sum() > 0
         self.balance = float(np.clip((pos.sum() + 1) / (pos.sum() + neg.sum() + 10), 0.005, 0.5)) if known else 0.1
         every = np.concatenate([pattern, labelled])
-        hot = np.eye(3)[_values(every)].reshape(len(every), -1)
+        hot = np.eye(3)[_values(every)].reshape(len(every), 3 * VOTERS)
         # labelled rows weigh a quarter of all others together, at least as much as a row each
         weight = max(1.0, 0.25 * n.sum() / max(n_labelled.sum(), 1)) if known else 1.0
         if known:

@@ -33,6 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def salted(salt: int) -> np.uint64:
+    """A number to add to hashes, another for each salt."""
+    return _U(salt * int(_GOLDEN) & (1 << 64) - 1)
+
+
 _BYTE_VALUE = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _GOLDEN)
 #: Bytes hashed at once; the tables of powers have one entry more.
 _STEP = BLOCK_BYTES // 2
@@ -154,7 +159,7 @@ def run_hashes(hash_: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(hash_) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    have, out, done, size = mix(hash_ + _U(salt) * _GOLDEN), None, 0, 1
+    have, out, done, size = mix(hash_ + salted(salt)), None, 0, 1
     while True:
         if k & size:
             part = have[done : done + n]

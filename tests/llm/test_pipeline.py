@@ -43,3 +43,34 @@ def test_stages(spark, sf_dir, tmp_path):
     assert len({r["sequence_id"] for r in after["packing"]}) <= -(-total // 2048) + 1
     again = {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect()}
     assert again == want
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, None), (2, ""), (3, " \t"), (None, None), (None, "free text of nobody"), (4, "one"), (5, "ONE"), (6, "mail a.b@c.org now please all of you"), (6, "another text of six words here"), (7, "x " + passage), (8, "z" * 200_000), (9, "so long " * 30_000)]
+    given = {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit("clash").alias("kept"), F.lit("clash").alias("length")),
+        "labels": spark.createDataFrame([(4, 1, 0), (None, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, passage), (None, None)], "item_id long, text string"),
+    }
+    for empty in (False, True):
+        sf = str(tmp_path / f"sf{empty}")
+        for name, frame in given.items():
+            frame.where(F.lit(not (empty and name == "documents"))).write.parquet(f"{sf}/{name}.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, docs, sf).write.parquet(f"{sf}/{name}")
+            docs = spark.read.parquet(f"{sf}/{name}")
+            assert docs.columns == columns
+        left = docs.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert sum(r["length"] for r in packed) >= len(left) and (bool(left) or not packed)
+        if not empty:
+            assert sorted((r["doc_id"] for r in left), key=str) == sorted([1, 2, 3, None, None, 4, 6, 8, 9], key=str)
+            assert not any("a.b@" in (r["text"] or "") for r in left) and all(r["kept"] == "clash" for r in left)
+            assert len({r["sequence_id"] for r in packed if r["doc_id"] == 1}) == 1

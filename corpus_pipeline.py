@@ -2,11 +2,18 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again before the next one. All but the last return the columns of ``documents``.
+
+Defined results: rows with a null, empty or wordless text pass every stage and are packed as a
+piece with the end id alone; rows with a null doc_id pass unless their text is toxic or
+contaminated; of rows with one doc_id the near-dedup keeps one; further columns pass through all
+stages but the last; texts of any length are handled whole; an empty table gives an empty result.
+
+The pseudonyms' key is the setting ``spark.lodestrata.pii.key``. Without it the example key is
+taken, which is no secret: set it for any corpus whose pseudonyms must not be undone.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +38,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal numbers, dates and addresses."""
-    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    key = spark.conf.get("spark.lodestrata.pii.key", None) or spark.sparkContext.getConf().get("spark.lodestrata.pii.key") or pii.KEY
+    return pii.pseudonymise(docs, key).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

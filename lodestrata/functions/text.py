@@ -15,20 +15,24 @@ STATUS_LABELS = {"pending": "Pending", "ready": "Ready", "failed": "Failed", "qu
 ICON_CLASSES = {"pdf": "pdf", "doc": "document", "docx": "document", "xls": "sheet", "xlsx": "sheet", "ppt": "slides", "pptx": "slides", "txt": "text", "md": "text"}
 
 
-def chunk_count(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """Windows of ``size`` code points, each ``size - overlap`` after the last, the last touching the end."""
+def chunk_count(length: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """Windows of ``size`` code points in a text of ``length``, each ``size - overlap`` after the last, the last touching the end."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and less than the size")
-    length = F.length(text)
     windows = F.greatest(F.lit(1), F.ceil((length - overlap) / (size - overlap)))
     return F.when(length > 0, windows).otherwise(0).cast("int")
 
 
+def chunk_content(text: Column, index: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """The chunk with this index (from 0)."""
+    return F.substr(text, (index * (size - overlap) + 1).cast("int"), F.lit(size))
+
+
 def chunks(docs: DataFrame, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """A row for each chunk: the columns of ``docs`` but the text, and chunk_index, content."""
-    count = chunk_count(F.col(text), size, overlap)
+    count = chunk_count(F.length(text), size, overlap)
     rows = docs.where(count > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), count - 1)))
-    content = F.substr(F.col(text), F.col("chunk_index") * (size - overlap) + 1, F.lit(size))
+    content = chunk_content(F.col(text), F.col("chunk_index"), size, overlap)
     return rows.select(*(c for c in docs.columns if c != text), F.col("chunk_index").cast("long").alias("chunk_index"), content.alias("content"))
 
 

@@ -76,14 +76,10 @@ def dense_leg_batch(vectors: DataFrame, queries: DataFrame, limit: int = 2 * K,
 def lexical_matches(chunks: DataFrame, query: str, analyzer: str = "simple") -> DataFrame:
     """chunk_id and cover-density ``score`` of the ready chunks that hold all terms."""
     terms = L.query_terms(query, analyzer)
-    ready = chunks.where("status = 'ready'")
-    if analyzer == "english":
-        token_array = L.english_tokens(F.col("content"))
-    else:
-        low = F.lower("content")
-        for term in terms:  # a cheap test before the words are looked at
-            ready = ready.where(low.contains(term))
-        token_array = L.tokens(F.col("content"))
+    ready, low = chunks.where("status = 'ready'"), F.lower("content")
+    for term in terms:  # a cheap test before the words are looked at; a stem but for its last letter begins all its words
+        ready = ready.where(low.contains(term[:-1] if analyzer == "english" else term))
+    token_array = L.english_tokens(F.col("content")) if analyzer == "english" else L.tokens(F.col("content"))
     if not terms:
         ready = ready.where(F.lit(False))
     # one lambda and one generator, so the plan has the tokens once; a match is a score above 0
@@ -114,9 +110,9 @@ def retrieve(vectors: DataFrame, docs: DataFrame, query_vector: list[float], que
     ``docs``: documents with their text; after the ranking only those of the k best are cut again.
     """
     best = ranked(fuse(dense_leg(vectors, query_vector, 2 * k), lexical_leg(T.document_chunks(docs), query_text, 2 * k)), [F.desc("score"), "chunk_id"], k)
-    best = best.withColumn("_doc", F.floor(F.col("chunk_id") / T.CHUNK_IDS))  # k rows
-    wanted = docs.join(F.broadcast(best.select(F.col("_doc").alias("doc_id"))), "doc_id", "left_semi")
-    return T.document_chunks(wanted).select("chunk_id", "doc_id", "filename", "content").join(F.broadcast(best), "chunk_id").select("rank", "chunk_id", "doc_id", "filename", "content", "score")
+    best = best.select("rank", "chunk_id", "score", F.floor(F.col("chunk_id") / T.CHUNK_IDS).alias("doc_id"))  # k rows
+    content = T.chunk_content(F.col("text"), F.col("chunk_id") % T.CHUNK_IDS)
+    return docs.join(F.broadcast(best), "doc_id").select("rank", "chunk_id", "doc_id", "filename", content.alias("content"), "score")
 
 
 def sources(hits: DataFrame) -> DataFrame:

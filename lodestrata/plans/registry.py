@@ -52,7 +52,7 @@ def chunk_split(t: Tables) -> DataFrame:
 def chunk_token_count(t: Tables) -> DataFrame:
     # no row for each chunk: a document's counts follow from its length
     text = F.col("text")
-    n = T.chunk_count(text)
+    n = T.chunk_count(F.length(text))
     size = lambda i: F.least(F.lit(T.CHUNK), F.length(text) - i * (T.CHUNK - T.OVERLAP))
     total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.floor(size(i) / 4), F.lit(1))), F.lit(0).cast("long"), lambda s, x: s + x)
     return t.raw("documents").where(n > 0).select("doc_id", n.cast("long").alias("n_chunks"), total.alias("n_tokens"))
@@ -563,6 +563,7 @@ def sse_assemble(t: Tables) -> DataFrame:
 
 @query
 def stream_concat(t: Tables) -> DataFrame:
+    # one conversation is one row here, as a listing shows it; ``op1_chat_format`` streams long ones
     parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
     return t.raw("conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("transcript"))
 

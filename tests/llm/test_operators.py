@@ -570,6 +570,13 @@ def test_repeats_go(spark):
     assert text == {202: "", 203: "q z\x1cz"}
 
 
+def test_a_sketch_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MOST_CELLS", 0)
+    monkeypatch.setattr(substring_dedup, "sketch_width", lambda size: 4 << substring_dedup.SEGMENT_BITS)
+    rows = [r for r in awkward() if r[0] != 204]
+    assert rows_of(substring_dedup.remove_repeats(documents(spark, rows))) == brute.without_repeats(rows, substring_dedup.WINDOW)
+
+
 def test_very_common_windows_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", 5)
     passage = " ".join(f"p{i}" for i in range(40))

@@ -196,8 +196,12 @@ def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
     ``links``: pairs (a, b) of doc_ids that should share a shard; a link to no row is ignored.
     """
     scratch = Scratch(rows.sparkSession, "sharding")
-    # a number for rows that are equal in all that is known of them
-    rows = scratch.keep(rows.withColumn("row", F.row_number().over(Window.partitionBy(*[F.col(c) for c in rows.columns]).orderBy(F.lit(0)))), "rows")
+    # rows that are equal in all that is known of them get a number; however many there are, no task holds them together
+    columns = rows.columns
+    equal = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_equal"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    told = rows.join(scratch.keep(equal, "equal"), same, "left")
+    rows = scratch.keep(told.select(*columns, F.when(F.col("_equal"), F.monotonically_increasing_id() + 1).otherwise(0).alias("row")), "rows")
     total = rows.count()
     target = [total // shards + (s < total % shards) for s in range(shards)]
     ends = scratch.keep(links.where("a != b").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")

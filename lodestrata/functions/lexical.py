@@ -130,11 +130,15 @@ def matches(token_array: Column, terms: list[str]) -> Column:
 
 def cover_density(token_array: Column, terms: list[str], digits: int = 9) -> Column:
     """The sum over covers; 0 if a term is missing."""
-    n = len(terms)
-    if not n:
+    if not terms:
         return F.lit(0.0)
     index = F.array(*map(F.lit, terms))
     hits = F.filter(F.transform(token_array, lambda t, i: F.struct(F.array_position(index, t).cast("int").alias("term"), i.alias("at"))), lambda h: h["term"] > 0)
+    return density_of_hits(hits, len(terms), digits)
+
+
+def density_of_hits(hits: Column, n: int, digits: int = 9) -> Column:
+    """The sum over covers of ``n`` terms from their places: structs (term from 1, at) by ``at``."""
     start = F.struct(F.array(*[F.lit(-1)] * n).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
 
     def step(s: Column, h: Column) -> Column:

@@ -194,4 +194,5 @@ ORACLES: dict[str, str] = {
     "cascade_delete": with_(DOCS, VECTORS, JOBS)
     + """SELECT doc_id, child, count(*) AS n FROM (SELECT doc_id, 'chunks' AS child FROM keys UNION ALL SELECT doc_id, 'vectors' FROM vectors UNION ALL SELECT doc_id, 'jobs' FROM jobs) WHERE doc_id % 10 <> 0 GROUP BY ALL""",
     "restricted_departments": "SELECT DISTINCT source AS department_id, 'Department ' || source AS name FROM documents WHERE source = 'src1'",
+    "lexical_topk_indexed": with_(DOCS, CHUNKS, lexical()) + "SELECT chunk_id, score, rank FROM lexical",
 }

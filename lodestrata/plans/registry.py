@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, uploads
+from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, text_index, uploads
 from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
 from ..sources import blobs
 from ..sources.shared import shared_folder
@@ -266,6 +266,13 @@ def lexical_topk(t: Tables) -> DataFrame:
     return retrieval.lexical_leg(t.chunks(), QUESTION)
 
 
+@query
+def lexical_topk_indexed(t: Tables) -> DataFrame:
+    root = f"{shared_folder(t.spark)}/lodestrata/index-{uuid.uuid4().hex}"
+    text_index.write_index(t.chunks(), root)
+    return retrieval.ranked(text_index.indexed_matches(t.spark, root, QUESTION), [F.desc("score"), "chunk_id"], 2 * retrieval.K)
+
+
 @query
 def lexical_english(t: Tables) -> DataFrame:
     return retrieval.lexical_leg(t.chunks(), "the thing thing", analyzer="english")

@@ -30,7 +30,7 @@ from .store import Scratch
 
 SHARDS = 8
 #: Rounds at most; they end as soon as neither followers nor leaders gain by a move.
-ROUNDS = 60
+ROUNDS = 24
 #: Hash slices of equal gain among the movers of one kind; a quota is met to within one slice.
 SLICES = 1024
 #: A node of more than one row and of more than this part of a shard is heavy.

@@ -11,8 +11,8 @@
    other within a class: the strongest of these dependencies form a tree, whose edges are modelled
    (so two lexicons that fire together count little more than one). Labelled rows keep their label
    in it. It gives a posterior for each vote pattern.
-4. A linear classifier on hit counts is fitted to the posteriors of the sample's documents. It
-   scores every document's whole text in one pass without a shuffle.
+4. A linear classifier on hit counts is fitted to the posteriors of the sample's documents, whose
+   labels vote with the others. It scores every document's whole text in one pass without a shuffle.
 
 Rows that are held out (``held_out_of``) are never in the sample, and their labels are not read.
 
@@ -55,6 +55,8 @@ VOTERS = FOLDS + len(INSULTS) + 4
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 #: Words from which on the lack of a lexicon's words speaks for a clean text.
 ENOUGH_WORDS = 30
+#: How often a given label is taken to be right, and the most that votes may say against it (log odds).
+LABEL_ACCURACY, MOST_EVIDENCE = 0.995, 4.0
 #: Dependence of two voters within a class, in nats, from which on it is modelled.
 DEPENDENCE = 0.01
 
@@ -231,11 +233,14 @@ class LabelModel:
         spread = np.sqrt(np.einsum("c,cv->v", share, t * (1 - t)))
         self.correlation = cov / np.maximum(np.outer(spread, spread), 1e-12)
 
-    def posterior(self, pattern: np.ndarray) -> np.ndarray:
+    def posterior(self, pattern: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """Chance of the toxic class; with ``label`` that of rows whose label is one more, very accurate voter."""
         x = _values(pattern)
         above = np.where(self.parent >= 0, x[:, np.maximum(self.parent, 0)], 0)
         chance = self.table[:, np.arange(VOTERS), above, x].sum(2)
         z = chance[1] - chance[0] + np.log(self.balance / (1 - self.balance))
+        if label is not None:
+            z = np.clip(z, -MOST_EVIDENCE, MOST_EVIDENCE) + (2 * label - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -340,7 +345,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, Labe
         weights[GROUPS + len(TIERS)], weights[-1] = 4.0, -3.0
         return lexicon, weights, model
     x = np.array([r["x"] for r in rows])
-    return lexicon, fit_linear(x, model.posterior(pattern)), model
+    return lexicon, fit_linear(x, model.posterior(pattern, label)), model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep_clean: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..sources.blobs import lossy_text
 from . import jobs as J
 
-#: A document's error without its bytes, and with a vector of another dimension.
+#: The error of a document without its bytes.
 NO_BLOB = "the document's bytes are missing"
 
 

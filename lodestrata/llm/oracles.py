@@ -53,3 +53,31 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+#: CRC-32 of a string of ASCII characters: the table of bytes from its rule, and the fold over them.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH hashed AS (SELECT doc_id, {_SPACED.format("coalesce(text, '')")} AS ws, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, {_CRC_TABLE}),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM hashed),
+w AS (
+    SELECT doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(len(ws)), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws
+    FROM (SELECT *, 1 + (len(ws) - a) // (3 + (h // 10) % 8) AS p FROM placed)),
+-- a run's words, but for the last period, begin with six words that stand again one period later
+passages AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 6], ' ') AS six FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 5)) AS i FROM w WHERE len(ws) > 5)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM passages x JOIN passages y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) + 5 + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, s, n, min(q) AS q FROM islands WHERE n >= greatest(12, 2 * q) GROUP BY doc_id, s, n),
+told AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+        first(s ORDER BY n DESC, s, q) AS s, max(n) AS n, first(q ORDER BY n DESC, s, q) AS q FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS k FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM w) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -6,9 +6,11 @@ from .ann import op8_hilbert_neighbours
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontamination import op10_decontamination
 from .near_dedup import op4_near_dedup
-from .oracles import OP4_SQL, OP9_SQL, OP10_SQL
+from .oracles import OP4_SQL, OP9_SQL, OP10_SQL, OP13_SQL
 from .packing import op5_best_fit_packing
+from .pieces import op12_sentencepiece
 from .pii import op7_pseudonyms
+from .runs import op13_periodic_runs
 from .secret_scan import op6_secret_scan
 from .sharding import op2_sharding
 from .substring_dedup import op9_substring_dedup
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op4_near_dedup": OP4_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }

@@ -6,11 +6,12 @@ stand on an agenda, ordered by the piece's score, then from left to right. The b
 joined and its new neighbours go on the agenda, until it is empty. A symbol that is no piece is
 written as its UTF-8 bytes' pieces.
 
-No piece has U+2581 behind another character (checked when the vocabulary is loaded; without that
-a text is one chunk), so no join crosses from a word into the blank before the next one. A text is
-cut there, each distinct chunk is worked out once for a while, and what it gives is compared with
-the library's ids for that chunk, batch by batch. Decoded texts are compared with the library's
-as wholes. A difference is an error, as the vocabulary is then of another kind.
+Two characters can be joined only if some piece has both, so the characters fall into families
+that no piece mixes, U+2581 apart. A text is cut where the family changes and before U+2581
+(without cuts if a piece has it behind another character). Each distinct chunk is worked out once
+for a while, and what it gives is compared with the library's ids for that chunk, batch by batch.
+Decoded texts are compared with the library's as wholes. A difference is an error, as the
+vocabulary is then of another kind.
 
 Defined results: null and empty texts are the end id alone, and decode to an empty text; texts of
 any length are encoded whole; rows may repeat, and other columns are passed through; an empty
@@ -22,7 +23,9 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +62,7 @@ class Vocabulary:
         special = [lib.is_control(i) or lib.is_unknown(i) for i in range(n)]
         normal = [i for i in range(n) if not (special[i] or lib.is_byte(i) or lib.is_unused(i))]
         self.ids = {names[i]: i for i in normal}
-        self.scores = {names[i]: lib.get_score(i) for i in normal}
+        self.cost = {names[i]: -lib.get_score(i) for i in normal}
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.end, self.unknown = lib.eos_id(), lib.unk_id()
         # what each id says when decoded
@@ -68,30 +71,52 @@ class Vocabulary:
         self.said_at = np.concatenate([[0], np.cumsum([len(x) for x in said])])
         self.silent = np.array([lib.is_control(i) for i in range(n)])
         self.blank_first = np.array([x.startswith(BLANK) and not s for x, s in zip(names, special, strict=True)])
-        self.apart = not any(BLANK in x.lstrip(BLANK) for x in self.scores)
-        self.cut = re.compile(f"{BLANK}+[^{BLANK}]*").findall
+        # a character that is in no longer piece: behind it the library starts as we do
+        self.guard = next(c for c in map(chr, range(9, 0x3000)) if c not in " \r" and not any(c in x for x in self.cost))
+        self.lead = lib.encode(self.guard)
+        self.cut = re.compile(self._chunk_pattern(), re.S).findall
         self.forget()
 
+    def _chunk_pattern(self) -> str:
+        """A chunk: blanks and characters of one family behind them."""
+        if any(BLANK in x.lstrip(BLANK) for x in self.cost):
+            return ".+"
+        family: dict[str, str] = {}
+
+        def head(c: str) -> str:
+            while family.setdefault(c, c) != c:
+                c = family[c]
+            return c
+
+        for piece in self.cost:
+            word = piece.lstrip(BLANK)
+            for c in word[1:]:
+                family[head(c)] = head(word[0])
+        members: dict[str, list[str]] = {}
+        for c in list(family):
+            members.setdefault(head(c), []).append(c)
+        groups = ["[" + "".join(map(re.escape, sorted(m))) + "]+" for m in sorted(members.values(), key=len, reverse=True) if len(m) > 1]
+        return f"{BLANK}*(?:{'|'.join([*groups, f'[^{BLANK}]'])})|{BLANK}+"
+
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.known_chars, self.flat, self.flat_at = 0, [self.end], [0, 1]  # entry 0 is the end id alone
+        # chunk -> entry, and the entries' ids one after the other; no chunk stands for the end
+        self.code: dict[str, int] = {"": 0}
+        self.known_chars, self.flat, self.flat_at = 0, array("i", [self.end]), array("q", [0, 1])
 
     def chunks(self, text: str) -> list[str]:
         """The parts of a text that no piece reaches across."""
         if not text:
             return []
-        text = BLANK + text.replace(" ", BLANK)
-        return self.cut(text) if self.apart else [text]
+        return self.cut(BLANK + text.replace(" ", BLANK))
 
     def symbols(self, chunk: str) -> list[str]:
         """The chunk's characters, joined by the agenda."""
-        scores, part = self.scores, list(chunk)
+        cost, part = self.cost, list(chunk)
         n = len(part)
+        agenda = [(c, i, part[i] + part[i + 1]) for i in range(n - 1) if (c := cost.get(part[i] + part[i + 1])) is not None]
+        if not agenda:
+            return part
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            if (score := scores.get(joined := part[i] + part[i + 1])) is not None:
-                agenda.append((-score, i, joined))
         heapq.heapify(agenda)
         while agenda:
             _, i, joined = heapq.heappop(agenda)
@@ -103,10 +128,10 @@ class Vocabulary:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (score := scores.get(both := joined + part[k])) is not None:
-                    heapq.heappush(agenda, (-score, i, both))
-            if (h := before[i]) >= 0 and (score := scores.get(both := part[h] + joined)) is not None:
-                heapq.heappush(agenda, (-score, h, both))
+                if (c := cost.get(both := joined + part[k])) is not None:
+                    heapq.heappush(agenda, (c, i, both))
+            if (h := before[i]) >= 0 and (c := cost.get(both := part[h] + joined)) is not None:
+                heapq.heappush(agenda, (c, h, both))
         return [p for p in part if p]
 
     def ids_of(self, chunk: str) -> list[int]:
@@ -122,13 +147,13 @@ class Vocabulary:
         """Encode chunks that are new, and compare with the library."""
         if not chunks:
             return
-        theirs = self.library.encode([c[1:].replace(BLANK, " ") for c in chunks], num_threads=1)
+        theirs = self.library.encode([self.guard + c.replace(BLANK, " ") for c in chunks], num_threads=1)
         for chunk, want in zip(chunks, theirs, strict=True):
             got = self.ids_of(chunk)
-            if got != want and chunk != BLANK:  # the library gives nothing for no text; one symbol alone has nothing to be joined to
+            if self.lead + got != want:
                 raise ValueError(f"the library encodes {chunk[:100]!r} in another way; the vocabulary must be of merge type, with plain normalisation")
-            self.code[chunk] = len(self.code) + 1
-            self.flat += got
+            self.code[chunk] = len(self.code)
+            self.flat.extend(got)
             self.flat_at.append(len(self.flat))
             self.known_chars += len(chunk)
 
@@ -143,11 +168,14 @@ class Vocabulary:
             if self.known_chars > KNOWN_CHARS:
                 self.forget()
             parts = [self.chunks(t) for t in texts[a:b]]
-            self.learn(list({c: None for p in parts for c in p if c not in self.code}))
-            codes = np.fromiter((x for p in parts for x in (*map(self.code.__getitem__, p), 0)), np.int64)
-            at = np.asarray(self.flat_at)
-            values.append(gather(np.asarray(self.flat, np.int32), at, codes))
-            ends = np.cumsum([len(p) + 1 for p in parts])
+            for p in parts:
+                p.append("")  # the end
+            row = list(itertools.chain.from_iterable(parts))
+            self.learn(list(set(row).difference(self.code)))
+            codes = np.fromiter(map(self.code.__getitem__, row), np.int64, len(row))
+            at = np.frombuffer(self.flat_at, np.int64).copy()
+            values.append(gather(np.frombuffer(self.flat, np.int32).copy(), at, codes))
+            ends = np.cumsum([len(p) for p in parts])
             total = np.concatenate([[0], np.cumsum(at[codes + 1] - at[codes])])
             sizes.append(np.diff(total[np.concatenate([[0], ends])]))
             a = b

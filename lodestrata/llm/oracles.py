@@ -81,3 +81,57 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM (SELECT do
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM w LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _best(*offers: str) -> str:
+    return f"list_min([{', '.join(offers)}])"
+
+
+def _then(item: str, cost: str, edit: str, if_: str = "true") -> str:
+    """What an item of the chart costs with one more edit; out of reach unless ``if_``."""
+    return f"{{'c': {item}.c + CASE WHEN {if_} THEN {cost} ELSE 1000000000 END, 'w': {item}.w || {edit}}}"
+
+
+def _read(item: str, initial: str) -> str:
+    return _then(item, f"dearer + CASE WHEN i = '{initial}' THEN 0 ELSE 1 END", f"CASE WHEN i = '{initial}' THEN 'K' ELSE 'R' END", "NOT gone")
+
+
+#: The same chart with whole audits in its items: e nothing, s a system turn, u an open question, a an answer.
+OP11_SQL = f"""
+WITH RECURSIVE coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("key")} % 20 AS d
+    FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations), {_CRC_TABLE}),
+damaged AS (
+    SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM coded WHERE d <> 0
+    UNION ALL SELECT conv_id, turn, role, text FROM coded WHERE d = 3),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS i FROM damaged),
+judged AS (
+    SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+    FROM numbered),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS dearer FROM judged),
+told AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows GROUP BY conv_id),
+chart AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'w': ''}} AS e, {{'c': CAST(1000000000 AS BIGINT), 'w': ''}} AS s, {{'c': CAST(5 AS BIGINT), 'w': 'I'}} AS u, {{'c': CAST(10 AS BIGINT), 'w': 'II'}} AS a FROM told
+    UNION ALL
+    SELECT conv_id, n, e, s, u, {_best("a", _then("u", "5", "'I'"))} FROM (
+        SELECT conv_id, n, e, s, {_best("u", _then("e", "5", "'I'"), _then("s", "5", "'I'"), _then("a", "5", "'I'"))} AS u, a FROM (
+            SELECT c.conv_id, r.n, {_then("c.e", "2", "'D'")} AS e, {_best(_then("c.s", "2", "'D'"), _then("c.e", "dearer", "'K'", "NOT gone AND i = 's'"))} AS s,
+                {_best(_then("c.u", "2", "'D'"), _read("c.e", "u"), _read("c.s", "u"), _read("c.a", "u"))} AS u, {_best(_then("c.a", "2", "'D'"), _read("c.u", "a"))} AS a
+            FROM chart c JOIN rows r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.n = c.n + 1))),
+done AS (SELECT t.*, {_best("c.e", "c.a")} AS best FROM told t JOIN chart c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.n = t.n),
+letters AS (SELECT conv_id, best.w AS w, unnest(range(1, length(best.w) + 1)) AS k FROM done),
+placed AS (SELECT *, w[k] AS edit, k - length(replace(w[1 : k], 'I', '')) AS before, k - (length(w[1 : k]) - length(replace(w[1 : k], 'D', ''))) AS place, length(replace(w, 'D', '')) % 2 AS odd FROM letters),
+turns AS (
+    SELECT p.conv_id, p.k, CASE edit WHEN 'K' THEN r.role ELSE CASE WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE r.text END AS line
+    FROM placed p LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = k - before AND edit <> 'I' WHERE edit <> 'D'),
+said AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS text FROM turns GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+    coalesce(best.w, '') AS audit, sha256(coalesce(said.text, '')) AS repaired_sha256
+FROM every LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM every.conv_id
+"""

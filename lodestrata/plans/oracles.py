@@ -195,4 +195,10 @@ ORACLES: dict[str, str] = {
     + """SELECT doc_id, child, count(*) AS n FROM (SELECT doc_id, 'chunks' AS child FROM keys UNION ALL SELECT doc_id, 'vectors' FROM vectors UNION ALL SELECT doc_id, 'jobs' FROM jobs) WHERE doc_id % 10 <> 0 GROUP BY ALL""",
     "restricted_departments": "SELECT DISTINCT source AS department_id, 'Department ' || source AS name FROM documents WHERE source = 'src1'",
     "lexical_topk_indexed": with_(DOCS, CHUNKS, lexical()) + "SELECT chunk_id, score, rank FROM lexical",
+    "committed_documents": with_(DOCS, VECTORS, JOBS, INGESTED)
+    + """, made AS (SELECT doc_id, count(*) AS n FROM vectors WHERE doc_id IN (SELECT doc_id FROM told WHERE error IS NULL) GROUP BY doc_id),
+        queue AS (SELECT doc_id, count(*) AS n FROM jobs GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN t.doc_id IS NULL THEN d.status WHEN t.error IS NULL THEN 'ready' ELSE 'failed' END AS status, coalesce(made.n, 0) AS n_chunks, coalesce(made.n, 0) AS n_vectors, coalesce(queue.n, 0) AS n_jobs
+        FROM docs d LEFT JOIN told t USING (doc_id) LEFT JOIN made USING (doc_id) LEFT JOIN queue USING (doc_id) WHERE d.doc_id % 10 <> 0""",
 }
+ORACLES["committed_jobs"] = ORACLES["ingest_jobs"]

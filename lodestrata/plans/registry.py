@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, text_index, uploads
 from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
+from ..operators.store import DocumentStore
 from ..sources import blobs
-from ..sources.shared import shared_folder
+from ..sources.shared import passing_folder, shared_folder
 from ..sources.tables import Tables
 from ..streaming import ingest
 from .oracles import ADMIN, ORACLES, TERMS, USER, VECTOR_ID
@@ -374,15 +375,18 @@ def job_log_state(t: Tables) -> DataFrame:
 # --- ingestion
 
 
-def _ingested(t: Tables) -> ingestion.Outcome:
-    """All queued jobs; every eleventh document has no bytes, the second chunk of every thirteenth a short vector."""
-    content = t.documents().select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.encode("text", "UTF-8")).alias("content"))
+def _content(t: Tables) -> DataFrame:
+    return t.documents().select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.encode("text", "UTF-8")).alias("content"))
+
+
+def _embed(t: Tables, chunks: DataFrame) -> DataFrame:
+    short = (F.col("doc_id") % 13 == 0) & (F.col("chunk_index") == 1)
+    return t.embedded(chunks).withColumn("embedding", F.when(short, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
 
-    def embed(chunks: DataFrame) -> DataFrame:
-        short = (F.col("doc_id") % 13 == 0) & (F.col("chunk_index") == 1)
-        return t.embedded(chunks).withColumn("embedding", F.when(short, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
 
-    return ingestion.process(t.jobs(), t.documents().select("doc_id", "department_id", "status"), content, embed, 64, now())
+def _ingested(t: Tables) -> ingestion.Outcome:
+    """All queued jobs; every eleventh document has no bytes, the second chunk of every thirteenth a short vector."""
+    return ingestion.process(t.jobs(), t.documents().select("doc_id", "department_id", "status"), _content(t), lambda chunks: _embed(t, chunks), 64, now())
 
 
 @query
@@ -405,6 +409,30 @@ def ingest_vectors(t: Tables) -> DataFrame:
     return _ingested(t).vectors.select("doc_id", "chunk_index", F.size("embedding").alias("dimension"))
 
 
+def _committed(t: Tables) -> DocumentStore:
+    """A store with all documents and jobs, ingested as ``_ingested`` does, in one commit."""
+    store = DocumentStore(t.spark, passing_folder(t.spark, "store"))
+    docs = t.documents()
+    store.enter(docs.select("doc_id", "department_id", "filename", T.legacy_hash(F.col("doc_id").cast("string")).alias("file_hash"), F.octet_length("text").alias("byte_size"), "status"), t.jobs())
+    store.ingest(_content(t), lambda chunks: _embed(t, chunks), 64, now())
+    return store
+
+
+@query
+def committed_jobs(t: Tables) -> DataFrame:
+    return _committed(t).read("jobs").select("job_id", "doc_id", "status", "attempts", "started_at", "finished_at", "error")
+
+
+@query
+def committed_documents(t: Tables) -> DataFrame:
+    # every tenth document is deleted again, with all that belongs to it
+    store = _committed(t)
+    store.delete(t.raw("documents").where("doc_id % 10 = 0").select("doc_id"))
+    count = lambda name: store.read(name).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    rows = store.read("documents").join(count("chunks"), "doc_id", "left").join(count("vectors"), "doc_id", "left").join(count("jobs"), "doc_id", "left")
+    return rows.select("doc_id", "status", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_chunks", "n_vectors", "n_jobs")))
+
+
 @query
 def latest_status(t: Tables) -> DataFrame:
     return jobs.newest_status(t.documents().select("doc_id", "status"), t.jobs())

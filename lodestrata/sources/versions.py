@@ -100,11 +100,14 @@ class Versions:
     def read(self, name: str, version: Version | None = None) -> DataFrame:
         """A table's rows in a version, the newest unless one is given."""
         table = (version or self.newest()).tables[name]
-        if not table.folders:
-            return self.spark.createDataFrame([], table.type)
+        return self._folders(name, table, table.folders).drop("_commit")
+
+    def _folders(self, name: str, table: Table, folders: list[str]) -> DataFrame:
+        """The rows of some folders, with the folder as ``_commit``."""
         schema = StructType([*table.type, StructField("_commit", StringType())])
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*(f"{self.root}/{name}/_commit={f}" for f in table.folders))
-        return rows.drop("_commit")
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*(f"{self.root}/{name}/_commit={f}" for f in folders))
 
     def commit(self, work: Callable[[Transaction], None], tries: int = 20) -> int:
         """The number of the version that ``work`` made; it may be called again if others were faster."""
@@ -158,7 +161,7 @@ class Transaction:
         self.written: list[str] = []
         self.new: dict[str, Table] = {}
         self.added: dict[str, list[str]] = {}
-        self.replaced: set[str] = set()
+        self.removed: dict[str, set[str]] = {}  # folders of the base that the next version lacks
         self.done = False
 
     def table(self, name: str) -> Table:
@@ -194,20 +197,53 @@ class Transaction:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows: the table's columns by name, those that lack are null. Raises if they break a rule."""
-        self._write(name, rows, [] if name in self.replaced else [f for f in self.table(name).folders])
+        self._write(name, rows)
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
         """The table's rows from now on."""
         self.needs.add(name)
-        self.replaced.add(name)
-        self.added[name] = []
-        self._write(name, rows, [])
+        self.removed[name], self.added[name] = set(self.table(name).folders), []
+        self._write(name, rows)
+
+    def delete(self, name: str, keys: DataFrame) -> None:
+        """Delete the rows whose key is among ``keys``; only folders that have such rows are written anew."""
+        self.needs.add(name)
+        table, left = self.table(name), self._left(name)
+        rows = self.versions._folders(name, table, left)
+        touched = [r["_commit"] for r in rows.join(keys, keys.columns, "left_semi").select("_commit").distinct().collect()] if left else []  # folders
+        if touched:
+            kept = self.versions._folders(name, table, touched).drop("_commit").join(keys, keys.columns, "left_anti")
+            self.removed.setdefault(name, set()).update(touched)
+            self.added[name] = [f for f in self.added.get(name, []) if f not in touched]
+            self._write(name, kept, fresh=False)
+
+    def replace(self, name: str, rows: DataFrame, key: list[str]) -> None:
+        """Insert rows, in place of those that have the same key."""
+        new = self._put(name, rows)
+        if new:
+            keys = self.versions._folders(name, self.table(name), [new]).select(*key)
+            self.delete(name, keys)
+            self._check(name, new)
+            self.added.setdefault(name, []).append(new)
+
+    def _left(self, name: str) -> list[str]:
+        """The folders that the table has now, in this transaction."""
+        gone = self.removed.get(name, set())
+        return [f for f in [*self.table(name).folders, *self.added.get(name, [])] if f not in gone]
 
     def merge_folders(self, name: str) -> None:
         """The same rows in one folder."""
         self.overwrite(name, self.read(name))
 
-    def _write(self, name: str, rows: DataFrame, stored: list[str]) -> None:
+    def _write(self, name: str, rows: DataFrame, fresh: bool = True) -> None:
+        new = self._put(name, rows)
+        if new:
+            if fresh:
+                self._check(name, new)
+            self.added.setdefault(name, []).append(new)
+
+    def _put(self, name: str, rows: DataFrame) -> str | None:
+        """A new folder with the rows, counted as they are written; None if there are none."""
         table = self.table(name)
         schema = table.type
         rows = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema))
@@ -227,34 +263,32 @@ class Transaction:
         if broken := {r: told[f"r{i}"] for i, r in enumerate(names) if told[f"r{i}"]}:
             raise RuleBroken(name, broken)
         self.wrote.add(name)
-        if told["rows"]:
-            earlier = [*stored, *self.added.get(name, [])]
-            self.added.setdefault(name, []).append(folder)
-            for key in table.unique:
-                self._unique(name, key, told["rows"], folder, earlier)
-
-    def _unique(self, name: str, key: list[str], n: int, folder: str, earlier: list[str]) -> None:
-        """Raise if new rows share a key with each other or with stored ones; a key with a null is like no other."""
+        self.rows = told["rows"]
+        return folder if told["rows"] else None
+
+    def _check(self, name: str, new: str) -> None:
+        """Raise if the rows just written share a key with each other or with others of the table; a key with a null is like no other."""
         table = self.table(name)
-        self.needs.add(name)
-        only = lambda folders: self.versions.read(name, Version(0, {name: Table(table.schema, folders)}, frozenset())).select(*key).dropna()
-        new = only([folder])
-        broken = new.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
-        if not broken and earlier:
-            old = only(earlier)
-            if n <= KEYS_LOOKED_UP:
-                for c in key:
-                    old = old.where(F.col(c).isin([r[0] for r in new.select(c).distinct().collect()]))  # bounded by KEYS_LOOKED_UP
-            broken = new.join(old, key, "left_semi").count()
-        if broken:
-            raise RuleBroken(name, {f"unique ({', '.join(key)})": broken})
+        for key in table.unique:
+            self.needs.add(name)
+            only = lambda folders: self.versions._folders(name, table, folders).select(*key).dropna()  # noqa: E731, B023
+            rows, earlier = only([new]), self._left(name)
+            broken = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
+            if not broken and earlier:
+                old = only(earlier)
+                if self.rows <= KEYS_LOOKED_UP:
+                    for c in key:
+                        old = old.where(F.col(c).isin([r[0] for r in rows.select(c).distinct().collect()]))  # bounded by KEYS_LOOKED_UP
+                broken = rows.join(old, key, "left_semi").count()
+            if broken:
+                raise RuleBroken(name, {f"unique ({', '.join(key)})": broken})
 
     def applied(self, tables: dict[str, Table]) -> dict[str, Table]:
         """The tables of the next version, behind those of the one before."""
         out = dict(tables)
         for name in self.wrote:
-            t = self.new.get(name) or out[name]
-            there = [] if name in self.replaced else out[name].folders if name in out else []
+            t, gone = self.new.get(name) or out[name], self.removed.get(name, set())
+            there = [f for f in (out[name].folders if name in out else []) if f not in gone]
             out[name] = Table(t.schema, [*there, *self.added.get(name, [])], t.unique, t.checks, t.parts, t.last_id)
         return out
 

@@ -7,6 +7,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import policy
+from lodestrata.operators.store import DocumentStore
 from lodestrata.sources import shared
 from lodestrata.sources.versions import Conflict, RuleBroken, Versions
 
@@ -165,3 +167,58 @@ def test_columns_by_number(spark, tmp_path):
         tables.commit(lambda t: t.alter("documents", drop=["doc_id"]))
     tables.commit(lambda t: t.merge_folders("documents"))
     assert len(tables.newest().tables["documents"].folders) == 1 and tables.read("documents").count() == 3
+
+
+def test_rows_replaced_and_deleted(spark, tmp_path):
+    tables = Versions(spark, str(tmp_path / "t"))
+    tables.create("jobs", "job_id long, status string", unique=[["job_id"]])
+    for a in (0, 10, 20):
+        tables.commit(lambda t, a=a: t.append("jobs", rows(spark, "jobs", [(a + i, "queued") for i in range(3)])))
+    before = tables.newest().tables["jobs"].folders
+    tables.commit(lambda t: t.replace("jobs", rows(spark, "jobs", [(11, "running"), (50, "queued")]), ["job_id"]))
+    after = tables.newest().tables["jobs"].folders
+    assert before[0] in after and before[2] in after and before[1] not in after  # only what was touched is written anew
+    state = {r["job_id"]: r["status"] for r in tables.read("jobs").collect()}
+    assert state == {**{a + i: "queued" for a in (0, 10, 20) for i in range(3)}, 11: "running", 50: "queued"}
+    with pytest.raises(RuleBroken):
+        tables.commit(lambda t: t.replace("jobs", rows(spark, "jobs", [(1, "a"), (1, "b")]), ["job_id"]))
+    gone = spark.createDataFrame([(0,), (1,), (2,), (21,), (99,)], "job_id long")
+
+    def work(t):
+        t.append("jobs", rows(spark, "jobs", [(99, "new"), (98, "new")]))
+        t.delete("jobs", gone)
+
+    tables.commit(work)
+    assert sorted(r["job_id"] for r in tables.read("jobs").collect()) == [10, 11, 12, 20, 22, 50, 98]
+    none = rows(spark, "jobs", [])
+    number = tables.commit(lambda t: [t.delete("jobs", none.select("job_id")), t.replace("jobs", none, ["job_id"])])
+    assert tables.read("jobs", tables.at(number)).count() == 7
+
+
+def test_document_store(spark, tmp_path):
+    members = spark.createDataFrame([(1, "hr")], "user_id long, department_id string")
+    catalog, now = policy.ScopedCatalog(members, policy.Identity(1)), F.lit("2024-01-01").cast("timestamp_ntz")
+    files = lambda *rows: spark.createDataFrame(rows, "upload_id long, department_id string, filename string, mime_type string, content binary")
+    store, root = DocumentStore(spark, str(tmp_path / "store")), str(tmp_path / "blobs")
+    told = {r["upload_id"]: (r["outcome"], r["doc_id"]) for r in store.upload(files((1, "hr", "a", "", b"x" * 600), (2, "hr", "b", "", b"x" * 600), (3, "hr", "c", "", b"yy")), catalog, root, now).collect()}
+    assert [told[i][0] for i in (1, 2, 3)] == ["queued", "duplicate", "queued"]
+    assert {r["doc_id"] for r in store.read("documents").collect()} == {told[1][1], told[3][1]} and store.read("jobs").where("status = 'queued'").count() == 2
+    before = store.tables.newest()
+    with pytest.raises(policy.PolicyError):
+        store.upload(files((4, "hr", "d", "", b"new"), (5, "eng", "e", "", b"other")), catalog, root, now)
+    assert store.tables.newest() == before
+    assert [r["outcome"] for r in store.upload(files((6, "hr", "f", "", b"yy")), catalog, root, now).collect()] == ["duplicate"]
+    content = spark.createDataFrame([(told[1][1], b"x" * 600), (told[3][1], None)], "doc_id long, content binary")
+    embed = lambda chunks: chunks.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    number = store.tables.newest().number
+    assert store.ingest(content, embed, 2, now) == number + 1  # one version has all of it
+    assert store.read("chunks").count() == store.read("vectors").count() == 2
+    assert {r["doc_id"]: r["status"] for r in store.read("documents").collect()} == {told[1][1]: "ready", told[3][1]: "failed"}
+    # ingested again after a retry, the chunks are not doubled
+    store.tables.commit(lambda t: t.replace("jobs", t.read("jobs").withColumn("status", F.lit("running")), ["job_id"]))
+    store.ingest(content, embed, 2, now)
+    assert store.read("chunks").count() == 2 and {r["attempts"] for r in store.read("jobs").collect()} == {2}
+    store.delete(spark.createDataFrame([(told[1][1],)], "doc_id long"))
+    assert [store.read(n).count() for n in ("documents", "jobs", "chunks", "vectors")] == [1, 1, 0, 0]
+    again = DocumentStore(spark, str(tmp_path / "store"))
+    assert again.read("documents").count() == 1

@@ -32,12 +32,13 @@ def claim_all(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def finish(jobs: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
-    """Running jobs succeed, or fail with the error of their document (doc_id, error)."""
-    told = jobs.drop("error").join(errors.select("doc_id", "error"), "doc_id", "left")
-    running, failed = F.col("status") == "running", F.col("error").isNotNull()
+    """Running jobs succeed, or fail with the error of their document (doc_id, error); others stay as they are."""
+    told = jobs.join(errors.select("doc_id", F.col("error").alias("_error")), "doc_id", "left")
+    running, failed = F.col("status") == "running", F.col("_error").isNotNull()
+    before = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
     old = F.col("finished_at") if "finished_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")
-    told = told.withColumn("finished_at", F.when(running, now).otherwise(old)).withColumn("error", F.when(running, F.col("error")))
-    return told.withColumn("status", F.when(running & failed, "failed").when(running, "succeeded").otherwise(F.col("status")))
+    told = told.withColumn("finished_at", F.when(running, now).otherwise(old)).withColumn("error", F.when(running, F.col("_error")).otherwise(before))
+    told = told.withColumn("status", F.when(running & failed, "failed").when(running, "succeeded").otherwise(F.col("status")))
 
 
 def reap(jobs: DataFrame) -> DataFrame:

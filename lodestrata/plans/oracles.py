@@ -154,7 +154,7 @@ ORACLES: dict[str, str] = {
     "ingest_jobs": with_(DOCS, JOBS, INGESTED)
     + """SELECT j.job_id, j.doc_id, CASE WHEN j.status IN ('queued', 'running') THEN CASE WHEN t.error IS NULL THEN 'succeeded' ELSE 'failed' END ELSE j.status END AS status, attempts + (j.status IN ('queued', 'running'))::INT AS attempts,
         CASE WHEN j.status IN ('queued', 'running') THEN TIMESTAMP '2024-01-01 00:00:00' ELSE started_at END AS started_at, CASE WHEN j.status IN ('queued', 'running') THEN TIMESTAMP '2024-01-01 00:00:00' ELSE finished_at END AS finished_at,
-        CASE WHEN j.status IN ('queued', 'running') THEN t.error END AS error FROM jobs j LEFT JOIN told t USING (doc_id)""",
+        CASE WHEN j.status IN ('queued', 'running') THEN t.error ELSE j.error END AS error FROM jobs j LEFT JOIN told t USING (doc_id)""",
     "ingest_documents": with_(DOCS, JOBS, INGESTED) + "SELECT d.doc_id, CASE WHEN t.doc_id IS NULL THEN d.status WHEN t.error IS NULL THEN 'ready' ELSE 'failed' END AS status FROM docs d LEFT JOIN told t USING (doc_id)",
     "ingest_chunks": with_(DOCS, CHUNKS, JOBS, INGESTED) + "SELECT doc_id, department_id, chunk_index, content, greatest(length(content) // 4, 1) AS token_count FROM chunks WHERE doc_id IN (SELECT doc_id FROM told WHERE error IS NULL)",
     "ingest_vectors": with_(DOCS, VECTORS, JOBS, INGESTED) + "SELECT doc_id, chunk_index, len(v) AS dimension FROM vectors WHERE doc_id IN (SELECT doc_id FROM told WHERE error IS NULL)",

@@ -39,6 +39,7 @@ def finish(jobs: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
     old = F.col("finished_at") if "finished_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")
     told = told.withColumn("finished_at", F.when(running, now).otherwise(old)).withColumn("error", F.when(running, F.col("_error")).otherwise(before))
     told = told.withColumn("status", F.when(running & failed, "failed").when(running, "succeeded").otherwise(F.col("status")))
+    return told.drop("_error")
 
 
 def reap(jobs: DataFrame) -> DataFrame:

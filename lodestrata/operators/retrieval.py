@@ -5,8 +5,11 @@ Both legs rank ids only and keep 2k of them; contents are fetched for the k that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,44 +34,101 @@ def dense_leg(vectors: DataFrame, query: list[float], limit: int = 2 * K) -> Dat
     return ranked(near, ["distance", "chunk_id"], limit)
 
 
-#: Queries in a block, and vectors in one.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
+#: Numbers in a block of queries, 8 MB of them; each block is one pass over the vectors.
+BLOCK_NUMBERS = 1 << 20
+
+
+class Nearest:
+    """The nearest vectors seen so far of each query of a block, by rounded cosine distance, then by chunk_id."""
+
+    def __init__(self, queries: np.ndarray, limit: int, digits: int):
+        self.queries, self.limit, self.digits = queries, limit, digits
+        self.norms = np.sqrt((queries * queries).sum(1))
+        self.worst = np.full(len(queries), np.inf)
+        self.parts, self.pending, self.scored = [], 0, 0
+
+    def see(self, chunk: np.ndarray, vectors: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Vectors (rows of the queries' dimension) that the queries ``which`` are compared with, all by default."""
+        which = np.arange(len(self.queries)) if which is None else which
+        if not len(chunk) or not len(which):
+            return
+        self.scored += len(chunk) * len(which)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = np.round(1 - (self.queries[which] @ vectors.T) / np.outer(self.norms[which], np.sqrt((vectors * vectors).sum(1))), self.digits) + 0.0
+            q, v = np.nonzero(distance <= self.worst[which][:, None])  # a distance that isn't one is never less
+        self.parts.append((which[q], chunk[v], distance[q, v]))
+        self.pending += len(q)
+        if self.pending > 4 * self.limit * len(self.queries) + 100_000:
+            self.close()
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, chunk, distance) of the nearest."""
+        q, chunk, distance = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((chunk, distance, q))
+        q, chunk, distance = q[order], chunk[order], distance[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.limit - 1
+        self.worst[q[last]] = distance[last]
+        kept = place < self.limit
+        self.parts = [(q[kept], chunk[kept], distance[kept])]
+        self.pending = int(kept.sum())
+        return self.parts[0]
+
+
+def rows_of_dimension(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, chunk_ids, vectors) of a batch's vectors of one dimension; columns chunk_id, v."""
+    lists = batch.column("v")
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == size)
+    chosen = lists.take(pa.array(at))
+    return at, batch.column("chunk_id").to_numpy(zero_copy_only=False)[at], chosen.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (query_ids, vectors) of queries (query_id, vector) of one dimension each; few are on the driver at once."""
+    held: dict[int, list] = {}
+    for row in queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator():
+        block = held.setdefault(len(row["vector"]), [])
+        block.append((row["query_id"], [np.nan if x is None else x for x in row["vector"]]))
+        if len(block) * max(1, len(row["vector"])) >= BLOCK_NUMBERS:
+            yield _block(held.pop(len(row["vector"])))
+    yield from (_block(b) for size, b in held.items() if size)
+
+
+def _block(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+
+
+FOUND = "query_id long, chunk_id long, distance double"
+
+
+def found_batch(ids: np.ndarray, nearest: Nearest) -> pa.RecordBatch:
+    q, chunk, distance = nearest.close()
+    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk, pa.int64()), pa.array(distance, pa.float64())], ["query_id", "chunk_id", "distance"])
 
 
 def dense_leg_batch(vectors: DataFrame, queries: DataFrame, limit: int = 2 * K, digits: int = 9) -> DataFrame:
     """query_id, chunk_id, distance, rank for a set of queries (query_id, vector) of any size.
 
-    Blocks of queries meet blocks of vectors inside tasks, each pair of blocks hands on its best
-    ``limit`` for each query, and the best of those are ranked. Nothing is broadcast.
+    The vectors stay where they are; each block of queries goes to all of them, each task hands on
+    its best ``limit`` for each query, and the best of those are ranked.
     """
     near = vectors.where("status = 'ready' and embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    n_vectors, n_queries = near.count(), asked.count()
-    blocks = lambda n, size: max(1, -(-n // size))
-    x, y = blocks(n_vectors, VECTOR_BLOCK), blocks(n_queries, QUERY_BLOCK)
-    near = near.withColumn("x", F.pmod(F.xxhash64("chunk_id"), F.lit(x)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(y - 1))))
-    asked = asked.withColumn("y", F.pmod(F.xxhash64("query_id"), F.lit(y)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(x - 1))))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list = [[], [], []]
-        v, q = (t.column(c).to_numpy(zero_copy_only=False) for t, c in ((left, "v"), (right, "q")))
-        chunk, query = left["chunk_id"].to_numpy(), right["query_id"].to_numpy()
-        for size in {len(r) for r in q}:  # vectors of other dimensions have no distance to a query
-            rows, cols = np.flatnonzero([len(r) == size for r in q]), np.flatnonzero([len(r) == size for r in v])
-            if not size or not len(cols):
-                continue
-            a, b = np.stack(q[rows]), np.stack(v[cols])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.round(1 - (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), digits) + 0.0
-            for r, line in zip(rows, distance, strict=True):
-                known = np.flatnonzero(np.isfinite(line))
-                best = known[np.lexsort((chunk[cols[known]], line[known]))[:limit]]
-                for column, values in zip(out, (np.full(len(best), query[r]), chunk[cols[best]], line[best]), strict=True):
-                    column.append(values)
-        made = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], ["query_id", "chunk_id", "distance"])
-
-    found = near.groupBy("x", "y").cogroup(asked.groupBy("x", "y")).applyInArrow(compare, "query_id long, chunk_id long, distance double")
+    found = None
+    for ids, asked in query_blocks(queries):
+
+        def scan(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
+            nearest = Nearest(asked, limit, digits)
+            for batch in batches:
+                _, chunk, v = rows_of_dimension(batch, asked.shape[1])
+                nearest.see(chunk, v)
+            yield found_batch(ids, nearest)
+
+        one = near.mapInArrow(scan, FOUND)
+        found = one if found is None else found.unionByName(one)
+    return ranked_by_query(vectors.sparkSession.createDataFrame([], FOUND) if found is None else found, limit)
+
+
+def ranked_by_query(found: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 

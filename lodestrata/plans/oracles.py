@@ -202,3 +202,5 @@ ORACLES: dict[str, str] = {
         FROM docs d LEFT JOIN told t USING (doc_id) LEFT JOIN made USING (doc_id) LEFT JOIN queue USING (doc_id) WHERE d.doc_id % 10 <> 0""",
 }
 ORACLES["committed_jobs"] = ORACLES["ingest_jobs"]
+ORACLES["dense_topk_indexed"] = ORACLES["dense_topk"]
+ORACLES["dense_topk_batch_indexed"] = ORACLES["dense_topk_batch"]

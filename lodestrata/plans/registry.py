@@ -12,9 +12,11 @@ from ..functions import text as T
 from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, text_index, uploads
 from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
 from ..operators.store import DocumentStore
+from ..operators.vector_index import VectorIndex
 from ..sources import blobs
 from ..sources.shared import passing_folder, shared_folder
 from ..sources.tables import Tables
+from ..sources.versions import Versions
 from ..streaming import ingest
 from .oracles import ADMIN, ORACLES, TERMS, USER, VECTOR_ID
 
@@ -257,6 +259,23 @@ def dense_topk_batch(t: Tables) -> DataFrame:
     return retrieval.dense_leg_batch(t.chunk_vectors(), asked)
 
 
+def _vector_index(t: Tables) -> VectorIndex:
+    index = VectorIndex(Versions(t.spark, passing_folder(t.spark, "vectors")))
+    index.build(t.chunk_vectors())
+    return index
+
+
+@query
+def dense_topk_indexed(t: Tables) -> DataFrame:
+    return _vector_index(t).search(query_vector(t))
+
+
+@query
+def dense_topk_batch_indexed(t: Tables) -> DataFrame:
+    asked = t.raw("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _vector_index(t).search_batch(asked)
+
+
 @query
 def lexical_match(t: Tables) -> DataFrame:
     return retrieval.lexical_matches(t.chunks(), QUESTION)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.versions import Versions
+
 VERBS = ("select", "insert", "update", "delete")
 #: Rules by table and verb: rows of the caller's departments, rows whose parent document is visible, the caller's own rows.
 POLICIES: dict[str, dict[str, str]] = {
@@ -76,6 +78,17 @@ class ScopedCatalog:
             return self.by_parent(frame, self.documents, "doc_id")
         return self.own(frame) if rule == "own" else frame.where(F.lit(False))
 
+    def denied(self, table: str, verb: str, frame: DataFrame) -> DataFrame:
+        """The other rows of ``frame``: those that ``verb`` may not touch."""
+        rule = POLICIES[table].get(verb)
+        if rule == "member":
+            return frame.join(self.departments_of, "department_id", "left_anti")
+        if rule == "parent":
+            if self.documents is None:
+                raise ValueError(f"{table} needs the parent documents")
+            return frame.join(self.by_department(self.documents).select("doc_id"), "doc_id", "left_anti")
+        return frame.where(~F.coalesce(F.col("user_id") == self.identity.column(), F.lit(False))) if rule == "own" else frame
+
     def decided(self, table: str, verb: str, frame: DataFrame, key: list[str]) -> DataFrame:
         """The rows with ``allowed``: whether ``verb`` may touch each. ``key`` names a row."""
         may = self.rows(table, verb, frame).select(*key).distinct().withColumn("_may", F.lit(True))
@@ -85,12 +98,20 @@ class ScopedCatalog:
         """The incoming rows with ``allowed``: whether the caller may write them."""
         return self.decided("documents", "insert", incoming, ["department_id"])
 
-    def write(self, incoming: DataFrame, path: str) -> None:
-        """Append the rows, or none of them and an error if one is not allowed."""
-        checked = self.checked(incoming)
-        if not checked.where("not allowed").isEmpty():
-            raise PolicyError("rows of a department that the caller is no member of")
-        checked.drop("allowed").write.mode("append").parquet(path)
+    def require(self, table: str, verb: str, frame: DataFrame) -> None:
+        """An error if ``verb`` may not touch one of the rows, by the table's own rule."""
+        if not self.denied(table, verb, frame).isEmpty():
+            raise PolicyError(f"{verb} of rows of {table} that are not the caller's")
+
+    def write(self, table: str, incoming: DataFrame, path: str) -> None:
+        """Append the rows to the table's folder, or none of them and an error if one is not allowed."""
+        self.require(table, "insert", incoming)
+        incoming.write.mode("append").parquet(path)
+
+    def insert(self, tables: Versions, table: str, incoming: DataFrame) -> int:
+        """The same in versioned tables."""
+        self.require(table, "insert", incoming)
+        return tables.commit(lambda t: t.append(table, incoming))
 
     def update_outcomes(self, table: str, frame: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
         """The rows that ``changes`` (key and new values) name, with their new values and ``outcome``.
@@ -123,22 +144,29 @@ def require_admin(users: DataFrame, identity: Identity) -> None:
         raise PolicyError("an administrator is required")
 
 
+def _known(table: str, verb: str, tables: dict[str, tuple[str, ...]]) -> None:
+    if verb not in tables.get(table, ()):
+        raise PolicyError(f"no {verb} of {table} here")
+
+
 class AdminCatalog:
     """All rows of all tables, for administrators alone: others get an error when they ask for it."""
 
+    TABLES = dict.fromkeys(POLICIES, VERBS)
+
     def __init__(self, users: DataFrame, identity: Identity):
         require_admin(users, identity)
 
     def rows(self, table: str, verb: str, frame: DataFrame) -> DataFrame:
+        _known(table, verb, self.TABLES)
         return frame
 
 
 class IngestCatalog:
-    """What the ingestion works on: documents, jobs, chunks and vectors of all departments, nothing else."""
+    """What the ingestion does, in all departments: it reads and updates documents and jobs, and makes chunks and vectors anew."""
 
-    TABLES = ("documents", "jobs", "chunks", "vectors")
+    TABLES = {"documents": ("select", "update"), "jobs": ("select", "update"), "chunks": ("select", "insert", "delete"), "vectors": ("select", "insert", "delete")}
 
     def rows(self, table: str, verb: str, frame: DataFrame) -> DataFrame:
-        if table not in self.TABLES:
-            raise PolicyError(f"the ingestion has no part in {table}")
+        _known(table, verb, self.TABLES)
         return frame

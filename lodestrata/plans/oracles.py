@@ -204,3 +204,7 @@ ORACLES: dict[str, str] = {
 ORACLES["committed_jobs"] = ORACLES["ingest_jobs"]
 ORACLES["dense_topk_indexed"] = ORACLES["dense_topk"]
 ORACLES["dense_topk_batch_indexed"] = ORACLES["dense_topk_batch"]
+ORACLES["policy_sql_documents"] = ORACLES["visible_documents"]
+ORACLES["policy_sql_tables"] = f"SELECT table_name, n FROM ({ORACLES['policy_matrix']}) WHERE verb = 'select'"
+ORACLES["policy_sql_functions"] = with_(ADAPTERS, MEMBERS) + f"SELECT adapter_id, CAST({USER} AS BIGINT) AS me, 'src' || (adapter_id % 20) IN (SELECT department_id FROM members WHERE user_id = {USER}) AS mine FROM adapters"
+ORACLES["policy_sql_nobody"] = "SELECT event_id AS job_id, event_id AS doc_id, user_id AS me FROM events WHERE false"

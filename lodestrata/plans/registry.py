@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, text_index, uploads
 from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
+from ..operators.policy_sql import SqlCatalog
 from ..operators.store import DocumentStore
 from ..operators.vector_index import VectorIndex
 from ..sources import blobs
@@ -245,6 +246,35 @@ def safe_identity(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", T.safe_identity(given).alias("identity"))
 
 
+def _sql_catalog(t: Tables) -> SqlCatalog:
+    def frames_of(session: SparkSession) -> dict[str, DataFrame]:
+        u = Tables(session, t.sf_dir)
+        return {"documents": u.documents(), "chunks": u.chunk_keys(), "vectors": u.chunk_vectors(), "assignments": u.assignments(), "jobs": u.jobs(), "audit_log": u.audit_log(), "departments": u.departments(), "members": u.members()}
+
+    return SqlCatalog(t.spark, frames_of, lambda session: {"adapters": Tables(session, t.sf_dir).adapters()})
+
+
+@query
+def policy_sql_documents(t: Tables) -> DataFrame:
+    return _sql_catalog(t).sql("SELECT doc_id, department_id, filename, status FROM documents", USER)
+
+
+@query
+def policy_sql_tables(t: Tables) -> DataFrame:
+    counts = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n FROM {name}" for name in POLICIES)
+    return _sql_catalog(t).sql(counts, USER)
+
+
+@query
+def policy_sql_functions(t: Tables) -> DataFrame:
+    return _sql_catalog(t).sql("SELECT adapter_id, current_user_id() AS me, is_member_of(concat('src', adapter_id % 20)) AS mine FROM adapters", f" {USER} ")
+
+
+@query
+def policy_sql_nobody(t: Tables) -> DataFrame:
+    return _sql_catalog(t).sql("SELECT j.job_id, d.doc_id, current_user_id() AS me FROM jobs j JOIN documents d USING (doc_id)", "x' OR '1' = '1")
+
+
 # --- retrieval
 
 

@@ -14,8 +14,10 @@ from lodestrata.functions import lexical, text
 from lodestrata.functions.vectors import cosine_distance
 from lodestrata.operators import frames, ingestion, jobs, lookups, policy, registry, retrieval, uploads
 from lodestrata.operators.policy import Identity, PolicyError, ScopedCatalog, require_admin
+from lodestrata.operators.policy_sql import SqlCatalog
 from lodestrata.sources import blobs
 from lodestrata.sources.tables import Tables
+from lodestrata.sources.versions import Versions
 from lodestrata.streaming import ingest
 
 
@@ -50,9 +52,9 @@ def test_isolation(spark, offices, tmp_path):
     child = spark.createDataFrame([(10, 1), (20, 2)], "job_id long, doc_id long")
     assert [r["job_id"] for r in ScopedCatalog(members, Identity(1)).by_parent(child, documents, "doc_id").collect()] == [10]
     with pytest.raises(PolicyError):
-        ScopedCatalog(members, Identity(1)).write(documents, str(tmp_path / "out"))
+        ScopedCatalog(members, Identity(1)).write("documents", documents, str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
-    ScopedCatalog(members, Identity(1)).write(documents.where("department_id = 'hr'"), str(tmp_path / "out"))
+    ScopedCatalog(members, Identity(1)).write("documents", documents.where("department_id = 'hr'"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
@@ -232,8 +234,62 @@ def test_admin_and_ingest_catalogs(spark):
         with pytest.raises(policy.PolicyError):
             policy.AdminCatalog(users, policy.Identity(user))
     assert policy.IngestCatalog().rows("chunks", "insert", users).count() == 3
+    for table, verb in (("members", "select"), ("documents", "insert"), ("jobs", "delete"), ("chunks", "upsert")):
+        with pytest.raises(policy.PolicyError):
+            policy.IngestCatalog().rows(table, verb, users)
     with pytest.raises(policy.PolicyError):
-        policy.IngestCatalog().rows("members", "select", users)
+        policy.AdminCatalog(users, policy.Identity(1)).rows("departments", "truncate", users)
+
+
+def test_writes_go_by_the_table(spark, tmp_path):
+    members = spark.createDataFrame([(1, "hr")], "user_id long, department_id string")
+    docs = spark.createDataFrame([(10, "hr"), (20, "eng")], "doc_id long, department_id string")
+    catalog = policy.ScopedCatalog(members, policy.Identity(1), docs)
+    hr = spark.createDataFrame([(1, "hr", 10)], "user_id long, department_id string, doc_id long")
+    tables = Versions(spark, str(tmp_path / "t"))
+    for table in policy.POLICIES:
+        tables.create(table, "user_id long, department_id string, doc_id long")
+    for table, rules in policy.POLICIES.items():
+        if "insert" in rules:
+            catalog.write(table, hr, str(tmp_path / table))
+            catalog.insert(tables, table, hr)
+            assert tables.read(table).count() == spark.read.parquet(str(tmp_path / table)).count() == 1
+            assert catalog.denied(table, "insert", hr).isEmpty()
+        for bad in (hr.select(F.lit(2).cast("long").alias("user_id"), F.lit("eng").alias("department_id"), F.lit(20).cast("long").alias("doc_id")), hr.select(*(F.lit(None).cast(d).alias(c) for c, d in hr.dtypes)), *([] if "insert" in rules else [hr])):
+            before = tables.newest().number
+            with pytest.raises(policy.PolicyError):
+                catalog.write(table, hr.unionByName(bad), str(tmp_path / f"bad-{table}"))
+            with pytest.raises(policy.PolicyError):
+                catalog.insert(tables, table, bad)
+            assert not (tmp_path / f"bad-{table}").exists() and tables.newest().number == before
+
+
+def test_sql_catalog(spark, offices):
+    members, documents = offices
+    jobs_ = [(7, 1), (8, 2), (9, None)]
+
+    def frames_of(session):
+        again = lambda frame: session.createDataFrame(frame.collect(), frame.schema)
+        return {"members": again(members), "documents": again(documents), "jobs": session.createDataFrame(jobs_, "job_id long, doc_id long"), "departments": session.createDataFrame([("hr",), ("eng",)], "department_id string")}
+
+    catalog = SqlCatalog(spark, frames_of)
+    names = lambda user: [r["filename"] for r in catalog.sql("SELECT filename FROM documents", user).collect()]
+    assert names(1) == ["hr_secrets.pdf"] and names(" 2 ") == ["eng_blueprint.pdf"]
+    for nobody in (None, "", " ", "x", "1' OR '1' = '1", "\\", 99):
+        assert names(nobody) == []
+    assert catalog.session.sql("SELECT * FROM documents").count() == 0  # nobody's unless asked for somebody
+    alice = catalog.sql("SELECT job_id, current_user_id() AS me, is_member_of('hr') AS hr, is_member_of('eng') AS eng FROM jobs WHERE doc_id >= :low", 1, low=0)
+    assert names(2) == ["eng_blueprint.pdf"] and [tuple(r) for r in alice.collect()] == [(7, 1, True, False)]  # a query keeps its identity
+    assert [r["department_id"] for r in catalog.sql("SELECT * FROM departments", 2).collect()] == ["eng"]
+    joined = "SELECT d.filename, m.user_id FROM documents d JOIN members m USING (department_id) WHERE is_member_of(d.department_id) OR current_user_id() IS NULL"
+    assert [tuple(r) for r in catalog.sql(joined, 1).collect()] == [("hr_secrets.pdf", 1)]
+    with pytest.raises(PolicyError):
+        catalog.scoped(1).require("departments", "insert", catalog.frames["departments"])
+    with pytest.raises(ValueError):
+        SqlCatalog(spark, frames_of, frames_of)
+    assert "documents" not in [t.name for t in spark.catalog.listTables()]
+    plan = catalog.sql("SELECT doc_id FROM documents", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
 
 
 def test_bootstrap_looks_at_existing_administrators(spark):

@@ -18,7 +18,7 @@ from ..sources import blobs
 from ..sources.shared import passing_folder, shared_folder
 from ..sources.tables import Tables
 from ..sources.versions import Versions
-from ..streaming import ingest
+from ..streaming import consumer, ingest
 from .oracles import ADMIN, ORACLES, TERMS, USER, VECTOR_ID
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -482,6 +482,16 @@ def committed_documents(t: Tables) -> DataFrame:
     return rows.select("doc_id", "status", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_chunks", "n_vectors", "n_jobs")))
 
 
+@query
+def stream_jobs(t: Tables) -> DataFrame:
+    # the events' files as a stream of jobs; outcomes come back as a second stream
+    root = passing_folder(t.spark, "consumer")
+    stream = t.spark.readStream.schema(t.raw("events").schema).parquet(f"{t.sf_dir}/events.parque[t]")
+    work = consumer.ingesting(t.documents().select("doc_id", "department_id", "status"), _content(t), lambda chunks: _embed(t, chunks), 64, now())
+    consumer.run_until_settled(consumer.start_consumer(t.spark, t.jobs(stream), root, work, clock="2024-01-01 00:00:00"), t.spark, root)
+    return consumer.jobs(t.spark, root).select("job_id", "doc_id", "status", "attempts", "started_at", "finished_at", "error")
+
+
 @query
 def latest_status(t: Tables) -> DataFrame:
     return jobs.newest_status(t.documents().select("doc_id", "status"), t.jobs())

@@ -76,11 +76,11 @@ class Tables:
         """Every chunk's vector."""
         return self.embedded(self.chunk_keys()).where("embedding is not null").select("chunk_id", "doc_id", "department_id", "status", "embedding")
 
-    def jobs(self) -> DataFrame:
-        """Events as jobs: clicks and unknown types are queued ones too, so none is left out."""
+    def jobs(self, events: DataFrame | None = None) -> DataFrame:
+        """Events (also those of a stream) as jobs: clicks and unknown types are queued ones too, so none is left out."""
         kinds = {"view": "running", "purchase": "succeeded", "error": "failed"}
         status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()), F.lit("queued"))
-        events = self.raw("events").select("event_id", "ts", status.alias("status"))
+        events = (self.raw("events") if events is None else events).select("event_id", "ts", status.alias("status"))
         count = self.raw("documents").agg(F.count(F.lit(1))).scalar()
         ended, at = F.col("status").isin("succeeded", "failed"), F.col("ts")
         return events.select(

@@ -209,3 +209,4 @@ ORACLES["policy_sql_tables"] = f"SELECT table_name, n FROM ({ORACLES['policy_mat
 ORACLES["policy_sql_functions"] = with_(ADAPTERS, MEMBERS) + f"SELECT adapter_id, CAST({USER} AS BIGINT) AS me, 'src' || (adapter_id % 20) IN (SELECT department_id FROM members WHERE user_id = {USER}) AS mine FROM adapters"
 ORACLES["policy_sql_nobody"] = "SELECT event_id AS job_id, event_id AS doc_id, user_id AS me FROM events WHERE false"
 ORACLES["stream_jobs"] = ORACLES["ingest_jobs"]
+ORACLES["sse_assemble_stream"] = ORACLES["sse_assemble"]

@@ -18,7 +18,7 @@ from ..sources import blobs
 from ..sources.shared import passing_folder, shared_folder
 from ..sources.tables import Tables
 from ..sources.versions import Versions
-from ..streaming import consumer, ingest
+from ..streaming import consumer, ingest, tokens
 from .oracles import ADMIN, ORACLES, TERMS, USER, VECTOR_ID
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -644,15 +644,36 @@ def restricted_departments(t: Tables) -> DataFrame:
 # --- streams
 
 
-@query
-def sse_assemble(t: Tables) -> DataFrame:
+def _event_stream(t: Tables):
+    """A message's words as a model server would stream them: every fifth without the mark, every seventh no JSON, word 30 stops."""
+
     def frame(w, i):
         good = F.concat(F.lit("data: "), F.to_json(F.struct(F.concat(w, F.lit(" ")).alias("content"), (i == 30).alias("stop"))), F.lit("\n\n"))
         return F.when(i % 5 == 4, F.concat(F.lit("event: "), w, F.lit("\n\n"))).when(i % 7 == 6, F.lit("data: {bad\n\n")).otherwise(good)
 
     # a line break inside a word would look like the end of a frame, but JSON escapes it
-    stream = F.array_join(F.transform(F.split("text", " "), frame), "")
-    return t.raw("conversations").select("conv_id", "turn", frames.answer(stream).alias("answer"))
+    return F.array_join(F.transform(F.split("text", " "), frame), "")
+
+
+@query
+def sse_assemble(t: Tables) -> DataFrame:
+    return t.raw("conversations").select("conv_id", "turn", frames.answer(_event_stream(t)).alias("answer"))
+
+
+@query
+def sse_assemble_stream(t: Tables) -> DataFrame:
+    # the same streams cut into pieces of 40 to 100 bytes, which arrive in three batches, out of order
+    root, messages = passing_folder(t.spark, "tokens"), t.raw("conversations")
+    ident = F.concat_ws(":", "conv_id", "turn")
+    whole = messages.select(ident.alias("stream_id"), F.encode(_event_stream(t), "UTF-8").alias("b"), (40 + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(61))).cast("int").alias("size"))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("b") / F.col("size")).cast("int"))
+    cut = whole.select("stream_id", "b", "size", (n - 1).alias("end"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    cut = cut.select("stream_id", F.col("k").cast("long").alias("piece"), F.substring("b", F.col("k") * F.col("size") + 1, F.col("size")).alias("data"), (F.col("k") == F.col("end")).alias("last"))
+    cut.repartition(3, F.xxhash64("stream_id", "piece")).write.parquet(f"{root}/pieces")
+    pieces = t.spark.readStream.schema(tokens.PIECE).option("maxFilesPerTrigger", 1).parquet(f"{root}/pieces")
+    tokens.start_joining(t.spark, pieces, f"{root}/out", f"{root}/state").awaitTermination()
+    found = tokens.answers(tokens.tokens(t.spark, f"{root}/out"))
+    return messages.select("conv_id", "turn", ident.alias("stream_id")).join(found, "stream_id", "left").select("conv_id", "turn", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
 @query

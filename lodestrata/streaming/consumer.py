@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,20 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 LOST = "the owner was lost"
 
 
+@contextmanager
+def with_rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors need, for a query started meanwhile (it takes the settings of its start)."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
 class JobProcessor(StatefulProcessor):
     """One job's life. ``clock``: the time that claims and ends are stamped with, the present if it is None."""
 
@@ -119,15 +134,8 @@ def start_consumer(
             # a name of its own for each batch and attempt: files that the stream has seen don't come again
             work(claimed).select("job_id", F.col("attempt").cast("int").alias("attempt"), "error").write.mode("overwrite").parquet(f"{root}/outcomes/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)  # the query takes the settings of its start
-    try:
+    with with_rocks(spark):
         return changes.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(**(trigger or {"processingTime": "1 second"})).start()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
 
 
 def jobs(spark: SparkSession, root: str) -> DataFrame:

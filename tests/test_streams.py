@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.streaming import consumer
+from lodestrata.operators import frames
+from lodestrata.streaming import consumer, tokens
 
 JOB = "job_id long, doc_id long, status string, attempts int, created_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz, error string"
 DAY = dt.datetime(2024, 1, 1)
@@ -56,3 +58,50 @@ def test_an_error_of_the_work_is_raised_and_repaired(spark, tmp_path):
     consumer.run_until_settled(start(), spark, root, 90)  # the batch is done again
     rows = consumer.jobs(spark, root).collect()
     assert len(rows) == 20 and {(r["status"], r["attempts"]) for r in rows} == {("succeeded", 1)}
+
+
+STREAMS = {
+    "plain": 'data: {"content":"a","stop":false}\n\nevent: x\n\ndata: {bad\n\n\n\ndata: {"content":"b"}\n\ndata: {"content":"!","stop":true}\n\ndata: {"content":"late"}\n\n',
+    "open end": 'data: {"content":"é🙂"}\n\n data: {"content":"\\n\\n"}\n\ndata: {"content":5}\n\ndata: {"content":null}\n\ndata: {"content":"end"}',
+    "empty": "",
+    "nothing": "\n\n\n\nhello\n\n",
+    "long": "".join(f'data: {{"content":"w{i} ü "}}\n\n' for i in range(300)),
+}
+
+
+def test_frames_cut_anywhere(spark, tmp_path):
+    """Every cut gives the answers of whole streams: each byte alone, and random pieces in random order over several batches."""
+    want = {r[0]: r[1] for r in spark.createDataFrame(list(STREAMS.items()), "k string, s string").select("k", frames.answer(F.col("s"))).collect()}
+    rng, rows = random.Random(2), []
+    for name, text in STREAMS.items():
+        data = text.encode()
+        for turn in range(6):
+            cuts = range(1, len(data)) if turn == 0 and len(data) < 400 else sorted(rng.sample(range(1, len(data)), rng.randint(0, min(40, len(data) - 1)))) if len(data) > 1 else []
+            places = [0, *cuts, len(data)]
+            made = [(f"{name}/{turn}", i, data[a:b], b == len(data) and i == len(places) - 2) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True))]
+            rows += made + rng.sample(made, len(made) // 5)  # some come twice
+    rng.shuffle(rows)
+    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    run = lambda: tokens.start_joining(spark, spark.readStream.schema(tokens.PIECE).option("maxFilesPerTrigger", 1).parquet(landing), target, state).awaitTermination()
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], tokens.PIECE).coalesce(1 + part % 2).write.mode("append").parquet(landing)
+        run()  # from the checkpoint each time
+    found = tokens.tokens(spark, target)
+    got = {r["stream_id"]: r["answer"] for r in tokens.answers(found).collect()}
+    assert {f"{k}/{i}": v for k, v in want.items() for i in range(6) if v} == {k: v for k, v in got.items() if v}
+    assert found.count() == found.select("stream_id", "token").distinct().count()
+
+
+def test_the_sink_commits_a_batch_once(tmp_path):
+    writer, path = tokens.TokenWriter(str(tmp_path)), tmp_path / "tokens"
+    row = lambda i: {"stream_id": "s", "token": i, "content": "x", "stop": False}
+    first, none = writer.write(iter([row(0), row(1)])), writer.write(iter([]))
+    assert first.rows == 2 and none.file is None
+    writer.commit([first, none, None], 0)
+    again = writer.write(iter([row(0), row(1)]))
+    assert len(list(path.iterdir())) == 2
+    writer.commit([again], 0)  # the same batch after a crash: its new files go
+    assert [f.name for f in path.iterdir()] == [first.file.split("/")[1]]
+    lost = writer.write(iter([row(2)]))
+    writer.abort([lost, None], 1)
+    assert len(list(path.iterdir())) == 1 and [f.name for f in (tmp_path / "commits").iterdir()] == [f"{0:020d}.json"]

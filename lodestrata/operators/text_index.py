@@ -1,37 +1,158 @@
-"""An inverted index of chunks: written once at ingestion, so that queries read only their terms' parts."""
+"""An inverted index of chunks: made at ingestion, changed by segments, and read by the parts that a query needs.
+
+Words (or stems) are analysed once, when chunks are added. Each commit adds a segment. In it the
+chunks are dealt into blocks, and a row has all places of one term in one block, with the most
+places that any chunk of the block has. So a query reads its terms' rows alone, and of the blocks
+whose best possible score can't reach the last row of the answer only those small numbers: a cover
+begins at one of the query's n terms, and of the covers around one place of a term no two begin
+with the same term, so a chunk has at most n times as many covers as places of its rarest term,
+and each counts 1 at most.
+
+Deleted documents are entered as dead in the segments that hold them; an update deletes and adds
+in one commit. ``merge`` writes segments anew as one, without the dead.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical as L
+from ..sources.versions import Transaction, Versions
+from . import retrieval as R
 
-#: Folders that the terms are dealt into.
-PARTS = 64
-SCHEMA = "term string, chunk_id long, at array<int>, part int"
+#: Folders that the terms of a segment are dealt into, and chunks in a block (more or less, as they are dealt by hash).
+PARTS, BLOCK = 32, 64
+#: Blocks that a search reads first.
+FIRST_BLOCKS = 32
+TABLES = {
+    "postings": "segment string, term string, block long, best int, hits array<struct<chunk_id:bigint,doc_id:bigint,at:int>>, part int",
+    "held": "segment string, doc_id long",
+    "dead": "segment string, doc_id long",
+}
 
 
 def _part(term):
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
-def write_index(chunks: DataFrame, root: str, mode: str = "append") -> None:
-    """The places of each term in each ready chunk (chunk_id, status, content), sorted by term within a folder."""
-    words = chunks.where("status = 'ready'").select("chunk_id", F.posexplode(L.tokens(F.col("content"))).alias("at", "term"))
-    # a chunk is short, so its places of a term are few
-    places = words.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("at")).alias("at")).withColumn("part", _part(F.col("term")))
-    places.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("part", "term", "chunk_id").write.mode(mode).partitionBy("part").parquet(root)
-
-
-def indexed_matches(spark: SparkSession, root: str, query: str) -> DataFrame:
-    """chunk_id and cover-density ``score`` of the indexed chunks that hold all terms; other terms' folders aren't read."""
-    terms = L.query_terms(query)
-    index = spark.read.schema(SCHEMA).parquet(root)
-    if not terms:
-        return index.where("false").select("chunk_id", F.lit(0.0).alias("score"))
-    parts = [r["part"] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term")).alias("part")).distinct().collect()]  # a query's terms
-    found = index.where(F.col("part").isin(parts) & F.col("term").isin(terms))
-    number = F.array_position(F.array(*map(F.lit, terms)), F.col("term")).cast("int")
-    hits = found.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list(F.transform("at", lambda x: F.struct(x.alias("at"), number.alias("term"))))).alias("hits"))
-    return hits.where(F.col("n") == len(terms)).select("chunk_id", L.density_of_hits(F.sort_array("hits"), len(terms)).alias("score"))
+class TextIndex:
+    """The index under a folder, for one analyzer (``simple`` or ``english``)."""
+
+    def __init__(self, tables: Versions, analyzer: str = "simple"):
+        self.tables, self.spark, self.analyzer = tables, tables.spark, analyzer
+        #: Blocks that have all terms of the last search, and those of them whose places were read.
+        self.blocks, self.blocks_read = 0, 0
+        missing = [n for n in TABLES if n not in tables.newest().tables]
+        if missing:
+            tables.commit(lambda t: [t.create(n, TABLES[n], parts=["part"] if n == "postings" else []) for n in missing if n not in t.base.tables])
+
+    def add(self, chunks: DataFrame) -> None:
+        """Index the ready chunks (chunk_id, doc_id, status, content) as a new segment."""
+        self.tables.commit(lambda t: self._add(t, chunks))
+
+    def delete(self, docs: DataFrame) -> None:
+        """Take documents (doc_id) out."""
+        self.tables.commit(lambda t: self._delete(t, docs))
+
+    def update(self, docs: DataFrame, chunks: DataFrame) -> None:
+        """The documents' chunks from now on, in place of what was there, in one commit."""
+
+        def work(t: Transaction) -> None:
+            self._delete(t, docs)
+            self._add(t, chunks)
+
+        self.tables.commit(work)
+
+    def merge(self) -> None:
+        """All segments as one, without the dead."""
+
+        def work(t: Transaction) -> None:
+            rows = self._alive(t.read("postings").select("segment", "term", F.explode("hits").alias("h")).select("segment", "term", "h.*"), t.read("dead"))
+            held = t.read("held").join(t.read("dead"), ["segment", "doc_id"], "left_anti").select(F.lit("merged").alias("segment"), "doc_id").distinct()
+            segment = uuid.uuid4().hex
+            n = rows.select("chunk_id").distinct().count()
+            t.overwrite("postings", _segment(rows.drop("segment"), segment, n))
+            t.overwrite("held", held.withColumn("segment", F.lit(segment)))
+            t.overwrite("dead", t.read("dead").where("false"))
+
+        self.tables.commit(work)
+
+    def _add(self, t: Transaction, chunks: DataFrame) -> None:
+        segment = uuid.uuid4().hex
+        ready = chunks.where("status = 'ready'")
+        found = L.english_tokens(F.col("content")) if self.analyzer == "english" else L.tokens(F.col("content"))
+        words = ready.select("chunk_id", "doc_id", F.posexplode(found).alias("at", "term")).where("term <> ''")
+        t.append("postings", _segment(words, segment, ready.count()))
+        t.append("held", ready.select("doc_id").distinct().withColumn("segment", F.lit(segment)))
+
+    def _delete(self, t: Transaction, docs: DataFrame) -> None:
+        # t.read has what was there before this transaction, so a segment that it adds stays alive
+        t.append("dead", t.read("held").join(docs.select("doc_id"), "doc_id", "left_semi").join(t.read("dead"), ["segment", "doc_id"], "left_anti"))
+
+    @staticmethod
+    def _alive(hits: DataFrame, dead: DataFrame) -> DataFrame:
+        return hits.join(dead, ["segment", "doc_id"], "left_anti")
+
+    def _scores(self, rows: DataFrame, dead: DataFrame, terms: list[str]) -> DataFrame:
+        """chunk_id, score of the chunks in postings rows that hold all terms."""
+        number = F.array_position(F.array(*map(F.lit, terms)), F.col("term")).cast("int")
+        hits = self._alive(rows.select("segment", number.alias("term"), F.explode("hits").alias("h")).select("segment", "term", "h.*"), dead)
+        chunks = hits.groupBy("segment", "chunk_id").agg(F.count_distinct("term").alias("n"), F.sort_array(F.collect_list(F.struct("at", "term"))).alias("hits"))  # a chunk is short
+        return chunks.where(F.col("n") == len(terms)).select("chunk_id", L.density_of_hits(F.col("hits"), len(terms)).alias("score"))
+
+    def _rows(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(postings of the terms, the dead); other terms' folders aren't opened."""
+        version = self.tables.newest()
+        parts = [r["part"] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term")).alias("part")).distinct().collect()]  # a query's terms
+        return self.tables.read("postings", version).where(F.col("part").isin(parts) & F.col("term").isin(terms)), self.tables.read("dead", version)
+
+    def matches(self, query: str) -> DataFrame:
+        """chunk_id, score of all chunks that hold all terms of the query."""
+        terms = L.query_terms(query, self.analyzer)
+        if not terms:
+            return self.spark.createDataFrame([], "chunk_id long, score double")
+        return self._scores(*self._rows(terms), terms)
+
+    def search(self, query: str, limit: int = 2 * R.K) -> DataFrame:
+        """chunk_id, score, rank of the best chunks: blocks are left out once they can't reach the last of them."""
+        order, terms = [F.desc("score"), "chunk_id"], L.query_terms(query, self.analyzer)
+        self.blocks = self.blocks_read = 0
+        if not terms:
+            return R.ranked(self.matches(query), order, limit)
+        rows, dead = self._rows(terms)
+        # each term's best is a column apart from the places, so these aren't read yet
+        blocks = rows.groupBy("segment", "block").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best")).where(F.col("n") == len(terms))
+        blocks = blocks.select("segment", "block", (F.col("best") * len(terms)).alias("bound"))
+        self.blocks = blocks.count()
+        first = blocks.orderBy(F.desc("bound"), "segment", "block").limit(FIRST_BLOCKS).collect()
+        if not first:
+            return R.ranked(self.spark.createDataFrame([], "chunk_id long, score double"), order, limit)
+        here = [(r["segment"], r["block"]) for r in first]
+        inside = F.struct("segment", "block").isin([F.struct(F.lit(s), F.lit(b).cast("long")) for s, b in here])
+        best = self._scores(rows.where(F.col("block").isin([b for _, b in here])).where(inside), dead, terms)
+        best = self.spark.createDataFrame(best.orderBy(*order).limit(limit).toArrow())  # as many rows as the answer has
+        last = best.orderBy(*order).offset(limit - 1).first()
+        rest = blocks.where(~inside) if last is None else blocks.where(~inside).where(F.col("bound") >= last["score"])
+        more = rest.count()
+        self.blocks_read = len(here) + more
+        if more:
+            best = best.unionByName(self._scores(rows.join(rest.select("segment", "block"), ["segment", "block"], "left_semi"), dead, terms))
+        return R.ranked(best, order, limit)
+
+
+def _segment(words: DataFrame, segment: str, n: int) -> DataFrame:
+    """Postings of words (chunk_id, doc_id, at, term) of about ``n`` chunks. A block bounds a row; a common term's rows are in many tasks."""
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK))))
+    rows = words.groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "at"))).alias("hits"))
+    start = F.struct(F.lit(None).cast("long").alias("chunk"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s, h):
+        run = F.when(h["chunk_id"].eqNullSafe(s["chunk"]), s["run"] + 1).otherwise(1)
+        return F.struct(h["chunk_id"].alias("chunk"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    best = F.aggregate("hits", start, step, lambda s: s["best"])
+    rows = rows.select(F.lit(segment).alias("segment"), "term", "block", best.alias("best"), "hits", _part(F.col("term")).alias("part"))
+    return rows.repartition("part", F.pmod("block", F.lit(max(1, min(64, n // 50_000))))).sortWithinPartitions("part", "term", "block")

@@ -210,3 +210,4 @@ ORACLES["policy_sql_functions"] = with_(ADAPTERS, MEMBERS) + f"SELECT adapter_id
 ORACLES["policy_sql_nobody"] = "SELECT event_id AS job_id, event_id AS doc_id, user_id AS me FROM events WHERE false"
 ORACLES["stream_jobs"] = ORACLES["ingest_jobs"]
 ORACLES["sse_assemble_stream"] = ORACLES["sse_assemble"]
+ORACLES["lexical_match_changed"] = ORACLES["lexical_match"] + " WHERE chunk_id // 8388608 % 5 <> 0"

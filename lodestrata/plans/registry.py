@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, text_index, uploads
+from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, uploads
 from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
 from ..operators.policy_sql import SqlCatalog
 from ..operators.store import DocumentStore
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import blobs
 from ..sources.shared import passing_folder, shared_folder
@@ -316,11 +317,33 @@ def lexical_topk(t: Tables) -> DataFrame:
     return retrieval.lexical_leg(t.chunks(), QUESTION)
 
 
+def _text_index(t: Tables, analyzer: str = "simple") -> TextIndex:
+    index = TextIndex(Versions(t.spark, passing_folder(t.spark, "words")), analyzer)
+    index.add(t.chunks())
+    return index
+
+
 @query
 def lexical_topk_indexed(t: Tables) -> DataFrame:
-    root = f"{shared_folder(t.spark)}/lodestrata/index-{uuid.uuid4().hex}"
-    text_index.write_index(t.chunks(), root)
-    return retrieval.ranked(text_index.indexed_matches(t.spark, root, QUESTION), [F.desc("score"), "chunk_id"], 2 * retrieval.K)
+    return _text_index(t).search(QUESTION)
+
+
+@query
+def lexical_match_changed(t: Tables) -> DataFrame:
+    # an index that went through uploads, updates, deletions and a merge has the hits of one made at once
+    chunks, docs = t.chunks(), t.raw("documents").select("doc_id")
+    index = TextIndex(Versions(t.spark, passing_folder(t.spark, "words")))
+    index.add(chunks.where("doc_id % 2 = 0").withColumn("content", F.lower("content")))
+    index.add(chunks.where("doc_id % 2 = 1").withColumn("content", F.concat("content", F.lit(" the of and"))))
+    index.update(docs.where("doc_id % 2 = 1"), chunks.where("doc_id % 2 = 1"))
+    index.merge()
+    index.delete(docs.where("doc_id % 5 = 0"))
+    return index.matches(QUESTION)
+
+
+@query
+def lexical_english_indexed(t: Tables) -> DataFrame:
+    return _text_index(t, "english").search("the thing thing")
 
 
 @query

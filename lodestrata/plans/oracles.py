@@ -211,3 +211,5 @@ ORACLES["policy_sql_nobody"] = "SELECT event_id AS job_id, event_id AS doc_id, u
 ORACLES["stream_jobs"] = ORACLES["ingest_jobs"]
 ORACLES["sse_assemble_stream"] = ORACLES["sse_assemble"]
 ORACLES["lexical_match_changed"] = ORACLES["lexical_match"] + " WHERE chunk_id // 8388608 % 5 <> 0"
+ORACLES["chunk_split_sql"] = with_(DOCS, CHUNKS) + "SELECT doc_id, department_id, chunk_index, content, greatest(length(content) // 4, 1) AS token_count FROM chunks"
+ORACLES["blob_files_round_trip"] = ORACLES["blob_round_trip"]

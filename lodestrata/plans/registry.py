@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as T
 from ..operators import audit, frames, ingestion, jobs, lookups, registry, retrieval, uploads
 from ..operators.policy import POLICIES, VERBS, AdminCatalog, Identity, ScopedCatalog
@@ -15,7 +16,7 @@ from ..operators.policy_sql import SqlCatalog
 from ..operators.store import DocumentStore
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
-from ..sources import blobs
+from ..sources import blob_files, blobs
 from ..sources.shared import passing_folder, shared_folder
 from ..sources.tables import Tables
 from ..sources.versions import Versions
@@ -53,6 +54,13 @@ def chunk_split(t: Tables) -> DataFrame:
     return t.chunks().select("chunk_id", "doc_id", "department_id", "chunk_index", "content")
 
 
+@query
+def chunk_split_sql(t: Tables) -> DataFrame:
+    sql.register(t.spark)
+    chunks = "SELECT doc_id, source AS department_id, chunk_index, content, token_count(content) AS token_count FROM {docs}, LATERAL split_into_chunks(text, 512, 64)"
+    return t.spark.sql(chunks, docs=t.raw("documents"))
+
+
 @query
 def chunk_token_count(t: Tables) -> DataFrame:
     # no row for each chunk: a document's counts follow from its length
@@ -145,6 +153,15 @@ def blob_round_trip(t: Tables) -> DataFrame:
     return back.select("doc_id", F.octet_length("content").cast("long").alias("byte_size"), blobs.lossy_text(F.col("content")).alias("text"))
 
 
+@query
+def blob_files_round_trip(t: Tables) -> DataFrame:
+    root = passing_folder(t.spark, "blobs")
+    content = t.documents().select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    blob_files.write_blob_files(content, root)
+    back = content.select("doc_id", F.sha2("content", 256).alias("file_hash")).join(blob_files.blob_files(t.spark, root), "file_hash")
+    return back.select("doc_id", "byte_size", blobs.lossy_text(F.col("content")).alias("text"))
+
+
 @query
 def lossy_decode(t: Tables) -> DataFrame:
     # a cut sequence before every text and a stray byte behind it

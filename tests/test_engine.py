@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+import threading
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata.functions import lexical, text
+from lodestrata.functions import lexical, sql, text
 from lodestrata.functions.vectors import cosine_distance
 from lodestrata.operators import frames, ingestion, jobs, lookups, policy, registry, retrieval, uploads
 from lodestrata.operators.policy import Identity, PolicyError, ScopedCatalog, require_admin
 from lodestrata.operators.policy_sql import SqlCatalog
-from lodestrata.sources import blobs
+from lodestrata.sources import blob_files, blobs
 from lodestrata.sources.tables import Tables
 from lodestrata.sources.versions import Versions
 from lodestrata.streaming import ingest
@@ -155,6 +157,42 @@ def test_blobs(spark, tmp_path):
     assert named.startswith("path:")
 
 
+def test_blob_files(spark, tmp_path):
+    root = str(tmp_path / "blobs")
+    rows = spark.createDataFrame([(f"blob {i % 40}".encode(),) for i in range(100)] + [(None,), (b"",)], "content binary").repartition(4)
+    writers = [threading.Thread(target=blob_files.write_blob_files, args=(rows, root)) for _ in range(2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join(60)
+    names = [p.name for p in (tmp_path / "blobs").glob("*/*") if not p.name.endswith(".crc")]
+    assert len(names) == 41 and not any(n.startswith(".") for n in names)  # one copy of each
+    wanted = sorted(names)[:10]
+    for p in (tmp_path / "blobs").glob("*/*"):
+        if p.name not in wanted:
+            p.chmod(0)
+            p.unlink()  # the others' files aren't needed
+            p.with_name(p.name).mkdir()  # and would fail if they were opened
+    got = blob_files.blob_files(spark, root).where(F.col("file_hash").isin([*wanted, "no such hash"])).collect()
+    assert sorted(r["file_hash"] for r in got) == wanted and all(hashlib.sha256(r["content"]).hexdigest() == r["file_hash"] and r["byte_size"] == len(r["content"]) for r in got)
+    assert blob_files.blob_files(spark, root).where(F.col("file_hash") == wanted[3]).where("byte_size > 100").count() == 0
+    assert blob_files.blob_files(spark, root).where("byte_size >= 0").count() == 10
+    assert blob_files.blob_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_functions_for_sql(spark):
+    sql.register(spark)
+    texts = ["", *("a😀é"[i % 3] * n for i, n in enumerate((1, 64, 65, 512, 513, 960, 961, 3000))), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = spark.sql("SELECT doc_id, chunk_index, content FROM {docs}, LATERAL split_into_chunks(text, 512, 64)", docs=docs)
+    assert sorted(map(tuple, rows.collect())) == sorted((i, k, c) for i, t in enumerate(texts) if t for k, c in enumerate(windows(t)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
+    assert [tuple(r) for r in spark.sql("SELECT chunk_count(961, 512, 64), token_count('abc'), mime_or_default(''), safe_identity(' 7'), safe_identity('x')").collect()] == [(3, 1, "application/octet-stream", 7, None)]
+    with pytest.raises(Exception, match="overlap"):
+        spark.sql("SELECT * FROM split_into_chunks('abc', 10, 10)").collect()
+
+
 def test_names(spark):
     row = spark.createDataFrame([("a/b\\x.gguf.gguf", "0123456789", "  Ünï Team--7 ", "3", "A.PDF")], "p string, h string, n string, i string, f string")
     got = row.select(text.adapter_name(F.col("p"), F.col("h")), text.slugify(F.col("n"), F.col("h")), text.safe_identity(F.col("i")), text.icon_class(F.col("f"))).first()

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
     """The table after ``incoming``: on a conflict only ``updated`` columns change.
 
-    ``incoming`` must have each key once.
+    Raises where the plan runs if ``incoming`` has a key more than once.
     """
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a key comes in more than once"))).otherwise(F.first(F.struct(*(c for c in incoming.columns if c not in keys))))
+    incoming = incoming.groupBy(*keys).agg(once.alias("_row")).select(*keys, "_row.*")
     new = incoming.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in existing.columns if c not in keys), F.lit(True).alias("_in"))
     both = existing.withColumn("_had", F.lit(True)).join(new, keys, "full_outer")
     took = lambda c: F.when(F.col("_had").isNull() | (F.col("_in") & F.lit(c in updated)), F.col(f"_new_{c}")).otherwise(F.col(c))
@@ -28,7 +30,7 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 def activate_one(models: DataFrame, name: str, dimension: int) -> DataFrame:
     """(name, dimension, is_active) with exactly ``name`` active, added if it is missing."""
     new = models.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(dimension).alias("dimension"))
-    known = models.select("name", "dimension").unionByName(new).groupBy("name").agg(F.first("dimension").alias("dimension"))
+    known = models.select("name", "dimension").unionByName(new).groupBy("name").agg(F.min("dimension").alias("dimension"))
     known = known.withColumn("dimension", F.when(F.col("name") == name, F.lit(dimension)).otherwise(F.col("dimension")))
     return known.withColumn("is_active", F.col("name") == name)
 

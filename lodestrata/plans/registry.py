@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..operators.store import DocumentStore
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import blob_files, blobs
-from ..sources.shared import passing_folder, shared_folder
+from ..sources.shared import passing_folder
 from ..sources.tables import Tables
 from ..sources.versions import Versions
 from ..streaming import consumer, ingest, tokens
@@ -146,7 +145,7 @@ def upload_outcomes(t: Tables) -> DataFrame:
 
 @query
 def blob_round_trip(t: Tables) -> DataFrame:
-    root = f"{shared_folder(t.spark)}/lodestrata/blobs-{uuid.uuid4().hex}"
+    root = passing_folder(t.spark, "blobs")
     content = t.documents().select("doc_id", F.encode("text", "UTF-8").alias("content"))
     blobs.write_blobs(content, root)
     back = blobs.read_blobs(t.spark, root, content.select("doc_id", F.sha2("content", 256).alias("file_hash")))
@@ -725,7 +724,7 @@ def stream_concat(t: Tables) -> DataFrame:
 
 @query
 def stream_ingest(t: Tables) -> DataFrame:
-    root = f"{shared_folder(t.spark)}/lodestrata/stream-{uuid.uuid4().hex}"
+    root = passing_folder(t.spark, "stream")
     # a stream watches a folder or a pattern; a table may be one file
     files = f"{t.sf_dir}/documents.parque[t]"
     ingest.start_ingest(t.spark, files, f"{root}/out", f"{root}/state").awaitTermination()

@@ -209,6 +209,8 @@ def test_upsert_and_routing(spark):
     old = spark.createDataFrame([("h1", "p1", "n1"), ("h2", "p2", "n2")], "h string, path string, name string")
     new = spark.createDataFrame([("h2", "q2", "m2"), ("h3", "q3", "m3")], "h string, path string, name string")
     assert sorted(map(tuple, registry.upsert(old, new, ["h"], ["path"]).collect())) == [("h1", "p1", "n1"), ("h2", "q2", "n2"), ("h3", "q3", "m3")]
+    with pytest.raises(Exception, match="more than once"):
+        registry.upsert(old, new.unionByName(new), ["h"], ["path"]).collect()
     results = spark.createDataFrame([(1, 1, None), (2, 2, "bad"), (3, 2, None)], "job_id long, doc_id long, error string")
     job_rows, docs = jobs.route(results)
     assert {r["job_id"]: r["status"] for r in job_rows.collect()} == {1: "succeeded", 2: "failed", 3: "succeeded"}
@@ -233,6 +235,20 @@ def test_stream_replay(spark, tmp_path):
     assert len(rows) == len(set(rows))
 
 
+def test_stream_ingest_of_vectors_and_repeats(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = [(1, "x" * 600, "en", "s", 600), (1, "a", "en", "s", 1), (2, "y" * 600, "en", "s", 600), (3, "z", "en", "t", 1), (None, "q", "en", "s", 1)]
+    spark.createDataFrame(rows, schema).write.parquet(landing)
+    # the second chunk of document 2 gets a short vector
+    embed = lambda c: c.withColumn("embedding", F.when((F.col("doc_id") == 2) & (F.col("chunk_index") == 1), F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))))
+    ingest.start_ingest(spark, landing, target, state, embed, 2).awaitTermination()
+    states = {r["doc_id"]: (r["department_id"], r["status"], r["error"]) for r in ingest.ingested(spark, target, "states").collect()}
+    assert states == {1: ("s", "ready", None), 2: ("s", "failed", "embedding dimension 1, expected 2"), 3: ("t", "ready", None)}
+    for name in ("chunks", "vectors"):
+        assert sorted((r["doc_id"], r["chunk_index"]) for r in ingest.ingested(spark, target, name).collect()) == [(1, 0), (1, 1), (3, 0)]
+
+
 # Examples of Porter's paper.
 STEMS = (
     "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall "

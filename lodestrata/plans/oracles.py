@@ -213,3 +213,7 @@ ORACLES["sse_assemble_stream"] = ORACLES["sse_assemble"]
 ORACLES["lexical_match_changed"] = ORACLES["lexical_match"] + " WHERE chunk_id // 8388608 % 5 <> 0"
 ORACLES["chunk_split_sql"] = with_(DOCS, CHUNKS) + "SELECT doc_id, department_id, chunk_index, content, greatest(length(content) // 4, 1) AS token_count FROM chunks"
 ORACLES["blob_files_round_trip"] = ORACLES["blob_round_trip"]
+ORACLES["rules_on_write"] = with_(ASSIGNMENTS, "stored AS (SELECT count(*) AS stored FROM assignments WHERE scale <= 1)") + """SELECT batch, rule, n, stored FROM stored, (
+    SELECT 'within' AS batch, '' AS rule, 0 AS n UNION ALL SELECT 'all', 'scale', count(*) FROM assignments WHERE scale > 1
+    UNION ALL SELECT 'again', 'unique (department_id, adapter_id)', count(*) FROM assignments WHERE scale <= 1 AND adapter_id % 3 = 0)"""
+ORACLES["columns_by_number"] = with_(DOCS) + "SELECT doc_id, filename AS title, CASE WHEN doc_id % 3 = 2 THEN 7 END AS department_id, CASE WHEN doc_id % 3 = 2 THEN length(text) END AS n_chars FROM docs"

@@ -18,7 +18,7 @@ from ..operators.vector_index import VectorIndex
 from ..sources import blob_files, blobs
 from ..sources.shared import passing_folder
 from ..sources.tables import Tables
-from ..sources.versions import Versions
+from ..sources.versions import RuleBroken, Versions
 from ..streaming import consumer, ingest, tokens
 from .oracles import ADMIN, ORACLES, TERMS, USER, VECTOR_ID
 
@@ -680,6 +680,36 @@ def restricted_departments(t: Tables) -> DataFrame:
     return registry.restricted(every, every.where("department_id in ('src1', 'audit')"), t.documents())
 
 
+@query
+def rules_on_write(t: Tables) -> DataFrame:
+    # three batches of assignments: what each breaks, counted as it is written, and what is stored in the end
+    tables = Versions(t.spark, passing_folder(t.spark, "rules"))
+    tables.create("assignments", "assignment_id long, department_id string, adapter_id long, scale double", [["department_id", "adapter_id"]], {"scale": "scale between 0 and 1"})
+    rows, told = t.assignments(), []
+    for name, part in (("within", rows.where("scale <= 1")), ("all", rows), ("again", rows.where("scale <= 1 and adapter_id % 3 = 0"))):
+        try:
+            tables.commit(lambda u, part=part: u.append("assignments", part))
+            told.append((name, "", 0))
+        except RuleBroken as error:
+            told += [(name, rule, n) for rule, n in error.broken.items()]
+    outcomes = t.spark.createDataFrame(told, "batch string, rule string, n long")
+    return outcomes.crossJoin(F.broadcast(tables.read("assignments").agg(F.count(F.lit(1)).alias("stored"))))  # one row
+
+
+@query
+def columns_by_number(t: Tables) -> DataFrame:
+    # files of three schemas read as one table
+    tables, docs = Versions(t.spark, passing_folder(t.spark, "columns")), t.documents()
+    tables.create("documents", "doc_id long, filename string, department_id string", [["doc_id"]])
+    put = lambda part: tables.commit(lambda u: u.append("documents", part))
+    put(docs.where("doc_id % 3 = 0"))
+    tables.commit(lambda u: u.alter("documents", rename={"filename": "title"}, drop=["department_id"]))
+    put(docs.where("doc_id % 3 = 1").withColumnRenamed("filename", "title"))
+    tables.commit(lambda u: u.alter("documents", add="department_id int, n_chars long"))
+    put(docs.where("doc_id % 3 = 2").withColumnRenamed("filename", "title").withColumn("department_id", F.lit(7)))
+    return tables.read("documents").select("doc_id", "title", "department_id", "n_chars")
+
+
 # --- streams
 
 

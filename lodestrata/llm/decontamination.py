@@ -147,19 +147,49 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
+#: Expanded rows that are held at once where repeats in texts and items meet.
+EXPANDED = 1 << 18
+
+
+def _pieces(size: np.ndarray, most: int = EXPANDED) -> Iterator[slice]:
+    """Slices of rows that expand to ``size`` others each, about ``most`` in all (one row may have more)."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
+
+
 def document_hits(block: words.Block, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(is each word of the block hit, document of each hit pair, item of each hit pair); pairs are distinct."""
+    """(is each word of the block hit, document of each hit pair, item of each hit pair); pairs are distinct.
+
+    Equal windows have one range in the suffix array, so each is expanded once, however often items
+    have it: a place has one window of a length at most. Documents and items meet by way of distinct
+    windows, some at a time.
+    """
     none = np.zeros(len(block.hash), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not tests.least or (found := shard_matches(block, tests)) is None:
         return none
     _, places, order, (_, _, _, lo, hi) = found
-    suffix, place = _ranges(lo, hi)
-    first = places[order[place]]
-    change = np.zeros(len(block.hash) + 1, np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + tests.need[suffix], -1)
-    pair = np.unique(block.document()[first] * len(tests.ids) + tests.item[suffix])
-    return np.cumsum(change)[:-1] > 0, pair // len(tests.ids), pair % len(tests.ids)
+    at = np.flatnonzero(hi > lo)
+    if not len(at):
+        return none
+    (lo, hi, need), window = np.unique(np.stack([lo[at], hi[at], tests.need[at]]), axis=1, return_inverse=True)
+    item_pairs = np.unique(window * len(tests.ids) + tests.item[at])  # (window, item)
+    item_window, item_of = item_pairs // len(tests.ids), item_pairs % len(tests.ids)
+    first_item = np.searchsorted(item_window, np.arange(len(lo) + 1))
+    change, document, pairs = np.zeros(len(block.hash) + 1, np.int64), block.document(), np.zeros(0, np.int64)
+    for size in np.unique(need):
+        those = np.flatnonzero(need == size)
+        index, place = _ranges(lo[those], hi[those])  # places at most
+        first = places[order[place]]
+        change += np.bincount(first, minlength=len(change)) - np.bincount(first + size, minlength=len(change))
+        met = np.unique(those[index] * len(block.rows) + document[first])  # (window, document)
+        which, of = met // len(block.rows), met % len(block.rows)
+        for part in _pieces(first_item[which + 1] - first_item[which]):
+            row, entry = _ranges(first_item[which[part]], first_item[which[part] + 1])
+            pairs = np.union1d(pairs, of[part][row] * len(tests.ids) + item_of[entry])
+    return np.cumsum(change)[:-1] > 0, pairs // len(tests.ids), pairs % len(tests.ids)
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, most_bytes: int) -> Iterator[TestSuffixes]:
@@ -310,14 +340,16 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                         continue
                     _, places, order, (longest, lo, hi, _, _) = found
                     told = np.flatnonzero((tests.need > 0) & (longest >= tests.need))
-                    index, place = _ranges(lo[told], hi[told])
-                    suffix, first = told[index], places[order[place]]
-                    document = block.document()[first]
-                    begin = np.searchsorted(tests.item, tests.item[suffix])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(block.rows[document])), pa.array([tests.ids[i][0] for i in tests.item[suffix]], pa.string()), pa.array(suffix - begin, pa.int64()), pa.array(first - block.first[document], pa.int64()), pa.array(longest[suffix], pa.int64())],
-                        ["doc_id", "item_id", "item_word", "doc_word", "length"],
-                    )
+                    of_word = block.document()
+                    for part in _pieces(hi[told] - lo[told]):
+                        index, place = _ranges(lo[told[part]], hi[told[part]])
+                        suffix, first = told[part][index], places[order[place]]
+                        document = of_word[first]
+                        begin = np.searchsorted(tests.item, tests.item[suffix])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(block.rows[document])), pa.array([tests.ids[i][0] for i in tests.item[suffix]], pa.string()), pa.array(suffix - begin, pa.int64()), pa.array(first - block.first[document], pa.int64()), pa.array(longest[suffix], pa.int64())],
+                            ["doc_id", "item_id", "item_word", "doc_word", "length"],
+                        )
 
         part = scratch.keep(texts.mapInArrow(run, "doc_id long, item_id string, item_word long, doc_word long, length long"), "matches")
         shared.destroy()

@@ -1,25 +1,27 @@
 """Toxicity by weak supervision.
 
-1. Lexicons are mined from a bounded sample of labelled rows: words and word beginnings whose
-   documents are reliably toxic (lower bound of the precision). The sample is dealt into
-   ``FOLDS`` parts, and each part alone makes a lexicon of its own, so these don't share evidence.
-   A short fixed list of insults comes by language.
-2. Each lexicon and each pattern (density, variety, exclamations, shouting) is a voter: it says
-   toxic, says clean, or abstains. Votes are counted by vote pattern over all documents.
+1. Three lexicons are mined from a bounded sample of labelled rows: words, short and long word
+   beginnings whose documents are reliably toxic (lower bound of the precision). A short fixed list
+   of insults comes by language.
+2. Each lexicon and each pattern (density and variety of listed insults, exclamations, shouting) is
+   a voter: it says toxic, says clean, or abstains. Most have nothing to do with the labels. Votes
+   are counted by vote pattern over all documents.
 3. A generative label model takes the counts: expectation-maximisation estimates the balance of
    the two classes, how each voter votes in each (its accuracy), and which voters depend on each
    other within a class: the strongest of these dependencies form a tree, whose edges are modelled
-   (so two lexicons that fire together count little more than one). Labelled rows keep their label
-   in it. It gives a posterior for each vote pattern.
-4. A linear classifier on hit counts is fitted to the posteriors of the sample's documents, whose
-   labels vote with the others. It scores every document's whole text in one pass without a shuffle.
+   (so two lexicons that fire together count little more than one).
+   A given label is one more voter, which abstains on all other rows and whose accuracy is
+   estimated like the others'.
+4. A linear classifier on hit counts is fitted to the model's posteriors: of all documents, by vote
+   pattern (their mean counts, as many times as there are), and of the labelled ones, whose label
+   has voted, too. It scores every document's whole text in one pass without a shuffle.
 
 Rows that are held out (``held_out_of``) are never in the sample, and their labels are not read.
 
 Defined results: null, empty and wordless texts get the score of a text without hits; a null
 doc_id is scored and not held out; repeated rows are scored alike; labels without a toxic value
 or a document don't count, and of several labels of a document the largest does; of several texts
-of a labelled doc_id one is learnt from; without labels the fixed list decides; other columns are
+of a labelled doc_id one is learnt from; without labels of both kinds the fixed list decides; other columns are
 ignored.
 """
 
@@ -41,7 +43,10 @@ SAMPLE_DOCUMENTS, LEXICON_ENTRIES = 20_000, 4_096
 STEMS = (4, 5, 6, 8)
 #: Lower bounds of the precision that make an entry strong, fair or weak.
 TIERS = (0.85, 0.65, 0.45)
-GROUPS, FOLDS = 8, 6
+GROUPS = 8
+#: The mined lexicon of a word's hash and of those of its beginnings.
+KIND = (0, 1, 1, 2, 2)
+KINDS = 3
 
 # Common insults in the languages of the documents.
 INSULTS = {
@@ -50,13 +55,13 @@ INSULTS = {
     "es": ("idiota", "imbécil", "basura", "estúpido"),
     "fr": ("imbécile", "crétin", "ordure", "stupide"),
 }
-#: Lexicons of the folds and of the languages, density, variety, exclamations, shouting.
-VOTERS = FOLDS + len(INSULTS) + 4
+#: Mined lexicons, those of the languages, density, variety, exclamations, shouting.
+VOTERS = KINDS + len(INSULTS) + 4
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
-#: Words from which on the lack of a lexicon's words speaks for a clean text.
-ENOUGH_WORDS = 30
-#: How often a given label is taken to be right, and the most that votes may say against it (log odds).
-LABEL_ACCURACY, MOST_EVIDENCE = 0.995, 4.0
+#: How often a given label is taken to be right at first, the rows that this counts as when it is estimated, and what a labelled row weighs at most.
+LABEL_ACCURACY, LABEL_ROWS, LABEL_WEIGHT = 0.995, 20, 10
+#: What the posteriors of all documents' vote patterns weigh together in the fit, in labelled rows.
+PATTERN_WEIGHT = 2000
 #: Dependence of two voters within a class, in nats, from which on it is modelled.
 DEPENDENCE = 0.01
 
@@ -80,16 +85,15 @@ def _fixed_terms() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lexicon:
-    """Terms by hash with their tier and folds; a bit table rules most words out at once."""
+    """Terms by hash with their tier; a bit table rules most words out at once."""
 
-    def __init__(self, terms: np.ndarray, tier: np.ndarray, folds: np.ndarray):
+    def __init__(self, terms: np.ndarray, tier: np.ndarray):
         fixed, language = _fixed_terms()
         new = ~np.isin(fixed, terms)
         term = np.concatenate([terms, fixed[new]])
         order = np.argsort(term)
         self.term = term[order]
         self.tier = np.concatenate([tier, np.full(new.sum(), len(TIERS))])[order]
-        self.folds = np.concatenate([folds, np.zeros(new.sum(), np.int64)])[order]
         self.language = np.full(len(term), -1)
         self.language[np.searchsorted(self.term, fixed)] = language
         self.fixed = self.language >= 0
@@ -105,21 +109,22 @@ class Lexicon:
 
 
 def counts(block: words.Block, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, number of words, what only voters look at: folds, languages and shouted words) of each document of the block."""
+    """(counts, number of words, what only voters look at: hits of the lexicons and shouted words) of each document of the block."""
     n, document = len(block.rows), block.document()
-    seen = np.zeros((n, FOLDS + len(INSULTS) + 1), np.int64)
+    seen = np.zeros((n, KINDS + len(INSULTS) + 1), np.int64)
     out = np.zeros((n, COUNTS))
     word, entry = [], []
-    for h in term_hashes(block):
+    for kind, h in zip(KIND, term_hashes(block), strict=True):
         w, e = lexicon.hits(h)
+        np.add.at(seen[:, kind], document[w[lexicon.tier[e] < len(TIERS)]], 1)
         word.append(w)
         entry.append(e)
+    if not (lexicon.tier < len(TIERS)).any():
+        seen[:, :KINDS] = -1  # nothing was mined, which says nothing
     word, entry = np.concatenate(word), np.concatenate(entry)
-    for f in range(FOLDS):
-        np.add.at(seen[:, f], document[word[(lexicon.folds[entry] >> f) & 1 == 1]], 1)
     of_language = lexicon.language[entry]
     for i in range(len(INSULTS)):
-        np.add.at(seen[:, FOLDS + i], document[word[of_language == i]], 1)
+        np.add.at(seen[:, KINDS + i], document[word[of_language == i]], 1)
     # a word of three and more letters, the first and the last capitals
     last = block.data[np.maximum(block.end - 1, 0)] if len(block.end) else block.data[:0]
     capital = lambda x: (x >= 65) & (x <= 90)
@@ -148,10 +153,10 @@ def counts(block: words.Block, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
 
 def votes(c: np.ndarray, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Each document's votes, two bits for each voter, as one number."""
-    listed = c[:, GROUPS : GROUPS + len(TIERS)].sum(1)
-    distinct, marks = c[:, GROUPS + len(TIERS) + 1], c[:, GROUPS + len(TIERS) + 2]
-    toxic = [*(seen[:, : FOLDS + len(INSULTS)] > 0).T, listed > 0.01 * np.maximum(n, 1), distinct > 2, marks > 2, (seen[:, -1] > 0.3 * np.maximum(n, 1)) & (n > 4)]
-    clean = [(seen[:, f] == 0) & (n >= ENOUGH_WORDS) for f in range(FOLDS)] + [np.zeros(len(n), bool)] * len(INSULTS) + [(listed == 0) & (n > 0)] + [np.zeros(len(n), bool)] * 3
+    insults, marks = c[:, GROUPS + len(TIERS)], c[:, GROUPS + len(TIERS) + 2]
+    languages, never = seen[:, KINDS : KINDS + len(INSULTS)], np.zeros(len(n), bool)
+    toxic = [*(seen[:, : KINDS + len(INSULTS)] > 0).T, insults > 0.01 * np.maximum(n, 1), insults > 2, marks > 2, (seen[:, -1] > 0.3 * np.maximum(n, 1)) & (n > 4)]
+    clean = [(seen[:, f] == 0) & (n > 0) for f in range(KINDS)] + [never] * len(INSULTS) + [(languages.sum(1) == 0) & (n > 0)] + [never] * 3
     return sum(np.where(t, TOXIC, np.where(k, CLEAN, ABSTAIN)).astype(np.int64) << (2 * i) for i, (t, k) in enumerate(zip(toxic, clean, strict=True)))
 
 
@@ -175,27 +180,34 @@ class LabelModel:
     """Two classes of vote vectors: a balance, each voter's votes in each class, and a tree of dependencies.
 
     ``accuracy``: of each voter where it doesn't abstain. ``edges``: pairs (voter, the one it depends
-    on). ``correlation``: of toxic votes within a class, for every pair.
+    on). ``correlation``: of toxic votes within a class, for every pair. ``says``: by class, the
+    chance of either label.
     """
 
     def __init__(self, pattern: np.ndarray, n: np.ndarray, labelled: np.ndarray, label: np.ndarray, n_labelled: np.ndarray, rounds: int = 25):
         pos, neg = n_labelled * label, n_labelled * (1 - label)
         known = pos.sum() > 0 and neg.sum() > 0
         self.balance = float(np.clip((pos.sum() + 1) / (pos.sum() + neg.sum() + 10), 0.005, 0.5)) if known else 0.1
+        self.says = np.array([[LABEL_ACCURACY, 1 - LABEL_ACCURACY], [1 - LABEL_ACCURACY, LABEL_ACCURACY]])  # a label's chance, by class
         every = np.concatenate([pattern, labelled])
         hot = np.eye(3)[_values(every)].reshape(len(every), 3 * VOTERS)
-        # labelled rows weigh a quarter of all others together, at least as much as a row each
-        weight = max(1.0, 0.25 * n.sum() / max(n_labelled.sum(), 1)) if known else 1.0
+        # labelled rows weigh as much as all others together, but a row at most LABEL_WEIGHT others
+        weight = float(np.clip(n.sum() / max(n_labelled.sum(), 1), 1, LABEL_WEIGHT)) if known else 1.0
+        q = np.where(label > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY) if known else majority(labelled)
         if known:
-            self._fit(hot, np.vstack([np.concatenate([0 * n, neg]), np.concatenate([0 * n, pos])]))
-            p = self.posterior(pattern)
+            self._fit(hot, np.vstack([np.concatenate([0 * n, n_labelled * (1 - q)]), np.concatenate([0 * n, n_labelled * q])]))
+            p = (self.posterior(pattern) + majority(pattern)) / 2  # few labels have not seen all that voters can say
         else:
             p = majority(pattern)
-        for _ in range(rounds):
-            self._fit(hot, np.vstack([np.concatenate([n * (1 - p), weight * neg]), np.concatenate([n * p, weight * pos])]))
-            new = self.posterior(pattern)
-            if not known:
-                self.balance = float(np.clip(n @ new / max(n.sum(), 1), 0.005, 0.5))
+        for _ in range(rounds if known else 1):
+            self._fit(hot, np.vstack([np.concatenate([n * (1 - p), weight * n_labelled * (1 - q)]), np.concatenate([n * p, weight * n_labelled * q])]))
+            if known:
+                for c, share in enumerate((1 - q, q)):
+                    rows = (share * n_labelled).sum()
+                    self.says[c, c] = ((share * (pos if c else neg)).sum() + max(rows, LABEL_ROWS) * LABEL_ACCURACY) / (rows + max(rows, LABEL_ROWS))
+                    self.says[c, 1 - c] = 1 - self.says[c, c]
+            new, q = self.posterior(pattern), self.posterior(labelled, label)
+            self.balance = float(np.clip((n @ new + weight * (n_labelled @ q if known else 0)) / max(n.sum() + weight * (n_labelled.sum() if known else 0), 1), 0.005, 0.5))
             moved, p = np.abs(new - p).max(initial=0), new
             if moved < 1e-6:
                 break
@@ -234,24 +246,24 @@ class LabelModel:
         self.correlation = cov / np.maximum(np.outer(spread, spread), 1e-12)
 
     def posterior(self, pattern: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-        """Chance of the toxic class; with ``label`` that of rows whose label is one more, very accurate voter."""
+        """Chance of the toxic class; with ``label`` that of rows whose label has voted, too."""
         x = _values(pattern)
         above = np.where(self.parent >= 0, x[:, np.maximum(self.parent, 0)], 0)
-        chance = self.table[:, np.arange(VOTERS), above, x].sum(2)
+        chance = (self.table[:, np.arange(VOTERS), above, x] * (x != ABSTAIN)).sum(2)  # who abstains says nothing
         z = chance[1] - chance[0] + np.log(self.balance / (1 - self.balance))
         if label is not None:
-            z = np.clip(z, -MOST_EVIDENCE, MOST_EVIDENCE) + (2 * label - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+            z = z + np.log(self.says[1] / self.says[0])[label.astype(int)]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method; the last feature is the constant."""
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Logistic regression on weighted soft labels by Newton's method; the last feature is the constant."""
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -263,52 +275,41 @@ def held_out_of(doc_id: Column) -> Column:
 
 
 def mine_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and beginnings of the sample (text, toxic, fold) by the lower bound of their precision, in all folds and in each."""
+    """Words and beginnings of the sample (text, toxic) by the lower bound of their precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, fold = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for block in words.blocks(batch.column(0), words.NOT_ALNUM, True):
                 document = block.document()
-                found = []
                 for h in term_hashes(block):
                     order = np.lexsort((document, h))
                     h, d = h[order], document[order]
                     new = h != 0
                     new[1:] &= (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                    row = block.rows[d[new]]
-                    found.append((h[new], toxic[row], fold[row]))
-                h, y, f = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((f, h))
-                h, y, f = h[order], y[order], f[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
-                at = np.cumsum(first) - 1
-                pos = np.bincount(at, y, first.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first].view(np.int64)), pa.array(f[first], pa.int32()), pa.array(pos, pa.float64()), pa.array(np.bincount(at, minlength=first.sum()) - pos, pa.float64())], ["term", "fold", "pos", "neg"]
-                )
+                    h, y = h[new], toxic[block.rows[d[new]]]
+                    first = np.ones(len(h), bool)
+                    first[1:] = h[1:] != h[:-1]
+                    at = np.cumsum(first) - 1
+                    pos = np.bincount(at, y, first.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(pos, pa.float64()), pa.array(np.bincount(at, minlength=first.sum()) - pos, pa.float64())], ["term", "pos", "neg"])
 
     sizes = sample.agg(F.sum("toxic")).first()[0] or 0
     least = max(3, round(0.01 * sizes))
-
-    def low(pos: Column, neg: Column) -> Column:
-        """Wilson's lower bound at two standard errors."""
-        n = pos + neg
-        return F.when(n > 0, (pos + 2 - 2 * F.sqrt(pos * neg / n + 1)) / (n + 4)).otherwise(0.0)
-
-    of = lambda name, f: F.sum(F.when(F.col("fold") == f, F.col(name)).otherwise(0.0)).alias(f"{name}{f}")
-    terms = sample.mapInArrow(run, "term long, fold int, pos double, neg double")
-    terms = terms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *(of(x, f) for f in range(FOLDS) for x in ("pos", "neg")))
-    folds = sum(((low(F.col(f"pos{f}"), F.col(f"neg{f}")) >= TIERS[-1]) & (F.col(f"pos{f}") >= 2)).cast("int") * (1 << f) for f in range(FOLDS))
-    best = terms.where(F.col("pos") >= least).withColumn("low", low(F.col("pos"), F.col("neg"))).where(F.col("low") >= TIERS[-1]).select("term", "low", "pos", folds.alias("folds"))
+    n, pos, neg = F.col("pos") + F.col("neg"), F.col("pos"), F.col("neg")
+    low = (pos + 2 - 2 * F.sqrt(pos * neg / n + 1)) / (n + 4)  # Wilson's lower bound at two standard errors
+    terms = sample.mapInArrow(run, "term long, pos double, neg double").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    best = terms.where(F.col("pos") >= least).withColumn("low", low).where(F.col("low") >= TIERS[-1])
     best = best.orderBy(F.desc("low"), F.desc("pos"), "term").limit(LEXICON_ENTRIES).collect()
     tier = np.array([sum(r["low"] < t for t in TIERS) for r in best], np.int64)
-    return Lexicon(np.array([r["term"] for r in best], np.int64).view(np.uint64), tier, np.array([r["folds"] for r in best], np.int64))
+    return Lexicon(np.array([r["term"] for r in best], np.int64).view(np.uint64), tier)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, LabelModel]:
-    """(lexicon, weights of the linear classifier, label model) from documents and labels."""
+def learn(docs: DataFrame, labels: DataFrame, by_model: bool = True) -> tuple[Lexicon, np.ndarray, LabelModel]:
+    """(lexicon, weights of the linear classifier, label model) from documents and labels.
+
+    Without ``by_model`` the classifier learns the bare labels, to compare with.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -317,15 +318,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, Labe
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
     # one row for each label, however often its doc_id occurs
     sample = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
-    sample = Scratch(spark, "toxicity").keep(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
+    sample = Scratch(spark, "toxicity").keep(sample.select("text", "toxic"), "sample")
     lexicon = mine_lexicon(sample)
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared, columns = spark.sparkContext.broadcast(lexicon), [f"x{i}" for i in range(FEATURES)]
 
     def count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column(0), words.NOT_ALNUM, True):
-                pattern, n = np.unique(votes(*counts(block, shared.value)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], ["pattern", "n"])
+                c, size, seen = counts(block, shared.value)
+                pattern, which, n = np.unique(votes(c, size, seen), return_inverse=True, return_counts=True)
+                x = np.zeros((len(pattern), FEATURES))
+                np.add.at(x, which, features(c, size))
+                yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n), *(pa.array(col) for col in x.T)], ["pattern", "n", *columns])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,19 +337,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray, Labe
                 c, n, seen = counts(block, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(votes(c, n, seen)), batch.column(1).take(pa.array(block.rows)), pa.array(list(features(c, n)), pa.list_(pa.float64()))], ["pattern", "toxic", "x"])
 
-    # a row for each vote pattern
-    every = docs.select("text").mapInArrow(count_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    rows = sample.select("text", "toxic").mapInArrow(examples, "pattern long, toxic int, x array<double>").collect()  # SAMPLE_DOCUMENTS at most
+    # a row for each vote pattern: of the voters' combinations few occur
+    every = docs.select("text").mapInArrow(count_votes, f"pattern long, n long, {', '.join(f'{c} double' for c in columns)}").groupBy("pattern").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns))
+    every = every.orderBy("pattern").collect()
+    rows = sample.mapInArrow(examples, "pattern long, toxic int, x array<double>").collect()  # SAMPLE_DOCUMENTS at most
+    rows.sort(key=lambda r: (r["pattern"], r["toxic"], r["x"]))
     column = lambda r, k, kind: np.array([x[k] for x in r], kind)
     pattern, label = column(rows, "pattern", np.int64), column(rows, "toxic", float)
-    model = LabelModel(column(every, "pattern", np.int64), column(every, "n", float), pattern, label, np.ones(len(rows)))
+    patterns, n = column(every, "pattern", np.int64), column(every, "n", float)
+    model = LabelModel(patterns, n, pattern, label, np.ones(len(rows)))
     shared.unpersist()
-    if not rows:  # nothing to fit: the fixed list alone
+    if len(set(label)) < 2:  # nothing to tell apart: the fixed list alone
         weights = np.zeros(FEATURES)
         weights[GROUPS + len(TIERS)], weights[-1] = 4.0, -3.0
         return lexicon, weights, model
     x = np.array([r["x"] for r in rows])
-    return lexicon, fit_linear(x, model.posterior(pattern, label)), model
+    if not by_model:
+        return lexicon, fit_linear(x, label, np.ones(len(x))), model
+    mean = np.array([[r[c] for c in columns] for r in every]) / n[:, None]
+    share = n * PATTERN_WEIGHT / n.sum()
+    return lexicon, fit_linear(np.vstack([x, mean]), np.concatenate([model.posterior(pattern, label), model.posterior(patterns)]), np.concatenate([np.ones(len(x)), share])), model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep_clean: bool = False) -> DataFrame:

@@ -254,7 +254,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(_let(F.element_at(parts, 1), of), F.lit("@"), F.element_at(parts, 2))
 
 
-def _made(match: Column, key: str, mark: str) -> Column:
+def _made(match: Column, key: str, mark: Column) -> Column:
     """struct(raw, made) of one value: the mark and its pseudonym, or itself and none if it fails its check."""
     kind = (
         F.when(match.contains("@"), "email")
@@ -267,7 +267,7 @@ def _made(match: Column, key: str, mark: str) -> Column:
     for name, make in (("phone", _phone), ("ssn", _ssn), ("date", _date), ("ip", _ip), ("email", _email)):
         made = F.when(kind == name, make(match, key)).otherwise(made)
     one = F.struct(kind.alias("kind"), made.alias("text"))
-    return _let(one, lambda s: F.when(s["text"].isNotNull(), _piece(F.lit(mark), F.array(s))).otherwise(_piece(match, F.array().cast(_MADE))))
+    return _let(one, lambda s: F.when(s["text"].isNotNull(), _piece(mark, F.array(s))).otherwise(_piece(match, F.array().cast(_MADE))))
 
 
 _MADE = "array<struct<kind:string,text:string>>"
@@ -277,7 +277,7 @@ def _piece(raw: Column, made: Column) -> Column:
     return F.struct(raw.alias("raw"), made.cast(_MADE).alias("made"))
 
 
-def _picked(match: Column, key: str, mark: str, kind: str) -> Column:
+def _picked(match: Column, key: str, mark: Column, kind: str) -> Column:
     """struct(raw, made) of a run of groups: the runs of whole groups in it that pass the check, the usual layouts first, then the longest."""
     shape, usual, make = (_CARD, _USUAL_CARD, _card) if kind == "card" else (_IBAN, _USUAL_IBAN, _iban)
 
@@ -296,7 +296,7 @@ def _picked(match: Column, key: str, mark: str, kind: str) -> Column:
                 sep = F.coalesce(F.get(run["seps"], k - 1), F.lit(""))
                 inside = F.exists(have, lambda y: (y["i"] <= k) & (k < y["j"]))
                 last = F.exists(have, lambda y: y["j"] == k)
-                return F.when(inside, F.lit("")).when(last, F.concat(F.lit(mark), sep)).otherwise(F.concat(F.element_at(groups, k), sep))
+                return F.when(inside, F.lit("")).when(last, F.concat(mark, sep)).otherwise(F.concat(F.element_at(groups, k), sep))
 
             raw = F.array_join(F.transform(F.sequence(F.lit(1), n), group), "")
             return _piece(raw, F.transform(have, lambda y: F.struct(F.lit(kind).alias("kind"), y["text"].alias("text"))))
@@ -307,7 +307,7 @@ def _picked(match: Column, key: str, mark: str, kind: str) -> Column:
     return _let(run, in_parts)
 
 
-def pseudonym(match: Column, key: str, mark: str) -> Column:
+def pseudonym(match: Column, key: str, mark: Column) -> Column:
     """struct(raw, made) for a match: what is left of it, with ``mark`` for each value, and their kinds and pseudonyms."""
     other = match.rlike(r"@|^[+(]|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")
     def of_part(part: Column) -> Column:
@@ -323,29 +323,43 @@ def _woven(gaps: Column, found: Column) -> Column:
     return F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, x: F.concat(g, x)), ""), F.element_at(gaps, -1))
 
 
+def _passes(raw: Column, key: str) -> Column:
+    """struct(raw, found, again): the text with marks after all passes, and each pass's values; one fold, so the plan has the rules once."""
+    none = F.array().cast(f"array<{_MADE}>")
+    start = F.struct(raw.alias("raw"), none.alias("found"), F.lit(True).alias("again"))
+    steps = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(_PRIVATE + chr(ord(_PRIVATE) + i + 1)).alias("mark"), F.lit(i).alias("turn")) for i, p in enumerate(PASSES)))
+
+    def turn(s: Column, p: Column) -> Column:
+        def with_matches(matches: Column) -> Column:
+            def with_pieces(pieces: Column) -> Column:
+                some = F.size(pieces) > 0
+                new = F.when(some, _woven(F.split(s["raw"], p["pattern"], -1), F.transform(pieces, lambda x: x["raw"]))).otherwise(s["raw"])
+                made = F.flatten(F.transform(pieces, lambda x: x["made"]))
+                # a run of groups that is not one value alone may hold more
+                left = F.when(p["turn"] == 0, F.exists(pieces, lambda x: F.length(x["raw"]) > F.length(p["mark"]))).otherwise(s["again"])
+                return F.struct(new.alias("raw"), F.concat(s["found"], F.array(made)).alias("found"), left.alias("again"))
+
+            return _let(F.transform(matches, lambda m: pseudonym(m, key, p["mark"])), with_pieces)
+
+        nothing = F.array().cast("array<string>")
+        return _let(F.when(s["again"], F.regexp_extract_all(s["raw"], p["pattern"], F.lit(0))).otherwise(nothing), with_matches)
+
+    return F.aggregate(steps, start, turn)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, found_as: str | None = None) -> DataFrame:
     """The rows with pseudonyms in ``text``; ``found_as``: a new column with the array of kinds found."""
-    text, raw = F.col("text").cast("string"), "_pii_raw"
-    has = text.rlike("[0-9@]")  # nothing else can match
-    marked, made, again = docs.withColumn(raw, F.when(has, F.replace(text, F.lit(_PRIVATE), F.lit(_PRIVATE + _ITSELF)))), [], F.lit(True)
-    for i, pattern in enumerate(PASSES):
-        found, mark = f"_pii_found{i}", _PRIVATE + chr(ord(_PRIVATE) + i + 1)
-        marked = marked.withColumn(found, F.when(again, F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))))
-        marked = marked.withColumn(found, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, mark))))  # noqa: B023
-        some = F.col(found).isNotNull()
-        # a run of groups that is not one value alone may hold more
-        left = F.coalesce(F.exists(found, lambda x: F.length(x["raw"]) > len(mark)), F.lit(False))  # noqa: B023
-        marked = marked.withColumn(raw, F.when(some, _woven(F.split(raw, pattern, -1), F.transform(found, lambda x: x["raw"]))).otherwise(F.col(raw)))
-        marked = marked.withColumn(f"_pii_left{i}", left).withColumn(found, F.flatten(F.transform(found, lambda x: x["made"])))
-        again = again & F.col("_pii_left0")
-        made.append((found, mark))
-    for found, mark in reversed(made):
+    text, raw, done = F.col("text").cast("string"), "_pii_raw", "_pii_done"
+    has = text.rlike("[0-9@]") & text.rlike(PATTERN)  # nothing else can match
+    marked = docs.withColumn(done, F.when(has, _passes(F.replace(text, F.lit(_PRIVATE), F.lit(_PRIVATE + _ITSELF)), key)))
+    marked = marked.withColumn(raw, F.col(f"{done}.raw"))
+    for i in reversed(range(len(PASSES))):
+        mark, found = _PRIVATE + chr(ord(_PRIVATE) + i + 1), F.get(F.col(f"{done}.found"), F.lit(i))
         marked = marked.withColumn(raw, F.when(F.size(found) > 0, _woven(F.split(raw, mark, -1), F.transform(found, lambda x: x["text"]))).otherwise(F.col(raw)))
     out = marked.withColumn("text", F.when(F.col(raw).isNotNull(), F.replace(raw, F.lit(_PRIVATE + _ITSELF), F.lit(_PRIVATE))).otherwise(text))
     if found_as:
-        none = F.array().cast("array<string>")
-        out = out.withColumn(found_as, F.concat(*(F.coalesce(F.transform(found, lambda x: x["kind"]), none) for found, _ in made)))
-    return out.drop(raw, *(f for f, _ in made), *(f"_pii_left{i}" for i in range(len(PASSES))))
+        out = out.withColumn(found_as, F.coalesce(F.transform(F.flatten(F.col(f"{done}.found")), lambda x: x["kind"]), F.array().cast("array<string>")))
+    return out.drop(raw, done)
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Sharding by balanced label propagation.
 
-Documents are nodes, links join documents that should share a shard. A first label, passed on
-twice, is the smallest doc_id around a node; nodes with one label start in one shard, whole labels
-one after the other as long as they fit. In each round, linked documents count their neighbours' shards in a join and ask to
-move to the best one; quotas from an 8 x 8 table of requests and free places say how many of
-each kind may go, those with most to gain first. Followers (documents with a neighbour of more
-links) and leaders move in turn, so two neighbours don't swap for ever. At the end documents
-without links fill every shard to its exact size, so law ``rows`` holds: counts differ by at
-most one, whatever the links.
+Documents are nodes, links join documents that should share a shard. Linked documents are first
+clustered under a size bound, again and again, until the graph of clusters is small enough for the
+driver (``coarse.py``); that graph is divided evenly, cutting as few links as it can. Then the
+clusters are undone level by level, and on each level nodes move in rounds: linked nodes count
+their neighbours' shards in a join and ask to move to the best one; quotas from an 8 x 8 table of
+requests and free places say how many of each kind may go, those with most to gain first.
+Followers (nodes with a neighbour of more links) and leaders move in turn, so two neighbours don't
+swap for ever. A level's rounds end when its cut has not fallen for ``PATIENCE`` of them, with the
+best state that there was. Shards may be a little too large meanwhile; then the nodes that lose
+least go to shards with room, and a last level of rounds keeps to the exact sizes. At the end documents without links fill every shard to its exact size,
+so law ``rows`` holds: counts differ by at most one, whatever the links.
 
 Ranks are never taken in one task: rows are hashed to about sqrt(rows) buckets, numbered inside
 and offset by the counts of the buckets before.
@@ -22,15 +25,21 @@ from __future__ import annotations
 
 from math import isqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .coarse import clusters, contracted, divide
 from .store import Scratch
 
 SHARDS = 8
-#: Rounds at most; they end as soon as neither followers nor leaders gain by a move.
-ROUNDS = 24
+#: Rounds without a smaller cut after which a level ends.
+PATIENCE = 2
+#: What a shard may have too much while clusters are undone, and rounds in which that is moved away.
+SLACK, EVEN_ROUNDS = 0.04, 12
+#: Nodes of the graph that the driver divides, at most. A third as many clusters of full size would hold all rows.
+COARSEST = 1024
 #: Hash slices of equal gain among the movers of one kind; a quota is met to within one slice.
 SLICES = 1024
 #: A node of more than one row and of more than this part of a shard is heavy.
@@ -76,27 +85,40 @@ def quotas(asked: list[list[int]], free: list[int]) -> list[list[int]]:
     return go
 
 
-def propagate(nodes: DataFrame, links: DataFrame, capacity: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, weight, shard) of linked nodes after balanced label propagation.
+def both_ways(links: DataFrame) -> DataFrame:
+    """Links (a, b) as edges (doc_id, other, w), from either end."""
+    ends = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
+    return ends.where("doc_id != other").distinct().withColumn("w", F.lit(1).cast("long"))
 
-    ``nodes``: doc_id, weight (rows), shard; at most ``capacity`` rows a shard. ``links``: pairs (a, b).
+
+def propagate(nodes: DataFrame, edges: DataFrame, capacity: list[int], scratch: Scratch, log: list | None = None) -> DataFrame:
+    """(doc_id, weight, shard) of nodes after balanced label propagation.
+
+    ``nodes``: doc_id, weight (rows), shard; at most ``capacity`` rows a shard. ``edges``: doc_id,
+    other, w, both ways. ``log`` gets (cut, weight that moved) of each round.
     """
     n = len(capacity)
-    both = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
-    both = scratch.keep(both.where("doc_id != other").distinct(), "links")
-    degree = both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    degree = edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
     rank = F.struct(F.col("degree"), F.xxhash64("doc_id").alias("h"))
     ranked = degree.select("doc_id", rank.alias("rank"))
-    highest = both.join(ranked.withColumnsRenamed({"doc_id": "other", "rank": "other_rank"}), "other").groupBy("doc_id").agg(F.max("other_rank").alias("highest"))
+    highest = edges.join(ranked.withColumnsRenamed({"doc_id": "other", "rank": "other_rank"}), "other").groupBy("doc_id").agg(F.max("other_rank").alias("highest"))
     leads = ranked.join(highest, "doc_id").select("doc_id", (F.col("rank") > F.col("highest")).alias("leads"))
-    nodes = scratch.keep(nodes.join(leads, "doc_id"), "nodes")
-    idle = 0
-    for turn in range(rounds):
-        votes = both.join(nodes.select(F.col("doc_id").alias("other"), "shard", "weight"), "other").groupBy("doc_id").agg(*(F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(f"v{s}") for s in range(n)))
-        best = F.greatest(*(F.struct(F.col(f"v{s}").alias("votes"), (F.col("shard") == s).alias("stays"), F.lit(s).alias("to")) for s in range(n)))
+    nodes = best_nodes = scratch.keep(nodes.join(leads, "doc_id", "left"), "nodes")
+    least, idle, turn = None, 0, 0
+    while True:
+        votes = edges.join(nodes.select(F.col("doc_id").alias("other"), "shard"), "other").groupBy("doc_id").agg(*(F.sum(F.when(F.col("shard") == s, F.col("w")).otherwise(0)).alias(f"v{s}") for s in range(n)))
+        best = F.greatest(*(F.struct(F.col(f"v{s}").alias("votes"), (F.col("shard") == s).alias("stays"), F.xxhash64("doc_id", F.lit(s), F.lit(turn)).alias("h"), F.lit(s).alias("to")) for s in range(n)))
         mine = F.element_at(F.array(*(F.col(f"v{s}") for s in range(n))), F.col("shard") + 1)
-        asks = nodes.where(F.col("leads") == bool(turn % 2)).join(votes, "doc_id").withColumn("best", best)
-        asks = asks.select("doc_id", "weight", "shard", F.col("best.to").alias("to"), (F.col("best.votes") - mine).alias("gain")).where("gain > 0")
+        scored = nodes.join(votes, "doc_id").withColumn("best", best)
+        scored = scratch.keep(scored.select("doc_id", "weight", "shard", "leads", F.col("best.to").alias("to"), (F.col("best.votes") - mine).alias("gain"), (sum(F.col(f"v{s}") for s in range(n)) - mine).alias("cut")), "scored")
+        cut = scored.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0] // 2
+        if least is None or cut < least:
+            least, best_nodes, idle = cut, nodes, 0
+        else:
+            idle += 1
+        if not cut or idle >= PATIENCE:
+            return best_nodes.select("doc_id", "weight", "shard")
+        asks = scored.where(F.col("leads") == bool(turn % 2)).where("gain > 0")
         asks = scratch.keep(asks.withColumn("level", F.least(F.floor(F.log2(F.col("gain").cast("double"))), F.lit(40)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(SLICES)).cast("int")), "asks")
         # n * n * 41 * SLICES rows at most, on the driver the sums by slice of the kinds that can't all go
         table = asks.groupBy("shard", "to").agg(F.sum("weight").alias("w")).collect()
@@ -109,22 +131,32 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: list[int], scratch:
         if any(map(any, go)):
             # rows of one kind in order of gain, whole slices as long as they fit the quota
             order = Window.partitionBy("shard", "to").orderBy(F.desc("level"), "slice")
-            limits = F.create_map(*(x for i in range(n) for j in range(n) for x in (F.lit(i * n + j), F.lit(go[i][j]))))
-            fits = asks.groupBy("shard", "to", "level", "slice").agg(F.sum("weight").alias("w")).withColumn("upto", F.sum("w").over(order)).where(F.col("upto") <= F.element_at(limits, F.col("shard") * n + F.col("to")))
+            slices = asks.groupBy("shard", "to", "level", "slice").agg(F.sum("weight").alias("w")).withColumn("upto", F.sum("w").over(order))
+            while True:
+                limits = F.create_map(*(x for i in range(n) for j in range(n) for x in (F.lit(i * n + j), F.lit(go[i][j]))))
+                fits = slices.where(F.col("upto") <= F.element_at(limits, F.col("shard") * n + F.col("to")))
+                # whole slices may leave a bit of a quota, so less may go than was to make room
+                go = [[0] * n for _ in range(n)]
+                for r in fits.groupBy("shard", "to").agg(F.sum("w").alias("w")).collect():
+                    go[r["shard"]][r["to"]] = r["w"]
+                over = [used.get(j, 0) + sum(go[i][j] for i in range(n)) - sum(go[j]) - capacity[j] for j in range(n)]
+                if max(over) <= 0:
+                    break
+                for j in range(n):
+                    for i in range(n):
+                        less = max(0, min(over[j], go[i][j]))
+                        go[i][j] -= less
+                        over[j] -= less
             accepted = asks.join(fits.select("shard", "to", "level", "slice"), ["shard", "to", "level", "slice"]).select("doc_id", "to")
             new = scratch.keep(nodes.join(accepted, "doc_id", "left").select("doc_id", "weight", F.coalesce("to", "shard").cast("int").alias("shard"), "leads", F.col("to").isNotNull().alias("moved")), "nodes")
-            moved = new.where("moved").count()
-            scratch.drop(nodes)
+            moved = new.where("moved").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
             nodes = new.drop("moved")
-            nodes.scratch_path = new.scratch_path
             over = [r for r in nodes.groupBy("shard").agg(F.sum("weight").alias("w")).collect() if r["w"] > capacity[r["shard"]]]
             if over:
                 raise RuntimeError(f"shards over capacity: {over}")
-        scratch.drop(asks)
-        idle = 0 if moved else idle + 1
-        if idle == 2:  # neither followers nor leaders move
-            break
-    return nodes.select("doc_id", "weight", "shard")
+        if log is not None:
+            log.append((cut, moved))
+        turn += 1
 
 
 def even_start(nodes: DataFrame, target: list[int]) -> DataFrame:
@@ -169,31 +201,104 @@ def even_start(nodes: DataFrame, target: list[int]) -> DataFrame:
     return out
 
 
-def grouped_start(nodes: DataFrame, links: DataFrame, target: list[int], scratch: Scratch, hops: int = 2) -> DataFrame:
-    """(doc_id, weight, shard) of nodes, linked ones together: ``even_start`` of groups, then of the nodes of groups that don't fit.
+def _room(placed: DataFrame, target: list[int]) -> list[int]:
+    used = {r["shard"]: r["w"] for r in placed.where("shard is not null").groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
+    return [n - used.get(s, 0) for s, n in enumerate(target)]
 
-    A node's group is the smallest doc_id within ``hops`` links, which is the same for a star's nodes.
-    """
-    both = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("other"))).where("doc_id != other")
-    label = nodes.select("doc_id", "weight", F.col("doc_id").alias("unit"))
-    for _ in range(hops):
-        around = both.join(label.select(F.col("doc_id").alias("other"), F.col("unit").alias("near")), "other").groupBy("doc_id").agg(F.min("near").alias("near"))
-        label = label.join(around, "doc_id", "left").select("doc_id", "weight", F.least("unit", "near").alias("unit"))
-    label = scratch.keep(label, "labels")
-    groups = scratch.keep(label.groupBy("unit").agg(F.sum("weight").alias("weight")).withColumnRenamed("unit", "doc_id"), "groups")
-    start = even_start(groups, target).select(F.col("doc_id").alias("unit"), "shard")
-    placed = scratch.keep(label.join(start, "unit", "left").select("doc_id", "weight", "shard"), "grouped")
-    used = {r["shard"]: r["w"] for r in placed.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
-    whole = placed.where("shard is not null")
-    if None not in used:
-        return whole
-    return whole.unionByName(even_start(placed.where("shard is null").select("doc_id", "weight"), [n - used.get(s, 0) for s, n in enumerate(target)]))
-
-
-def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+
+def _coarsest(nodes: DataFrame, edges: DataFrame, target: list[int], scratch: Scratch) -> DataFrame:
+    """(doc_id, weight, shard) of the last level's nodes; those that fit nowhere are left out."""
+    linked = edges.select("doc_id").distinct()
+    heavy = nodes.where((F.col("weight") > 1) & (F.col("weight") * HEAVY > sum(target) // len(target)))  # some HEAVY * shards at most
+    if linked.count() > COARSEST:  # clusters don't grow any more: an even start, and what the rounds make of it
+        return even_start(nodes, target)
+    rows = nodes.join(linked, "doc_id", "left_semi").unionByName(heavy.join(linked, "doc_id", "left_anti")).orderBy("doc_id").collect()
+    at = {r["doc_id"]: i for i, r in enumerate(rows)}
+    links = np.zeros((len(rows), len(rows)))
+    for r in edges.collect():  # COARSEST ** 2 at most
+        links[at[r["doc_id"]], at[r["other"]]] = r["w"]
+    part = divide(np.array([r["weight"] for r in rows], np.int64), links, target)
+    chosen = nodes.sparkSession.createDataFrame([(r["doc_id"], r["weight"], int(s)) for r, s in zip(rows, part, strict=True) if s >= 0], "doc_id long, weight long, shard int")
+    chosen = scratch.keep(chosen, "coarsest")
+    tried = nodes.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long")
+    return chosen.unionByName(even_start(nodes.join(F.broadcast(tried), "doc_id", "left_anti"), _room(chosen, target)))
+
+
+def evened(nodes: DataFrame, edges: DataFrame, target: list[int], scratch: Scratch) -> DataFrame:
+    """(doc_id, weight, shard) with at most ``target`` rows a shard: the nodes that lose least go where there is room; those that still are too many are left out."""
+    n = len(target)
+    for turn in range(EVEN_ROUNDS + 1):
+        room = _room(nodes, target)
+        over, free = [max(0, -r) for r in room], [max(0, r) for r in room]
+        if not any(over):
+            break
+        votes = edges.join(nodes.select(F.col("doc_id").alias("other"), "shard"), "other").groupBy("doc_id").agg(*(F.sum(F.when(F.col("shard") == s, F.col("w")).otherwise(0)).alias(f"v{s}") for s in range(n)))
+        vote = lambda s: F.coalesce(F.col(f"v{s}"), F.lit(0).cast("long"))
+        best = F.greatest(*(F.struct((F.lit(free[s] > 0)).alias("open"), vote(s).alias("votes"), F.xxhash64("doc_id", F.lit(s)).alias("h"), F.lit(s).alias("to")) for s in range(n)))
+        mine = F.element_at(F.array(*(vote(s) for s in range(n))), F.col("shard") + 1)
+        much = F.element_at(F.array(*map(F.lit, over)), F.col("shard") + 1)
+        asks = nodes.join(votes, "doc_id", "left").where(much > 0).withColumn("best", best)
+        asks = asks.select("doc_id", "weight", "shard", F.col("best.to").alias("to"), (mine - F.col("best.votes")).alias("loss"), much.alias("much"))
+        asks = scratch.keep(asks.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20)).cast("int")), "even")
+        by_loss = lambda *key: Window.partitionBy(*key).orderBy(F.least("loss", F.lit(1 << 20)), "slice")
+        if turn == EVEN_ROUNDS:
+            # each shard's excess and a node more, taken out
+            sums = asks.groupBy("shard", F.least("loss", F.lit(1 << 20)).alias("loss"), "slice", "much").agg(F.sum("weight").alias("w"))
+            gone = sums.withColumn("upto", F.sum("w").over(by_loss("shard"))).where(F.col("upto") - F.col("w") < F.col("much"))
+            keys = asks.withColumn("loss", F.least("loss", F.lit(1 << 20))).join(gone.select("shard", "loss", "slice"), ["shard", "loss", "slice"]).select("doc_id")
+            return scratch.keep(nodes.join(keys, "doc_id", "left_anti"), "evened")
+        some = asks.where(F.col("weight") <= F.col("much")).withColumn("loss", F.least("loss", F.lit(1 << 20)))
+        sums = some.groupBy("shard", "to", "loss", "slice", "much").agg(F.sum("weight").alias("w"))
+        fits = scratch.keep(sums.withColumn("upto", F.sum("w").over(by_loss("shard"))).where(F.col("upto") <= F.col("much")), "fits")
+        go = [[0] * n for _ in range(n)]
+        for r in fits.groupBy("shard", "to").agg(F.sum("w").alias("w")).collect():
+            go[r["shard"]][r["to"]] = r["w"]
+        for j in range(n):  # what has no room waits for another round
+            left = free[j]
+            for i in range(n):
+                go[i][j] = min(go[i][j], left)
+                left -= go[i][j]
+        limits = F.create_map(*(x for i in range(n) for j in range(n) for x in (F.lit(i * n + j), F.lit(go[i][j]))))
+        goes = fits.withColumn("upto", F.sum("w").over(by_loss("shard", "to"))).where(F.col("upto") <= F.element_at(limits, F.col("shard") * n + F.col("to")))
+        accepted = some.join(goes.select("shard", "to", "loss", "slice"), ["shard", "to", "loss", "slice"]).select("doc_id", "to")
+        nodes = scratch.keep(nodes.join(accepted, "doc_id", "left").select("doc_id", "weight", F.coalesce("to", "shard").cast("int").alias("shard")), "evened")
+    return nodes
+
+
+def divided(nodes: DataFrame, edges: DataFrame, target: list[int], scratch: Scratch, log: list | None = None) -> DataFrame:
+    """(doc_id, weight, shard) of linked nodes, by levels; nodes that fit into no shard are left out."""
+    bound, levels, before = max(2, 3 * sum(target) // COARSEST), [], None
+    while (n := edges.select("doc_id").distinct().count()) > COARSEST and (before is None or n < 0.95 * before):
+        linked = edges.select("doc_id").distinct()
+        label = clusters(nodes.join(linked, "doc_id", "left_semi"), edges, bound, scratch)
+        label = scratch.keep(label.unionByName(nodes.join(linked, "doc_id", "left_anti").select("doc_id", "weight", F.col("doc_id").alias("unit"))), "level")
+        levels.append((edges, label))
+        nodes, edges = contracted(label, edges, scratch)
+        before = n
+    wide = [t + int(SLACK * t) for t in target] if levels else target
+    place = scratch.keep(_coarsest(nodes, edges, target, scratch), "place")
+    place = propagate(place, edges.join(place.select("doc_id"), "doc_id", "left_semi").join(place.select(F.col("doc_id").alias("other")), "other", "left_semi"), wide, scratch, log)
+    for edges, label in reversed(levels):
+        placed = scratch.keep(label.join(place.select(F.col("doc_id").alias("unit"), "shard"), "unit", "left").select("doc_id", "weight", "shard"), "placed")
+        lost = placed.where("shard is null").select("doc_id", "weight")
+        place = placed.where("shard is not null")
+        if not lost.isEmpty():  # clusters that fit nowhere, node by node
+            place = place.unionByName(even_start(lost, [max(0, r) for r in _room(placed, wide)]))
+        place = scratch.keep(place, "place")
+        here = edges.join(place.select("doc_id"), "doc_id", "left_semi").join(place.select(F.col("doc_id").alias("other")), "other", "left_semi")
+        here = scratch.keep(here, "edges")
+        place = propagate(place, here, wide, scratch, log)
+    if levels and min(_room(place, target)) < 0:
+        place = evened(place, here, target, scratch)
+        place = propagate(place, here, target, scratch, log)
+    return place
+
+
+def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, log: list | None = None) -> DataFrame:
     """The rows (with a doc_id) with ``shard``, ``slot`` and under law ``rows``: counts at most one apart.
 
     ``links``: pairs (a, b) of doc_ids that should share a shard; a link to no row is ignored.
+    ``log`` gets (cut, weight that moved) of each round, level by level.
     """
     scratch = Scratch(rows.sparkSession, "sharding")
     # rows that are equal in all that is known of them get a number; however many there are, no task holds them together
@@ -207,8 +312,8 @@ def shard(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int =
     ends = scratch.keep(links.where("a != b").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     nodes = rows.join(ends, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight"))
     nodes = scratch.keep(nodes, "linked")
-    start = scratch.keep(grouped_start(nodes, links, target, scratch), "start")
-    linked = propagate(start, links, target, scratch, rounds) if start.take(1) else None
+    edges = both_ways(links).join(nodes.select("doc_id"), "doc_id", "left_semi").join(nodes.select(F.col("doc_id").alias("other")), "other", "left_semi")
+    linked = divided(nodes, scratch.keep(edges, "edges"), target, scratch, log) if nodes.take(1) else None
     placed = rows.withColumn("_linked", F.lit(None).cast("int")) if linked is None else rows.join(linked.select("doc_id", F.col("shard").alias("_linked")), "doc_id", "left")
     placed = scratch.keep(placed, "placed")
     have = {r["_linked"]: r["n"] for r in placed.groupBy("_linked").agg(F.count(F.lit(1)).alias("n")).collect()}

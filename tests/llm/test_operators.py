@@ -160,7 +160,7 @@ def test_cut_edges_against_all_partitions(spark, seed):
     best = min(sum((a in side) != (b in side) for a, b in pairs) for side in map(set, itertools.combinations(range(n), n // 2)))
     out = sharding.shard(spark.createDataFrame([(i,) for i in range(n)], "doc_id long"), spark.createDataFrame(pairs, "a long, b long"), shards=2).collect()
     assert Counter(Counter(r["shard"] for r in out).values()) == {n // 2: 2}
-    assert cut(out, pairs) <= best + 3
+    assert cut(out, pairs) == best
 
 
 def test_quotas_never_overflow():

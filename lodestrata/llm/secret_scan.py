@@ -7,9 +7,9 @@ labelled findings: any table (candidate, before, after, path, label). ``example_
 one by rule, with keys, tokens and passwords on one side and commit ids, checksums, UUIDs,
 placeholders, file names and encoded data on the other; a user passes their own instead.
 
-Candidates are credentials of known formats, runs of 12 and more letters and digits, whatever is
-assigned to a password-like name (short values, words and symbols too), the password of a URL, and
-the head of a private key block. Each keeps its own place in the text. Candidates are put together
+Candidates are credentials of known formats, runs of 12 and more letters and digits, whatever of 4
+and more characters is assigned to a password-like name (words, symbols and, in quotes, blanks
+too), the password of a URL, and the head of a private key block. A candidate may have any length. Each keeps its own place in the text. Candidates are put together
 inside the row, so an exploded row holds one of them and its context, never the text.
 
 Defined results: null, empty and candidate-free texts give no rows; a null doc_id is carried
@@ -38,12 +38,16 @@ KNOWN = {
     "github_token": "gh[pousr]_[0-9A-Za-z]{36}",
     "slack_token": "xox[abprs]-[0-9A-Za-z-]{10,72}",
     "google_key": "AIza[0-9A-Za-z_-]{35}",
+    "stripe_key": "[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
+    "gitlab_token": "glpat-[0-9A-Za-z_-]{20,}",
     "json_web_token": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
 }
 # Words by which a credential is assigned.
-ASSIGNED = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|auth"
+ASSIGNED = "passw|pass(?![a-z])|pwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|credential|auth"
 # Words around numbers and hashes that are no credentials.
 HARMLESS = "commit|revision|checksum|md5|sha1|sha256|hash|digest|integrity|uuid|guid|build|version|image|etag|example|sample|placeholder|dummy|test"
+# Words of a line that asks for a password.
+PROMPTS = r"\b(?:enter|your|please|must|type|choose|forgot|reset|new|here)\b"
 # Common words and parts of identifiers.
 DICTIONARY = (
     "about account action active address admin after array async author backup base before between binary block body bottom buffer build button "
@@ -61,22 +65,25 @@ DICTIONARY = (
 
 _KNOWN = "|".join(f"(?:{p})" for p in KNOWN.values())
 # Names that a value is assigned to; the value may be quoted.
-_NAMED = r"(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|token|credentials?|auth)"
+_NAMED = r"(?i:password|passwd|(?<![a-z])pass|pwd|passphrase|passcode|secret|api[_-]?key|access[_-]?key|token|credentials?|auth)"
 _ASSIGNED = _NAMED + r"[\"']?[ \t]{0,2}[:=][ \t]{0,2}"
 _PEM = "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
 # Cheap looks back come first: most places of a text aren't behind a sign.
 _BARE = r"[^\s\"'<>,;(){}\[\]]"
 _BEHIND_NAME = rf"(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<={_ASSIGNED}[\"']?)"
-#: A key block's head; a quoted or bare value behind a name; a URL's password; a known format; a run that mixes letters and digits.
+#: Characters of a URL's user name, at most, before a password (a look back has to end).
+URL_USER = 512
+#: A key block's head; a quoted (blanks and all) or bare value behind a name, or a quoted one behind its "is"; a URL's password; a known format; a run that mixes letters and digits.
 PATTERN = (
-    rf"{_PEM}|{_BEHIND_NAME}(?:(?<=\")[^\s\"]{{6,128}}(?=\")|(?<=')[^\s']{{6,128}}(?=')|(?<![\"']){_BARE}{{6,128}}(?!{_BARE}))"
-    r"|(?<=:)(?<=://[0-9A-Za-z._%-]{1,64}:)[^\s@/:\"']{4,128}(?=@)"
+    rf"{_PEM}|{_BEHIND_NAME}(?:(?<=\")[^\"\r\n]{{4,}}+(?=\")|(?<=')[^'\r\n]{{4,}}+(?=')|(?<![\"']){_BARE}{{4,}}+)"
+    rf"|(?<=is [\"'])(?<={_NAMED} is [\"'])(?:(?<=\")[^\"\r\n]{{4,}}+(?=\")|(?<=')[^'\r\n]{{4,}}+(?='))"
+    rf"|(?<=:)(?<=://[0-9A-Za-z._%+-]{{1,{URL_USER}}}:)[^\s@/:\"']{{4,}}+(?=@)"
     rf"|(?<![0-9A-Za-z_+/-])(?:{_KNOWN}|(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[0-9A-Za-z_+/-]{{12,}}={{0,2}})(?![0-9A-Za-z_+/@-])"
 )
-#: Texts without any of these hold no candidate: a digit, a sign of an assignment or URL, the dashes of a key block.
-_GATE = "[0-9:=-]"
+#: Texts without any of these hold no candidate: a digit, a sign of an assignment or URL, the dashes of a key block, a quotation behind "is".
+_GATE = "[0-9:=-]| is [\"']"
 
-FEATURES = ["length", "changes", "symbols", "distinct", "digits", "upper", "vowel_turns", "hex", "covered", "separators", "assigned", "harmless", "near_sign", "quoted", "known", "in_url", "in_path", "test_path"]
+FEATURES = ["length", "changes", "symbols", "distinct", "digits", "upper", "vowel_turns", "hex", "covered", "separators", "assigned", "harmless", "near_sign", "quoted", "known", "in_url", "in_path", "test_path", "prompt"]
 
 
 def with_features(findings: DataFrame) -> DataFrame:
@@ -86,7 +93,7 @@ def with_features(findings: DataFrame) -> DataFrame:
     low, before, path = F.lower(c), F.lower("before"), F.lower("path")
     near = F.substring(before, -20, 20)
     made: dict[str, Column] = {
-        "length": n,
+        "length": F.least(n, F.lit(100)),
         "changes": (count("[a-z]+|[A-Z]+|[0-9]+|[^0-9A-Za-z]+") - 1) / F.greatest(n - 1, F.lit(1)),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "digits": count("[0-9]") / n,
@@ -97,12 +104,13 @@ def with_features(findings: DataFrame) -> DataFrame:
         "separators": count("[_/+-]") / n,
         "assigned": near.rlike(ASSIGNED).cast("int"),
         "harmless": F.concat(near, F.lit(" "), F.lower(F.substring("after", 1, 24))).rlike(HARMLESS).cast("int"),
-        "near_sign": before.rlike(r"[=:]\s*[\"']?$").cast("int"),
+        "near_sign": before.rlike(r"(?:[=:]|\bis)\s*[\"']?$").cast("int"),
         "quoted": before.rlike("[\"']$").cast("int"),
         "symbols": count("[^0-9A-Za-z_+/-]") / n,
         "known": c.rlike(f"^(?:{_KNOWN}|{_PEM})$").cast("int"),
         "in_url": before.rlike("://[^/ ]*:$").cast("int"),
         "in_path": F.concat(F.substring(before, -3, 3), low).rlike("[/\\\\.].*[/.]|://").cast("int"),
+        "prompt": low.rlike(PROMPTS).cast("int"),
         "test_path": path.rlike("test|example|fixture|sample|mock|doc|lock").cast("int"),
     }
     return findings.select("*", *(F.coalesce(made[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES))
@@ -173,12 +181,21 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (F.concat(pick(44, ["os.environ", "process.env", "config", "settings", "self", "request", "params", "getenv"]), F.lit("."), word(45)), F.concat(prose, F.lit(" "), is_key, sign), 0),
         (F.concat(pick(46, ["${", "$", "%", "{{"]), F.upper(word(47)), F.lit("_"), F.upper(word(48)), pick(49, ["}", "", "%", "}}"])), F.concat(prose, F.lit(" "), is_key, sign), 0),
         (pick(50, ["password", "PASSWORD", "example", "password123", "yourpassword", "user_password", "secret_name", "token_type"]), F.concat(prose, pick(51, [" https://user:", " secret: ", " password=", " token: "])), 0),
+        (F.concat_ws(" ", word(56), word(57), word(58), word(59)), F.concat(prose, F.lit(" "), pick(60, ["passphrase", "password", "pass phrase", "db_pass"]), pick(61, ["=\"", ": \"", " is \"", " = \""])), 1),
+        (F.concat_ws(" ", *(F.translate(F.substr("b", F.lit(k), 3 + draw(k, 5)), "0123456789abcdef", "aeioutnrslcdhmpy") for k in (70, 78, 86, 94))), F.concat(prose, F.lit(" "), pick(71, ["passphrase", "password", "passcode", "db_pass"]), pick(72, ["=\"", ": \"", " is \"", " = \""])), 1),
+        (F.substr(mixed, F.lit(30), 4 + draw(62, 3)), F.concat(prose, F.lit(" "), pick(63, ["pwd", "pass", "password", "db_pass"]), sign), 1),
+        (F.concat_ws(" ", pick(64, ["enter", "your", "must not", "please type", "reset", "no", "the"]), word(65), word(66), word(67)), F.concat(prose, F.lit(" "), is_password, pick(68, ["=\"", ": \"", " = \"", " placeholder=\""])), 0),
         (F.lower(word(52)), F.concat(prose, F.lit(" "), pick(53, ["the secret: ", "A token: ", "no password: ", "the auth: "])), 0),
     ]
-    which = F.pmod(F.col("id"), F.lit(len(kinds)))
-    choose = lambda i: F.coalesce(*(F.when(which == k, kind[i] if i < 2 else F.lit(kind[2])) for k, kind in enumerate(kinds)))
-    path = F.when(choose(2) == 1, pick(26, ["", "", "src/app.py", "config/prod.env", "test/fixture.json"])).otherwise(pick(27, ["", "", "src/app.py", "docs/example.md", "test/fixture.json", "package.lock"]))
-    return rows.select(choose(0).alias("candidate"), choose(1).alias("before"), F.concat(F.lit(" "), word(28)).alias("after"), path.alias("path"), choose(2).cast("double").alias("label"))
+    which, made = F.pmod(F.col("id"), F.lit(len(kinds))), None
+    path = {1: pick(26, ["", "", "src/app.py", "config/prod.env", "test/fixture.json"]), 0: pick(27, ["", "", "src/app.py", "docs/example.md", "test/fixture.json", "package.lock"])}
+    for first in range(0, len(kinds), 10):  # some kinds at a time, as generated code has a bound
+        some = dict(enumerate(kinds[first : first + 10], first))
+        choose = lambda i: F.coalesce(*(F.when(which == k, kind[i]) for k, kind in some.items()))  # noqa: E731, B023
+        label = F.coalesce(*(F.when(which == k, F.lit(kind[2])) for k, kind in some.items()))
+        part = rows.where(which.between(first, first + len(some) - 1)).select("id", choose(0).alias("candidate"), choose(1).alias("before"), label.cast("double").alias("label"))
+        made = part if made is None else made.unionByName(part)
+    return made.select("candidate", "before", F.concat(F.lit(" "), word(28)).alias("after"), F.when(F.col("label") == 1, path[1]).otherwise(path[0]).alias("path"), "label")
 
 
 def train(findings: DataFrame, seed: int = 11) -> RandomForestClassificationModel:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .store import Scratch, small_batches
+from .store import Scratch, lean, small_batches
 
 WINDOW = 10
 #: Benchmark text that is broadcast at once.
@@ -244,8 +244,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 yield batch.filter(pa.array(clean))
 
     if keep_clean:
-        return docs.mapInArrow(run, docs.schema)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RESULT)
+        return docs.mapInArrow(lean(run), docs.schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), _RESULT)
 
 
 def _text_key() -> list:
@@ -286,7 +286,7 @@ def _contamination_in_blocks(docs: DataFrame, benchmark: DataFrame, window: int,
                     lists = [pa.ListArray.from_arrays(pa.array(border), pa.array((x - start).astype(np.int32))) for x in (first, last)]
                     yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), *lists, pa.array([ids[d] for d in rows], pa.list_(pa.string()))], ["_k1", "_k2", "first", "last", "ids"])
 
-        part = keyed.mapInArrow(hits, "_k1 long, _k2 long, first array<int>, last array<int>, ids array<string>").dropDuplicates(["_k1", "_k2"])
+        part = keyed.mapInArrow(lean(hits), "_k1 long, _k2 long, first array<int>, last array<int>, ids array<string>").dropDuplicates(["_k1", "_k2"])
         part = scratch.keep(part, "hits")
         shared.destroy()
         found = part if found is None else found.unionByName(part)
@@ -314,8 +314,8 @@ def _contamination_in_blocks(docs: DataFrame, benchmark: DataFrame, window: int,
                 items.append(ids or [])
             yield _result(batch.column("doc_id"), batch.column("n_words").to_numpy(), np.array(n_hit, np.int64), items)
 
-    counted = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *_text_key()).mapInArrow(count, "doc_id long, _k1 long, _k2 long, n_words long")
-    return counted.join(found, ["_k1", "_k2"], "left").select("doc_id", "n_words", "first", "last", "ids").mapInArrow(unite, _RESULT)
+    counted = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *_text_key()).mapInArrow(lean(count), "doc_id long, _k1 long, _k2 long, n_words long")
+    return counted.join(found, ["_k1", "_k2"], "left").select("doc_id", "n_words", "first", "last", "ids").mapInArrow(lean(unite), _RESULT)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -351,7 +351,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                             ["doc_id", "item_id", "item_word", "doc_word", "length"],
                         )
 
-        part = scratch.keep(texts.mapInArrow(run, "doc_id long, item_id string, item_word long, doc_word long, length long"), "matches")
+        part = scratch.keep(texts.mapInArrow(lean(run), "doc_id long, item_id string, item_word long, doc_word long, length long"), "matches")
         shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out

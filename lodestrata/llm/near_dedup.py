@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from . import words
 from .components import connected_components, joined_components
-from .store import Scratch, small_batches
+from .store import Scratch, lean, small_batches
 
 BAND_ROWS, BANDS = 6, 64
 REGISTERS = BAND_ROWS * BANDS
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     ["doc_id", "n_shingles", "f1", "f2", "registers"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, f1 long, f2 long, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -191,7 +191,7 @@ def band_keys(sketch: DataFrame) -> DataFrame:
                 key = words.mix(key * _U(0x9E3779B97F4A7C15) + regs[:, :, i])
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))], ["key", "doc_id"])
 
-    return sketch.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
+    return sketch.select("doc_id", "registers").mapInArrow(lean(run), "key long, doc_id long")
 
 
 def estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(np.maximum(j - SIGMAS * error, 0)), pa.array(np.minimum(j + SIGMAS * error, most))], ["a", "b", "low", "high"]
             )
 
-    return joined.mapInArrow(run, "a long, b long, low double, high double")
+    return joined.mapInArrow(lean(run), "a long, b long, low double, high double")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, shingle: int) -> DataFrame:
@@ -224,7 +224,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, shingle: int) -> D
                 border = np.searchsorted(d, np.arange(len(block.rows) + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block.rows)), pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
 
-    return texts.mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .store import Scratch, small_batches
+from .store import Scratch, lean, small_batches
 
 CAPACITY = 2048
 #: Bytes of a Python worker's cache of tokenised words; a full cache is emptied, and it ends with its task.
@@ -252,7 +252,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(pieces), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -288,7 +288,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.drop("number").schema)
-    return numbered.mapInArrow(place, schema + ", sequence_id long, offset long")
+    return numbered.mapInArrow(lean(place), schema + ", sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

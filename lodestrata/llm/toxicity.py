@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .store import Scratch, small_batches
+from .store import Scratch, lean, small_batches
 
 #: Bounds of the fit: labelled documents, and lexicon entries.
 SAMPLE_DOCUMENTS, LEXICON_ENTRIES = 20_000, 4_096
@@ -298,7 +298,7 @@ def mine_lexicon(sample: DataFrame) -> Lexicon:
     least = max(3, round(0.01 * sizes))
     n, pos, neg = F.col("pos") + F.col("neg"), F.col("pos"), F.col("neg")
     low = (pos + 2 - 2 * F.sqrt(pos * neg / n + 1)) / (n + 4)  # Wilson's lower bound at two standard errors
-    terms = sample.mapInArrow(run, "term long, pos double, neg double").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    terms = sample.mapInArrow(lean(run), "term long, pos double, neg double").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     best = terms.where(F.col("pos") >= least).withColumn("low", low).where(F.col("low") >= TIERS[-1])
     best = best.orderBy(F.desc("low"), F.desc("pos"), "term").limit(LEXICON_ENTRIES).collect()
     tier = np.array([sum(r["low"] < t for t in TIERS) for r in best], np.int64)
@@ -338,9 +338,9 @@ def learn(docs: DataFrame, labels: DataFrame, by_model: bool = True) -> tuple[Le
                 yield pa.RecordBatch.from_arrays([pa.array(votes(c, n, seen)), batch.column(1).take(pa.array(block.rows)), pa.array(list(features(c, n)), pa.list_(pa.float64()))], ["pattern", "toxic", "x"])
 
     # a row for each vote pattern: of the voters' combinations few occur
-    every = docs.select("text").mapInArrow(count_votes, f"pattern long, n long, {', '.join(f'{c} double' for c in columns)}").groupBy("pattern").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns))
+    every = docs.select("text").mapInArrow(lean(count_votes), f"pattern long, n long, {', '.join(f'{c} double' for c in columns)}").groupBy("pattern").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns))
     every = every.orderBy("pattern").collect()
-    rows = sample.mapInArrow(examples, "pattern long, toxic int, x array<double>").collect()  # SAMPLE_DOCUMENTS at most
+    rows = sample.mapInArrow(lean(examples), "pattern long, toxic int, x array<double>").collect()  # SAMPLE_DOCUMENTS at most
     rows.sort(key=lambda r: (r["pattern"], r["toxic"], r["x"]))
     column = lambda r, k, kind: np.array([x[k] for x in r], kind)
     pattern, label = column(rows, "pattern", np.int64), column(rows, "toxic", float)
@@ -380,9 +380,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep_clean: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     if keep_clean:
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_of(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

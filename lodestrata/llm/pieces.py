@@ -40,6 +40,8 @@ from .store import small_batches
 BLANK = "▁"
 #: Characters of text encoded at once, and of distinct chunks that a worker remembers.
 BLOCK_CHARS, KNOWN_CHARS = 1 << 20, 1 << 23
+#: Symbols whose agenda is a list; more have a heap.
+SHORT, _NEVER = 40, float("inf")
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -111,6 +113,24 @@ class Vocabulary:
 
     def symbols(self, chunk: str) -> list[str]:
         """The chunk's characters, joined by the agenda."""
+        return self._short(chunk) if len(chunk) <= SHORT else self._long(chunk)
+
+    def _short(self, chunk: str) -> list[str]:
+        """A few symbols: the agenda is a list of their pairs' costs from left to right, and the first of the least is next."""
+        cost, part = self.cost.get, list(chunk)
+        agenda = [cost(a + b, _NEVER) for a, b in itertools.pairwise(part)]
+        while agenda and (best := min(agenda)) < _NEVER:
+            i = agenda.index(best)
+            part[i] = joined = part[i] + part.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(joined + part[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = cost(part[i - 1] + joined, _NEVER)
+        return part
+
+    def _long(self, chunk: str) -> list[str]:
+        """Many symbols: the agenda is a heap of (cost, place, joined)."""
         cost, part = self.cost, list(chunk)
         n = len(part)
         agenda = [(c, i, part[i] + part[i + 1]) for i in range(n - 1) if (c := cost.get(part[i] + part[i + 1])) is not None]

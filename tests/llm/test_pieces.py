@@ -50,6 +50,13 @@ def test_any_ids(rows):
     assert vocabulary.decode(np.array([x for r in rows for x in r], np.int64), border) == [vocabulary.library.decode(r) for r in rows]
 
 
+def test_both_agendas_are_one():
+    vocabulary, rng = pieces.vocabulary(PATH), random.Random(4)
+    for _ in range(500):
+        chunk = "▁" + "".join(rng.choice("theinrsoaé") for _ in range(rng.randint(0, 60)))
+        assert vocabulary._short(chunk) == vocabulary._long(chunk)
+
+
 def test_memory_is_bounded_and_results_are_not(monkeypatch, library):
     monkeypatch.setattr(pieces, "KNOWN_CHARS", 50)
     monkeypatch.setattr(pieces, "BLOCK_CHARS", 40)

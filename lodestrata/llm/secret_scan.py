@@ -200,7 +200,10 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
 
 def train(findings: DataFrame, seed: int = 11) -> RandomForestClassificationModel:
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings)).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+    # the summary of the training holds the session, which tasks can't always take with them
+    model._java_obj.setSummary(findings.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def scan(docs: DataFrame, path: Column, model: RandomForestClassificationModel) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shuffled
+
 
 def claim_oldest(jobs: DataFrame, now: Column) -> DataFrame:
     """The oldest queued job, now running; no row if none is queued. One owner takes jobs at a time."""
@@ -33,7 +35,7 @@ def claim_all(jobs: DataFrame, now: Column) -> DataFrame:
 
 def finish(jobs: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
     """Running jobs succeed, or fail with the error of their document (doc_id, error); others stay as they are."""
-    told = jobs.join(errors.select("doc_id", F.col("error").alias("_error")), "doc_id", "left")
+    told = jobs.join(shuffled(errors.select("doc_id", F.col("error").alias("_error"))), "doc_id", "left")
     running, failed = F.col("status") == "running", F.col("_error").isNotNull()
     before = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
     old = F.col("finished_at") if "finished_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")

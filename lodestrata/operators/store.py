@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import blobs
-from ..sources.shared import passing_folder
+from ..sources.shared import passing_folder, shuffled
 from ..sources.versions import Transaction, Versions
 from . import ingestion, uploads
 from .policy import PolicyError, ScopedCatalog
@@ -81,9 +81,9 @@ class DocumentStore:
             jobs, documents = t.read("jobs"), t.read("documents")
             out = ingestion.process(jobs, documents, content, once, dimension, now)
             open_ = jobs.where("status in ('queued', 'running')")
-            t.replace("jobs", out.jobs.join(open_.select("job_id"), "job_id", "left_semi"), ["job_id"])
+            t.replace("jobs", out.jobs.join(shuffled(open_.select("job_id")), "job_id", "left_semi"), ["job_id"])
             touched = open_.select("doc_id").distinct()
-            t.replace("documents", out.documents.join(touched, "doc_id", "left_semi"), ["doc_id"])
+            t.replace("documents", out.documents.join(shuffled(touched), "doc_id", "left_semi"), ["doc_id"])
             for name, rows in (("chunks", out.chunks), ("vectors", out.vectors)):
                 t.delete(name, touched)  # of an earlier run
                 t.append(name, rows)

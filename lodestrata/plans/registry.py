@@ -16,7 +16,7 @@ from ..operators.store import DocumentStore
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import blob_files, blobs
-from ..sources.shared import passing_folder
+from ..sources.shared import passing_folder, shuffled
 from ..sources.tables import Tables
 from ..sources.versions import RuleBroken, Versions
 from ..streaming import consumer, ingest, tokens
@@ -516,7 +516,7 @@ def committed_documents(t: Tables) -> DataFrame:
     # every tenth document is deleted again, with all that belongs to it
     store = _committed(t)
     store.delete(t.raw("documents").where("doc_id % 10 = 0").select("doc_id"))
-    count = lambda name: store.read(name).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    count = lambda name: shuffled(store.read(name).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}")))
     rows = store.read("documents").join(count("chunks"), "doc_id", "left").join(count("vectors"), "doc_id", "left").join(count("jobs"), "doc_id", "left")
     return rows.select("doc_id", "status", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_chunks", "n_vectors", "n_jobs")))
 

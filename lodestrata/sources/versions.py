@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import names_in, put_if_absent, read_text, remove
+from .shared import counted, names_in, put_if_absent, read_text, remove, shuffled
 
 #: Keys of a batch that are looked up by value in the stored files; a larger batch is joined.
 KEYS_LOOKED_UP = 1000
@@ -209,7 +209,7 @@ class Transaction:
         """Delete the rows whose key is among ``keys``; only folders that have such rows are written anew."""
         self.needs.add(name)
         table, left = self.table(name), self._left(name)
-        rows = self.versions._folders(name, table, left)
+        rows, keys = self.versions._folders(name, table, left), counted(keys)
         touched = [r["_commit"] for r in rows.join(keys, keys.columns, "left_semi").select("_commit").distinct().collect()] if left else []  # folders
         if touched:
             kept = self.versions._folders(name, table, touched).drop("_commit").join(keys, keys.columns, "left_anti")
@@ -279,7 +279,7 @@ class Transaction:
                 if self.rows <= KEYS_LOOKED_UP:
                     for c in key:
                         old = old.where(F.col(c).isin([r[0] for r in rows.select(c).distinct().collect()]))  # bounded by KEYS_LOOKED_UP
-                broken = rows.join(old, key, "left_semi").count()
+                broken = rows.join(shuffled(old), key, "left_semi").count()
             if broken:
                 raise RuleBroken(name, {f"unique ({', '.join(key)})": broken})
 

@@ -36,6 +36,8 @@ def dense_leg(vectors: DataFrame, query: list[float], limit: int = 2 * K) -> Dat
 
 #: Numbers in a block of queries, 8 MB of them; each block is one pass over the vectors.
 BLOCK_NUMBERS = 1 << 20
+#: Numbers in a matrix of distances, 8 MB of them; a batch of vectors is compared slice by slice.
+MATRIX_NUMBERS = 1 << 20
 
 
 class Nearest:
@@ -52,6 +54,11 @@ class Nearest:
         which = np.arange(len(self.queries)) if which is None else which
         if not len(chunk) or not len(which):
             return
+        step = slice_rows(len(which))
+        for at in range(0, len(chunk), step):
+            self._see(chunk[at : at + step], vectors[at : at + step], which)
+
+    def _see(self, chunk: np.ndarray, vectors: np.ndarray, which: np.ndarray) -> None:
         self.scored += len(chunk) * len(which)
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = np.round(1 - (self.queries[which] @ vectors.T) / np.outer(self.norms[which], np.sqrt((vectors * vectors).sum(1))), self.digits) + 0.0
@@ -75,6 +82,11 @@ class Nearest:
         return self.parts[0]
 
 
+def slice_rows(columns: int) -> int:
+    """Rows of a matrix with so many columns that are worked out at once."""
+    return max(1, MATRIX_NUMBERS // max(1, columns))
+
+
 def rows_of_dimension(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, chunk_ids, vectors) of a batch's vectors of one dimension; columns chunk_id, v."""
     lists = batch.column("v")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestrata.operators import ingestion
+from lodestrata.operators import ingestion, retrieval
 from lodestrata.sources import shared
 
 
@@ -23,3 +26,22 @@ def test_uncounted_sides_are_not_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan_of(docs.join(shared.counted(keys), "doc_id", "left_semi"))
     monkeypatch.setattr(shared, "KEYS_BROADCAST", 3)
     assert "Broadcast" not in plan_of(docs.join(shared.counted(keys), "doc_id", "left_semi"))
+
+
+def peak_of(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_distances_are_worked_out_in_slices():
+    rng = np.random.default_rng(1)
+    queries, vectors, ids = rng.normal(size=(2000, 8)), rng.normal(size=(5000, 8)), np.arange(5000)
+    nearest = retrieval.Nearest(queries, 3, 9)
+    assert peak_of(lambda: nearest.see(ids, vectors)) < 150  # all pairs at once: over 400 MB
+    q, chunk, _ = nearest.close()
+    cosine = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (vectors / np.linalg.norm(vectors, axis=1)[:, None]).T
+    want = np.argsort(-cosine, axis=1, kind="stable")[:, :3]
+    assert len(q) == 6000 and (chunk.reshape(-1, 3) == want).all() and nearest.scored == 10_000_000

@@ -182,10 +182,14 @@ def _placed(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
             norm = np.sqrt((v * v).sum(1))
             good = np.isfinite(norm) & (norm > 0)
             at, v, norm = at[good], v[good], norm[good]
-            cosine = np.clip(v @ centroids.T / norm[:, None], -1, 1) if len(v) else np.zeros((0, 1))
-            best = cosine.argmax(1)
+            best, cosine = np.zeros(len(v), np.int64), np.zeros(len(v))
+            step = R.slice_rows(len(centroids))
+            for x in range(0, len(v), step):
+                part = np.clip(v[x : x + step] @ centroids.T / norm[x : x + step, None], -1, 1)
+                best[x : x + step] = part.argmax(1)
+                cosine[x : x + step] = part.max(1)
             left = batch.select(names).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(np.arccos(cosine[np.arange(len(v)), best]), pa.float64()), pa.array(best, pa.int32())], [*names, "angle", "list"])
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(np.arccos(cosine), pa.float64()), pa.array(best, pa.int32())], [*names, "angle", "list"])
 
     if not len(centroids):
         return vectors.sparkSession.createDataFrame([], _ROWS)

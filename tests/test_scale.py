@@ -5,9 +5,10 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.operators import ingestion, retrieval
+from lodestrata.operators import ingestion, retrieval, vector_index
 from lodestrata.sources import shared
 
 
@@ -45,3 +46,20 @@ def test_distances_are_worked_out_in_slices():
     cosine = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (vectors / np.linalg.norm(vectors, axis=1)[:, None]).T
     want = np.argsort(-cosine, axis=1, kind="stable")[:, :3]
     assert len(q) == 6000 and (chunk.reshape(-1, 3) == want).all() and nearest.scored == 10_000_000
+
+
+def test_centroids_are_compared_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, i, "a", "ready", [float(x) for x in rng.normal(size=4)]) for i in range(50)]
+    frame = spark.createDataFrame(rows, "chunk_id long, doc_id long, department_id string, status string, embedding array<float>")
+    centroids = rng.normal(size=(6, 4))
+    centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+    given, asked = [], []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: given.append(run))
+    vector_index._placed(frame, centroids)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] + [pa.array([r[4] for r in rows])], [*frame.columns, "v"])
+    monkeypatch.setattr(retrieval, "slice_rows", lambda columns: asked.append(columns) or 7)
+    (found,) = given[0](iter([batch]))
+    cosine = np.array([r[4] for r in rows]) @ centroids.T / np.linalg.norm([r[4] for r in rows], axis=1)[:, None]
+    assert asked == [6] and found.column("list").to_pylist() == cosine.argmax(1).tolist()
+    assert np.allclose(found.column("angle"), np.arccos(cosine.max(1)))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical as L
+from ..sources.shared import counted
 from ..sources.versions import Transaction, Versions
 from . import retrieval as R
 
@@ -70,11 +71,11 @@ class TextIndex:
         """All segments as one, without the dead."""
 
         def work(t: Transaction) -> None:
-            rows = self._alive(t.read("postings").select("segment", "term", F.explode("hits").alias("h")).select("segment", "term", "h.*"), t.read("dead"))
+            rows = self._alive(t.read("postings").select("segment", "term", F.explode("hits").alias("h")).select("segment", "term", "h.*"), counted(t.read("dead")))
             held = t.read("held").join(t.read("dead"), ["segment", "doc_id"], "left_anti").select(F.lit("merged").alias("segment"), "doc_id").distinct()
             segment = uuid.uuid4().hex
             n = rows.select("chunk_id").distinct().count()
-            t.overwrite("postings", _segment(rows.drop("segment"), segment, n))
+            t.overwrite("postings", _segment(_dealt(rows.drop("segment"), n), segment))
             t.overwrite("held", held.withColumn("segment", F.lit(segment)))
             t.overwrite("dead", t.read("dead").where("false"))
 
@@ -84,8 +85,10 @@ class TextIndex:
         segment = uuid.uuid4().hex
         ready = chunks.where("status = 'ready'")
         found = L.english_tokens(F.col("content")) if self.analyzer == "english" else L.tokens(F.col("content"))
-        words = ready.select("chunk_id", "doc_id", F.posexplode(found).alias("at", "term")).where("term <> ''")
-        t.append("postings", _segment(words, segment, ready.count()))
+        # the chunks are dealt into blocks as they are; their words are many times as many rows
+        dealt = _dealt(ready.select("chunk_id", "doc_id", "content"), ready.count())
+        words = dealt.select("chunk_id", "doc_id", "block", F.posexplode(found).alias("at", "term")).where("term <> ''")
+        t.append("postings", _segment(words, segment))
         t.append("held", ready.select("doc_id").distinct().withColumn("segment", F.lit(segment)))
 
     def _delete(self, t: Transaction, docs: DataFrame) -> None:
@@ -143,10 +146,15 @@ class TextIndex:
         return R.ranked(best, order, limit)
 
 
-def _segment(words: DataFrame, segment: str, n: int) -> DataFrame:
-    """Postings of words (chunk_id, doc_id, at, term) of about ``n`` chunks. A block bounds a row; a common term's rows are in many tasks."""
-    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK))))
-    rows = words.groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "at"))).alias("hits"))
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows with the ``block`` of their chunk, of about ``n`` chunks; a block is in one task, so its postings need no further shuffle."""
+    tasks = max(1, min(256, n // 8192), n // 50_000)
+    return rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK))))).repartition(tasks, "block")
+
+
+def _segment(words: DataFrame, segment: str) -> DataFrame:
+    """Postings of words (chunk_id, doc_id, block, at, term) that were dealt by block. A block bounds a row; a common term's rows are in many tasks."""
+    rows = words.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "at"))).alias("hits"))
     start = F.struct(F.lit(None).cast("long").alias("chunk"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s, h):
@@ -155,4 +163,4 @@ def _segment(words: DataFrame, segment: str, n: int) -> DataFrame:
 
     best = F.aggregate("hits", start, step, lambda s: s["best"])
     rows = rows.select(F.lit(segment).alias("segment"), "term", "block", best.alias("best"), "hits", _part(F.col("term")).alias("part"))
-    return rows.repartition("part", F.pmod("block", F.lit(max(1, min(64, n // 50_000))))).sortWithinPartitions("part", "term", "block")
+    return rows.sortWithinPartitions("part", "term", "block")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.operators import ingestion, retrieval, vector_index
+from lodestrata.operators import ingestion, retrieval, text_index, vector_index
 from lodestrata.sources import shared
 
 
@@ -63,3 +63,14 @@ def test_centroids_are_compared_in_slices(spark, monkeypatch):
     cosine = np.array([r[4] for r in rows]) @ centroids.T / np.linalg.norm([r[4] for r in rows], axis=1)[:, None]
     assert asked == [6] and found.column("list").to_pylist() == cosine.argmax(1).tolist()
     assert np.allclose(found.column("angle"), np.arccos(cosine.max(1)))
+
+
+def test_words_of_a_segment_are_not_shuffled(spark):
+    chunks = spark.range(100).select(F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), F.lit("a b a").alias("content"))
+    dealt = text_index._dealt(chunks, 100)
+    words = dealt.select("chunk_id", "doc_id", "block", F.posexplode(F.split("content", " ")).alias("at", "term"))
+    made = text_index._segment(words, "s")
+    plan = plan_of(made)
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # the chunks, below the words
+    rows = {(r["term"], r["block"]): (r["best"], len(r["hits"])) for r in made.collect()}
+    assert {b for _, b in rows} == {0, 1} and rows["a", 0][0] == 2 and rows["a", 0][1] + rows["a", 1][1] == 200 and rows["b", 0][1] + rows["b", 1][1] == 100

@@ -60,6 +60,33 @@ def test_an_error_of_the_work_is_raised_and_repaired(spark, tmp_path):
     assert len(rows) == 20 and {(r["status"], r["attempts"]) for r in rows} == {("succeeded", 1)}
 
 
+def test_a_batch_reads_what_came_and_what_is_running(spark, tmp_path):
+    entered, root, plans = str(tmp_path / "in"), str(tmp_path / "consumer"), []
+    rows = [(i, i, "queued" if i < 6 else "succeeded", 0, DAY, None, None, None) for i in range(40)] + [(None, 7, "running", 1, DAY, DAY, None, None)]
+    spark.createDataFrame(rows, JOB).write.parquet(entered)
+
+    def work(claimed):
+        # two outcomes of one attempt, one of an attempt that never was, one of a job that never was
+        done = claimed.select("job_id", F.col("attempts").alias("attempt"), F.when(F.col("job_id") == 2, "bad").alias("error"))
+        wrong = spark.createDataFrame([(2, 1, None), (3, 9, "late"), (99, 1, None)], consumer.OUTCOME)
+        return done.unionByName(wrong)
+
+    query = consumer.start_consumer(spark, spark.readStream.schema(JOB).parquet(entered), root, work)
+    while not query.recentProgress:
+        query.awaitTermination(0.2)
+    plans.append(query._jsq.explainInternal(False))
+    consumer.run_until_settled(query, spark, root, 90)
+    assert "Dedup" in plans[0] and "Python" not in plans[0] and "TransformWithState" not in plans[0]  # no job passes through Python
+    got = {r["job_id"]: (r["status"], r["attempts"], r["error"]) for r in consumer.jobs(spark, root).collect()}
+    want = {i: ("succeeded", int(i < 6), None) for i in range(40)} | {2: ("failed", 1, "bad"), None: ("succeeded", 2, None)}
+    assert got == want
+    tables = sorted(n.name for n in (tmp_path / "consumer" / "open").iterdir())
+    assert tables == ["batch=0", "batch=1"]
+    assert [spark.read.parquet(f"{root}/open/{n}").count() for n in tables] == [7, 7]  # never the jobs that had ended before
+    changes = {n.name for n in (tmp_path / "consumer" / "changes").iterdir()}
+    assert changes >= {"batch=0", "batch=1"} and not changes & {"batch=2", "batch=3"}  # idle batches leave nothing
+
+
 STREAMS = {
     "plain": 'data: {"content":"a","stop":false}\n\nevent: x\n\ndata: {bad\n\n\n\ndata: {"content":"b"}\n\ndata: {"content":"!","stop":true}\n\ndata: {"content":"late"}\n\n',
     "open end": 'data: {"content":"é🙂"}\n\n data: {"content":"\\n\\n"}\n\ndata: {"content":5}\n\ndata: {"content":null}\n\ndata: {"content":"end"}',

@@ -43,7 +43,7 @@ LOST = "the owner was lost"
 
 @contextmanager
 def with_rocks(spark: SparkSession) -> Iterator[None]:
-    """A state store outside the heap, which processors need, for a query started meanwhile (it takes the settings of its start)."""
+    """A state store outside the heap, for a query started meanwhile (it takes the settings of its start)."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:

@@ -119,6 +119,24 @@ def test_frames_cut_anywhere(spark, tmp_path):
     assert found.count() == found.select("stream_id", "token").distinct().count()
 
 
+def test_frames_are_joined_without_a_call_for_each_piece(spark, tmp_path):
+    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    text = b'data: {"content":"a"}\n\ndata: {"content":"b","stop":true}\n\n'
+    cut = lambda name, *at: [(name, i, text[4 * i : 4 * i + 4], 4 * i + 4 >= len(text)) for i in at]
+    n = -(-len(text) // 4)
+    for part in ([*cut("x", *range(3, n)), *cut("y", *range(n))], [*cut("x", 0, 1), *cut("y", 0, 5)], cut("x", 2), cut("y", *range(n))):
+        spark.createDataFrame(part, tokens.PIECE).coalesce(1).write.mode("append").parquet(landing)
+        query = tokens.start_joining(spark, spark.readStream.schema(tokens.PIECE).parquet(landing), target, state)
+        query.awaitTermination()
+        assert "TransformWithState" not in query._jsq.explainInternal(False)
+    assert {r["stream_id"]: r["answer"] for r in tokens.answers(tokens.tokens(spark, target)).collect()} == {"x": "ab", "y": "ab"}
+    assert tokens.tokens(spark, target).count() == 4  # pieces behind the end don't begin the stream again
+    tables = sorted((tmp_path / "state" / "streams").iterdir())
+    assert [t.name for t in tables] == ["batch=2", "batch=3"]  # the last one, and the one it was made from
+    assert spark.read.parquet(str(tables[1])).count() == 0  # ended streams are ids only
+    assert {r[0] for r in spark.read.parquet(f"{state}/ended").select("stream_id").collect()} == {"x", "y"}
+
+
 def test_the_sink_commits_a_batch_once(tmp_path):
     writer, path = tokens.TokenWriter(str(tmp_path)), tmp_path / "tokens"
     row = lambda i: {"stream_id": "s", "token": i, "content": "x", "stop": False}

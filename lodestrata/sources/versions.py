@@ -219,11 +219,11 @@ class Transaction:
 
     def replace(self, name: str, rows: DataFrame, key: list[str]) -> None:
         """Insert rows, in place of those that have the same key."""
-        new = self._put(name, rows)
+        new, n = self._put(name, rows)
         if new:
             keys = self.versions._folders(name, self.table(name), [new]).select(*key)
             self.delete(name, keys)
-            self._check(name, new)
+            self._check(name, new, n)
             self.added.setdefault(name, []).append(new)
 
     def _left(self, name: str) -> list[str]:
@@ -236,14 +236,14 @@ class Transaction:
         self.overwrite(name, self.read(name))
 
     def _write(self, name: str, rows: DataFrame, fresh: bool = True) -> None:
-        new = self._put(name, rows)
+        new, n = self._put(name, rows)
         if new:
             if fresh:
-                self._check(name, new)
+                self._check(name, new, n)
             self.added.setdefault(name, []).append(new)
 
-    def _put(self, name: str, rows: DataFrame) -> str | None:
-        """A new folder with the rows, counted as they are written; None if there are none."""
+    def _put(self, name: str, rows: DataFrame) -> tuple[str | None, int]:
+        """(a new folder with the rows, their number as they were written); no folder if there are none."""
         table = self.table(name)
         schema = table.type
         rows = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema))
@@ -263,11 +263,10 @@ class Transaction:
         if broken := {r: told[f"r{i}"] for i, r in enumerate(names) if told[f"r{i}"]}:
             raise RuleBroken(name, broken)
         self.wrote.add(name)
-        self.rows = told["rows"]
-        return folder if told["rows"] else None
+        return (folder if told["rows"] else None), told["rows"]
 
-    def _check(self, name: str, new: str) -> None:
-        """Raise if the rows just written share a key with each other or with others of the table; a key with a null is like no other."""
+    def _check(self, name: str, new: str, n: int) -> None:
+        """Raise if the ``n`` rows of a folder just written share a key with each other or with others of the table; a key with a null is like no other."""
         table = self.table(name)
         for key in table.unique:
             self.needs.add(name)
@@ -276,7 +275,7 @@ class Transaction:
             broken = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
             if not broken and earlier:
                 old = only(earlier)
-                if self.rows <= KEYS_LOOKED_UP:
+                if n <= KEYS_LOOKED_UP:
                     for c in key:
                         old = old.where(F.col(c).isin([r[0] for r in rows.select(c).distinct().collect()]))  # bounded by KEYS_LOOKED_UP
                 broken = rows.join(shuffled(old), key, "left_semi").count()

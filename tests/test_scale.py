@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestrata.operators import retrieval, text_index, vector_index
-from lodestrata.sources import shared
+from lodestrata.operators import ingestion, retrieval, text_index, vector_index
+from lodestrata.sources import shared, versions
 
 
 def plan_of(frame):
@@ -24,6 +24,36 @@ def test_uncounted_sides_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" not in plan_of(docs.join(shared.counted(keys), "doc_id", "left_semi"))
 
 
+def test_ingestion_broadcasts_no_side(spark):
+    jobs = spark.range(30).select(F.col("id").alias("job_id"), (F.col("id") % 9).alias("doc_id"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"), *(F.lit(None).cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "finished_at")), F.lit(None).cast("string").alias("error"))
+    docs = spark.range(7).select(F.col("id").alias("doc_id"), F.lit("a").alias("department_id"), F.lit("pending").alias("status"))
+    content = docs.select("doc_id", F.when(F.col("doc_id") != 1, F.encode(F.lit("some text"), "UTF-8")).alias("content"))
+    embed = lambda c: c.withColumn("embedding", F.when(c.doc_id == 2, F.array(F.lit(1.0), F.lit(2.0))).when(c.doc_id != 3, F.array(F.lit(1.0))))
+    out = ingestion.process(jobs, docs, content, embed, 1, F.lit("2024-01-01").cast("timestamp_ntz"))
+    for frame in (out.jobs, out.documents, out.chunks, out.vectors):
+        assert "Broadcast" not in plan_of(frame)
+    errors = {1: ingestion.NO_BLOB, 2: "embedding dimension 2, expected 1", 3: "embedding dimension none, expected 1", 7: "no such document", 8: "no such document"}
+    assert sorted((r["job_id"], r["error"]) for r in out.jobs.collect()) == [(i, errors.get(i % 9)) for i in range(30)]
+    assert {r["doc_id"]: r["status"] for r in out.documents.collect()} == {i: "failed" if i in errors else "ready" for i in range(7)}
+    assert sorted(r["doc_id"] for r in out.vectors.collect()) == sorted(r["doc_id"] for r in out.chunks.collect()) == [0, 4, 5, 6]
+
+
+def test_keys_of_a_large_replacement_are_not_looked_up_by_value(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "KEYS_LOOKED_UP", 3)
+    tables = versions.Versions(spark, str(tmp_path))
+    tables.create("t", "id long, v string", [["id"]])
+    tables.commit(lambda t: t.append("t", spark.range(8).select("id", F.lit("a").alias("v"))))
+    asked = []
+    isin = type(F.col("id")).isin
+    monkeypatch.setattr(type(F.col("id")), "isin", lambda self, *values: asked.append(values) or isin(self, *values))
+    # two rows stay, so the folder written last has fewer rows than are looked up
+    tables.commit(lambda t: t.replace("t", spark.range(6).select("id", F.lit("b").alias("v")), ["id"]))
+    assert not asked
+    tables.commit(lambda t: t.replace("t", spark.range(2).select("id", F.lit("c").alias("v")), ["id"]))
+    assert len(asked) == 1
+    assert sorted((r["id"], r["v"]) for r in tables.read("t").collect()) == list(enumerate("ccbbbbaa"))
+
+
 def peak_of(work):
     tracemalloc.start()
     work()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.blobs import lossy_text
+from ..sources.shared import shuffled
 from . import jobs as J
 
 #: The error of a document without its bytes.
@@ -36,16 +37,18 @@ def process(jobs: DataFrame, documents: DataFrame, content: DataFrame, embed: Ca
     """
     claimed = J.claim_all(J.reap(jobs), now)
     wanted = claimed.where("status = 'running'").select("doc_id").distinct()
-    texts = documents.join(wanted, "doc_id", "left_semi").select("doc_id", "department_id").join(content.select("doc_id", lossy_text(F.col("content")).alias("text")), "doc_id", "left")
-    chunks = embed(T.chunks(texts.where("text is not null"), "text").withColumn("token_count", T.token_count(F.col("content"))))
+    texts = documents.join(shuffled(wanted), "doc_id", "left_semi").select("doc_id", "department_id").join(shuffled(content.where("content is not null").select("doc_id", lossy_text(F.col("content")).alias("text"))), "doc_id")
+    chunks = embed(T.chunks(texts, "text").withColumn("token_count", T.token_count(F.col("content"))))
     size = F.coalesce(F.size("embedding"), F.lit(-1))
     wrong = chunks.where(size != dimension).groupBy("doc_id").agg(F.max(F.when(size >= 0, size)).alias("got"))
     said = F.concat(F.lit("embedding dimension "), F.coalesce(F.col("got").cast("string"), F.lit("none")), F.lit(f", expected {dimension}"))
-    errors = wrong.select("doc_id", said.alias("error")).unionByName(texts.where("text is null").select("doc_id", F.lit(NO_BLOB).alias("error")))
-    gone = wanted.join(documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("no such document").alias("error"))
-    errors = errors.unionByName(gone)
-    good = chunks.join(errors.select("doc_id"), "doc_id", "left_anti")
+    # a row for each wanted document; texts aren't shuffled for it
+    there, held = documents.select("doc_id", F.lit(True).alias("_there")), content.where("content is not null").select("doc_id").distinct().withColumn("_held", F.lit(True))
+    told = wanted.join(shuffled(there), "doc_id", "left").join(shuffled(held), "doc_id", "left").join(shuffled(wrong.select("doc_id", said.alias("_wrong"))), "doc_id", "left")
+    told = told.select("doc_id", F.when(F.col("_there").isNull(), "no such document").when(F.col("_held").isNull(), NO_BLOB).otherwise(F.col("_wrong")).alias("error"))
+    errors = told.where("error is not null")
+    good = chunks.join(shuffled(errors.select("doc_id")), "doc_id", "left_anti")
     done = J.finish(claimed, errors, now)
-    state = wanted.join(errors, "doc_id", "left").select("doc_id", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("_state"))
-    after = documents.join(state, "doc_id", "left").withColumn("status", F.coalesce("_state", "status")).drop("_state")
+    state = told.select("doc_id", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("_state"))
+    after = documents.join(shuffled(state), "doc_id", "left").withColumn("status", F.coalesce("_state", "status")).drop("_state")
     return Outcome(good.drop("embedding"), good.select("doc_id", "department_id", "chunk_index", "embedding"), done, after)

@@ -99,7 +99,10 @@ def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         out = []
         for text in series:
             row = re.findall(r"[^\W_]+", (text or "").lower())
-            out.append(["" if w in stop else known.setdefault(w, stem(w)) for w in row])
+            for w in row:
+                if w not in known:
+                    known[w] = "" if w in stop else stem(w)
+            out.append([known[w] for w in row])
             if len(known) > 500_000:
                 known.clear()
         yield pd.Series(out)

@@ -15,12 +15,15 @@ in one commit. ``merge`` writes segments anew as one, without the dead.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical as L
-from ..sources.shared import counted
+from ..sources.shared import counted, shuffled
 from ..sources.versions import Transaction, Versions
 from . import retrieval as R
 
@@ -28,6 +31,8 @@ from . import retrieval as R
 PARTS, BLOCK = 32, 64
 #: Blocks that a search reads first.
 FIRST_BLOCKS = 32
+#: Words that a task makes postings of at once; those of a block stay together.
+WORDS = 1 << 18
 TABLES = {
     "postings": "segment string, term string, block long, best int, hits array<struct<chunk_id:bigint,doc_id:bigint,at:int>>, part int",
     "held": "segment string, doc_id long",
@@ -93,7 +98,7 @@ class TextIndex:
 
     def _delete(self, t: Transaction, docs: DataFrame) -> None:
         # t.read has what was there before this transaction, so a segment that it adds stays alive
-        t.append("dead", t.read("held").join(docs.select("doc_id"), "doc_id", "left_semi").join(t.read("dead"), ["segment", "doc_id"], "left_anti"))
+        t.append("dead", t.read("held").join(shuffled(docs.select("doc_id")), "doc_id", "left_semi").join(shuffled(t.read("dead")), ["segment", "doc_id"], "left_anti"))
 
     @staticmethod
     def _alive(hits: DataFrame, dead: DataFrame) -> DataFrame:
@@ -146,21 +151,58 @@ class TextIndex:
         return R.ranked(best, order, limit)
 
 
+def _blocks(n: int) -> int:
+    """Blocks of about ``n`` chunks."""
+    return max(1, -(-n // BLOCK))
+
+
 def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    """Rows with the ``block`` of their chunk, of about ``n`` chunks; a block is in one task, so its postings need no further shuffle."""
+    """Rows with the ``block`` of their chunk, of about ``n`` chunks, a block's rows together in one task."""
     tasks = max(1, min(256, n // 8192), n // 50_000)
-    return rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK))))).repartition(tasks, "block")
+    return rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(_blocks(n)))).repartition(tasks, "block").sortWithinPartitions("block")
 
 
 def _segment(words: DataFrame, segment: str) -> DataFrame:
-    """Postings of words (chunk_id, doc_id, block, at, term) that were dealt by block. A block bounds a row; a common term's rows are in many tasks."""
-    rows = words.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "at"))).alias("hits"))
-    start = F.struct(F.lit(None).cast("long").alias("chunk"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s, h):
-        run = F.when(h["chunk_id"].eqNullSafe(s["chunk"]), s["run"] + 1).otherwise(1)
-        return F.struct(h["chunk_id"].alias("chunk"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    best = F.aggregate("hits", start, step, lambda s: s["best"])
-    rows = rows.select(F.lit(segment).alias("segment"), "term", "block", best.alias("best"), "hits", _part(F.col("term")).alias("part"))
-    return rows.sortWithinPartitions("part", "term", "block")
+    """Postings of words (chunk_id, doc_id, block, at, term) in the order that ``_dealt`` left, so they need no further shuffle. A block bounds a row.
+
+    Spark forgets how rows were dealt where Python makes a column, such as stems, and would shuffle them again for a ``groupBy``.
+    """
+    rows = words.select("chunk_id", "doc_id", "block", "at", "term").mapInArrow(_postings, "term string, block long, best int, hits array<struct<chunk_id:bigint,doc_id:bigint,at:int>>")
+    return rows.select(F.lit(segment).alias("segment"), "term", "block", "best", "hits", _part(F.col("term")).alias("part")).sortWithinPartitions("part", "term", "block")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that come block by block as rows of one term in one block, some blocks at a time."""
+    held, n, most = [], 0, WORDS
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            words = pa.Table.from_batches(held)
+            block = words.column("block").to_numpy()
+            ended = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+            if ended:
+                yield _rows_of(words.slice(0, ended))
+            held, n = words.slice(ended).to_batches(), n - ended
+            most = max(WORDS, 2 * n)
+    if n:
+        yield _rows_of(pa.Table.from_batches(held))
+
+
+def _rows_of(words: pa.Table) -> pa.RecordBatch:
+    """The postings of whole blocks."""
+    words = words.combine_chunks()
+    chunk, doc, block, at, term = (words.column(c).chunk(0) for c in ("chunk_id", "doc_id", "block", "at", "term"))
+    terms = term.dictionary_encode()
+    order = np.lexsort((at.to_numpy(), chunk.to_numpy(), terms.indices.to_numpy(), block.to_numpy()))
+    blocks, codes, chunks = block.to_numpy()[order], terms.indices.to_numpy()[order], chunk.to_numpy()[order]
+    new = np.ones(len(order), bool)  # where a row begins
+    new[1:] = (blocks[1:] != blocks[:-1]) | (codes[1:] != codes[:-1])
+    run = new.copy()  # where a row's places in another chunk begin
+    run[1:] |= chunks[1:] != chunks[:-1]
+    rows, runs = np.flatnonzero(new), np.flatnonzero(run)
+    best = np.maximum.reduceat(np.diff(runs, append=len(order)), np.searchsorted(runs, rows))
+    taken = pa.array(order)
+    places = pa.StructArray.from_arrays([chunk.take(taken), doc.take(taken), at.take(taken)], ["chunk_id", "doc_id", "at"])
+    hits = pa.ListArray.from_arrays(pa.array(np.append(rows, len(order)), pa.int32()), places)
+    return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(codes[rows])), pa.array(blocks[rows]), pa.array(best, pa.int32()), hits], ["term", "block", "best", "hits"])

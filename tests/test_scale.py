@@ -99,3 +99,35 @@ def test_words_of_a_segment_are_not_shuffled(spark):
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # the chunks, below the words
     rows = {(r["term"], r["block"]): (r["best"], len(r["hits"])) for r in made.collect()}
     assert {b for _, b in rows} == {0, 1} and rows["a", 0][0] == 2 and rows["a", 0][1] + rows["a", 1][1] == 200 and rows["b", 0][1] + rows["b", 1][1] == 100
+
+
+def test_postings_of_batches_equal_a_dictionary(monkeypatch):
+    monkeypatch.setattr(text_index, "WORDS", 60)
+    rng = np.random.default_rng(3)
+    rows = [(b * 100 + int(c), b, b, at, str(rng.choice(list("abcd")))) for b in range(12) for c in rng.permutation(7) for at in range(rng.integers(0, 9))]
+    names = ["chunk_id", "doc_id", "block", "at", "term"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 25], strict=True), kinds, strict=True)], names) for i in range(0, len(rows), 25)]
+    made = [r for batch in text_index._postings(iter(batches)) for r in batch.to_pylist()]
+    want = {}
+    for chunk, doc, block, at, term in rows:
+        want.setdefault((term, block), []).append({"chunk_id": chunk, "doc_id": doc, "at": at})
+    assert len(made) == len(want)
+    for r in made:
+        hits = sorted(want[r["term"], r["block"]], key=lambda h: (h["chunk_id"], h["at"]))
+        counts = [sum(h["chunk_id"] == x["chunk_id"] for h in hits) for x in hits]
+        assert r["hits"] == hits and r["best"] == max(counts)
+
+
+def captured_segments(monkeypatch):
+    made, real = [], text_index._segment
+    monkeypatch.setattr(text_index, "_segment", lambda words, segment: made.append(real(words, segment)) or made[-1])
+    return made
+
+
+def test_stems_are_not_shuffled_again(spark, tmp_path, monkeypatch):
+    made = captured_segments(monkeypatch)
+    index = text_index.TextIndex(versions.Versions(spark, str(tmp_path)), "english")
+    index.add(spark.createDataFrame([(1, 1, "ready", "Tests were running, the test ran")], "chunk_id long, doc_id long, status string, content string"))
+    assert plan_of(made[0]).count("Exchange") == 1
+    assert {(r["term"], tuple(h["at"] for h in r["hits"])) for r in made[0].collect()} == {("test", (0, 4)), ("run", (2,)), ("ran", (5,))}

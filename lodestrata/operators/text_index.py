@@ -9,7 +9,7 @@ with the same term, so a chunk has at most n times as many covers as places of i
 and each counts 1 at most.
 
 Deleted documents are entered as dead in the segments that hold them; an update deletes and adds
-in one commit. ``merge`` writes segments anew as one, without the dead.
+in one commit. ``merge`` makes one of all segments, without the dead.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from . import retrieval as R
 PARTS, BLOCK = 32, 64
 #: Blocks that a search reads first.
 FIRST_BLOCKS = 32
+#: Chunks of a segment that a merge takes over as it is, if nothing of it is dead.
+WHOLE = 100 * BLOCK
 #: Words that a task makes postings of at once; those of a block stay together.
 WORDS = 1 << 18
 TABLES = {
     "postings": "segment string, term string, block long, best int, hits array<struct<chunk_id:bigint,doc_id:bigint,at:int>>, part int",
-    "held": "segment string, doc_id long",
+    "held": "segment string, doc_id long, chunks long",
     "dead": "segment string, doc_id long",
 }
 
@@ -73,16 +75,35 @@ class TextIndex:
         self.tables.commit(work)
 
     def merge(self) -> None:
-        """All segments as one, without the dead."""
+        """All segments as one, without the dead.
+
+        Segments of ``WHOLE`` chunks and more without a dead document keep their blocks under other numbers, so their
+        places stay where they are; those that are dead as a whole aren't read; the words of others are dealt anew.
+        """
 
         def work(t: Transaction) -> None:
-            rows = self._alive(t.read("postings").select("segment", "term", F.explode("hits").alias("h")).select("segment", "term", "h.*"), counted(t.read("dead")))
-            held = t.read("held").join(t.read("dead"), ["segment", "doc_id"], "left_anti").select(F.lit("merged").alias("segment"), "doc_id").distinct()
+            dead, postings = t.read("dead"), t.read("postings")
+            held = t.read("held").join(shuffled(dead), ["segment", "doc_id"], "left_anti")
+            # segments, one for each commit since the last merge
+            chunks = {r["segment"]: r["n"] for r in held.groupBy("segment").agg(F.sum("chunks").alias("n")).collect()}
+            touched = {r["segment"] for r in dead.select("segment").distinct().collect()}
+            whole = [s for s, n in sorted(chunks.items()) if n >= WHOLE and s not in touched]
+            again = [s for s in chunks if s not in whole]
             segment = uuid.uuid4().hex
-            n = rows.select("chunk_id").distinct().count()
+            n = sum(chunks[s] for s in again)
+            rows = postings.where(F.col("segment").isin(again)).select("segment", "term", F.explode("hits").alias("h")).select("segment", "term", "h.*")
+            rows = self._alive(rows, counted(dead.where(F.col("segment").isin(again))))
             t.overwrite("postings", _segment(_dealt(rows.drop("segment"), n), segment))
-            t.overwrite("held", held.withColumn("segment", F.lit(segment)))
-            t.overwrite("dead", t.read("dead").where("false"))
+            if whole:
+                last = {r["segment"]: r["last"] for r in postings.where(F.col("segment").isin(whole)).groupBy("segment").agg(F.max("block").alias("last")).collect()}
+                first, numbers = _blocks(n), []
+                for s in whole:
+                    numbers += [F.lit(s), F.lit(first).cast("long")]
+                    first += last.get(s, -1) + 1
+                kept = postings.where(F.col("segment").isin(whole)).withColumn("block", F.element_at(F.create_map(*numbers), F.col("segment")) + F.col("block"))
+                t.append("postings", kept.withColumn("segment", F.lit(segment)).sortWithinPartitions("part", "term", "block"))
+            t.overwrite("held", held.groupBy("doc_id").agg(F.sum("chunks").alias("chunks")).withColumn("segment", F.lit(segment)))
+            t.overwrite("dead", dead.where("false"))
 
         self.tables.commit(work)
 
@@ -94,7 +115,7 @@ class TextIndex:
         dealt = _dealt(ready.select("chunk_id", "doc_id", "content"), ready.count())
         words = dealt.select("chunk_id", "doc_id", "block", F.posexplode(found).alias("at", "term")).where("term <> ''")
         t.append("postings", _segment(words, segment))
-        t.append("held", ready.select("doc_id").distinct().withColumn("segment", F.lit(segment)))
+        t.append("held", ready.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks")).withColumn("segment", F.lit(segment)))
 
     def _delete(self, t: Transaction, docs: DataFrame) -> None:
         # t.read has what was there before this transaction, so a segment that it adds stays alive

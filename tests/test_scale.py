@@ -131,3 +131,31 @@ def test_stems_are_not_shuffled_again(spark, tmp_path, monkeypatch):
     index.add(spark.createDataFrame([(1, 1, "ready", "Tests were running, the test ran")], "chunk_id long, doc_id long, status string, content string"))
     assert plan_of(made[0]).count("Exchange") == 1
     assert {(r["term"], tuple(h["at"] for h in r["hits"])) for r in made[0].collect()} == {("test", (0, 4)), ("run", (2,)), ("ran", (5,))}
+
+
+def test_a_merge_moves_only_what_it_must(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "WHOLE", 150)
+    monkeypatch.setattr(shared, "KEYS_BROADCAST", 3)
+    schema = "chunk_id long, doc_id long, status string, content string"
+    rows = lambda docs, word: spark.createDataFrame([(i, i, "ready", f"{word} words {i % 7}") for i in docs], schema)
+    ids = lambda *docs: spark.createDataFrame([(i,) for i in docs], "doc_id long")
+    index = text_index.TextIndex(versions.Versions(spark, str(tmp_path)))
+    index.add(rows(range(200), "old"))
+    index.add(rows(range(200, 400), "other"))
+    index.add(rows(range(400, 420), "small"))
+    index.update(ids(*range(200)), rows(range(200), "new"))
+    index.delete(ids(405))
+    made = captured_segments(monkeypatch)
+    index.merge()
+    # two segments are taken over, one of ten dead documents and more isn't looked at, the small one is dealt anew
+    assert "SortMergeJoin" not in plan_of(made[0])
+    stored = index.tables.read("postings")
+    assert stored.select("segment").distinct().count() == 1 and stored.groupBy("term", "block").count().where("count > 1").count() == 0
+    assert stored.where("term = 'words'").select("block").distinct().count() == 9  # of 200, 200 and 19 chunks
+    want = [i for i in range(420) if i != 405]
+    assert sorted(r["chunk_id"] for r in index.matches("words").collect()) == want
+    assert index.matches("old").count() == 0 and index.matches("new").count() == 200 and index.matches("other").count() == 200
+    assert [r["chunk_id"] for r in index.search("words 3", 500).orderBy("rank").collect()] == [i for i in want if i % 7 == 3]
+    index.delete(ids(0, 250))
+    index.merge()
+    assert len(made) == 2 and sorted(r["chunk_id"] for r in index.matches("words").collect()) == [i for i in want if i not in (0, 250)]
